@@ -1,0 +1,8 @@
+"""Gridded and station time-series correction and verification, and training-data operators, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
