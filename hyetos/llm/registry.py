@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hyetos.llm import exact_dedup, line_dedup, minhash
+from hyetos.llm import exact_dedup, line_dedup, minhash, pii
 
 
 def queries() -> dict:
     return {
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_pii": pii.op6_pii,
         "op7_minhash": minhash.op7_minhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
