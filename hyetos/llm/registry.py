@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hyetos.llm import exact_dedup, line_dedup, minhash, pii
+from hyetos.llm import exact_dedup, line_dedup, minhash, pii, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": url_filter.op2_url_filter,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op7_minhash": minhash.op7_minhash,
