@@ -38,5 +38,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hyetos.llm import exact_dedup, line_dedup, minhash, pii, url_filter
+from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, pii, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op7_minhash": minhash.op7_minhash,
