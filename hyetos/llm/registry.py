@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, pii, url_filter
+from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, mixing, pii, url_filter
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_pii": pii.op6_pii,
         "op7_minhash": minhash.op7_minhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
