@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, mixing, pii, url_filter
+from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, mixing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_minhash": minhash.op7_minhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
+        "op10_quality": quality.op10_quality,
     }
 
 
