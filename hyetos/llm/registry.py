@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hyetos.llm import decontaminate, exact_dedup, line_dedup, minhash, mixing, pii, quality, url_filter
+from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, pii, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_line_dedup": line_dedup.op5_line_dedup,
