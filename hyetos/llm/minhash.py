@@ -4,11 +4,12 @@
    the smallest id as its representative, so copies cost one row each and never form pairs.
 2. A representative has 128 universal hash minima (multiply-add-shift), cut into 32 bands of 4. At a similarity of 0.8
    two sets share no band with a probability of (1 - 0.8^4)^32 = 5e-8.
-3. Buckets are compared in three rounds, each followed by connected components: every member with the leader it shares
-   most bands with; every member with each leader of another component; then, in blocks, members of a bucket that
-   still lie in different components. A pair is first held against its signatures (below 0.6 estimated, 5.6 standard
-   errors under 0.8, it is dropped), then against the full sets. No cap limits a bucket: after the last round every
-   pair of a bucket either lies in one component or was compared.
+3. First every member of a bucket is held against the leader it shares most bands with, and links are closed by
+   connected components. Then, in buckets that still span several components, members are compared in blocks: by
+   signature first, which leaves the members that may have a link to another component (at an estimate of 0.6, 5.6
+   standard errors under 0.8), and those on their full sets by a product of incidence matrices. A block passes on a
+   spanning forest of its links, so rows grow with members, never with pairs, though every pair is compared.
+   Components of all links give the result. No cap limits a bucket.
 
 Edge cases: a text without words, or null, has an empty set and no links; with fewer words than a shingle the whole
 sequence is the only shingle; a row with a null id has no links and stays; rows with the same id are one document;
@@ -31,8 +32,8 @@ from hyetos.llm.components import components
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-#: Members of a bucket in one block of the last round.
-BLOCK = 200
+#: Members of a bucket whose signatures, and bytes of sets that one block holds.
+BLOCK, BLOCK_BYTES = 2000, 4 << 20
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)[:, None] | np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)[:, None]
@@ -108,10 +109,6 @@ def _sets(size: int):
     return run
 
 
-def _lanes(column: pa.Array) -> np.ndarray:
-    return column.values.slice(column.offset * BANDS, len(column) * BANDS).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint16).reshape(-1, HASHES)
-
-
 def _likely(percent: int):
     least = HASHES * (percent / 100 - 0.2)
 
@@ -141,27 +138,78 @@ def _linked(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of two blocks of a bucket that lie in different components and have likely signatures."""
+def _doubtful(percent: int):
+    """Of two blocks of a bucket, the members that likely resemble a member of another component."""
     least = HASHES * (percent / 100 - 0.2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for left, right, alone in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("alone").to_pylist(), strict=True):
-                ids = [np.array([x["id"] for x in side], np.int64) for side in (left, right)]
-                comps = [np.array([x["comp"] for x in side], np.int64) for side in (left, right)]
-                lanes = [np.array([x["bands"] for x in side], np.int64).view(np.uint16) for side in (left, right)]
-                for k in range(len(ids[0])):
-                    ok = (comps[1] != comps[0][k]) & ((ids[1] > ids[0][k]) if alone else True)
-                    at = np.flatnonzero(ok)
-                    at = at[(lanes[1][at] == lanes[0][k]).sum(axis=1) >= least]
-                    us.append(np.full(len(at), ids[0][k])), vs.append(ids[1][at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            buckets, members = [], []
+            for bucket, left, right in zip(*[batch.column(c).to_pylist() for c in ("bucket", "a", "b")], strict=True):
+                (ids, comps, lanes), (ids2, comps2, lanes2) = [
+                    (np.array([x["id"] for x in side], np.int64), np.array([x["comp"] for x in side], np.int64), np.array([x["bands"] for x in side], np.int64).view(np.uint16))
+                    for side in (left, right)
+                ]
+                likely = np.stack([(lanes2 == x).sum(axis=1) >= least for x in lanes]) & (comps[:, None] != comps2[None, :])
+                found = np.unique(np.concatenate([ids[likely.any(axis=1)], ids2[likely.any(axis=0)]]))
+                buckets.append(np.full(len(found), bucket, np.int64)), members.append(found)
+            if buckets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(members))], ["bucket", "rep"])
+
+    return run
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of the left with sets of the right."""
+    both = left + right
+    values, at, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    shared = np.cumsum(times > 1) - 1  # values of one set only add nothing
+    use = (times > 1)[at]
+    owner, at, out = owner[use], shared[at[use]], np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared[-1]) + 1 if len(values) else 0, 4096):
+        part = (at >= lo) & (at < lo + 4096)
+        cells = np.zeros((len(both), 4096), np.float32)
+        cells[owner[part], at[part] - lo] = 1
+        out += cells[: len(left)] @ cells[len(left) :].T
+    return out
+
+
+def _forest(percent: int):
+    """A spanning forest of the links between two blocks' members of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for left, right in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                sides = [[np.frombuffer(x["shingles"], np.uint64) for x in side] for side in (left, right)]
+                common = common_counts(*sides)
+                total = np.add.outer(*[np.array([len(s) for s in side], np.float32) for side in sides])
+                labels = [np.array([x["comp"] for x in side], np.int64) for side in (left, right)]
+                linked = (100 * common >= percent * (total - common)) & (labels[0][:, None] != labels[1][None, :])
+                for i in np.flatnonzero(linked.any(axis=1)):
+                    for j in np.flatnonzero(linked[i]):
+                        old, new = labels[1][j], labels[0][i]
+                        if old != new:
+                            us.append(left[i]["id"]), vs.append(right[j]["id"])
+                            for side in labels:
+                                side[side == old] = new
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
+def _block_pairs(members: DataFrame, blocks, *fields: str) -> DataFrame:
+    """Rows (bucket, a, b) of blocks of a bucket's members, each two once and each with itself."""
+    one = written(
+        members.withColumn("blocks", blocks).groupBy("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct(F.col("rep").alias("id"), "comp", *fields)).alias("a")),
+        "blocks",
+    )
+    two = one.select("bucket", F.col("block").alias("other"), F.col("a").alias("b"))
+    return one.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(two, ["bucket", "other"]).select("bucket", "a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with n_shingles, component_id and kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -176,22 +224,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     sets = written(texts.join(nodes, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     signs = classes.select(F.col("rep").alias("id"), "bands")
 
-    def links(pairs: DataFrame, likely: bool) -> DataFrame:
-        if not likely:
-            pairs = (
-                pairs.join(signs.select(F.col("id").alias("u"), F.col("bands").alias("bands_u")), "u")
-                .join(signs.select(F.col("id").alias("v"), F.col("bands").alias("bands_v")), "v")
-                .mapInArrow(_likely(percent), "u long, v long")
-            )
+    def links(pairs: DataFrame) -> DataFrame:
+        likely = (
+            pairs.join(signs.select(F.col("id").alias("u"), F.col("bands").alias("bands_u")), "u")
+            .join(signs.select(F.col("id").alias("v"), F.col("bands").alias("bands_v")), "v")
+            .mapInArrow(_likely(percent), "u long, v long")
+        )
         return (
-            pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u")
+            likely.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u")
             .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
             .mapInArrow(_linked(percent), "u long, v long")
         )
 
     votes = members.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
     best = votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    edges = written(links(best.select(F.col("rep").alias("u"), F.col("leader").alias("v")), False), "links")
+    edges = written(links(best.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "links")
     roots = components(edges)
 
     def placed(roots: DataFrame) -> DataFrame:
@@ -199,31 +246,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         r = roots.select(F.col("u").alias("id"), F.col("v").alias("root"))
         return nodes.join(r, "id", "left").select("id", F.coalesce("root", "id").alias("comp"))
 
-    at = placed(roots)
-    pairs = (
-        votes.join(at.select(F.col("id").alias("rep"), F.col("comp").alias("c1")), "rep")
-        .join(at.select(F.col("id").alias("leader"), F.col("comp").alias("c2")), "leader").filter("c1 <> c2")
-    )
-    edges = written(edges.unionByName(links(pairs.select(F.col("rep").alias("u"), F.col("leader").alias("v")), False)), "links")
-    roots = components(edges)
-
-    at = placed(roots).withColumnRenamed("id", "rep")
-    inside = members.join(at, "rep").select("bucket", "n", "rep", "comp")
+    inside = members.join(placed(roots).withColumnRenamed("id", "rep"), "rep").select("bucket", "n", "rep", "comp")
     open_ = inside.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bucket")
-    blocks = written(
-        inside.join(open_, "bucket", "left_semi").join(classes, "rep")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .groupBy("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct(F.col("rep").alias("id"), "comp", "bands")).alias("a")),
-        "blocks",
-    )
-    other = blocks.select("bucket", F.col("block").alias("block_b"), F.col("a").alias("b"))
-    crossed = (
-        blocks.withColumn("block_b", F.explode(F.sequence("block", F.col("blocks") - 1)))
-        .join(other, ["bucket", "block_b"]).select("a", "b", (F.col("block") == F.col("block_b")).alias("alone"))
-        .mapInArrow(_across(percent), "u long, v long").distinct()
-    )
-    edges = written(edges.unionByName(links(crossed, True)), "links")
+    inside = written(inside.join(open_, "bucket", "left_semi"), "open")
+    signed_blocks = _block_pairs(inside.join(classes, "rep"), F.ceil(F.col("n") / BLOCK).cast("int"), "bands")
+    doubtful = written(signed_blocks.mapInArrow(_doubtful(percent), "bucket long, rep long").distinct(), "doubtful")
+    held = doubtful.join(inside.select("bucket", "rep", "comp"), ["bucket", "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
+    sizes = doubtful.join(sets.select(F.col("id").alias("rep"), F.octet_length("shingles").alias("bytes")), "rep").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    set_blocks = _block_pairs(held.join(sizes, "bucket"), F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int"), "shingles")
+    edges = written(edges.unionByName(set_blocks.mapInArrow(_forest(percent), "u long, v long")), "links")
     roots = components(edges)
 
     by_class = classes.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
