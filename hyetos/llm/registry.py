@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, pii, quality, url_filter
+from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.op1_language_id,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op7_minhash": minhash.op7_minhash,
