@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, pii, quality, url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
