@@ -10,11 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-
-
 def log_gamma(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float)), float)
 
 
 def digamma(x) -> np.ndarray:
@@ -119,7 +116,7 @@ def kolmogorov_tail(d: float, n: int) -> float:
     matrix[-1] -= powers[::-1]
     matrix[-1, 0] += max(0.0, 2 * h - 1) ** m
     gap = np.subtract.outer(np.arange(m), np.arange(m)) + 1
-    matrix = np.where(gap > 0, matrix / np.exp(log_gamma(np.maximum(gap, 0) + 1)), matrix)
+    matrix = np.where(gap > 0, matrix * np.exp(-log_gamma(np.maximum(gap, 0) + 1)), matrix)
     result, exponent, base, shift, left = np.eye(m), 0, matrix, 0, n
     while left:
         if left & 1:

@@ -1,11 +1,777 @@
-"""The registered queries of the verification engine and their SQL."""
+"""The registered queries of the verification engine, each with the DuckDB SQL it is held against.
+
+A query's result has its `keys` as they are and its `numbers` rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from hyetos.functions import scalar as S
+from hyetos.operators import align as A
+from hyetos.operators import correction as C
+from hyetos.operators import density as D
+from hyetos.operators import metrics as M
+from hyetos.operators import quality as Q
+from hyetos.operators import report as R
+from hyetos.operators import stations as ST
+from hyetos.operators import taylor as TY
+from hyetos.plans import sql as SQL
+from hyetos.sources import tables as V
+
+#: A wet day of the grid view, and of the station view.
+WET_GRID, WET_STATION = 25.0, 25.0
+THRESHOLDS = (10.0, 25.0, 50.0, 100.0)
+CELL = ("month", "dekad", "lat_i", "lon_i")
+PLAIN = [x for x in M.NAMES if x != "ks_pvalue"]
+SCORES = ["pod", "far", "csi", "fbi", "ets", "hss", "hk", "freq_obs", "freq_prd"]
+#: Keys that are dates; both sides give them as text.
+DATES = {"time", "first_day", "last_day", "source", "target"}
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    keys: tuple[str, ...]
+    numbers: tuple[str, ...]
+    sql: str | None
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = self.run(spark, sf_dir)
+        return out.select(*[F.col(x).cast("string").alias(x) if x in DATES else F.col(x) for x in self.keys], *[S.r6(F.col(x).cast("double")).alias(x) for x in self.numbers])
+
+    def oracle(self) -> str:
+        columns = [*[f"CAST({x} AS VARCHAR) AS {x}" if x in DATES else x for x in self.keys], *[f"round(CAST({x} AS DOUBLE), 6) + 0.0::DOUBLE AS {x}" for x in self.numbers]]
+        return f"SELECT {', '.join(columns)} FROM ({self.sql})"
+
+
+ALL: dict[str, Query] = {}
+
+
+def query(keys: str, numbers: str = "", sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        ALL[f.__name__] = Query(f, tuple(keys.split()), tuple(numbers.split()), sql)
+        return f
+
+    return keep
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return V.grid_day(spark, d)
+
+
+def with_(*parts: str, last: str) -> str:
+    return f"WITH {', '.join(parts)} {last}"
+
+
+# Calendar, filters and projections.
+
+
+@query("px time ref month dekad", "test", with_(SQL.GRID, last="SELECT * FROM grid WHERE month = 3 AND day(time) BETWEEN 11 AND 20"))
+def dekad_filter(spark, d):
+    first, last = S.dekad_range(3, 2)
+    return grid(spark, d).filter((F.col("month") == 3) & F.dayofmonth("time").between(first, last))
+
+
+@query("time year month dekad start first_day last_day", "", with_(SQL.GRID, last="""
+  SELECT DISTINCT time, year, month, dekad, lpad(CAST((dekad - 1) * 10 + 1 AS VARCHAR), 2, '0') AS start,
+         greatest(make_date(year, 1, 1), DATE '1996-03-05') AS first_day, least(make_date(year, 12, 31), DATE '2000-06-30') AS last_day FROM grid"""))
+def dekad_calendar(spark, d):
+    a, b = S.year_bounds("year", F.lit("1996-03-05").cast("date"), F.lit("2000-06-30").cast("date"))
+    return grid(spark, d).select("time", "year", "month", "dekad").distinct().withColumns({"start": S.dekad_start("dekad"), "first_day": a, "last_day": b})
+
+
+@query("month max_day", "", with_(SQL.GRID, last="SELECT month, CAST(max(day(last_day(make_date(year, month, 1)))) AS INTEGER) AS max_day FROM grid GROUP BY month"))
+def max_day_in_month(spark, d):
+    return grid(spark, d).groupBy("month").agg(F.max(F.dayofmonth(F.last_day(F.make_date("year", "month", F.lit(1))))).alias("max_day"))
+
+
+@query("time lat_i lon_i ref", "test", with_(SQL.GRID, last="SELECT a.time, a.lat_i, a.lon_i, a.ref, b.test FROM (SELECT * FROM grid WHERE lat_i < 6) a JOIN (SELECT * FROM grid WHERE lon_i > 3) b USING (time, lat_i, lon_i)"))
+def inner_align(spark, d):
+    g = grid(spark, d)
+    on = ["time", "lat_i", "lon_i"]
+    return M.paired(g.filter("lat_i < 6").withColumn("value", F.col("ref")), g.filter("lon_i > 3").withColumn("value", F.col("test")), on)
+
+
+@query("station_id time", "ref test", with_(SQL.STATION, last="SELECT station_id, time, nullif(ref, 0) AS ref, nullif(test, 0) AS test FROM station WHERE ref <> 0 AND test <> 0"))
+def pairwise_valid(spark, d):
+    p = V.station_pairs(spark, d)
+    return M.valid(p.withColumns({"ref": F.nullif("ref", F.lit(0.0)), "test": F.nullif("test", F.lit(0.0))}))
+
+
+@query("station_id time event_id", "value", """
+  SELECT user_id AS station_id, CAST(ts AS DATE) AS time, event_id, value FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) = 1""")
+def dedup_time(spark, d):
+    rows = V.table(spark, d, "events").select(F.col("user_id").alias("station_id"), F.to_date("ts").alias("time"), "event_id", "value")
+    return A.first_of_each(rows, ["station_id", "time"], "event_id")
+
+
+@query("station_id time metric", "value", with_(SQL.STATION, last="SELECT station_id, time, u.metric AS metric, u.value AS value FROM (SELECT station_id, time, unnest([{'metric': 'ref', 'value': ref}, {'metric': 'test', 'value': test}]) AS u FROM station)"))
+def wide_to_long(spark, d):
+    return ST.long_form(V.station_pairs(spark, d), ["station_id", "time"], ["ref", "test"])
+
+
+@query("station_id", "click purchase signup", with_(SQL.STATION, last="""SELECT station_id, sum(test) FILTER (WHERE product = 'click') AS click, sum(test) FILTER (WHERE product = 'purchase') AS purchase,
+  sum(test) FILTER (WHERE product = 'signup') AS signup FROM products GROUP BY station_id"""))
+def long_to_wide(spark, d):
+    return V.station_products(spark, d).groupBy("station_id").pivot("product", ["click", "purchase", "signup"]).sum("test")
+
+
+@query("station_id k", "value", "SELECT user_id AS station_id, CAST(props->>'$.k' AS INTEGER) AS k, value FROM events WHERE value BETWEEN 10 AND 40 AND event_type IN ('view', 'click')")
+def json_filter(spark, d):
+    e = V.table(spark, d, "events").filter(F.col("value").between(10, 40) & F.col("event_type").isin("view", "click"))
+    return e.select(F.col("user_id").alias("station_id"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
+
+
+@query("a_ref a_method label", "", "SELECT a_ref, a_method, a_ref || '_' || a_method AS label FROM (SELECT unnest(['r1', 'r2', 'r3']) AS a_ref) CROSS JOIN (SELECT unnest(['ls', 'eqm', 'dl']) AS a_method)")
+def combos_3x3(spark, d):
+    one = lambda name, values: spark.createDataFrame([(x,) for x in values], f"{name} string")
+    return M.combos(one("a_ref", ("r1", "r2", "r3")), one("a_method", ("ls", "eqm", "dl"))).withColumn("label", F.concat_ws("_", "a_ref", "a_method"))
+
+
+@query("station_id name", "", r"SELECT s_suppkey AS station_id, upper(replace(trim(s_name), '#', ' ')) || ' (' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || ')' AS name FROM supplier")
+def station_labels(spark, d):
+    return R.labelled(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_name").alias("station")))
+
+
+@query("month dekad text", "", "SELECT DISTINCT CAST(month(l_shipdate) AS INTEGER) AS month, CAST(least((day(l_shipdate) + 9) // 10, 3) AS INTEGER) AS dekad, 'month ' || lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') || ', day ' || CAST(least((day(l_shipdate) + 9) // 10, 3) * 10 - 9 AS VARCHAR) || ' on' AS text FROM lineitem")
+def period_labels(spark, d):
+    g = grid(spark, d).select("month", "dekad").distinct()
+    code = F.concat(F.lit("month"), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("_dekad"), S.dekad_start("dekad"))
+    return g.withColumn("text", R.period_text(code))
+
+
+# Alignment.
+
+_COARSE = "coarse AS (SELECT time, (lat_i // 2) * 1.0::DOUBLE - 9.75 AS lat, (lon_i // 2) * 1.0::DOUBLE + 95.25 AS lon, avg(test) AS value FROM grid GROUP BY ALL)"
+
+
+def coarse(spark: SparkSession, d: str, shift: float = 0.0) -> DataFrame:
+    """The field at half the resolution; `shift` moves it to the south-east."""
+    g = grid(spark, d).withColumns({"lat": F.floor(F.col("lat_i") / 2) - (9.75 + shift), "lon": F.floor(F.col("lon_i") / 2) + (95.25 + shift)})
+    return g.groupBy("time", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).agg(F.avg("test").alias("value"))
+
+
+_SHIFTED = _COARSE.replace("9.75", "(9.75 + 0.013::DOUBLE)").replace("95.25", "(95.25 + 0.013::DOUBLE)")
+_NEAR = lambda axis, hull: f"""n{axis} AS (  -- the nearest coarse coordinate of each fine one, the larger on a tie
+  SELECT f.{axis} AS target, arg_min(c.{axis}, abs(c.{axis} - f.{axis}) - c.{axis} * 1e-9) AS source
+  FROM (SELECT DISTINCT {axis} FROM grid) f, (SELECT DISTINCT {axis} FROM coarse) c GROUP BY f.{axis}
+  {f'HAVING f.{axis} BETWEEN min(c.{axis}) AND max(c.{axis})' if hull else ''})"""
+
+
+@query("time lat lon", "value", with_(SQL.GRID, _COARSE, _NEAR("lat", False), _NEAR("lon", False), last="SELECT time, a.target AS lat, b.target AS lon, value FROM coarse JOIN nlat a ON coarse.lat = a.source JOIN nlon b ON coarse.lon = b.source"))
+def nearest_unbounded(spark, d):
+    g, c = grid(spark, d), coarse(spark, d)
+    maps = [A.nearest(A.axis(c, x), A.axis(g, x)) for x in ("lat", "lon")]
+    return A.regrid_nearest(c, *maps, ["value"], ["time"])
+
+
+@query("time lat lon", "value", with_(SQL.GRID, _COARSE, _NEAR("lat", True), _NEAR("lon", True), last="SELECT time, a.target AS lat, b.target AS lon, value FROM coarse JOIN nlat a ON coarse.lat = a.source JOIN nlon b ON coarse.lon = b.source"))
+def nearest_bounded(spark, d):
+    g, c = grid(spark, d), coarse(spark, d)
+    maps = [A.nearest(A.axis(c, x), A.axis(g, x), bounded=True) for x in ("lat", "lon")]
+    return A.regrid_nearest(c, *maps, ["value"], ["time"])
+
+
+@query("target source", "", """
+  SELECT o.time AS target, arg_min(l.time, abs(datediff('day', l.time, o.time)) - epoch(l.time) * 1e-12) AS source
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS time FROM orders) o, (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_suppkey = 3) l GROUP BY o.time""")
+def nearest_time_asof(spark, d):
+    have = V.table(spark, d, "lineitem").filter("l_suppkey = 3").select(F.to_date("l_shipdate").alias("x")).distinct()
+    want = V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("x")).distinct()
+    return A.nearest(have, want)
+
+
+_BRACKET = lambda axis: f"""b{axis} AS (
+  SELECT f.{axis} AS target, max(c.{axis}) FILTER (WHERE c.{axis} <= f.{axis}) AS lo, min(c.{axis}) FILTER (WHERE c.{axis} >= f.{axis}) AS hi
+  FROM (SELECT DISTINCT {axis} FROM grid) f, (SELECT DISTINCT {axis} FROM coarse) c GROUP BY f.{axis}
+), c{axis} AS (
+  SELECT target, lo AS {axis}, CASE WHEN hi > lo THEN 1 - (target - lo) / (hi - lo) ELSE 1 END AS w FROM b{axis} WHERE lo IS NOT NULL AND hi IS NOT NULL
+  UNION ALL SELECT target, hi, CASE WHEN hi > lo THEN (target - lo) / (hi - lo) ELSE 0 END FROM b{axis} WHERE lo IS NOT NULL AND hi IS NOT NULL)"""
+_LINEAR = "linear AS (SELECT time, x.target AS lat, y.target AS lon, CASE WHEN count(value) = 4 THEN sum(x.w * y.w * value) END AS value FROM coarse JOIN clat x USING (lat) JOIN clon y USING (lon) GROUP BY ALL)"
+
+
+@query("time lat lon", "value", with_(SQL.GRID, _SHIFTED, _BRACKET("lat"), _BRACKET("lon"), _LINEAR, last="SELECT * FROM linear"))
+def bilinear_regrid(spark, d):
+    g, c = grid(spark, d), coarse(spark, d, 0.013)
+    return A.regrid_bilinear(c, *[A.brackets(A.axis(c, x), A.axis(g, x)) for x in ("lat", "lon")], ["value"], ["time"])
+
+
+@query("time lat lon", "value", with_(SQL.GRID, _SHIFTED, _BRACKET("lat"), _BRACKET("lon"), _LINEAR, _NEAR("lat", False), _NEAR("lon", False), last="""
+  SELECT n.time, n.lat, n.lon, coalesce(l.value, n.value) AS value
+  FROM (SELECT time, a.target AS lat, b.target AS lon, value FROM coarse JOIN nlat a ON coarse.lat = a.source JOIN nlon b ON coarse.lon = b.source) n LEFT JOIN linear l USING (time, lat, lon)"""))
+def bilinear_then_nearest(spark, d):
+    g, c = grid(spark, d), coarse(spark, d, 0.013)
+    axes = [(A.axis(c, x), A.axis(g, x)) for x in ("lat", "lon")]
+    linear = A.regrid_bilinear(c, *[A.brackets(*x) for x in axes], ["value"], ["time"])
+    near = A.regrid_nearest(c, *[A.nearest(*x) for x in axes], ["value"], ["time"])
+    return A.fill_from(linear, near, ["time", "lat", "lon"], ["value"])
+
+
+def land(spark: SparkSession, d: str) -> DataFrame:
+    return grid(spark, d).select("lat_i", "lon_i", "lat", "lon").distinct().withColumn("land", F.when((F.col("lat_i") + F.col("lon_i")) % 2 == 0, 1))
+
+
+_LAND = "land AS (SELECT DISTINCT lat_i, lon_i, lat, lon, CASE WHEN (lat_i + lon_i) % 2 = 0 THEN 1 END AS land FROM grid)"
+
+
+@query("time lat_i lon_i", "value", with_(SQL.GRID, last="SELECT time, lat_i, lon_i, CASE WHEN (lat_i + lon_i) % 2 = 0 THEN test END AS value FROM grid"))
+def land_mask_keep(spark, d):
+    return A.mask_keep(grid(spark, d).withColumn("value", F.col("test")), land(spark, d))
+
+
+@query("time lat_i lon_i", "test", with_(SQL.GRID, last="SELECT * FROM grid WHERE (lat_i + lon_i) % 2 = 0"))
+def land_mask_clip(spark, d):
+    return A.mask_clip(grid(spark, d), land(spark, d))
+
+
+@query("time lat_i lon_i", "test", with_(SQL.GRID, last="SELECT * FROM grid WHERE lat BETWEEN -9 AND -7.5 AND lon BETWEEN 96 AND 97"))
+def bbox_slice(spark, d):
+    return A.box(grid(spark, d), -9.0, -7.5, 96.0, 97.0)
+
+
+@query("", "south north west east", with_(SQL.GRID, _LAND, last="""SELECT greatest(min(lat) - 0.5, -90) AS south, least(max(lat) + 0.5, 90) AS north, min(lon) - 0.5 AS west, max(lon) + 0.5 AS east FROM land WHERE land IS NOT NULL"""))
+def buffered_bbox(spark, d):
+    return A.buffered_box(land(spark, d))
+
+
+@query("custkey", "lon", "SELECT c_custkey AS custkey, ((c_acctbal + 180) - floor((c_acctbal + 180) / 360) * 360) - 180 AS lon FROM customer")
+def wrap_longitudes(spark, d):
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), S.wrap_longitude("c_acctbal").alias("lon"))
+
+
+@query("", "first_x last_x n", "SELECT 94.75 AS first_x, 99.85 AS last_x, 52 AS n")
+def regular_axis(spark, d):
+    x = A.regular_axis(94.73, 99.86)
+    return spark.range(1).select(F.get(x, F.lit(0)).alias("first_x"), F.element_at(x, -1).alias("last_x"), F.size(x).alias("n"))
+
+
+_PLACES = "places AS (SELECT s_suppkey AS station_id, -10 + (s_suppkey * 37 % 500) * 0.01::DOUBLE AS lat, 95 + (s_suppkey * 53 % 470) * 0.01::DOUBLE AS lon FROM supplier)"
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return V.table(spark, d, "supplier").select(k.alias("station_id"), ((k * 37 % 500) * 0.01 - 10).alias("lat"), ((k * 53 % 470) * 0.01 + 95).alias("lon"))
+
+
+@query("station_id time", "test", with_(SQL.GRID, _PLACES, last="""
+  SELECT station_id, time, test FROM (
+    SELECT station_id, arg_min(y.lat, abs(y.lat - p.lat) - y.lat * 1e-9) AS lat, arg_min(x.lon, abs(x.lon - p.lon) - x.lon * 1e-9) AS lon
+    FROM places p, (SELECT DISTINCT lat FROM grid) y, (SELECT DISTINCT lon FROM grid) x GROUP BY station_id) JOIN grid USING (lat, lon)"""))
+def station_extract(spark, d):
+    g = grid(spark, d)
+    return A.at_stations(g.select("lat", "lon", "time", "test"), places(spark, d), A.axis(g, "lat"), A.axis(g, "lon"))
+
+
+@query("station_id time", "ref", with_(SQL.STATION, last="SELECT * FROM station WHERE station_id IN (SELECT s_suppkey FROM supplier)"))
+def station_semi_filter(spark, d):
+    return V.station_pairs(spark, d).join(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("station_id")), "station_id", "left_semi")
+
+
+_STATION_SUMS = "sums AS (SELECT station_id, sum(ref) AS total FROM station GROUP BY station_id)"
+
+
+@query("station_id station Province Region", "total", with_(SQL.STATION, SQL.META, _STATION_SUMS, last="SELECT station_id, station, province AS Province, region AS Region, total FROM sums LEFT JOIN meta USING (station_id)"))
+def station_left_join_meta(spark, d):
+    rows = V.station_pairs(spark, d).groupBy("station_id").agg(F.sum("ref").alias("total"))
+    return ST.with_metadata(rows, V.supplier_metadata(spark, d))
+
+
+@query("station_id Region", "total", with_(SQL.STATION, SQL.META, _STATION_SUMS, last="SELECT station_id, CASE WHEN m.station_id IS NULL THEN NULL ELSE coalesce(CASE province WHEN 'NATION_1' THEN 'north' WHEN 'NATION_2' THEN 'south' END, 'Other') END AS Region, total FROM sums LEFT JOIN meta m USING (station_id)"))
+def province_region_map(spark, d):
+    rows = V.station_pairs(spark, d).groupBy("station_id").agg(F.sum("ref").alias("total"))
+    return ST.with_metadata(rows, V.supplier_metadata(spark, d).drop("region"), regions={"NATION_1": "north", "NATION_2": "south"})
+
+
+# Scaling and moments.
+
+
+@query("month dekad lat_i lon_i", "factor", with_(SQL.GRID, last="SELECT month, dekad, lat_i, lon_i, CASE WHEN avg(test) = 0 THEN 1 ELSE avg(ref) / avg(test) END AS factor FROM grid GROUP BY ALL"))
+def linear_scaling(spark, d):
+    return C.scaling_factor(grid(spark, d))
+
+
+@query("month dekad lat_i lon_i", "scaled_mean ref_mean p80", with_(SQL.GRID, "f AS (SELECT month, dekad, lat_i, lon_i, avg(ref) / avg(test) AS f FROM grid GROUP BY ALL)", last="""
+  SELECT month, dekad, lat_i, lon_i, avg(test * f) AS scaled_mean, avg(ref) AS ref_mean, quantile_cont(test * f, 0.8) AS p80 FROM grid JOIN f USING (month, dekad, lat_i, lon_i) GROUP BY ALL"""))
+def ls_mean_check(spark, d):
+    return C.scale(grid(spark, d)).groupBy(*CELL).agg(F.avg("scaled").alias("scaled_mean"), F.avg("ref").alias("ref_mean"), F.percentile("scaled", F.lit(0.8)).alias("p80"))
+
+
+@query("station_id n", "l1 l2 l3 l4 t2 t3 t4", with_(SQL.STATION, "x AS (SELECT station_id, ref AS v, (row_number() OVER (PARTITION BY station_id ORDER BY ref) - 1)::DOUBLE AS i, (count(*) OVER (PARTITION BY station_id))::DOUBLE AS n FROM station)", """b AS (
+  SELECT station_id, count(*) AS n, avg(v) AS b0, avg(i / (n - 1) * v) AS b1, avg(i * (i - 1) / ((n - 1) * (n - 2)) * v) AS b2, avg(i * (i - 1) * (i - 2) / ((n - 1) * (n - 2) * (n - 3)) * v) AS b3 FROM x GROUP BY station_id
+), l AS (SELECT station_id, n, b0 AS l1, 2 * b1 - b0 AS l2, 6 * b2 - 6 * b1 + b0 AS l3, 20 * b3 - 30 * b2 + 12 * b1 - b0 AS l4 FROM b)""", last="SELECT *, l2 / nullif(l1, 0) AS t2, l3 / nullif(l2, 0) AS t3, l4 / nullif(l2, 0) AS t4 FROM l"))
+def l_moments(spark, d):
+    return C.l_moments(V.station_pairs(spark, d), ["station_id"], "ref")
+
+
+# The 31 metrics.
+
+_POOLED = SQL.metrics("grid", CELL, WET_GRID)
+
+
+def pooled(spark: SparkSession, d: str, pvalue: bool = False) -> DataFrame:
+    return M.metrics31(grid(spark, d), CELL, WET_GRID, pvalue=pvalue)
+
+
+@query("month dekad lat_i lon_i n", " ".join(PLAIN), with_(SQL.GRID, _POOLED, last="SELECT * FROM m"))
+def metrics31_pooled(spark, d):
+    return pooled(spark, d)
+
+
+@query("month dekad lat_i lon_i n", " ".join(M.NAMES))
+def metrics31_with_pvalue(spark, d):
+    return pooled(spark, d, True)
+
+
+@query("month lat_i lon_i year n", " ".join(PLAIN), with_(SQL.GRID, SQL.metrics("grid", ["month", "lat_i", "lon_i", "year"], WET_GRID), last="SELECT * FROM m"))
+def metrics31_yearly(spark, d):
+    return M.yearly(grid(spark, d), ["month", "lat_i", "lon_i"], WET_GRID, pvalue=False)
+
+
+@query("lat_i lon_i", "dsl_ref dsl_test", with_(SQL.GRID, SQL.metrics("grid", ["lat_i", "lon_i"], 60.0), last="SELECT * FROM m"))
+def dry_spell(spark, d):
+    return M.dry_spells(grid(spark, d), ["lat_i", "lon_i"], 60.0)
+
+
+@query("station_id", "ks_stat", with_(SQL.STATION, SQL.metrics("station", ["station_id"]), last="SELECT * FROM m"))
+def ks_statistic(spark, d):
+    return M.ks_statistic(V.station_pairs(spark, d), ["station_id"])
+
+
+@query("station_id", "ks_pvalue")
+def ks_pvalue(spark, d):
+    return M.metrics31(V.station_pairs(spark, d), ["station_id"], WET_STATION).select("station_id", "ks_pvalue")
+
+
+_BY_STATION = SQL.metrics("products", ["product", "station_id"], WET_STATION)
+
+
+def by_station(spark: SparkSession, d: str) -> DataFrame:
+    return ST.station_metrics(V.station_products(spark, d), ["product", "station_id"], WET_STATION, pvalue=False)
+
+
+@query("product station_id n_valid_days", " ".join(PLAIN), with_(SQL.STATION, _BY_STATION, last="SELECT *, n AS n_valid_days FROM m WHERE n >= 30"))
+def station_metrics(spark, d):
+    return by_station(spark, d)
+
+
+_LONG = "long AS (SELECT product, station_id, u.metric AS metric, u.value AS value FROM (SELECT product, station_id, unnest([" + ", ".join(f"{{'metric': '{x}', 'value': {x}::DOUBLE}}" for x in PLAIN) + "]) AS u FROM m WHERE n >= 30))"
+
+
+@query("metric count", "mean std min p25 p50 p75 max", with_(SQL.STATION, _BY_STATION, _LONG, last="""SELECT metric, count(value) AS "count", avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+  quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, max(value) AS max FROM long GROUP BY metric"""))
+def station_describe(spark, d):
+    return ST.describe(by_station(spark, d), ["product", "station_id"], PLAIN)
+
+
+_GROUP = "rmse nse csi".split()
+
+
+@query("Region n_stations", " ".join(f"{x}_{y}" for x in _GROUP for y in ("median", "mean")), with_(SQL.STATION, SQL.META, _BY_STATION, last="SELECT region AS Region, count(*) AS n_stations, " + ", ".join(f"quantile_cont({x}, 0.5) AS {x}_median, avg({x}) AS {x}_mean" for x in _GROUP) + " FROM (SELECT * FROM m WHERE n >= 30) JOIN meta USING (station_id) WHERE region IS NOT NULL GROUP BY region"))
+def group_summary(spark, d):
+    return ST.by_group(ST.with_metadata(by_station(spark, d), V.supplier_metadata(spark, d)), "Region", _GROUP)
+
+
+@query("product n_stations", "rmse nse csi", with_(SQL.STATION, _BY_STATION, last="SELECT product, count(*) AS n_stations, quantile_cont(rmse, 0.5) AS rmse, quantile_cont(nse, 0.5) AS nse, quantile_cont(csi, 0.5) AS csi FROM m WHERE n >= 30 GROUP BY product"))
+def method_comparison(spark, d):
+    return R.method_comparison(by_station(spark, d), "product", _GROUP)
+
+
+@query("station_id", "percent_valid", with_(SQL.STATION, last="SELECT station_id, 100 * count(nullif(ref, 0)) / count(*) AS percent_valid FROM station GROUP BY station_id"))
+def completeness(spark, d):
+    return ST.completeness(V.station_pairs(spark, d).withColumn("value", F.nullif("ref", F.lit(0.0))))
+
+
+_CONT = SQL.contingency("products", ["product", "station_id"], THRESHOLDS, "ct")
+
+
+@query("product station_id threshold a b c d n", "", with_(SQL.STATION, _CONT, last="SELECT * FROM ct"))
+def contingency(spark, d):
+    return M.contingency(V.station_products(spark, d), ["product", "station_id"], THRESHOLDS)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return ST.multi_threshold(V.station_products(spark, d), ["product", "station_id"], THRESHOLDS, 30, 3)
+
+
+_SCORED = SQL.scores("ct", "sc", 3)
+
+
+@query("product station_id threshold n_events", " ".join(SCORES), with_(SQL.STATION, _CONT, _SCORED, last="SELECT * FROM sc WHERE n >= 30"))
+def threshold_scores(spark, d):
+    return scored(spark, d)
+
+
+@query("product threshold", " ".join([*[f"{s}_{x}" for s in SCORES for x in ("median", "p25", "p75")], "mean_events"]) + " " + " ".join(f"{s}_n" for s in SCORES), with_(SQL.STATION, _CONT, _SCORED, last="SELECT product, threshold, " + ", ".join(f"quantile_cont({s}, 0.5) AS {s}_median, quantile_cont({s}, 0.25) AS {s}_p25, quantile_cont({s}, 0.75) AS {s}_p75, count({s}) AS {s}_n" for s in SCORES) + ", avg(n_events) AS mean_events FROM sc WHERE n >= 30 GROUP BY product, threshold"))
+def threshold_summary(spark, d):
+    return ST.threshold_summary(scored(spark, d), ["product", "threshold"])
+
+
+@query("threshold supported", "freq_obs freq_prd", with_(SQL.STATION, _CONT, _SCORED, last="SELECT threshold, threshold <= 50 AS supported, avg(freq_obs) AS freq_obs, avg(freq_prd) AS freq_prd FROM sc GROUP BY threshold"))
+def exceedance_frequency(spark, d):
+    return scored(spark, d).groupBy("threshold").agg(F.avg("freq_obs").alias("freq_obs"), F.avg("freq_prd").alias("freq_prd")).withColumn("supported", F.col("threshold") <= 50)
+
+
+@query("station_id", "correct_dry wet_ratio", with_(SQL.STATION, last=f"""SELECT station_id, count(*) FILTER (WHERE ref < {WET_STATION} AND test < {WET_STATION}) / nullif(count(*) FILTER (WHERE ref < {WET_STATION}), 0) AS correct_dry,
+  count(*) FILTER (WHERE test >= {WET_STATION}) / nullif(count(*) FILTER (WHERE ref >= {WET_STATION} AND test IS NOT NULL), 0) AS wet_ratio FROM (SELECT station_id, ref, nullif(test, 0) AS test FROM station) GROUP BY station_id"""))
+def correct_dry_rate(spark, d):
+    return ST.dry_and_wet_rates(V.station_pairs(spark, d).withColumn("test", F.nullif("test", F.lit(0.0))), ["station_id"], WET_STATION)
+
+
+@query("product threshold n_ref", "ratio", with_(SQL.STATION, SQL.contingency("products", ["product"], THRESHOLDS, "ct"), last="SELECT product, threshold, a + c AS n_ref, (a + b) / nullif(a + c, 0) AS ratio FROM ct"))
+def heavy_day_ratio(spark, d):
+    return ST.heavy_day_ratio(V.station_products(spark, d), ["product"], THRESHOLDS)
+
+
+# Quality, on metrics whose p-value is replaced by one less the statistic, which both sides can compute.
+
+_QUALITY_FROM = "qi AS (SELECT *, 1 - ks_stat AS ks_pvalue FROM m)"
+_QUALITY = (SQL.GRID, _POOLED, _QUALITY_FROM, SQL.quality("qi"))
+
+
+def assessed(spark: SparkSession, d: str) -> DataFrame:
+    return Q.assess(pooled(spark, d).withColumn("ks_pvalue", 1 - F.col("ks_stat")))
+
+
+@query("month dekad lat_i lon_i categorical_quality", "basic_statistical_quality distribution_quality temporal_quality continuous_quality confidence_level", with_(*_QUALITY, last="SELECT * FROM q"))
+def quality_assessment(spark, d):
+    return assessed(spark, d)
+
+
+@query("month lat_i lon_i", "confidence_level", with_(SQL.GRID, SQL.metrics("grid", ["month", "lat_i", "lon_i", "year"], WET_GRID), "y AS (SELECT *, 1 - ks_stat AS ks_pvalue, count(relative_bias) OVER w / count(*) OVER w AS sample FROM m WINDOW w AS (PARTITION BY month, lat_i, lon_i))", SQL.quality("y"), last="""
+  SELECT month, lat_i, lon_i, avg(CAST(0.4::DOUBLE * sample + 0.3::DOUBLE * ks_pvalue + 0.3::DOUBLE * (1 - sqrt(list_avg([(x - mean_part) * (x - mean_part) FOR x IN parts]))) AS FLOAT)::DOUBLE) AS confidence_level FROM q GROUP BY ALL"""))
+def quality_confidence_yearly(spark, d):
+    rows = M.yearly(grid(spark, d), ["month", "lat_i", "lon_i"], WET_GRID, pvalue=False).withColumn("ks_pvalue", 1 - F.col("ks_stat"))
+    w = W.partitionBy("month", "lat_i", "lon_i")
+    rows = rows.withColumn("sample", S.div(F.count("relative_bias").over(w), F.count("*").over(w)))
+    return rows.withColumn("c", Q.confidence(F.col("sample"))).groupBy("month", "lat_i", "lon_i").agg(F.avg(F.col("c").cast("double")).alias("confidence_level"))
+
+
+_CQI = "cqi AS (SELECT month, dekad, lat_i, lon_i, continuous_quality::DOUBLE AS a, basic_statistical_quality::DOUBLE AS b, categorical_quality AS k FROM q)"
+
+
+def cqi(spark: SparkSession, d: str) -> DataFrame:
+    return assessed(spark, d).select(*CELL, F.col("continuous_quality").cast("double").alias("a"), F.col("basic_statistical_quality").cast("double").alias("b"), F.col("categorical_quality").alias("k"))
+
+
+@query("month dekad n n_improved n_degraded n_unchanged", "mean median", with_(*_QUALITY, _CQI, last="""SELECT month, dekad, count(b - a) AS n, count(*) FILTER (WHERE b - a > 0.001) AS n_improved, count(*) FILTER (WHERE b - a < -0.001) AS n_degraded,
+  count(*) FILTER (WHERE abs(b - a) <= 0.001) AS n_unchanged, avg(b - a) AS mean, quantile_cont(b - a, 0.5) AS median FROM cqi GROUP BY month, dekad"""))
+def cqi_improvement(spark, d):
+    return R.improvement(cqi(spark, d), ["month", "dekad"], "a", "b")
+
+
+@query("month c1 c2 c3 c4 total", "percent_good", with_(*_QUALITY, _CQI, last="""SELECT month, count(*) FILTER (WHERE k = 1) AS c1, count(*) FILTER (WHERE k = 2) AS c2, count(*) FILTER (WHERE k = 3) AS c3, count(*) FILTER (WHERE k = 4) AS c4,
+  count(*) FILTER (WHERE k > 0) AS total, 100 * count(*) FILTER (WHERE k >= 3) / nullif(count(*) FILTER (WHERE k > 0), 0) AS percent_good FROM cqi GROUP BY month"""))
+def category_summary(spark, d):
+    return R.category_counts(cqi(spark, d), ["month"], "k")
+
+
+@query("month dekad lat_i lon_i", "value ecdf", with_(*_QUALITY, _CQI, last="SELECT month, dekad, lat_i, lon_i, a AS value, row_number() OVER (PARTITION BY month, dekad ORDER BY a, lat_i, lon_i) / count(*) OVER (PARTITION BY month, dekad) AS ecdf FROM cqi WHERE a IS NOT NULL"))
+def cqi_ecdf(spark, d):
+    return R.ecdf(cqi(spark, d).withColumn("value", F.col("a")), ["month", "dekad"], "value", ["lat_i", "lon_i"])
+
+
+@query("bin n", "", with_(*_QUALITY, _CQI, last="SELECT CAST(least(floor(a * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM cqi WHERE a BETWEEN 0 AND 1 GROUP BY 1"))
+def cqi_histogram(spark, d):
+    return R.histogram(cqi(spark, d), "a", 20, 0.0, 1.0)
+
+
+@query("best_period worst_period", "mean_change", with_(*_QUALITY, _CQI, "p AS (SELECT month * 10 + dekad AS period, avg(b - a) AS change FROM cqi GROUP BY 1)", last="SELECT arg_max(period, change) AS best_period, arg_min(period, change) AS worst_period, avg(change) AS mean_change FROM p"))
+def best_worst_period(spark, d):
+    return R.best_and_worst(cqi(spark, d).withColumn("period", F.col("month") * 10 + F.col("dekad")), "period", F.col("b") - F.col("a"))
+
+
+# Taylor statistics.
+
+_TKEYS = ["product", "station_id", "month", "dekad"]
+_TSUMS = ("pm AS (SELECT *, CAST(month(time) AS INTEGER) AS month, CAST(least((day(time) + 9) // 10, 3) AS INTEGER) AS dekad FROM products)", SQL.taylor_sums("pm", _TKEYS))
+_TSTAT = "r sigma_o sigma_p rmse crmse bias"
+
+
+def tsums(spark: SparkSession, d: str) -> DataFrame:
+    return TY.sums(V.station_products(spark, d).withColumns(S.dekad_columns()), _TKEYS)
+
+
+_MERGED = "mg AS (SELECT product, station_id, sum(n) AS n, sum(so) AS so, sum(sp) AS sp, sum(soo) AS soo, sum(spp) AS spp, sum(sop) AS sop FROM s GROUP BY ALL)"
+_TSTATION = (SQL.STATION, *_TSUMS, _MERGED, SQL.taylor_stats("mg", ["product", "station_id"]))
+
+
+def tstation(spark: SparkSession, d: str) -> DataFrame:
+    return TY.stats(TY.merge(tsums(spark, d), ["product", "station_id"]))
+
+
+@query("product station_id month dekad n", "so sp soo spp sop", with_(SQL.STATION, *_TSUMS, last="SELECT * FROM s"))
+def taylor_sums(spark, d):
+    return tsums(spark, d)
+
+
+@query("product station_id", "n " + _TSTAT, with_(*_TSTATION, last="SELECT * FROM t"))
+def taylor_station(spark, d):
+    return tstation(spark, d)
+
+
+@query("product", "n " + _TSTAT, with_(SQL.STATION, *_TSUMS, "mg AS (SELECT product, sum(n) AS n, sum(so) AS so, sum(sp) AS sp, sum(soo) AS soo, sum(spp) AS spp, sum(sop) AS sop FROM s GROUP BY ALL)", SQL.taylor_stats("mg", ["product"]), last="SELECT * FROM t"))
+def taylor_pooled(spark, d):
+    return TY.stats(TY.merge(tsums(spark, d), ["product"]))
+
+
+@query("product n_rows", _TSTAT, with_(*_TSTATION, SQL.medians("t", ["product"], "md"), last="SELECT * FROM md"))
+def taylor_median(spark, d):
+    return TY.median_over(tstation(spark, d), ["product"])
+
+
+_DEK = (SQL.STATION, *_TSUMS, SQL.taylor_stats("s", _TKEYS, "t", 5))
+
+
+@query("product n_rows", _TSTAT, with_(*_DEK, SQL.medians("t", ["product", "month", "dekad"], "md"), SQL.medians("md", ["product"], "me"), last="SELECT * FROM me"))
+def taylor_dekad_median(spark, d):
+    return TY.median_over(TY.median_over(TY.stats(tsums(spark, d), 5), ["product", "month", "dekad"]), ["product"])
+
+
+@query("product station_id", _TSTAT, with_(*_DEK, SQL.medians("t", ["product", "station_id"], "md", True), last="SELECT * FROM md"))
+def taylor_station_over_dekads(spark, d):
+    return TY.median_each(TY.stats(tsums(spark, d), 5), ["product", "station_id"])
+
+
+@query("product Region n_rows", _TSTAT, with_(*_TSTATION, SQL.META, "tm AS (SELECT t.*, region AS Region FROM t JOIN meta USING (station_id))", SQL.medians("tm", ["product", "Region"], "md"), last="SELECT * FROM md WHERE n_rows >= 3"))
+def taylor_region(spark, d):
+    rows = tstation(spark, d).join(F.broadcast(V.supplier_metadata(spark, d).select("station_id", F.col("region").alias("Region"))), "station_id")
+    return TY.median_over(rows, ["product", "Region"]).filter("n_rows >= 3")
+
+
+_NORM = "nm AS (SELECT product, r, ratio, sqrt(greatest(1 + ratio * ratio - 2 * ratio * r, 0)) AS ncrmse FROM (SELECT product, quantile_cont(r, 0.5) AS r, quantile_cont(CASE WHEN sigma_o > 0 THEN sigma_p / sigma_o END, 0.5) AS ratio FROM t GROUP BY product))"
+
+
+@query("product", "r ratio ncrmse theta x y", with_(*_TSTATION, _NORM, last="SELECT *, acos(greatest(0, least(1, r))) AS theta, ratio * greatest(0, least(1, r)) AS x, ratio * sqrt(1 - greatest(0, least(1, r)) * greatest(0, least(1, r))) AS y FROM nm"))
+def taylor_polar(spark, d):
+    return TY.polar(TY.normalised(tstation(spark, d), ["product"]))
+
+
+@query("product month n_stations", "r sdr", with_(*_DEK, """u AS (SELECT product, station_id, month, r, sigma_p / sigma_o AS sdr FROM t WHERE n >= 5 AND sigma_o > 0),
+  e AS (SELECT product, station_id, month, quantile_cont(r, 0.5) AS r, quantile_cont(sdr, 0.5) AS sdr FROM u GROUP BY ALL
+        UNION ALL SELECT product, station_id, NULL, quantile_cont(r, 0.5), quantile_cont(sdr, 0.5) FROM u GROUP BY product, station_id)""", last="SELECT product, coalesce(month, 0) AS month, count(*) AS n_stations, quantile_cont(r, 0.5) AS r, quantile_cont(sdr, 0.5) AS sdr FROM e GROUP BY ALL"))
+def taylor_monthly(spark, d):
+    return TY.monthly(TY.stats(tsums(spark, d), 5), 5).withColumn("month", F.coalesce("month", F.lit(0)))
+
+
+@query("product", "slope intercept", with_(*_TSTATION, last="SELECT product, regr_slope(sigma_p, sigma_o) AS slope, regr_intercept(sigma_p, sigma_o) AS intercept FROM t GROUP BY product"))
+def deviation_regression(spark, d):
+    return tstation(spark, d).groupBy("product").agg(F.regr_slope("sigma_p", "sigma_o").alias("slope"), F.regr_intercept("sigma_p", "sigma_o").alias("intercept"))
+
+
+_LAGS = """hours AS (SELECT user_id AS station_id, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS hour, sum(value) FILTER (WHERE event_type = 'view') AS ref, sum(value) FILTER (WHERE event_type = 'click') AS test FROM events GROUP BY ALL
+), span AS (SELECT min(hour) AS a, max(hour) AS b FROM hours
+), dense AS (SELECT station_id, h.hour, coalesce(ref, 0) AS ref, coalesce(test, 0) AS test FROM (SELECT station_id, unnest(range(a, b + 1)) AS hour FROM (SELECT DISTINCT station_id FROM hours), span) h LEFT JOIN hours USING (station_id, hour)
+), roll AS (SELECT station_id, hour, sum(ref) OVER (PARTITION BY station_id ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS ref, sum(test) OVER (PARTITION BY station_id ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS test FROM dense)"""
+_CURVE = """ls AS (SELECT a.station_id % 5 AS band, h, count(*) AS n, sum(a.ref) AS so, sum(b.test) AS sp, sum(a.ref * a.ref) AS soo, sum(b.test * b.test) AS spp, sum(a.ref * b.test) AS sop
+  FROM roll a, (SELECT unnest(range(-12, 13, 3)) AS h) JOIN roll b ON b.station_id = a.station_id AND b.hour = a.hour + h WHERE a.hour % 24 = 0 GROUP BY ALL
+), lc AS (SELECT band, h, CASE WHEN soo - so * so / n > 0 AND spp - sp * sp / n > 0 THEN greatest(-1, least(1, (sop - so * sp / n) / sqrt((soo - so * so / n) * (spp - sp * sp / n)))) END AS r FROM ls)"""
+
+
+@query("station_id hour", "ref test", with_(_LAGS, last="SELECT * FROM roll WHERE hour % 24 = 0"))
+def rolling_24h(spark, d):
+    return R.rolling_days(V.table(spark, d, "events")).filter("hour % 24 = 0")
+
+
+def lag_curve(spark: SparkSession, d: str) -> DataFrame:
+    sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-12, 13, 3)).withColumn("band", F.col("station_id") % 5)
+    return TY.lag_correlation(sums, ["band"])
+
+
+@query("band h", "r", with_(_LAGS, _CURVE, last="SELECT * FROM lc"))
+def lag_correlation(spark, d):
+    return lag_curve(spark, d).withColumn("h", F.col("h").cast("long"))
+
+
+@query("band best_h band_low band_high", "peak lift", with_(_LAGS, _CURVE, "pk AS (SELECT band, max(r) AS peak, max(r) FILTER (WHERE h = 0) AS z FROM lc GROUP BY band)", last="""
+  SELECT band, peak, peak - z AS lift, min(h) FILTER (WHERE r = peak) AS best_h, min(h) FILTER (WHERE r >= peak - 0.02) AS band_low, max(h) FILTER (WHERE r >= peak - 0.02) AS band_high FROM lc JOIN pk USING (band) GROUP BY band, peak, z"""))
+def best_offset(spark, d):
+    return TY.best_offset(lag_curve(spark, d).withColumn("h", F.col("h").cast("long")), ["band"])
+
+
+# Density, smoothing and filling.
+
+_COUNTS = "cells AS (SELECT CAST(least(floor((lat + 10) / 0.5), 9) AS INTEGER) AS lat_i, CAST(least(floor((lon - 95) / 0.5), 9) AS INTEGER) AS lon_i FROM places WHERE lat BETWEEN -10 AND -5 AND lon BETWEEN 95 AND 100), cnt AS (SELECT CAST(g.id // 10 AS INTEGER) AS lat_i, CAST(g.id % 10 AS INTEGER) AS lon_i, (SELECT count(*) FROM cells c WHERE c.lat_i = g.id // 10 AND c.lon_i = g.id % 10) AS count FROM range(100) g(id))"
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return D.station_counts(places(spark, d), 0.5, -10.0, -5.0, 95.0, 100.0)
+
+
+def _kernel(n: int, reflect: bool, name: str = "ker") -> str:
+    at = f"CASE WHEN ((i + k) % {2 * n} + {2 * n}) % {2 * n} < {n} THEN ((i + k) % {2 * n} + {2 * n}) % {2 * n} ELSE {2 * n - 1} - ((i + k) % {2 * n} + {2 * n}) % {2 * n} END" if reflect else f"greatest(0, least({n - 1}, i + k))"
+    return f"kw AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM range(-4, 5) r(k)), {name} AS (SELECT CAST(i AS INTEGER) AS i, CAST({at} AS INTEGER) AS j, w FROM kw, range({n}) q(i))"
+
+
+_CONF = (_PLACES, _COUNTS, _kernel(10, True), "p1 AS (SELECT i AS lat_i, lon_i, sum(w * count) AS v FROM cnt JOIN ker ON j = lat_i GROUP BY ALL), conf AS (SELECT lat_i, i AS lon_i, greatest(0, least(1, sum(w * v) / 2)) AS confidence FROM p1 JOIN ker ON j = lon_i GROUP BY ALL)")
+
+
+@query("lat_i lon_i count", "", with_(_PLACES, _COUNTS, last="SELECT * FROM cnt"))
+def station_density_counts(spark, d):
+    return counts(spark, d)
+
+
+def conf(spark: SparkSession, d: str) -> DataFrame:
+    return D.confidence(counts(spark, d), 10, 10)
+
+
+@query("lat_i lon_i", "confidence", with_(*_CONF, last="SELECT * FROM conf"))
+def gaussian_confidence(spark, d):
+    return conf(spark, d)
+
+
+_FINE = "fine AS (SELECT k, -10.2 + k * 0.1::DOUBLE AS x FROM range(54) q(k)), near AS (SELECT k, CAST(round((x + 9.75) / 0.5 + 1e-6) AS INTEGER) AS i FROM fine WHERE x BETWEEN -9.75 - 1e-9 AND -5.25 + 1e-9)"
+
+
+@query("lat_k lon_k", "confidence", with_(*_CONF, _FINE, last="SELECT CAST(a.k AS INTEGER) AS lat_k, CAST(b.k AS INTEGER) AS lon_k, coalesce(confidence, 0) AS confidence FROM fine a CROSS JOIN fine b LEFT JOIN near na ON na.k = a.k LEFT JOIN near nb ON nb.k = b.k LEFT JOIN conf ON lat_i = na.i AND lon_i = nb.i"))
+def confidence_upscale(spark, d):
+    return R.upscale(conf(spark, d), 10, 0.5, 54, 0.1, -10.2 + 9.75)
+
+
+@query("bin n", "", with_(*_CONF, last="SELECT CAST(least(floor(confidence * 48), 47) AS INTEGER) AS bin, count(*) AS n FROM conf GROUP BY 1"))
+def density_histogram(spark, d):
+    return R.histogram(conf(spark, d), "confidence", 48, 0.0, 1.0)
+
+
+@query("saturation", "mean_weight share_over_10", with_(_PLACES, _COUNTS, last="SELECT s::DOUBLE AS saturation, avg(least(count / s, 1) * 0.3::DOUBLE) AS mean_weight, avg(CASE WHEN least(count / s, 1) * 0.3::DOUBLE >= 0.1::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS share_over_10 FROM cnt, (SELECT unnest([1, 2, 4]) AS s) GROUP BY s"))
+def density_whatif(spark, d):
+    return R.density_whatif(counts(spark, d), (1.0, 2.0, 4.0), 0.7)
+
+
+_FIELD = "field AS (SELECT vec_id, CAST((p - 1) // 8 AS INTEGER) AS lat_i, CAST((p - 1) % 8 AS INTEGER) AS lon_i, CASE WHEN (vec_id + p * 7) % 5 = 0 THEN NULL ELSE embedding[p]::DOUBLE END AS value FROM embeddings, range(1, 65) q(p))"
+
+
+def field(spark: SparkSession, d: str) -> DataFrame:
+    """An 8 x 8 field with gaps for each vector."""
+    e = V.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))
+    hole = (F.col("vec_id") + (F.col("p") + 1) * 7) % 5 == 0
+    return e.select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("lat_i"), (F.col("p") % 8).alias("lon_i"), F.when(~hole, F.col("v").cast("double")).alias("value"))
+
+
+@query("vec_id lat_i lon_i", "value", with_(_FIELD, _kernel(8, False), """k1 AS (SELECT vec_id, i AS lat_i, lon_i, sum(w * coalesce(value, 0)) AS a, sum(w * (value IS NOT NULL)::INTEGER) AS b FROM field JOIN ker ON j = lat_i GROUP BY ALL),
+  k2 AS (SELECT vec_id, lat_i, i AS lon_i, sum(w * a) AS a, sum(w * b) AS b FROM k1 JOIN ker ON j = lon_i GROUP BY ALL)""", last="SELECT vec_id, lat_i, lon_i, CASE WHEN value IS NOT NULL AND b > 1e-6 THEN a / b END AS value FROM field JOIN k2 USING (vec_id, lat_i, lon_i)"))
+def nan_smooth(spark, d):
+    return D.smooth_with_gaps(field(spark, d), 8, 8, keys=["vec_id"])
+
+
+@query("vec_id lat_i lon_i", "value", with_(_FIELD, last="SELECT f.vec_id, f.lat_i, f.lon_i, coalesce(f.value, avg(g.value)) AS value FROM field f LEFT JOIN field g ON g.vec_id = f.vec_id AND abs(g.lat_i - f.lat_i) <= 1 AND abs(g.lon_i - f.lon_i) <= 1 GROUP BY f.vec_id, f.lat_i, f.lon_i, f.value"))
+def fillmiss_one_pass(spark, d):
+    return D.fill_once(field(spark, d), ["vec_id"])
+
+
+# Correction.
+
+
+@query("c", "alpha", "SELECT c, 1 - c * (1 - 0.7::DOUBLE) AS alpha FROM (SELECT unnest([0.0, 0.25, 0.5, 1.0]::DOUBLE[]) AS c)")
+def alpha_blend(spark, d):
+    return spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,)], "c double").withColumn("alpha", S.effective_alpha("c", 0.7))
+
+
+@query("time lat_i lon_i", "blended", with_(SQL.GRID, "lim AS (SELECT month, dekad, lat_i, lon_i, quantile_cont(test, 0.8) AS lim FROM grid GROUP BY ALL)", last="""
+  SELECT time, lat_i, lon_i, CASE WHEN test > lim AND test > 0 THEN (1 - lat_i / 10 * 0.3::DOUBLE) * test + lat_i / 10 * 0.3::DOUBLE * ref ELSE test END AS blended FROM grid JOIN lim USING (month, dekad, lat_i, lon_i)"""))
+def extreme_threshold_blend(spark, d):
+    rows = grid(spark, d).withColumns({"value": F.col("test"), "predicted": F.col("ref"), "conf": F.col("lat_i") / 10})
+    return C.blend(rows, alpha=0.7, confidence="conf")
+
+
+@query("time lat_i lon_i", "scaled", with_(SQL.GRID, last="SELECT time, lat_i, lon_i, coalesce(test / nullif(max(test) OVER (PARTITION BY time), 0), 0) AS scaled FROM grid"))
+def day_normalised(spark, d):
+    return C.day_normalised(grid(spark, d).withColumn("value", F.col("test")))
+
+
+@query("p", "q0 q1", "SELECT p, -2 * ln(1 - p) AS q0, 2 / 0.3::DOUBLE * (pow(1 - p, -0.3::DOUBLE) - 1) + 5 AS q1 FROM (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS p)")
+def gpd_quantile(spark, d):
+    return spark.createDataFrame([(0.1,), (0.5,), (0.9,), (0.99,)], "p double").withColumns({"q0": S.gpd_quantile("p", 0.0, 2.0), "q1": S.gpd_quantile("p", 0.3, 2.0, 5.0)})
+
+
+@query("station_id n", "shape scale loc")
+def gamma_fit(spark, d):
+    return C.fit_gamma(V.station_pairs(spark, d), ["station_id"], "ref")
+
+
+@query("month dekad lat_i lon_i", " ".join(C.PARAMETERS))
+def reference_parameters(spark, d):
+    return C.reference_parameters(grid(spark, d), value="ref", wet=WET_GRID)
+
+
+@query("month dekad lat_i lon_i", "gpd_threshold upper_cap p_dry", with_(SQL.GRID, last=f"""SELECT month, dekad, lat_i, lon_i, quantile_cont(ref, 0.8) FILTER (WHERE ref > {WET_GRID}) AS gpd_threshold, quantile_cont(ref, 0.999) FILTER (WHERE ref > {WET_GRID}) AS upper_cap,
+  1 - count(*) FILTER (WHERE ref > {WET_GRID}) / count(ref) AS p_dry FROM grid GROUP BY ALL HAVING count(*) FILTER (WHERE ref > {WET_GRID}) >= 10"""))
+def reference_percentiles(spark, d):
+    return C.reference_parameters(grid(spark, d), value="ref", wet=WET_GRID)
+
+
+@query("time month dekad lat_i lon_i", "mapped")
+def quantile_map_precomputed(spark, d):
+    g = grid(spark, d)
+    return C.quantile_map(g.withColumn("value", F.col("test")), C.reference_parameters(g, value="ref", wet=WET_GRID), wet=WET_GRID)
+
+
+@query("time lat_i lon_i", "mapped")
+def quantile_map_pairwise(spark, d):
+    return C.quantile_map_pairs(grid(spark, d), ["lat_i", "lon_i"], WET_GRID)
+
+
+@query("station_id time", "mapped", with_(SQL.STATION, "rk AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY test, time) AS kt, row_number() OVER (PARTITION BY station_id ORDER BY ref, time) AS kr FROM station)", last="SELECT a.station_id, a.time, 0.5 * a.test + 0.5 * b.ref AS mapped FROM rk a JOIN rk b ON a.station_id = b.station_id AND a.kt = b.kr"))
+def rank_quantile_map(spark, d):
+    return C.rank_map(V.station_pairs(spark, d), ["station_id"], 0.5)
+
+
+@query("time lat_i lon_i", "predicted")
+def trained_filter(spark, d):
+    rows = grid(spark, d).select(*CELL, "time", F.col("test").alias("value"), "ref")
+    return C.apply_filter(rows.drop("ref"), C.train_filter(rows))
+
+
+# Roll-ups of metric frames.
+
+
+@query("month", "rmse nse csi", with_(SQL.GRID, _POOLED, "dm AS (SELECT month, dekad, quantile_cont(rmse, 0.5) AS rmse, quantile_cont(nse, 0.5) AS nse, quantile_cont(csi, 0.5) AS csi FROM m GROUP BY ALL)", last="SELECT month, avg(rmse) AS rmse, avg(nse) AS nse, avg(csi) AS csi FROM dm GROUP BY month"))
+def seasonal_median(spark, d):
+    return R.median_then_mean(pooled(spark, d), ["month", "dekad"], ["month"], _GROUP)
+
+
+@query("", "rmse nse csi", with_(SQL.GRID, _POOLED, "cm AS (SELECT lat_i, lon_i, avg(rmse) AS rmse, avg(nse) AS nse, avg(csi) AS csi FROM m GROUP BY ALL)", last="SELECT quantile_cont(rmse, 0.5) AS rmse, quantile_cont(nse, 0.5) AS nse, quantile_cont(csi, 0.5) AS csi FROM cm"))
+def dekad_climatology(spark, d):
+    return R.mean_then_median(pooled(spark, d), ["lat_i", "lon_i"], _GROUP)
+
+
+@query("saturation", "rmse", with_(SQL.GRID, "lim AS (SELECT month, dekad, lat_i, lon_i, quantile_cont(test, 0.8) AS lim FROM grid GROUP BY ALL)", """sw AS (SELECT s::DOUBLE AS saturation, month, dekad, g.lat_i, g.lon_i, sqrt(avg(pow(CASE WHEN test > lim THEN (1 - least(g.lat_i / s, 1) * 0.3::DOUBLE) * test + least(g.lat_i / s, 1) * 0.3::DOUBLE * ref ELSE test END - ref, 2))) AS e
+  FROM grid g JOIN lim USING (month, dekad, lat_i, lon_i), (SELECT unnest([2, 5, 9]) AS s) GROUP BY ALL)""", last="SELECT saturation, quantile_cont(e, 0.5) AS rmse FROM sw GROUP BY saturation"))
+def sensitivity_sweep(spark, d):
+    return R.sweep(grid(spark, d), CELL, (2.0, 5.0, 9.0))
+
+
+@query("product metric best", "", with_(SQL.STATION, _BY_STATION, "lg AS (SELECT station_id, product, unnest([{'k': 'rmse', 'v': -quantile_cont(rmse, 0.5)}, {'k': 'nse', 'v': quantile_cont(nse, 0.5)}]) AS u FROM m GROUP BY station_id, product)", last="SELECT product, u.k AS metric, count(*) AS best FROM (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY station_id, u.k ORDER BY u.v DESC NULLS LAST, product) = 1) GROUP BY ALL"))
+def best_product(spark, d):
+    return R.best_stage(by_station(spark, d), ["station_id"], "product", {"rmse": "low", "nse": "high"}).groupBy("product", "metric").agg(F.count("*").alias("best"))
+
+
+@query("region n", "median p25 p75", with_(SQL.STATION, SQL.META, _BY_STATION, last="SELECT region, count(rmse) AS n, quantile_cont(rmse, 0.5) AS median, quantile_cont(rmse, 0.25) AS p25, quantile_cont(rmse, 0.75) AS p75 FROM m JOIN meta USING (station_id) GROUP BY region"))
+def regional_boxes(spark, d):
+    rows = by_station(spark, d).join(F.broadcast(V.supplier_metadata(spark, d)), "station_id")
+    return R.five_numbers(rows, ["region"], "rmse")
+
+
+@query("setting done", "", "SELECT setting, setting % 3 = 0 AS done FROM range(0, 15) q(setting) WHERE setting % 2 = 1 OR setting % 3 = 0")
+def resumable_plan(spark, d):
+    plan = spark.range(15).withColumnRenamed("id", "setting")
+    done = plan.filter("setting % 3 = 0").withColumn("done", F.lit(True))
+    new = R.pending(plan.filter("setting % 2 = 1"), done, ["setting"]).withColumn("done", F.lit(False))
+    return R.upsert(done, new, ["setting"])
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: functools.partial(Query.frame, q) for name, q in ALL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: q.oracle() for name, q in ALL.items() if q.sql is not None}
