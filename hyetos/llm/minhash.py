@@ -138,19 +138,34 @@ def _linked(percent: int):
     return run
 
 
+def _sides(batch: pa.RecordBatch, *fields: str) -> Iterator[tuple[int, list, list]]:
+    """(bucket, left, right) of each row: the values of the members of its two blocks, or twice those of its one."""
+    for row in batch.to_pylist():
+        sides = []
+        for block in (row["i"], row["j"]):
+            part = [x for x in row["members"] if x["block"] == block]
+            sides.append([[x[f] for x in part] for f in fields])
+        yield row["bucket"], *sides
+
+
 def _doubtful(percent: int):
-    """Of two blocks of a bucket, the members that likely resemble a member of another component."""
+    """Of two blocks of a bucket, the members that likely resemble one of another component; each pair in the first band it shares."""
     least = HASHES * (percent / 100 - 0.2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets, members = [], []
-            for bucket, left, right in zip(*[batch.column(c).to_pylist() for c in ("bucket", "a", "b")], strict=True):
-                (ids, comps, lanes), (ids2, comps2, lanes2) = [
-                    (np.array([x["id"] for x in side], np.int64), np.array([x["comp"] for x in side], np.int64), np.array([x["bands"] for x in side], np.int64).view(np.uint16))
-                    for side in (left, right)
-                ]
-                likely = np.stack([(lanes2 == x).sum(axis=1) >= least for x in lanes]) & (comps[:, None] != comps2[None, :])
+            for bucket, (ids, comps, bands, band), right in _sides(batch, "id", "comp", "bands", "band"):
+                if not ids or not right[0]:
+                    continue
+                ids2, comps2, bands2 = np.array(right[0], np.int64), np.array(right[1], np.int64), np.array(right[2], np.int64)
+                ids, comps, bands = np.array(ids, np.int64), np.array(comps, np.int64), np.array(bands, np.int64)
+                lanes, lanes2, at = bands.view(np.uint16), bands2.view(np.uint16), band[0]
+                likely = np.empty((len(ids), len(ids2)), bool)
+                for k in range(len(ids)):
+                    likely[k] = (comps2 != comps[k]) & ~(bands2[:, :at] == bands[k, :at]).any(axis=1)
+                    there = np.flatnonzero(likely[k])
+                    likely[k, there] = (lanes2[there] == lanes[k]).sum(axis=1) >= least
                 found = np.unique(np.concatenate([ids[likely.any(axis=1)], ids2[likely.any(axis=0)]]))
                 buckets.append(np.full(len(found), bucket, np.int64)), members.append(found)
             if buckets:
@@ -181,17 +196,19 @@ def _forest(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for left, right in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                sides = [[np.frombuffer(x["shingles"], np.uint64) for x in side] for side in (left, right)]
+            for _, left, right in _sides(batch, "id", "comp", "shingles"):
+                if not left[0] or not right[0]:
+                    continue
+                sides = [[np.frombuffer(x, np.uint64) for x in side[2]] for side in (left, right)]
                 common = common_counts(*sides)
                 total = np.add.outer(*[np.array([len(s) for s in side], np.float32) for side in sides])
-                labels = [np.array([x["comp"] for x in side], np.int64) for side in (left, right)]
+                labels = [np.array(side[1], np.int64) for side in (left, right)]
                 linked = (100 * common >= percent * (total - common)) & (labels[0][:, None] != labels[1][None, :])
                 for i in np.flatnonzero(linked.any(axis=1)):
                     for j in np.flatnonzero(linked[i]):
                         old, new = labels[1][j], labels[0][i]
                         if old != new:
-                            us.append(left[i]["id"]), vs.append(right[j]["id"])
+                            us.append(left[0][i]), vs.append(right[0][j])
                             for side in labels:
                                 side[side == old] = new
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -200,14 +217,13 @@ def _forest(percent: int):
 
 
 def _block_pairs(members: DataFrame, blocks, *fields: str) -> DataFrame:
-    """Rows (bucket, a, b) of blocks of a bucket's members, each two once and each with itself."""
-    one = written(
-        members.withColumn("blocks", blocks).groupBy("bucket", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct(F.col("rep").alias("id"), "comp", *fields)).alias("a")),
-        "blocks",
+    """Rows (bucket, i, j, members) of each two blocks of a bucket, and of each alone: one shuffle, to which a member goes once for each block."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return (
+        members.withColumn("blocks", blocks).withColumn("block", own).withColumn("pair", F.explode(pairs))
+        .groupBy("bucket", "pair.i", "pair.j").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "comp", "block", *fields)).alias("members"))
     )
-    two = one.select("bucket", F.col("block").alias("other"), F.col("a").alias("b"))
-    return one.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(two, ["bucket", "other"]).select("bucket", "a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +231,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(shingle), "id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     classes = written(
-        signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes"
+        signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.max("n_shingles").alias("size")), "classes"
     )
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", "band", F.xxhash64("band", "value").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     members = written(banded.join(buckets, "bucket"), "members")
     nodes = written(members.select(F.col("rep").alias("id")).distinct(), "nodes")
@@ -246,14 +262,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         r = roots.select(F.col("u").alias("id"), F.col("v").alias("root"))
         return nodes.join(r, "id", "left").select("id", F.coalesce("root", "id").alias("comp"))
 
-    inside = members.join(placed(roots).withColumnRenamed("id", "rep"), "rep").select("bucket", "n", "rep", "comp")
+    inside = members.join(placed(roots).withColumnRenamed("id", "rep"), "rep").select("bucket", "band", "n", "rep", "comp")
     open_ = inside.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bucket")
     inside = written(inside.join(open_, "bucket", "left_semi"), "open")
-    signed_blocks = _block_pairs(inside.join(classes, "rep"), F.ceil(F.col("n") / BLOCK).cast("int"), "bands")
+    signed_blocks = _block_pairs(inside.join(classes, "rep"), F.ceil(F.col("n") / BLOCK).cast("int"), "bands", "band")
     doubtful = written(signed_blocks.mapInArrow(_doubtful(percent), "bucket long, rep long").distinct(), "doubtful")
-    held = doubtful.join(inside.select("bucket", "rep", "comp"), ["bucket", "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
-    sizes = doubtful.join(sets.select(F.col("id").alias("rep"), F.octet_length("shingles").alias("bytes")), "rep").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    set_blocks = _block_pairs(held.join(sizes, "bucket"), F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int"), "shingles")
+    held = doubtful.join(inside.select("bucket", "rep", "comp"), ["bucket", "rep"]).join(classes.select("rep", "size"), "rep")
+    sizes = held.groupBy("bucket").agg(F.sum(8 * F.col("size")).alias("bytes"))
+    held = held.join(sizes, "bucket").join(sets.withColumnRenamed("id", "rep"), "rep")
+    set_blocks = _block_pairs(held, F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int"), "shingles")
     edges = written(edges.unionByName(set_blocks.mapInArrow(_forest(percent), "u long, v long")), "links")
     roots = components(edges)
 
