@@ -139,3 +139,17 @@ def pending(plan: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of `new` replace those of `old` with the same keys."""
     return old.join(new, list(keys), "left_anti").unionByName(new)
+
+
+def running_seasons(rows: DataFrame, keys: Sequence[str], value: str, month: str = "month") -> DataFrame:
+    """Medians over three-month seasons, each named by its middle month; a month belongs to three of them."""
+    m = F.col(month)
+    each = rows.withColumn("season", F.explode(F.array((m + 10) % 12 + 1, m, m % 12 + 1)))
+    return each.groupBy(*keys, "season").agg(_median(value).alias("median"), F.count(value).alias("n"))
+
+
+def ordered(rows: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """Sorted by a given order of names; others come last, by name."""
+    place = F.create_map(*[F.lit(x) for k, name in enumerate(order) for x in (name, k)]) if order else None
+    rank = F.coalesce(F.try_element_at(place, F.col(column)), F.lit(len(order))) if order else F.lit(0)
+    return rows.orderBy(rank, column)

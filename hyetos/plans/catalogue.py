@@ -22,7 +22,10 @@ from hyetos.operators import quality as Q
 from hyetos.operators import report as R
 from hyetos.operators import stations as ST
 from hyetos.operators import taylor as TY
+from hyetos.params import Params
+from hyetos.plans import pipelines
 from hyetos.plans import sql as SQL
+from hyetos.sources import files
 from hyetos.sources import tables as V
 
 #: A wet day of the grid view, and of the station view.
@@ -761,6 +764,30 @@ def regional_boxes(spark, d):
     return R.five_numbers(rows, ["region"], "rmse")
 
 
+@query("season n", "median", with_(SQL.GRID, "ss AS (SELECT unnest([(month + 10) % 12 + 1, month, month % 12 + 1]) AS season, test FROM grid)", last="SELECT CAST(season AS INTEGER) AS season, quantile_cont(test, 0.5) AS median, count(test) AS n FROM ss GROUP BY season"))
+def running_seasons(spark, d):
+    return R.running_seasons(grid(spark, d), [], "test")
+
+
+@query("json", "", with_(SQL.STATION, last="""SELECT '{"id":' || station_id || ',"total":' || CAST(CAST(floor(sum(ref) / 100) AS BIGINT) AS VARCHAR) || ',"none":null}' AS json FROM station GROUP BY station_id"""))
+def json_documents(spark, d):
+    rows = V.station_pairs(spark, d).groupBy(F.col("station_id").alias("id")).agg(F.floor(F.sum("ref") / 100).alias("total")).withColumn("none", F.lit(None).cast("double"))
+    return files.to_json_rows(rows).withColumnRenamed("value", "json")
+
+
+@query("method month dekad lat_i lon_i time", "value")
+def correction_chain(spark, d):
+    return pipelines.correct(grid(spark, d).select(*CELL, "time", "ref", "test"), Params(wet_day=WET_GRID))
+
+
+@query("reference method month dekad lat_i lon_i categorical_quality", "rmse nse continuous_quality", None)
+def verify_combos(spark, d):
+    g = grid(spark, d)
+    one = lambda x: g.select(*CELL, "time", F.col(x).alias("value"))
+    scaled = C.scale(g).select(*CELL, "time", F.col("scaled").alias("value"))
+    return pipelines.verify({"a": one("ref"), "b": one("ref").withColumn("value", F.col("value") + 1)}, {"raw": one("test"), "ls": scaled}, Params(wet_day=WET_GRID))
+
+
 @query("setting done", "", "SELECT setting, setting % 3 = 0 AS done FROM range(0, 15) q(setting) WHERE setting % 2 = 1 OR setting % 3 = 0")
 def resumable_plan(spark, d):
     plan = spark.range(15).withColumnRenamed("id", "setting")
