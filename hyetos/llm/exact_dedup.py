@@ -53,7 +53,7 @@ def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_co
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as only those may name a single file
         .select(
             F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
             _better(F.col(id_col), F.col(text_col)).alias("best"),
