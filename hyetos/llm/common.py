@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of `written` that nothing will read again."""
+    files = table.inputFiles()
+    if files:
+        hadoop = table.sparkSession._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())
