@@ -34,7 +34,12 @@ SHORT = 12
 BAD, GOOD, NONE = 0, 1, 2
 SYMBOLS = b"#$%&*|~^<>{}[]\\/=_@+"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_shapes = [(re.compile(p), r) for p, r in ((rb"[a-z\x80-\xff]+", b"a"), (rb"[A-Z]{2,}", b"AA"), (rb"[0-9]+", b"0"), (rb"([^\w\x80-\xff])\1+", rb"\1+"))]
+SPACES = b" \t\n\x0b\f\r"
+#: White space to a space, symbols to #, sentence ends to a full stop.
+CLASSES = bytes.maketrans(SPACES + SYMBOLS + b".?!", b" " * len(SPACES) + b"#" * len(SYMBOLS) + b"...")
+#: Letters to a or A, digits to 0; other bytes of a character beyond ASCII count as small letters.
+SHAPES = bytes.maketrans(LOWER + UPPER + b"0123456789" + bytes(range(128, 256)), b"a" * 26 + b"A" * 26 + b"0" * 10 + b"a" * 128)
+_runs = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def _count(text: bytes, chars: bytes) -> int:
@@ -45,27 +50,28 @@ def repeats(words: list[bytes]) -> int:
     return sum(map(operator.eq, words, words[1:]))
 
 
-def votes(text: bytes) -> list[int]:
-    """What each heuristic says of a text with words."""
-    words = text.split()
-    n, size = len(words), max(1, sum(map(len, words)))
+def votes(text: bytes, words: list[bytes]) -> list[int]:
+    """What each heuristic says of a text with these words, at least one."""
+    n = len(words)
+    if n < SHORT:
+        return [NONE] * 9
+    size = len(text) - _count(text, SPACES)
     upper, lower = _count(text, UPPER), _count(text, LOWER)
+    classes = text.translate(CLASSES) + b" "
 
     def between(value: float, good: float, bad: float) -> int:
-        if n < SHORT:
-            return NONE
         return GOOD if value <= good else BAD if value >= bad else NONE
 
-    stops = sum(w[-1:] in b".?!" for w in words)
+    stops = classes.count(b". ") / n
     return [
-        between(_count(text, SYMBOLS) / size, 0.01, 0.08),  # symbols among characters
+        between(_count(text, SYMBOLS) / size, 0.01, 0.08),  # symbols among bytes
         between(upper / max(1, upper + lower), 0.12, 0.4),  # capitals among letters
-        between(_count(text, b"!") / n, 0.05, 0.4),  # exclamation marks for each word
-        between(sum(w == b"|" for w in words) / n, 0.01, 0.15),  # table bars among words
-        between(sum(w[-1] in SYMBOLS for w in words) / n, 0.03, 0.3),  # words that end in a symbol
+        between(text.count(b"!") / n, 0.05, 0.4),  # exclamation marks for each word
+        between(words.count(b"|") / n, 0.01, 0.15),  # table bars among words
+        between(classes.count(b"# ") / n, 0.03, 0.3),  # words that end in a symbol
         between(repeats(words) / n, 0.1, 0.3),  # words that repeat the one before
         between(1 - len(set(words)) / n, 0.7, 0.8),  # words seen before in the text
-        NONE if n < 20 else GOOD if 0.02 <= stops / n <= 0.35 else BAD,  # sentence ends
+        NONE if n < 20 else GOOD if 0.02 <= stops <= 0.35 else BAD,  # sentence ends
         between(size / n, 9.0, 14.0),  # bytes of a word
     ]
 
@@ -100,9 +106,7 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
 
 
 def _features(word: bytes) -> tuple[int, int]:
-    shape = word
-    for pattern, to in _shapes:
-        shape = pattern.sub(to, shape)
+    shape = _runs.sub(rb"\1", word.translate(SHAPES))
     return xxhash.xxh3_64_intdigest(word.lower()) % DIMS, xxhash.xxh3_64_intdigest(b"\0" + shape) % DIMS
 
 
@@ -126,7 +130,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        patterns = ["".join(map(str, votes(t))) if t and t.split() else None for t in _texts(batch)]
+        patterns = ["".join(map(str, votes(t, words))) if t and (words := t.split()) else None for t in _texts(batch)]
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string())], ["pattern"])
 
 
@@ -138,7 +142,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _texts(batch):
             if t and (words := t.split()):
                 found, n = np.unique(np.array([known[w] for w in words] + [(REPEATS, REPEATS)] * repeats(words), np.int32).ravel(), return_counts=True)
-                patterns.append("".join(map(str, votes(t)))), ids.append(found.tobytes()), times.append((n / len(words)).astype(np.float32).tobytes())
+                patterns.append("".join(map(str, votes(t, words)))), ids.append(found.tobytes()), times.append((n / len(words)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(ids, pa.binary()), pa.array(times, pa.binary())], ["pattern", "ids", "shares"])
 
 
@@ -163,14 +167,15 @@ def fit_scorer(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarr
 
 def _score(weights: np.ndarray, bias: float, labels: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(lambda w: float(weights[list(_features(w))].sum()))
+        values = weights.tolist()
+        known = _Known(lambda w: sum(values[k] for k in _features(w)))
         for batch in batches:
             scores, weak = [], []
             for t in _texts(batch):
                 words = t.split() if t else ()
                 z = (sum(map(known.__getitem__, words)) + 2 * weights[REPEATS] * repeats(words)) / len(words) + bias if words else -np.inf
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))) if words else 0.0)
-                weak.append(labels.get("".join(map(str, votes(t)))) if words else 0.0)
+                weak.append(labels.get("".join(map(str, votes(t, words)))) if words else 0.0)
             columns = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("text"), pa.array(scores, pa.float64()), pa.array(weak, pa.float64())], [*names, "text", "quality_score", "weak_label"])
