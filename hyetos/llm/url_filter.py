@@ -6,7 +6,8 @@ to a uniform distribution. The score of a URL is the difference of its two log-l
 threshold is the one that best separates the examples that were held out (a fifth, by the URL's crc32).
 
 All counts come from one table of distinct five-character strings with their counts in either set; shorter strings
-are sums over it. Distinct URLs are scored once, so a URL that holds a third of all rows costs one. The table of
+are sums over it. Distinct URLs are scored once, so a URL that holds a third of all rows costs one;
+its strings carry its md5, not the URL. The table of
 strings is broadcast only up to `broadcast_rows` rows; beyond, it is joined by a shuffle whose hot strings Spark
 splits.
 
@@ -107,22 +108,22 @@ def url_verdicts(
     urls = pages.select(url.alias("url")).distinct()
     urls = urls.withColumn("label", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"])
     urls = urls.withColumn("held", F.pmod(F.crc32("url"), F.lit(5)) == 0)
-    grams = written(urls.select("url", "label", "held", F.explode(_grams(F.col("url"))).alias("gram")), "grams")
+    grams = written(urls.select(F.md5("url").alias("key"), "label", "held", F.explode(_grams(F.col("url"))).alias("gram")), "grams")
     seen = lambda v: F.count(F.when((F.col("label") == v) & ~F.col("held"), 1))
     counts = written(grams.groupBy("gram").agg(seen("allow").alias("a"), seen("block").alias("b")), "gram-counts")
     ratios = written(_ratios(counts), "ratios")
     if ratios.count() <= broadcast_rows:
         ratios = F.broadcast(ratios)
     scored = written(
-        grams.join(ratios, "gram").groupBy("url", "label", "held").agg((F.sum("llr") / F.count("*")).alias("score")), "scores"
+        grams.join(ratios, "gram").groupBy("key", "label", "held").agg((F.sum("llr") / F.count("*")).alias("score")), "scores"
     )
     threshold = _threshold(scored)
-    known = scored.select(F.col("url").alias("__url"), "score")
+    known = scored.select(F.col("key").alias("__key"), "score")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     fit = rule_of(F.col("host"), F.col("path"), rules)
     return (
         pages.withColumns({"host": host, "path": path})
-        .join(known, url == known["__url"], "left").drop("__url")
+        .join(known, F.md5(url) == known["__key"], "left").drop("__key")
         .withColumn("rule", fit["rule"])
         .withColumn("verdict", F.coalesce(fit["verdict"], F.when(F.col("score") >= threshold, "allow").otherwise("block")))
     )
