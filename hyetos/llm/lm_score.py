@@ -1,20 +1,21 @@
 """Operator 4: scoring by a hierarchical Pitman-Yor language model.
 
 Model. Each preceding word is a restaurant whose dishes are the next words; all restaurants share one parent, the
-restaurant of single words, whose parent is uniform. The HEAD most frequent words are dishes of their own; the rest
-share one dish, `rare`, from which a further restaurant over the rare words (again with a uniform parent) picks.
-A context that is itself rare shares the restaurant of `rare`.
+restaurant of single words, whose parent is uniform over all training words and one unknown word. Every word of the
+training documents is a dish and a context of its own.
 
 Sampling. The state is the number of tables of every (context, word). A sweep draws each from its conditional
-distribution (pitman_yor.draw_tables) with the parent's predictive probabilities of the sweep before, in parallel over
-contexts; tables are the parent's customers, whose seating is drawn next. After `burn` sweeps the predictive
-probabilities of `samples` sweeps are averaged.
-
-Scale. Counts of words and pairs are summed over all learning documents and leave each task pre-summed. Pairs travel
-as sorted 32-bit keys in blobs; a bucket of contexts holds at most 2^32 / BUCKETS pairs, however large the corpus, and for
-looking up is split further with the number of shuffle partitions. What
-is sent to all tasks has a fixed size: the HEAD words, and a few numbers for each. Rare words are looked up by a join
-with their counts. Every document sends its distinct pairs to their buckets once; sums return by document.
+distribution (pitman_yor.draw_tables) with the parent's predictive probabilities of the sweep before, all in parallel;
+tables are the parent's customers, whose seating is drawn next. A pair seen once has one table whatever is drawn, so
+only pairs seen more often are in the state. After `burn` sweeps the predictive probabilities of `samples` sweeps are
+averaged.
+
+Scale. Words are 64-bit hashes, so no task holds a vocabulary, and a pair is known by a hash of both. Pairs of all
+documents are counted once, those of held-out documents with a count of 0: the table has every pair to be scored. The
+tables of words, contexts and pairs meet in shuffled joins, and nothing that grows with the input is broadcast or
+collected. Documents are packed into chunks of about CHUNK tokens; a chunk sends its distinct pairs to the buckets of
+the model, whose number grows with the pairs, and gets their probabilities back. With 10^9 different pairs the chance
+that any two of them share a hash is about 3 %, and then only those two are confused.
 
 Edge cases: a null or empty text is one end token; without learning documents all words are unknown and the model is
 uniform; a null id counts as the empty text in the split; rows with the same id and text score alike and stay; extra
@@ -23,8 +24,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyetos.llm.common import discard, table, written
-from hyetos.llm.pitman_yor import discount_of, draw_tables, seat_root, stirling
+from hyetos.llm.pitman_yor import discount_of, draw_tables, stirling
 
-HEAD = 65_534
-RARE, START, IDS = HEAD, HEAD + 1, HEAD + 2
-BUCKETS = 64
 STRENGTH = 1.0
-#: Tokens that a task works on at once.
-CHUNK = 1_000_000
+#: Tokens of a chunk of documents; pairs that a counting task holds; pairs of a bucket; words whose hashes a task remembers.
+CHUNK, HELD, BUCKET, MEMO = 500_000, 3_000_000, 2_000_000, 1_000_000
 END = b""
+#: Contexts that no token has: the start of a text, and the one under which counts of single words are looked up.
+START, SINGLE = np.int64(1), np.int64(2)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -49,267 +50,227 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
+class Ids(dict):
+    """The 64-bit hash of each token."""
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[token] = out = int.from_bytes(blake2b(token, digest_size=8).digest(), "little", signed=True)
+        return out
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-
-    for batch in batches:
-        for text in _texts(batch):
-            counts.update(tokens(text))
-            if len(counts) > 400_000:
-                yield rows()
-                counts.clear()
-    yield rows()
-
-
-def _pair_keys(texts: list[bytes | None], ids: dict[bytes, int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first, last, keys) of runs of texts: each text's pairs as (place of the text, context, word) in 64 bits."""
-    parts, size, first = [], 0, 0
-    for k, text in enumerate(texts):
-        at = np.array([START, *[ids.get(w, RARE) for w in tokens(text)]], np.uint64)
-        parts.append(np.uint64(k - first) << np.uint64(32) | at[:-1] << np.uint64(16) | at[1:])
-        size += len(at)
-        if size >= CHUNK or k - first >= 60_000:
-            yield first, k + 1, np.concatenate(parts)
-            parts, size, first = [], 0, k + 1
-    if parts:
-        yield first, len(texts), np.concatenate(parts)
 
+def key_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each pair."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(word).astype(np.uint64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    """The bucket of each pair, by its context."""
-    return ((keys >> np.uint64(16) & np.uint64(0xFFFF)) * np.uint64(40_503) % np.uint64(65_536) % np.uint64(BUCKETS)).astype(np.int64)
 
+def _pairs(found: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+    at = np.array([START, *[ids[w] for w in found]], np.int64)
+    return at[:-1], at[1:]
 
-def _place(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The bucket of each pair, split into `parts` by the pair."""
-    part = (keys & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B1) >> np.uint64(20)
-    return _bucket(keys) * parts + (part % np.uint64(parts)).astype(np.int64)
 
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
-def _split(parts: int):
-    """Rows of the model, one for each part of a bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, n, t_sum = (_read(row, c) for c in ("keys", "n", "t_sum"))
-                where = _place(keys.astype(np.uint64), parts)
-                for place in np.unique(where):
-                    at = where == place
-                    yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), *[pa.array([x[at].tobytes()], pa.binary()) for x in (keys, n, t_sum)]], ["bucket", "keys", "n", "t_sum"])
-
-    return run
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(keys, contexts, words, counts) with every key once."""
+    keys, contexts, words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, contexts[first], words[first], np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
 
-def _count_pairs(head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = head.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            keys, n = _merged(held)
-            held.clear()
-            where = _bucket(keys)
-            for b in np.unique(where):
-                yield _blob(int(b), keys[where == b], n[where == b])
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their counts in the training documents: 0 where only held-out ones have them."""
+    ids, held, parts, size = Ids(), [], [], 0
 
-        for batch in batches:
-            for _, _, keys in _pair_keys(_texts(batch), ids):
-                found, n = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-                held.append((found, n))
-                if len(held) >= 8:
-                    merged = _merged(held)
-                    held[:] = [merged]
-                    if len(merged[0]) > 4_000_000:
-                        yield from rows()
-        if held:
-            yield from rows()
+    def put() -> None:
+        held.append(_merged(parts))
+        parts.clear()
+        if len(held) >= 6:
+            held[:] = [_merged(held)]
 
-    return run
+    def rows() -> Iterator[pa.RecordBatch]:
+        _, contexts, words, n = _merged(held)
+        held.clear()
+        for a in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (contexts, words, n)], ["context", "word", "n"])
 
+    for batch in batches:
+        for text, out in zip(_texts(batch), batch.column("held_out").to_pylist(), strict=True):
+            contexts, words = _pairs(tokens(text), ids)
+            parts.append((key_of(contexts, words), contexts, words, np.full(len(words), 0 if out else 1)))
+            size += len(words)
+            if size >= 2 * CHUNK:
+                put()
+                size = 0
+                if len(held) == 1 and len(held[0][0]) > HELD:
+                    yield from rows()
+    if parts:
+        put()
+    if held:
+        yield from rows()
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]).astype(float), minlength=len(keys)).astype(np.int64)
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk of documents."""
+    chunk, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
 
-def _blob(bucket: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.astype(np.uint32).tobytes()], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())], ["bucket", "keys", "n"])
+    def row() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.bool_(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([x], pa.list_(t)) for x, t in zip(held, kinds, strict=True)]], ["chunk", "doc", "held_out", "text"])
+        for x in held:
+            x.clear()
+        return out
 
+    for batch in batches:
+        for one in zip(batch.column("doc").to_pylist(), batch.column("held_out").to_pylist(), _texts(batch), strict=True):
+            for x, v in zip(held, one, strict=True):
+                x.append(v)
+            size += len(one[2] or b"") // 5 + 1
+            if size >= CHUNK:
+                yield row()
+                chunk, size = chunk + 1, 0
+    if held[0]:
+        yield row()
 
-def _read(row: dict, name: str, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
 
+def _draw(discount: float, seed: int, keep: bool):
+    """A draw of the tables of every pair; `keep` adds it to their sum."""
 
-def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket; its parts are merged as they come."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            parts = held.setdefault(row["bucket"], [])
-            parts.append((_read(row, "keys").astype(np.uint64), _read(row, "n").astype(np.int64)))
-            if len(parts) >= 8:
-                parts[:] = [_merged(parts)]
-    for bucket, parts in held.items():
-        keys, n = _merged(parts)
-        none = np.zeros(len(n), np.uint32).tobytes()
-        one = _blob(bucket, keys, n)
-        yield pa.RecordBatch.from_arrays(
-            [*one.columns, pa.array([np.ones(len(n), np.uint32).tobytes()]), pa.array([none]), pa.array([int((n == 1).sum())], pa.int64()), pa.array([int((n == 2).sum())], pa.int64())],
-            ["bucket", "keys", "n", "t", "t_sum", "once", "twice"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, rng = stirling(discount), np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            n, t, t_sum, p, tables = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "t", "t_sum", "p", "tables"))
+            t = draw_tables(n, p, tables - t, STRENGTH, discount, rng, logs) if len(n) else t
+            yield pa.RecordBatch.from_arrays([batch.column("context"), batch.column("word"), batch.column("n"), pa.array(t), pa.array(t_sum + t * keep)], ["context", "word", "n", "t", "t_sum"])
 
+    return run
 
-STATE = "bucket int, keys binary, n binary, t binary, t_sum binary"
 
+def _seat(base: float, total: int, discount: float, seed: int):
+    """A draw of the tables of every word in the parent, whose own parent is uniform."""
 
-def _sweep(parent: np.ndarray, discount: float, seed: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = stirling(discount)
+        logs, rng = stirling(discount), np.random.default_rng([seed, 1, TaskContext.get().partitionId()])
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, n, t, t_sum = _read(row, "keys"), _read(row, "n").astype(np.int64), _read(row, "t").astype(np.int64), _read(row, "t_sum")
-                context, word = (keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64)
-                others = np.bincount(context, weights=t, minlength=IDS)[context] - t
-                t = draw_tables(n, parent[word], others, STRENGTH, discount, np.random.default_rng([seed, row["bucket"]]), logs)
-                of_word, of_context = np.bincount(word, weights=t, minlength=IDS), np.bincount(context, weights=t, minlength=IDS)
-                near = np.flatnonzero(of_context)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["bucket"]], pa.int32()), pa.array([row["keys"]], pa.binary()), pa.array([row["n"]], pa.binary()),
-                        pa.array([t.astype(np.uint32).tobytes()], pa.binary()), pa.array([(t_sum + t * keep).astype(np.uint32).tobytes()], pa.binary()),
-                        pa.array([of_word.astype(np.uint32).tobytes()], pa.binary()),
-                        pa.array([near.astype(np.uint32).tobytes() + of_context[near].astype(np.uint32).tobytes()], pa.binary()),
-                    ],
-                    ["bucket", "keys", "n", "t", "t_sum", "of_word", "of_context"],
-                )
+            customers, seats = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("customers", "seats"))
+            if len(seats):
+                seats = draw_tables(customers, np.full(len(seats), base), total - seats, STRENGTH, discount, rng, logs)
+            yield pa.RecordBatch.from_arrays([pa.array(seats) if c == "seats" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
     return run
 
 
-def _sweep_rare(share: float, strength: float, discount: float, total: int, seed: int):
-    """Adds a draw of each rare word's tables to their sum."""
+def _model(buckets: int):
+    """Keys and values in blobs, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = stirling(discount)
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held, size = [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for b, at in _dealt(keys, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int64()), pa.array([keys[at].tobytes()], pa.binary()), pa.array([values[at].tobytes()], pa.binary())], ["bucket", "chunk", "keys", "found"])
+
         for batch in batches:
-            n, sums = batch.column("n").to_numpy(), batch.column("t_sum").to_numpy()
-            t = draw_tables(n, np.full(len(n), share), np.full(len(n), max(0, total - 1)), strength, discount, rng, logs) if len(n) else n
-            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(t.astype(np.int64)), pa.array(sums + t)], ["token", "n", "t", "t_sum"])
+            context, word, value = (batch.column(c).to_numpy() for c in ("context", "word", "value"))
+            held.append((key_of(context, word), value.astype(np.float32)))
+            size += len(word)
+            if size > BUCKET:
+                yield from rows()
+                size = 0
+        if held:
+            yield from rows()
 
     return run
 
 
-class Mixture:
-    """What every task needs: of each sample the single words' probabilities and every context's tables; contexts' customers."""
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of the keys of each bucket."""
+    where = (keys >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(where, kind="stable")
+    cuts = np.flatnonzero(np.diff(where[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(where[at[0]]), at
 
-    def __init__(self, ids: dict[bytes, int], parents: list[np.ndarray], tables: list[np.ndarray], customers: np.ndarray, discount: float):
-        self.ids, self.customers, self.discount, self.samples = ids, customers, discount, len(parents)
-        self.parents = np.stack(parents).astype(np.float64)
-        self.free = (STRENGTH + discount * np.stack(tables)) / (STRENGTH + customers)
 
-    def backoff(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return sum(f[context] * p[word] for f, p in zip(self.free, self.parents, strict=True)) / self.samples
+def _chunk_keys(texts: list[bytes | None], ids: Ids) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of a chunk: the tokens of each text, the keys of all its pairs, and those of all its words."""
+    both = [_pairs(tokens(t), ids) for t in texts]
+    words = np.concatenate([w for _, w in both])
+    return [len(w) for _, w in both], key_of(np.concatenate([c for c, _ in both]), words), key_of(np.full(len(words), SINGLE), words)
 
 
-def _send(shared, parts: int):
-    """Rows of pairs for their buckets, and one that names the documents of a chunk."""
+def _ask(buckets: int):
+    """The distinct keys of every chunk, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, chunk = shared.value.ids, TaskContext.get().partitionId() << 32
-        names = ["bucket", "chunk", "keys", "n", "places", "doc", "hash"]
+        ids = Ids()
         for batch in batches:
-            doc, hashes = batch.column("doc"), batch.column("hash")
-            for first, last, keys in _pair_keys(_texts(batch), ids):
-                chunk += 1
-                found, n = np.unique(keys, return_counts=True)
-                where = _place(found, parts)
-                order = np.lexsort((found & np.uint64(0xFFFFFFFF), where))
-                found, n, where = found[order], n[order], where[order]
-                cuts = np.searchsorted(where, np.arange(BUCKETS * parts + 1))
-                rows = [(b, found[a:z], n[a:z]) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, *_ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-                        pa.array([(k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, k, _ in rows], pa.binary()), pa.array([x.astype(np.uint32).tobytes() for *_, x in rows], pa.binary()),
-                        pa.array([(k >> np.uint64(32)).astype(np.uint16).tobytes() for _, k, _ in rows], pa.binary()),
-                        pa.array([None] * len(rows), pa.list_(pa.int64())), pa.array([None] * len(rows), pa.list_(pa.int64())),
-                    ],
-                    names,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk % (BUCKETS * parts)], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([None], pa.binary())] * 3,
-                        pa.array([doc.slice(first, last - first).to_pylist()], pa.list_(pa.int64())), pa.array([hashes.slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
-                    ],
-                    names,
-                )
+            for k in range(batch.num_rows):
+                _, pairs, words = _chunk_keys(batch.column("text")[k].as_py(), ids)
+                keys = np.unique(np.concatenate([pairs, words]))
+                for b, at in _dealt(keys, buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), batch.column("chunk").slice(k, 1), pa.array([keys[at].tobytes()], pa.binary()), pa.array([None], pa.binary())], ["bucket", "chunk", "keys", "found"])
 
     return run
 
 
-SUMS = "chunk long, place int, score double, doc long, hash long"
-
-
-def _lookup(shared):
-    """Log10 probabilities of the pairs of a bucket, summed by document."""
+def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to the chunks; rows are sorted by bucket, and the model's come first."""
+    bucket, parts, known = None, [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                bucket, parts, known = row["bucket"], [], None
+            keys = np.frombuffer(row["keys"], np.uint64)
+            if row["found"] is not None:
+                parts.append((keys, np.frombuffer(row["found"], np.float32)))
+                continue
+            if known is None:
+                all_keys, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                order = np.argsort(all_keys)
+                known, parts = (all_keys[order], values[order]), []
+            found = np.zeros(len(keys), np.float32)
+            if len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+                found = np.where(known[0][at] == keys, known[1][at], np.float32(0))
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["keys"]], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["chunk", "keys", "found"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture, known = shared.value, {}
-        names = ["chunk", "place", "score", "doc", "hash"]
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["t_sum"] is not None:
-                    known.clear()  # rows are sorted by bucket, and the model's comes first
-                    t = _read(row, "t_sum") / max(1, mixture.samples)
-                    known[row["bucket"]] = (_read(row, "keys"), (_read(row, "n") - mixture.discount * t).astype(np.float32))
-                elif row["doc"] is not None:
-                    size = len(row["doc"])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array([None] * size, pa.float64()), pa.array(row["doc"], pa.int64()), pa.array(row["hash"], pa.int64())], names)
-                else:
-                    keys, n, places = _read(row, "keys"), _read(row, "n"), _read(row, "places", np.uint16)
-                    context, word = (keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64)
-                    p = mixture.backoff(context, word)
-                    if row["bucket"] in known:
-                        all_keys, left = known[row["bucket"]]
-                        at = np.minimum(np.searchsorted(all_keys, keys), len(all_keys) - 1)
-                        p = p + np.where(all_keys[at] == keys, left[at], 0) / (STRENGTH + mixture.customers[context])
-                    sums = np.bincount(places, weights=n * np.log10(p))
-                    there = np.unique(places)
-                    none = pa.array([None] * len(there), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(there), pa.int64()), pa.array(there.astype(np.int32)), pa.array(sums[there]), none, none], names)
 
-    return run
+RESULT = "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _stats(base):
-    """Of each document: its tokens, what is known of them by the head alone, and its rare tokens with their counts."""
+def _score(total: int, types: int):
+    """Scores of the documents of a chunk, whose answers come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worth = base.value
+        ids, parts = Ids(), []
         for batch in batches:
-            n, known, sums, rare, times = [], [], [], [], []
-            for text in _texts(batch):
-                found = tokens(text)
-                n.append(len(found))
-                got = [worth.get(w) for w in found]
-                sums.append(sum(x for x in got if x is not None))
-                rest = Counter(w for w, x in zip(found, got, strict=True) if x is None)
-                known.append(len(found) - rest.total())
-                rare.append(list(rest)), times.append(list(rest.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc", "hash", "held_out")]
-                + [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                ["doc", "hash", "held_out", "n_tokens", "known", "base", "rare", "times"],
-            )
+            for row in batch.to_pylist():
+                if row["text"] is None:
+                    parts.append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["found"], np.float32)))
+                    continue
+                keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts = []
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+                sizes, pairs, words = _chunk_keys(row["text"], ids)
+                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                n = values[np.searchsorted(keys, words)].astype(float)
+                base = np.add.reduceat(np.log10((n + 0.1) / (total + 0.1 * (types + 1))), cuts)
+                score = np.add.reduceat(np.log10(values[np.searchsorted(keys, pairs)].astype(float)), cuts)
+                columns = [row["doc"], row["held_out"], sizes, np.add.reduceat((n > 0).astype(np.int64), cuts), base, score]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
@@ -318,105 +279,83 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
+def _kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """`df` written, without the tables and shuffles that are no longer needed."""
+    out = written(df, name)
+    for x in spent:
+        discard(x)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def _few(df: DataFrame, column: str) -> tuple[int, int, int]:
+    """How many rows have 1 and 2 in the column, and its sum."""
+    got = df.agg(F.count(F.when(F.col(column) == 1, 1)).alias("a"), F.count(F.when(F.col(column) == 2, 1)).alias("b"), F.coalesce(F.sum(column), F.lit(0)).alias("n")).first()
+    return got["a"], got["b"], got["n"]
+
+
+def train(pairs: DataFrame, burn: int, samples: int, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(pairs with their probabilities, words with their counts, training tokens, their types)."""
+    seen = pairs.filter("n > 0")
+    once, twice, total = _few(seen, "n")
+    discount = discount_of(once, twice)
+    ones = F.count(F.when(F.col("n") == 1, 1))
+    none = F.expr("cast(array() as array<double>)")
+    words = written(seen.groupBy("word").agg(F.sum("n").alias("n"), ones.alias("ones")), "words").withColumns({"seats": F.lit(0).cast("long"), "p": none})
+    contexts = written(seen.groupBy("context").agg(F.sum("n").alias("n"), ones.alias("ones")), "contexts").withColumn("free", none)
+    state = seen.filter("n > 1").withColumns({"t": F.lit(1).cast("long"), "t_sum": F.lit(0).cast("long")})
+    types = words.count()
+    base, spent, all_seats = 1.0 / (types + 1), [], 0
+    parent, unknown = F.lit(base), []
+    added = lambda df, by, to: df.join(state.groupBy(by).agg(F.sum("t").alias("t")), by, "left").withColumn(to, F.col("ones") + F.coalesce("t", F.lit(0))).drop("t")
+    tables = added(contexts, "context", "tables")
+    for k in range(burn + samples):
+        keep = k >= burn
+        ready = state.join(tables.select("context", "tables"), "context").join(words.select("word", parent.alias("p")), "word")
+        state = _kept(ready.mapInArrow(_draw(discount, seed + k, keep), "context long, word long, n long, t long, t_sum long"), "state")
+        tables = added(contexts, "context", "tables").withColumn("free", F.concat("free", F.array((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("n")))) if keep else F.col("free"))
+        tables = _kept(tables, "tables")
+        contexts = tables.drop("tables")
+        counted = _kept(added(words.drop("customers"), "word", "customers"), "customers")
+        a, b, customers = _few(counted, "customers")
+        seated = discount_of(a, b)
+        drawn = _kept(counted.mapInArrow(_seat(base, all_seats, seated, seed + k), counted.schema), "seats", counted)
+        all_seats = drawn.agg(F.coalesce(F.sum("seats"), F.lit(0))).first()[0]
+        rest = (STRENGTH + seated * all_seats) * base / (STRENGTH + customers)
+        parent = (F.col("customers") - seated * F.col("seats")) / (STRENGTH + customers) + rest
+        words = drawn.withColumn("p", F.concat("p", F.array(parent))) if keep else drawn
+        if keep:
+            unknown.append(rest)
+        for x in spent:
+            discard(x)
+        spent = [state, tables, drawn]
+    # Words and contexts outside the training documents: the parent's unknown word, and an empty restaurant.
+    known = pairs.join(state.select("context", "word", "t_sum"), ["context", "word"], "left") if samples else pairs
+    known = known.join(contexts.select("context", F.col("n").alias("customers"), "free"), "context", "left").join(words.select("word", "p"), "word", "left")
+    p, free = F.coalesce("p", F.array(*map(F.lit, unknown))), F.coalesce("free", F.array(*[F.lit(1.0)] * samples))
+    tables_of = F.when(F.col("n") > 1, F.col("t_sum") / samples).otherwise(F.col("n"))
+    value = (F.col("n") - discount * tables_of) / (STRENGTH + F.coalesce("customers", F.lit(0))) + F.aggregate(F.zip_with(free, p, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / samples
+    return known.select("context", "word", value.alias("value")), words.select("word", "n"), total, types
+
+
 def lm_scores(docs: DataFrame, *, burn: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), held_out(F.col(id_col)).alias("held_out"))
-    train = rows.filter("not held_out").select("text")
-
-    words = written(train.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "words")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, types = size["n"], size["v"]
-    head = words.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()  # the dictionary's size is a part of the model
-    names, counts = head.column("token").to_pylist(), head.column("n").to_pylist()
-    ids = {w: k for k, w in enumerate(names)}
-    least = 0.1 / (total + 0.1 * (types + 1))
-    base = context.broadcast({w: float(np.log10((c + 0.1) / (total + 0.1 * (types + 1)))) for w, c in zip(names, counts, strict=True)})
-    ids_shared = context.broadcast(ids)
-
-    # Restaurants of contexts, and their parent.
-    pairs = train.mapInArrow(_count_pairs(ids_shared), "bucket int, keys binary, n binary").repartition(BUCKETS, "bucket").mapInArrow(_merge_pairs, STATE + ", once long, twice long")
-    pairs = written(pairs, "pairs")
-    few = pairs.agg(F.sum("once").alias("a"), F.sum("twice").alias("b")).first()
-    discount = discount_of(few["a"] or 0, few["b"] or 0)
-    state = pairs.drop("once", "twice")
-    customers = np.zeros(IDS)
-    for k, c in enumerate(counts):
-        customers[k] = c
-    customers[RARE] = total - sum(counts)
-    ends = counts[ids[END]] if END in ids else 0
-    heads = len(ids)
-    dishes = np.concatenate([np.arange(heads), [RARE]])
-    parent = np.full(IDS, 1.0 / len(dishes))
-    seats, rng = np.zeros(IDS, np.int64), np.random.default_rng(seed)
-    parents, tables = [], []
-    for k in range(burn + samples):
-        before, state = state, written(state.select(*[c.split()[0] for c in STATE.split(", ")]).mapInArrow(_sweep(parent, discount, seed + k, k >= burn), STATE + ", of_word binary, of_context binary"), "state")
-        discard(before)
-        of_word, of_context = np.zeros(IDS, np.int64), np.zeros(IDS)
-        for part in state.select("of_word", "of_context").collect():
-            of_word += np.frombuffer(part["of_word"], np.uint32)
-            near, t = np.frombuffer(part["of_context"], np.uint32).reshape(2, -1)
-            of_context[near] += t
-        discount_1 = discount_of(int((of_word == 1).sum()), int((of_word == 2).sum()))
-        seats, parent = seat_root(of_word, seats, 1.0 / len(dishes), STRENGTH, discount_1, rng)
-        if k >= burn:
-            parents.append(parent), tables.append(of_context)
-    in_context = customers.copy()
-    if END in ids:
-        in_context[ids[END]] = 0  # nothing follows the end
-    in_context[START] = ends
-    mixture = context.broadcast(Mixture(ids, parents, tables, in_context, discount))
-
-    # The restaurant of rare words.
-    rare = words.join(F.broadcast(context_table(docs, names)), "token", "left_anti")
-    few = rare.agg(F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("a"), F.count(F.when(F.col("n") == 2, 1)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    rare_discount, uniform = discount_of(few["a"], few["b"]), 1.0 / (few["v"] + 1)
-    seated, at_tables, rare_free = rare.withColumn("t_sum", F.lit(0).cast("long")), few["v"], 0.0
-    for k in range(burn + samples):
-        seated = seated.select("token", "n", "t_sum" if k > burn else F.lit(0).cast("long").alias("t_sum"))
-        before, seated = seated, written(seated.mapInArrow(_sweep_rare(uniform, STRENGTH, rare_discount, at_tables, seed + k), "token binary, n long, t long, t_sum long"), "rare")
-        if k:
-            discard(before)
-        at_tables = seated.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-        rare_free += (STRENGTH + rare_discount * at_tables) * uniform / samples * (k >= burn)
-
-    # Documents.
-    stats = written(rows.mapInArrow(_stats(base), "doc long, hash long, held_out boolean, n_tokens long, known long, base double, rare array<binary>, times array<long>"), "stats")
-    rest = stats.select("doc", "hash", F.explode(F.arrays_zip(F.col("rare").alias("token"), F.col("times").alias("times"))).alias("x")).select("doc", "hash", "x.token", "x.times")
-    count = F.coalesce(F.col("n"), F.lit(0))
-    rest = (
-        rest.join(seated, "token", "left").groupBy("doc", "hash").agg(
-            F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("times") * F.log10((count + 0.1) / F.lit(0.1) * F.lit(least))).alias("rare_base"),
-            F.sum(F.col("times") * F.log10((count - rare_discount * F.coalesce(F.col("t_sum"), F.lit(0)) / samples + rare_free) / (STRENGTH + few["n"]))).alias("rare_score"),
-        )
-    )
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    model = state.select("bucket", "keys", "n", "t_sum")
-    if parts > 1:
-        model = model.mapInArrow(_split(parts), "bucket int, keys binary, n binary, t_sum binary")
-    model = model.select("bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "n", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("array<long>").alias("doc"), F.lit(None).cast("array<long>").alias("hash"), "t_sum")
-    asked = rows.select("doc", "hash", "text").mapInArrow(_send(mixture, parts), "bucket int, chunk long, keys binary, n binary, places binary, doc array<long>, hash array<long>").withColumn("t_sum", F.lit(None).cast("binary"))
-    sums = (
-        model.unionByName(asked).repartition(BUCKETS * parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_lookup(mixture), SUMS)
-        .groupBy("chunk", "place").agg(F.sum("score").alias("score"), F.max("doc").alias("doc"), F.max("hash").alias("hash"))
-        .groupBy("doc", "hash").agg(F.sum("score").alias("pair_score"), F.count("*").alias("copies"))
-    )
-    same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["hash"] == b["hash"])
-    light = stats.drop("rare", "times")
-    out = light.join(sums, same(light, sums), "left").select(light["*"], "pair_score", "copies")
-    zero = F.lit(0.0)
-    return out.join(rest, same(out, rest), "left").select(
-        out["doc"].alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("rare_known") / F.col("copies"), zero)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("rare_base") / F.col("copies"), zero)).alias("base_score"),
-        ((F.col("pair_score") + F.coalesce("rare_score", zero)) / F.col("copies")).alias("score"),
-    )
-
-
-def context_table(docs: DataFrame, names: list[bytes]) -> DataFrame:
-    """The head words as a table of at most HEAD rows."""
-    return docs.sparkSession.createDataFrame(pa.table({"token": pa.array(names, pa.binary())}))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    counted = rows.select("text", "held_out").mapInArrow(_count_pairs, "context long, word long, n long")
+    pairs = _kept(counted.groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
+    known, words, total, types = train(pairs, burn, samples, seed)
+    known = known.unionByName(words.select(F.lit(int(SINGLE)).cast("long").alias("context"), "word", F.col("n").cast("double").alias("value")))
+
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BUCKET + 1)
+    schema = "bucket int, chunk long, keys binary, found binary"
+    model = _kept(known.mapInArrow(_model(buckets), schema), "model", pairs)
+    chunks = written(rows.mapInArrow(_pack, "chunk long, doc array<long>, held_out array<boolean>, text array<binary>"), "chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(_ask(buckets), schema)
+    answers = model.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_lookup, "chunk long, keys binary, found binary")
+    told = answers.unionByName(chunks, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull())
+    out = told.select("chunk", "keys", "found", "doc", "held_out", "text").mapInArrow(_score(total, types), RESULT)
+    return out.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark, sf_dir):

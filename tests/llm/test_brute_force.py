@@ -238,3 +238,16 @@ def test_pipeline(spark, texts):
             assert set(after) == set(before) - leak
     for df in cached:
         df.unpersist()
+
+
+def test_every_training_word_is_a_dish_and_a_context(spark):
+    """A pair of two words that 70,000 others outnumber is learned like any other."""
+    from hyetos.llm.lm_score import lm_scores
+
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rest = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    common = " ".join(f"w{k} w{k} w{k}" for k in range(70_000))
+    rows = [(rest[0], common), (rest[1], "aa bb cc dd"), (held[0], "aa bb zz"), (held[1], "aa dd zz")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].n_known == 3 and got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 0.5
