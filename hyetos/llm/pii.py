@@ -18,14 +18,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyetos.llm.common import once
+
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Characters of an IBAN by its country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "GI IL IQ SO TL AE OM", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "FR GR IT MC MR SM BI CM CF TD KM CG DJ GQ GA MG",
+    28: "AL AZ BY CY DO SV GT HU LB NI PL BJ BF CI HN ML MA NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()) + ")(?![A-Z0-9])"
 #: Of each kind the pattern, a cheaper test that any match passes, the score of its form, what its validator adds, and context words.
 KINDS = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, 0.1, "mail|contact|write|kontakt|correo|courriel"),
     "ip": (r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", None, 0.5, 0.2, "ip|host|server|address|login"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){13,}+", None, 0.3, 0.5, "card|visa|credit|karte|tarjeta|carte"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, 0.2, "tel|phone|call|mobile|fax|anruf"),
-    "iban": (r"[A-Z](?<![A-Z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])", None, 0.2, 0.6, "iban|account|konto|bank|cuenta|compte"),
+    # Only the head is matched, so that one head within reach of another is tried too; _spans reads the whole number.
+    "iban": (rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Z0-9])(?={IBAN})[A-Z]{{2}}[0-9]{{2}}", None, 0.2, 0.6, "iban|account|konto|bank|cuenta|compte"),
     "ssn": (r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.2, 0.1, "ssn|social security"),
     "tel": (r"[(0-9](?<![0-9+][(0-9])(?:(?<=[(])[0-9]{3}\)|[0-9]{2})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None, 0.2, 0.1, "tel|phone|call|mobile|fax|anruf|llamar|appel"),
 }
@@ -89,6 +99,10 @@ def _spans(text: Column, kind: str) -> Column:
     begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("all"))
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
     placed = F.aggregate(pairs, begin, step)["all"]
+    if kind == "iban":
+        number = lambda x: F.regexp_extract(F.substring(text, x["start"] + 1, F.lit(2 * max(IBAN_SIZES))), f"^{IBAN}", 0)
+        whole = lambda x, hit: F.struct(x["start"].alias("start"), (x["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
+        placed = F.transform(placed, lambda x: once(number(x), lambda hit: whole(x, hit)))
 
     def scored(x: Column) -> Column:
         near = F.lower(F.concat(

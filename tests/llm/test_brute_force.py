@@ -251,3 +251,13 @@ def test_every_training_word_is_a_dish_and_a_context(spark):
     got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]].n_known == 3 and got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
     assert got[held[0]].score > got[held[1]].score + 0.5
+
+
+def test_iban_ends_where_its_country_says(spark):
+    from hyetos.llm.pii import find_pii
+
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    rows = [(1, f"{gb} Please"), (2, "DE89370400440532013000 BIC COBADEFF"), (3, f"{de} 2024"), (4, f"DE12 {gb} {de} NO9386011117947"), (5, f"{gb}1"), (6, "GB82 WEST 1234 5698 7654 33 Please")]
+    want = {1: [(0, 27)], 2: [(0, 22)], 3: [(0, 27)], 4: [(5, 32), (33, 60), (61, 76)], 5: [], 6: []}
+    got = {r.doc_id: [(x.start, x.end) for x in r.pii if x.kind == "iban"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
