@@ -5,9 +5,10 @@ frequency under every language. A word outside is judged by its longest characte
 four characters (with word boundaries), else three, two, one; it adds the mean log frequency of those. The language
 with the largest sum wins, ties by name; the score is its share after normalisation.
 
-All words of all learning documents are counted, and all of them feed the character strings. The dictionary that a
-task loads is a model of fixed size: the words (`max_words`) and strings (`max_grams`) of all languages that are most
-frequent, cut at a common count. Counts leave a task pre-summed, so a hot language or word is no hot key.
+All words of all learning documents are counted, and all of them feed the character strings. Both counts stay tables:
+documents are dealt to chunks of about CHUNK characters, the distinct words of a chunk are joined with their log
+frequencies, and come back to the chunk. Only what is known of each language is collected. Counts leave a task
+pre-summed, so a hot language or word is no hot key.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be
 learned; null languages teach nothing; a null id counts as the empty text in the split; repeated rows are judged
@@ -19,10 +20,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from hyetos.llm.common import table, written
 LONGEST = 4
 #: Entries of a task's counters before they are passed on.
 FLUSH = 300_000
+#: Characters of the documents whose words are looked up together.
+CHUNK = 5_000_000
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -72,70 +78,52 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(counts)
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Keys whose summed count is at least the least that leaves `most` keys, with their counts by language."""
-    step = F.floor(F.log2("total") * 8).cast("int")
-    sums = counts.groupBy("key").agg(F.sum("n").alias("total"))
-    left, least = most, 0
-    for row in sorted(sums.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # at most 8 x 63 steps
-        left -= row["count"]
-        if left < 0:
-            least = row["step"] + 1
-            break
-    return counts.join(sums.filter(step >= least).select("key"), "key", "left_semi")
+def _vectors(counts: DataFrame, langs: list[str], total: Callable[[Column], Column]) -> DataFrame:
+    """Of every key its log frequency under each language; `total` is what a language's count is divided by."""
+    by = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    one = lambda x: F.log((F.coalesce(F.element_at("by", x), F.lit(0)) + 0.5) / total(x)).cast("float")
+    return by.select("key", F.transform(F.array(*map(F.lit, langs)), one).alias("logs"))
 
 
+@dataclass
 class Model:
-    """Log frequencies of dictionary words and of character strings, a row each, a column for each language."""
-
-    def __init__(self, langs: list[str], words: pa.Table, grams: pa.Table, word_sums: dict[str, int], gram_sums: dict[tuple[str, int], int]):
-        self.langs = langs
-        column = {x: k for k, x in enumerate(langs)}
-        self.rows: dict[str, int] = {}
-        self.gram_rows: dict[str, int] = {}
-        for source, rows in ((words, self.rows), (grams, self.gram_rows)):
-            for key in source.column("key").to_pylist():
-                rows.setdefault(key, len(rows))
-        self.words = np.zeros((len(self.rows), len(langs)), np.float32)
-        self.grams = np.zeros((len(self.gram_rows), len(langs)), np.float32)
-        for source, rows, out in ((words, self.rows, self.words), (grams, self.gram_rows, self.grams)):
-            at = [rows[k] for k in source.column("key").to_pylist()], [column[x] for x in source.column("lang").to_pylist()]
-            out[at] = source.column("n").to_numpy()
-        total = np.array([word_sums[x] for x in langs], np.float64)
-        self.words = np.log((self.words + 0.5) / (total + 0.5 * len(self.rows) + 1)).astype(np.float32)
-        sizes = np.array([len(k) for k in self.gram_rows], np.int64)
-        sums = np.array([[gram_sums.get((x, k), 0) for x in langs] for k in range(LONGEST + 1)], np.float64)
-        self.grams = np.log((self.grams + 0.5) / (sums[sizes] + 0.5 * len(self.gram_rows) + 1)).astype(np.float32) if len(sizes) else self.grams
-
-    def word(self, word: str) -> np.ndarray:
-        if (k := self.rows.get(word)) is not None:
-            return self.words[k]
-        for size in range(LONGEST, 0, -1):
-            if known := [k for g in grams_of(word, size) if (k := self.gram_rows.get(g)) is not None]:
-                return self.grams[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores, place, found = [], [], {}, []
-        for text in texts:
-            words = words_of(text) if text and self.langs else ()
-            if not words:
-                langs.append("und"), scores.append(0.0)
-                continue
-            if len(found) > FLUSH:
-                place, found = {}, []
-            for w in words:
-                if w not in place:
-                    place[w] = len(found)
-                    found.append(self.word(w))
-            times = Counter(map(place.__getitem__, words))
-            z = np.fromiter(times.values(), np.float64, len(times)) @ np.stack([found[k] for k in times]).astype(np.float64)
-            best = int(z.argmax())
-            langs.append(self.langs[best]), scores.append(float(1 / np.exp(z - z[best]).sum()))
-        return langs, scores
-
-
-def learn(docs: DataFrame, *, max_words: int = 100_000, max_grams: int = 150_000, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts of words and of character strings as tables (lang, key, n), their sums by language, and how many keys they have."""
+
+    words: DataFrame
+    grams: DataFrame
+    word_sums: dict[str, int]
+    gram_sums: dict[tuple[str, int], int]
+    n_words: int
+    n_grams: int
+
+    @property
+    def langs(self) -> list[str]:
+        return sorted(self.word_sums)
+
+    def logs(self, asked: DataFrame) -> DataFrame:
+        """(key, logs) of every word of `asked`: its own if it is known, else the mean of its longest known strings."""
+        langs = self.langs
+        sums = F.create_map(*[F.lit(x) for pair in self.word_sums.items() for x in pair])
+        known = _vectors(self.words, langs, lambda x: F.element_at(sums, x) + (0.5 * self.n_words + 1))
+        size_sums = F.create_map(*[F.lit(x) for (lang, size), n in self.gram_sums.items() for x in (f"{size} {lang}", n)])
+        size = F.length("key").cast("string")
+        strings = _vectors(self.grams, langs, lambda x: F.coalesce(F.element_at(size_sums, F.concat_ws(" ", size, x)), F.lit(0)) + (0.5 * self.n_grams + 1))
+        new = asked.select(F.col("key").alias("word")).join(self.words.select(F.col("key").alias("word")).distinct(), "word", "left_anti")
+        backed = new.mapInArrow(_strings, "word string, size int, key string").join(strings, "key")
+        backed = backed.groupBy("word", "size").agg(F.collect_list("logs").alias("all")).groupBy("word").agg(F.max_by("all", "size").alias("all"))
+        nothing = F.transform(F.array(*map(F.lit, langs)), lambda _: F.lit(0.0))
+        mean = F.transform(F.aggregate("all", nothing, lambda x, y: F.zip_with(x, y, lambda a, b: a + b)), lambda x: (x / F.size("all")).cast("float"))
+        return known.unionByName(backed.select(F.col("word").alias("key"), mean.alias("logs")))
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, size, g) for w in batch.column("word").to_pylist() for size in range(1, LONGEST + 1) for g in grams_of(w, size)]
+        for a in range(0, len(rows), FLUSH):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a : a + FLUSH], strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["word", "size", "key"])
+
+
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model from the documents with a text and a language."""
     texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     out = "lang string, key string, n long"
@@ -144,25 +132,92 @@ def learn(docs: DataFrame, *, max_words: int = 100_000, max_grams: int = 150_000
     grams = summed(words.mapInArrow(_count_grams, out))
     word_sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     gram_sums = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", F.length("key").alias("size")).agg(F.sum("n").alias("n")).collect()}
-    return Model(sorted(word_sums), _frequent(words, max_words).toArrow(), _frequent(grams, max_grams).toArrow(), word_sums, gram_sums)
+    return Model(words, grams, word_sums, gram_sums, words.select("key").distinct().count(), grams.select("key").distinct().count())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the chunk that each belongs to; chunks are runs of rows of about CHUNK characters."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        at = []
+        for n in pc.utf8_length(batch.column("text")).to_pylist():
+            at.append(chunk)
+            size += n or 0
+            if size >= CHUNK:
+                chunk, size = chunk + 1, 0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "chunk"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of every chunk that a task reads."""
+    held: dict[int, set[str]] = defaultdict(set)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for chunk, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(words), pa.int64()), pa.array(list(words), pa.string())], ["chunk", "key"])
+        held.clear()
+
+    for batch in batches:
+        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if chunk not in held and sum(map(len, held.values())) > FLUSH:
+                yield from rows()
+            held[chunk].update(words_of(text or ""))
+    yield from rows()
+
+
+def _predict(langs: list[str]):
+    """Judges documents by the words of their chunk, which come first."""
 
+    def judge(text: str | None, place: dict[str, int], logs: np.ndarray) -> tuple[str, float]:
+        times = Counter(words_of(text)) if text and langs else None
+        if not times:
+            return "und", 0.0
+        z = np.fromiter(times.values(), np.float64, len(times)) @ logs[[place[w] for w in times]].astype(np.float64)
+        best = int(z.argmax())
+        return langs[best], float(1 / np.exp(z - z[best]).sum())
 
-def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, parts, logs = None, {}, [], None
         for batch in batches:
-            langs, scores = model.value.predict(batch.column("text").to_pylist())
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            names = [c for c in batch.schema.names if c not in ("chunk", "key", "logs", "text")]
+            chunks = batch.column("chunk").to_numpy()
+            told = batch.column("key").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (told[1:] != told[:-1])) + 1).tolist(), len(chunks)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                part = batch.slice(a, z - a)
+                if chunks[a] != now:
+                    now, place, parts, logs = chunks[a], {}, [], None
+                if told[a]:
+                    for w in part.column("key").to_pylist():
+                        place[w] = len(place)
+                    parts.append(part.column("logs").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs)))
+                    continue
+                if logs is None:
+                    logs = np.concatenate(parts) if parts else np.zeros((0, len(langs)), np.float32)
+                got = [judge(t, place, logs) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*names, "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str]) -> DataFrame:
     """The `carry` columns with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    shipped = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(text_col).alias("text"))
+    shipped = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {t}" for c, t in shipped.dtypes)
     schema = ", ".join(f"{c} {t}" for c, t in shipped.dtypes[:-1]) + ", lang_pred string, score double"
-    return shipped.mapInArrow(_predict(shared), schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "lang_pred", "score")
+    packed = written(shipped.mapInArrow(_pack, kinds + ", chunk long"), "chunks")
+    told = packed
+    if model.langs:
+        asked = written(packed.select("chunk", "text").mapInArrow(_ask, "chunk long, key string").distinct(), "asked")
+        # A word without a known string says nothing about the language.
+        logs = F.coalesce("logs", F.array(*[F.lit(0.0).cast("float")] * len(model.langs)))
+        told = asked.join(model.logs(asked.select("key").distinct()), "key", "left").withColumn("logs", logs).unionByName(packed, allowMissingColumns=True)
+    else:
+        told = told.withColumns({"key": F.lit(None).cast("string"), "logs": F.lit(None).cast("array<float>")})
+    told = told.repartition("chunk").sortWithinPartitions("chunk", F.col("key").isNull())
+    return told.mapInArrow(_predict(model.langs), schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "lang_pred", "score")
 
 
 def held_out(id_col: Column) -> Column:

@@ -261,3 +261,22 @@ def test_iban_ends_where_its_country_says(spark):
     want = {1: [(0, 27)], 2: [(0, 22)], 3: [(0, 27)], 4: [(5, 32), (33, 60), (61, 76)], 5: [], 6: []}
     got = {r.doc_id: [(x.start, x.end) for x in r.pii if x.kind == "iban"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_every_learned_word_is_known_in_each_language(spark):
+    """A rare language's words count beside 150,000 words and strings that are more frequent."""
+    from hyetos.llm.langid import identify, learn
+
+    large = " ".join(f"{a}{b}{c}{d}" * 2 for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst")
+    docs = spark.createDataFrame([(1, f"{large} {large}", "aa"), (2, "abcdzabcd qrstzqrst", "bb")], "doc_id long, text string, lang string")
+    model = learn(docs)
+    assert model.words.select("key").distinct().count() == model.n_words == 160_002
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame([(3, "abcdzabcd"), (4, "xabcdabcdx"), (5, "qrstzqrst qrstzqrst"), (6, "")], "doc_id long, text string"), model, carry=["doc_id"]).collect()}
+    assert (got[3][0], got[5][0], got[6]) == ("bb", "bb", ("und", 0.0))
+    # A word that nobody has: its longest known strings, in plain Python.
+    grams = lambda w, size: [f"^{w}$"[i : i + size] for i in range(len(w) + 3 - size)]
+    counts = {x: Counter(g for w in t.split() for size in range(1, 5) for g in grams(w, size)) for x, t in (("aa", f"{large} {large}"), ("bb", "abcdzabcd qrstzqrst"))}
+    every = set(counts["aa"]) | set(counts["bb"])
+    known = [g for g in grams("xabcdabcdx", 4) if g in every]
+    aa, bb = (sum(math.log((c[g] + 0.5) / (sum(n for k, n in c.items() if len(k) == 4) + 0.5 * len(every) + 1)) for g in known) / len(known) for c in counts.values())
+    assert known and got[4] == ("aa" if aa > bb else "bb", pytest.approx(1 / (1 + math.exp(-abs(aa - bb))), rel=1e-4))
