@@ -601,6 +601,26 @@ def best_offset(spark, d):
     return TY.best_offset(lag_curve(spark, d).withColumn("h", F.col("h").cast("long")), ["band"])
 
 
+def lag_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The curve at every hour from -48 to 48."""
+    sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-48, 49)).withColumn("band", F.col("station_id") % 5)
+    return TY.lag_correlation(sums, ["band"]).withColumn("h", F.col("h").cast("long"))
+
+
+_SWEEP = _CURVE.replace("range(-12, 13, 3)", "range(-48, 49)")
+
+
+@query("band h", "r", with_(_LAGS, _SWEEP, last="SELECT * FROM lc"))
+def lag_correlation_hourly(spark, d):
+    return lag_sweep(spark, d)
+
+
+@query("band best_h band_low band_high", "peak lift", with_(_LAGS, _SWEEP, "pk AS (SELECT band, max(r) AS peak, max(r) FILTER (WHERE h = 0) AS z FROM lc GROUP BY band)", last="""
+  SELECT band, peak, peak - z AS lift, min(h) FILTER (WHERE r = peak) AS best_h, min(h) FILTER (WHERE r >= peak - 0.02) AS band_low, max(h) FILTER (WHERE r >= peak - 0.02) AS band_high FROM lc JOIN pk USING (band) GROUP BY band, peak, z"""))
+def best_offset_hourly(spark, d):
+    return TY.best_offset(lag_sweep(spark, d), ["band"])
+
+
 # Density, smoothing and filling.
 
 _COUNTS = "cells AS (SELECT CAST(least(floor((lat + 10) / 0.5), 9) AS INTEGER) AS lat_i, CAST(least(floor((lon - 95) / 0.5), 9) AS INTEGER) AS lon_i FROM places WHERE lat BETWEEN -10 AND -5 AND lon BETWEEN 95 AND 100), cnt AS (SELECT CAST(g.id // 10 AS INTEGER) AS lat_i, CAST(g.id % 10 AS INTEGER) AS lon_i, (SELECT count(*) FROM cells c WHERE c.lat_i = g.id // 10 AND c.lon_i = g.id % 10) AS count FROM range(100) g(id))"

@@ -31,3 +31,17 @@ def test_against_duckdb(spark, name):
     assert columns == sorted(want.columns)
     rows = lambda t: sorted(map(repr, t[columns].astype(object).where(t[columns].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["lag_correlation_hourly", "best_offset_hourly"])
+def test_every_hour_against_duckdb(spark, name):
+    test_against_duckdb(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_sweep_has_every_hour(spark):
+    from hyetos.plans import catalogue
+
+    got = catalogue.queries()["lag_correlation_hourly"](spark, DATA)
+    assert sorted(r.h for r in got.select("h").distinct().collect()) == list(range(-48, 49))
