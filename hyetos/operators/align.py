@@ -18,15 +18,16 @@ def axis(cells: DataFrame, name: str) -> DataFrame:
     return one.select((F.row_number().over(W.orderBy("x")) - 1).alias("i"), "x")
 
 
-def nearest(source: DataFrame, target: DataFrame, *, bounded: bool = False, ties: str = "larger", key: str = "x") -> DataFrame:
-    """For every target coordinate the nearest source coordinate: (target, source).
+def nearest(source: DataFrame, target: DataFrame, *, bounded: bool = False, ties: str = "larger", key: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """For every target coordinate the nearest source coordinate: (target, source), after the columns `by` where the axes differ by these.
 
     The neighbours come from running maxima and minima over both axes in order, so no pairs are formed. Halfway, the
     larger coordinate wins (`ties="smaller"`: the smaller one). `bounded`: NULL outside the source's range.
     """
-    both = source.select(F.col(key).alias("x"), F.col(key).alias("s")).unionByName(target.select(F.col(key).alias("x"), F.lit(None).cast(dict(source.dtypes)[key]).alias("s")))
-    before = F.max("s").over(W.orderBy("x").rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.min("s").over(W.orderBy("x").rangeBetween(W.currentRow, W.unboundedFollowing))
+    both = source.select(*by, F.col(key).alias("x"), F.col(key).alias("s")).unionByName(target.select(*by, F.col(key).alias("x"), F.lit(None).cast(dict(source.dtypes)[key]).alias("s")))
+    order = W.partitionBy(*by).orderBy("x")
+    before = F.max("s").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min("s").over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
     both = both.withColumns({"lo": before, "hi": after}).filter("s is null")
     number = lambda x: F.unix_date(x) if dict(source.dtypes)[key] == "date" else F.col(x) if isinstance(x, str) else x
     down, up = number("x") - number("lo"), number("hi") - number("x")
@@ -34,7 +35,7 @@ def nearest(source: DataFrame, target: DataFrame, *, bounded: bool = False, ties
     found = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).otherwise(F.when(wins, F.col("hi")).otherwise(F.col("lo")))
     if bounded:
         found = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), found)
-    return both.select(F.col("x").alias("target"), found.alias("source")).distinct()
+    return both.select(*by, F.col("x").alias("target"), found.alias("source")).distinct()
 
 
 def brackets(source: DataFrame, target: DataFrame, key: str = "x") -> DataFrame:

@@ -194,6 +194,14 @@ def nearest_time_asof(spark, d):
     return A.nearest(have, want)
 
 
+@query("supplier target source")
+def nearest_time_asof_by_supplier(spark, d):
+    """Every supplier's nearest shipping day to every order day."""
+    have = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.to_date("l_shipdate").alias("x")).distinct()
+    days = V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("x")).distinct()
+    return A.nearest(have, have.select("supplier").distinct().crossJoin(days), by=["supplier"])
+
+
 _BRACKET = lambda axis: f"""b{axis} AS (
   SELECT f.{axis} AS target, max(c.{axis}) FILTER (WHERE c.{axis} <= f.{axis}) AS lo, min(c.{axis}) FILTER (WHERE c.{axis} >= f.{axis}) AS hi
   FROM (SELECT DISTINCT {axis} FROM grid) f, (SELECT DISTINCT {axis} FROM coarse) c GROUP BY f.{axis}
@@ -585,6 +593,11 @@ def rolling_24h(spark, d):
     return R.rolling_days(V.table(spark, d, "events")).filter("hour % 24 = 0")
 
 
+@query("station_id hour", "ref test", with_(_LAGS, last="SELECT * FROM roll"))
+def rolling_24h_hourly(spark, d):
+    return R.rolling_days(V.table(spark, d, "events"))
+
+
 def lag_curve(spark: SparkSession, d: str) -> DataFrame:
     sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-12, 13, 3)).withColumn("band", F.col("station_id") % 5)
     return TY.lag_correlation(sums, ["band"])

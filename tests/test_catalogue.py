@@ -45,3 +45,25 @@ def test_sweep_has_every_hour(spark):
 
     got = catalogue.queries()["lag_correlation_hourly"](spark, DATA)
     assert sorted(r.h for r in got.select("h").distinct().collect()) == list(range(-48, 49))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_rolling_windows_of_every_hour(spark):
+    from hyetos.plans import catalogue
+
+    test_against_duckdb(spark, "rolling_24h_hourly")
+    assert catalogue.queries()["rolling_24h_hourly"](spark, DATA).filter("hour % 24 <> 0").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_nearest_day_of_every_supplier(spark):
+    from hyetos.plans import catalogue
+
+    db = duckdb.connect()
+    have = {}
+    for k, x in db.sql(f"SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) FROM '{DATA}/lineitem.parquet'").fetchall():
+        have.setdefault(k, []).append(x)
+    days = [x for (x,) in db.sql(f"SELECT DISTINCT CAST(o_orderdate AS DATE) FROM '{DATA}/orders.parquet'").fetchall()]
+    want = {(k, str(x), str(min(xs, key=lambda y: (abs((y - x).days), -y.toordinal())))) for k, xs in have.items() for x in days}
+    got = catalogue.queries()["nearest_time_asof_by_supplier"](spark, DATA).collect()
+    assert len(got) == len(want) and {(r.supplier, r.target, r.source) for r in got} == want
