@@ -2,20 +2,22 @@
 
 Model. Each preceding word is a restaurant whose dishes are the next words; all restaurants share one parent, the
 restaurant of single words, whose parent is uniform over all training words and one unknown word. Every word of the
-training documents is a dish and a context of its own.
-
-Sampling. The state is the number of tables of every (context, word). A sweep draws each from its conditional
-distribution (pitman_yor.draw_tables) with the parent's predictive probabilities of the sweep before, all in parallel;
-tables are the parent's customers, whose seating is drawn next. A pair seen once has one table whatever is drawn, so
-only pairs seen more often are in the state. After `burn` sweeps the predictive probabilities of `samples` sweeps are
-averaged.
-
-Scale. Words are 64-bit hashes, so no task holds a vocabulary, and a pair is known by a hash of both. Pairs of all
-documents are counted once, those of held-out documents with a count of 0: the table has every pair to be scored. The
-tables of words, contexts and pairs meet in shuffled joins, and nothing that grows with the input is broadcast or
-collected. Documents are packed into chunks of about CHUNK tokens; a chunk sends its distinct pairs to the buckets of
-the model, whose number grows with the pairs, and gets their probabilities back. With 10^9 different pairs the chance
-that any two of them share a hash is about 3 %, and then only those two are confused.
+training documents is a dish and a context of its own. Discounts come from how many dishes have one and two customers.
+
+Sampling. The state is the number of tables of every (context, word). A dish with one customer has one table, so only
+dishes with more are kept. In a round every restaurant is swept LOCAL times given the parent's probabilities, each
+sweep in GROUPS of dishes one after the other, then the parent's tables are drawn given its customers, which are the
+tables below. Draws are exact up to 64 customers and Metropolis-Hastings steps above (pitman_yor.draw_tables). After
+`burn` rounds the predictive probabilities of `samples` rounds are averaged.
+
+Scale. Documents are packed into chunks of about CHUNK tokens and become numbers once. A chunk sends its distinct words
+to buckets by hash, which count them and number them, frequent ones low; then its distinct pairs, with their counts, to
+buckets of restaurants. A bucket merges the pairs of all chunks, keeps the state of its restaurants, and exchanges with
+the buckets of words: tables one way, the parent's seating the other. All of these are groups of about BUCKET entries,
+whose number grows with the input; a context of more than SLICE tokens is dealt by its next word over several buckets,
+which tell each other their tables. Nothing that grows with the input is broadcast or collected.
+Words are known by 64-bit hashes: with 10^9 different words the chance that any two share one is about 3 %, and then
+only those two are confused.
 
 Edge cases: a null or empty text is one end token; without learning documents all words are unknown and the model is
 uniform; a null id counts as the empty text in the split; rows with the same id and text score alike and stay; extra
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,243 +35,344 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyetos.llm.chunks import coded, cuts_of, hashes, spread, squeeze, word_tokens
 from hyetos.llm.common import discard, table, written
 from hyetos.llm.pitman_yor import discount_of, draw_tables, stirling
 
 STRENGTH = 1.0
-#: Tokens of a chunk of documents; pairs that a counting task holds; pairs of a bucket; words whose hashes a task remembers.
-CHUNK, HELD, BUCKET, MEMO = 500_000, 3_000_000, 2_000_000, 1_000_000
-END = b""
-#: Contexts that no token has: the start of a text, and the one under which counts of single words are looked up.
-START, SINGLE = np.int64(1), np.int64(2)
+#: Tokens of a chunk of documents; entries of a bucket; tokens of a context that one bucket holds.
+CHUNK, BUCKET, SLICE = 2_000_000, 1_000_000, 500_000
+#: Sweeps of a restaurant in a round, and parts of a sweep that are drawn one after the other.
+LOCAL, GROUPS = 2, 4
+#: The context at the start of a text; words are numbered from 1.
+START = 0
 
+CHUNKS = "chunk long, docs array<long>, held array<boolean>, sizes binary, words binary, codes binary"
+NUMBERED = "chunk long, docs array<long>, held array<boolean>, sizes binary, ids binary, seen binary, codes binary"
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, A-Z lower-cased, then the end."""
-    return [*(text or b"").lower().split(), END]
 
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.Table.from_pylist(rows, pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in schema.split(", "))]))
 
-class Ids(dict):
-    """The 64-bit hash of each token."""
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = out = int.from_bytes(blake2b(token, digest_size=8).digest(), "little", signed=True)
-        return out
+def _batches(schema: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    yield from _table(schema, rows).to_batches()
 
 
-def key_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of each pair."""
-    with np.errstate(over="ignore"):
-        x = np.asarray(context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(word).astype(np.uint64)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return x ^ x >> np.uint64(31)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk of documents: its distinct words' hashes in order, and the number of each token's word."""
+    chunk, size, docs, held, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
 
+    def row() -> Iterator[pa.RecordBatch]:
+        words, codes, sizes = coded(word_tokens(texts), end=True)
+        found, place = np.unique(hashes(words), return_inverse=True)
+        yield from _batches(CHUNKS, [{"chunk": chunk, "docs": docs, "held": held, "sizes": squeeze(sizes), "words": found.tobytes(), "codes": squeeze(place[codes])}])
 
-def _pairs(found: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array([START, *[ids[w] for w in found]], np.int64)
-    return at[:-1], at[1:]
+    for batch in batches:
+        for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "held_out", "text")), strict=True):
+            docs.append(doc), held.append(out), texts.append(text)
+            size += len(text or "") // 6 + 1
+            if size >= CHUNK:
+                yield from row()
+                chunk, size, docs, held, texts = chunk + 1, 0, [], [], []
+    if docs:
+        yield from row()
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _learns(row: dict, sizes: np.ndarray) -> np.ndarray:
+    """Of every token of a chunk, whether the model learns from it."""
+    return np.repeat(~np.array(row["held"], bool), sizes)
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(keys, contexts, words, counts) with every key once."""
-    keys, contexts, words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, contexts[first], words[first], np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+WORDS = "bucket int, chunk long, words binary, n binary"
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their counts in the training documents: 0 where only held-out ones have them."""
-    ids, held, parts, size = Ids(), [], [], 0
+def _ask_words(buckets: int):
+    """The words of every chunk with their training counts, by bucket; buckets are ranges of hashes."""
 
-    def put() -> None:
-        held.append(_merged(parts))
-        parts.clear()
-        if len(held) >= 6:
-            held[:] = [_merged(held)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, codes = np.frombuffer(row["words"], np.uint64), spread(row["codes"])
+                n = np.bincount(codes[_learns(row, spread(row["sizes"]))], minlength=len(words))
+                where = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                yield from _batches(WORDS, [{"bucket": b, "chunk": row["chunk"], "words": words[a:z].tobytes(), "n": squeeze(n[a:z])} for b, a, z in cuts_of(where)])
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        _, contexts, words, n = _merged(held)
-        held.clear()
-        for a in range(0, len(n), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (contexts, words, n)], ["context", "word", "n"])
+    return run
 
-    for batch in batches:
-        for text, out in zip(_texts(batch), batch.column("held_out").to_pylist(), strict=True):
-            contexts, words = _pairs(tokens(text), ids)
-            parts.append((key_of(contexts, words), contexts, words, np.full(len(words), 0 if out else 1)))
-            size += len(words)
-            if size >= 2 * CHUNK:
-                put()
-                size = 0
-                if len(held) == 1 and len(held[0][0]) > HELD:
-                    yield from rows()
-    if parts:
-        put()
-    if held:
-        yield from rows()
 
+NAMES = "bucket int, chunk long, ids binary, seen binary, types long, tokens long"
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of documents."""
-    chunk, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
 
-    def row() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.bool_(), pa.binary())
-        out = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([x], pa.list_(t)) for x, t in zip(held, kinds, strict=True)]], ["chunk", "doc", "held_out", "text"])
-        for x in held:
-            x.clear()
-        return out
+def _number(buckets: int):
+    """Numbers the words of a bucket, frequent ones first, and tells each chunk those of its words and their counts."""
 
-    for batch in batches:
-        for one in zip(batch.column("doc").to_pylist(), batch.column("held_out").to_pylist(), _texts(batch), strict=True):
-            for x, v in zip(held, one, strict=True):
-                x.append(v)
-            size += len(one[2] or b"") // 5 + 1
-            if size >= CHUNK:
-                yield row()
-                chunk, size = chunk + 1, 0
-    if held[0]:
-        yield row()
+    def run(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        parts = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words, place = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(place, np.concatenate([spread(r["n"]) for r in rows]), len(words)).astype(np.int64)
+        ids = np.empty(len(words), np.int64)
+        ids[np.argsort(-n, kind="stable")] = np.arange(len(words)) * buckets + rows[0]["bucket"] + 1
+        at, out = 0, []
+        for r, part in zip(rows, parts, strict=True):
+            mine = place[at : at + len(part)]
+            at += len(part)
+            out.append({"bucket": r["bucket"], "chunk": r["chunk"], "ids": squeeze(ids[mine]), "seen": squeeze(n[mine]), "types": 0, "tokens": 0})
+        out[0] |= {"types": int((n > 0).sum()), "tokens": int(n.sum())}
+        return _table(NAMES, out)
 
+    return run
 
-def _draw(discount: float, seed: int, keep: bool):
-    """A draw of the tables of every pair; `keep` adds it to their sum."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, rng = stirling(discount), np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for batch in batches:
-            n, t, t_sum, p, tables = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "t", "t_sum", "p", "tables"))
-            t = draw_tables(n, p, tables - t, STRENGTH, discount, rng, logs) if len(n) else t
-            yield pa.RecordBatch.from_arrays([batch.column("context"), batch.column("word"), batch.column("n"), pa.array(t), pa.array(t_sum + t * keep)], ["context", "word", "n", "t", "t_sum"])
+def _name(chunk: pa.Table, names: pa.Table) -> pa.Table:
+    """The chunk with the numbers and counts of its words in place of their hashes."""
+    told = names.sort_by("bucket").to_pylist()
+    row = chunk.to_pylist()[0]
+    ids, seen = (squeeze(np.concatenate([spread(x[c]) for x in told])) for c in ("ids", "seen"))
+    return _table(NUMBERED, [{**{c: row[c] for c in ("chunk", "docs", "held", "sizes", "codes")}, "ids": ids, "seen": seen}])
 
-    return run
+
+def _chunk_pairs(row: dict, starts: int, buckets: int):
+    """Of a chunk: bucket, context, its count, word and training count of every distinct pair in order of those, and each token's place among them."""
+    sizes, codes, ids, seen = (spread(row[c]) for c in ("sizes", "codes", "ids", "seen"))
+    ids, seen, most = np.append(ids, START), np.append(seen, starts), len(ids) + 1
+    before = np.concatenate([[0], codes[:-1]])
+    before[np.cumsum(sizes) - sizes] = len(ids) - 1
+    found, place = np.unique(before * most + codes, return_inverse=True)
+    n = np.bincount(place[_learns(row, sizes)], minlength=len(found))
+    c, w = found // most, found % most
+    context, count, word = ids[c], seen[c], ids[w]
+    mixed = (context * 0x9E3779B1 + word % (count // SLICE + 1) * 0x85EBCA6B & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF
+    bucket = (mixed ^ mixed >> 15) % buckets
+    order = np.lexsort((word, context, bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return bucket[order], context[order], count[order], word[order], n[order], rank[place]
 
 
-def _seat(base: float, total: int, discount: float, seed: int):
-    """A draw of the tables of every word in the parent, whose own parent is uniform."""
+PAIRS = "bucket int, chunk long, contexts binary, counts binary, runs binary, words binary, n binary"
+
+
+def _ask_pairs(starts: int, buckets: int):
+    """The distinct pairs of every chunk, by bucket of restaurants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, rng = stirling(discount), np.random.default_rng([seed, 1, TaskContext.get().partitionId()])
         for batch in batches:
-            customers, seats = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("customers", "seats"))
-            if len(seats):
-                seats = draw_tables(customers, np.full(len(seats), base), total - seats, STRENGTH, discount, rng, logs)
-            yield pa.RecordBatch.from_arrays([pa.array(seats) if c == "seats" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+            for row in batch.to_pylist():
+                bucket, context, count, word, n, _ = _chunk_pairs(row, starts, buckets)
+                for b, a, z in cuts_of(bucket):
+                    runs = np.array([y - x for _, x, y in cuts_of(context[a:z])])
+                    first = a + np.cumsum(runs) - runs
+                    yield from _batches(PAIRS, [{"bucket": b, "chunk": row["chunk"], "contexts": squeeze(context[first]), "counts": squeeze(count[first]), "runs": squeeze(runs), "words": squeeze(word[a:z]), "n": squeeze(n[a:z])}])
 
     return run
 
 
-def _model(buckets: int):
-    """Keys and values in blobs, by bucket."""
+def _merge(rows: list[dict]):
+    """Of a bucket: its contexts, their counts, its words, and of every pair its place of context and word and its training count; and each asked pair's place."""
+    runs = [spread(r["runs"]) for r in rows]
+    context = np.concatenate([np.repeat(spread(r["contexts"]), k) for r, k in zip(rows, runs, strict=True)])
+    contexts, first, c = np.unique(context, return_index=True, return_inverse=True)
+    counts = np.concatenate([np.repeat(spread(r["counts"]), k) for r, k in zip(rows, runs, strict=True)])[first]
+    words, w = np.unique(np.concatenate([spread(r["words"]) for r in rows]), return_inverse=True)
+    found, place = np.unique(c * len(words) + w, return_inverse=True)
+    n = np.bincount(place, np.concatenate([spread(r["n"]) for r in rows]), len(found)).astype(np.int64)
+    return contexts, counts, words, found // len(words), found % len(words), n, place
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            for b, at in _dealt(keys, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int64()), pa.array([keys[at].tobytes()], pa.binary()), pa.array([values[at].tobytes()], pa.binary())], ["bucket", "chunk", "keys", "found"])
+#: A message about words or contexts: from a bucket of restaurants to one of words, or back.
+MESSAGE = "kind int, bucket int, peer int, places binary, values binary, more array<binary>"
+#: The state of a bucket's restaurants. Every dish in it has more than one customer.
+STATE = "kind int, bucket int, contexts binary, counts binary, ones binary, words binary, c binary, w binary, n binary, t binary, t_sum binary, free array<binary>, once long, twice long"
+TABLES, CONTEXTS, SINGLES, RESTAURANTS = 0, 1, 2, 3
+BOTH = STATE + ", peer int, places binary, values binary, more array<binary>"
 
-        for batch in batches:
-            context, word, value = (batch.column(c).to_numpy() for c in ("context", "word", "value"))
-            held.append((key_of(context, word), value.astype(np.float32)))
-            size += len(word)
-            if size > BUCKET:
-                yield from rows()
-                size = 0
-        if held:
-            yield from rows()
 
-    return run
+def _messages(kind: int, bucket: int, ids: np.ndarray, values: np.ndarray, parts: int) -> list[dict]:
+    """What a bucket says of some words, for each bucket of words."""
+    order = np.lexsort((ids, ids % parts))
+    ids, values = ids[order], values[order]
+    return [{"kind": kind, "bucket": bucket, "peer": p, "places": squeeze(ids[a:z] // parts), "values": squeeze(values[a:z])} for p, a, z in cuts_of(ids % parts)]
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of the keys of each bucket."""
-    where = (keys >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[order])) + 1
-    for at in np.split(order, cuts):
-        if len(at):
-            yield int(where[at[0]]), at
+def _told(rows: list[dict], kind: int, ids: np.ndarray, parts: int, column=lambda r: np.frombuffer(r["values"], np.float64)) -> np.ndarray:
+    """The answers to `_messages` about these words, in their order."""
+    out = np.zeros(len(ids))
+    order = np.lexsort((ids, ids % parts))
+    found = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["peer"])
+    out[order] = np.concatenate([column(r) for r in found]) if found else 0.0
+    return out
 
 
-def _chunk_keys(texts: list[bytes | None], ids: Ids) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Of a chunk: the tokens of each text, the keys of all its pairs, and those of all its words."""
-    both = [_pairs(tokens(t), ids) for t in texts]
-    words = np.concatenate([w for _, w in both])
-    return [len(w) for _, w in both], key_of(np.concatenate([c for c, _ in both]), words), key_of(np.full(len(words), SINGLE), words)
+def _sums(bucket: int, words: np.ndarray, w: np.ndarray, t: np.ndarray, contexts: np.ndarray, counts: np.ndarray, tables: np.ndarray, parts: int) -> list[dict]:
+    """Messages with the tables of every word and of every context that other buckets have a part of."""
+    wide = counts >= SLICE
+    return _messages(TABLES, bucket, words, np.bincount(w, t, len(words)).astype(np.int64), parts) + _messages(CONTEXTS, bucket, contexts[wide], tables[wide], parts)
 
 
-def _ask(buckets: int):
-    """The distinct keys of every chunk, by bucket."""
+def _found(parts: int):
+    """The first state of a bucket's restaurants, with a table for each dish, and its first messages."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, pairs, words = _chunk_keys(batch.column("text")[k].as_py(), ids)
-                keys = np.unique(np.concatenate([pairs, words]))
-                for b, at in _dealt(keys, buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), batch.column("chunk").slice(k, 1), pa.array([keys[at].tobytes()], pa.binary()), pa.array([None], pa.binary())], ["bucket", "chunk", "keys", "found"])
+    def run(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        bucket = rows[0]["bucket"]
+        contexts, counts, words, c, w, n, _ = _merge(rows)
+        ones = np.bincount(c[n == 1], minlength=len(contexts))
+        more = n > 1
+        dishes, place = np.unique(w[more], return_inverse=True)
+        state = {
+            "kind": RESTAURANTS, "bucket": bucket, "contexts": squeeze(contexts), "counts": squeeze(counts), "ones": squeeze(ones), "words": squeeze(words[dishes]), "c": squeeze(c[more]), "w": squeeze(place),
+            "n": squeeze(n[more]), "t": squeeze(np.ones(int(more.sum()), np.int64)), "t_sum": squeeze(np.zeros(int(more.sum()), np.int64)), "free": [], "once": int((n == 1).sum()), "twice": int((n == 2).sum()),
+        }
+        single = np.bincount(w[n == 1], minlength=len(words))
+        tables = ones + np.bincount(c[more], minlength=len(contexts))
+        messages = _messages(SINGLES, bucket, words, single, parts) + _sums(bucket, words[dishes], place, np.ones(len(place), np.int64), contexts, counts, tables, parts)
+        return _table(BOTH, [state, *messages])
 
     return run
 
 
-def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers to the chunks; rows are sorted by bucket, and the model's come first."""
-    bucket, parts, known = None, [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket:
-                bucket, parts, known = row["bucket"], [], None
-            keys = np.frombuffer(row["keys"], np.uint64)
-            if row["found"] is not None:
-                parts.append((keys, np.frombuffer(row["found"], np.float32)))
-                continue
-            if known is None:
-                all_keys, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
-                order = np.argsort(all_keys)
-                known, parts = (all_keys[order], values[order]), []
-            found = np.zeros(len(keys), np.float32)
-            if len(known[0]):
-                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                found = np.where(known[0][at] == keys, known[1][at], np.float32(0))
-            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["keys"]], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["chunk", "keys", "found"])
+class _Restaurants:
+    """A bucket's state with what the buckets of words say."""
+
+    def __init__(self, rows: list[dict], parts: int, discount: float):
+        state = next(r for r in rows if r["kind"] == RESTAURANTS)
+        self.bucket, self.free, self.discount, self.rows, self.parts = state["bucket"], list(state["free"] or []), discount, rows, parts
+        self.contexts, self.counts, self.ones, self.words, self.c, self.w, self.n, self.t, self.t_sum = (spread(state[k]) for k in ("contexts", "counts", "ones", "words", "c", "w", "n", "t", "t_sum"))
+        wide = self.counts >= SLICE
+        self.others = np.zeros(len(self.contexts))
+        self.others[wide] = _told(rows, CONTEXTS, self.contexts[wide], parts)
+        if wide.any():  # what is told includes the bucket's own
+            self.others -= np.where(wide, self.tables(), 0)
+
+    def tables(self) -> np.ndarray:
+        return self.ones + np.bincount(self.c, self.t, len(self.contexts))
+
+    def keep(self) -> None:
+        """The tables as they are become a sample."""
+        self.t_sum = self.t_sum + self.t
+        share = (STRENGTH + self.discount * (self.tables() + self.others)) / (STRENGTH + self.counts)
+        self.free.append(share.astype(np.float32).tobytes())
+
+    def sweep(self, p: np.ndarray, rng: np.random.Generator) -> None:
+        logs = stirling(self.discount)
+        for k in range(LOCAL):
+            part = rng.integers(0, GROUPS, len(self.n))
+            for g in range(GROUPS):
+                at = np.flatnonzero((part == g) & ((self.n <= len(logs) - 1) | (k == 0)))
+                if len(at):
+                    others = (self.tables() + self.others)[self.c[at]] - self.t[at]
+                    self.t[at] = draw_tables(self.n[at], p[at], others, STRENGTH, self.discount, rng, logs, self.t[at])
+
+    def row(self) -> dict:
+        names = ("contexts", "counts", "ones", "words", "c", "w", "n", "t", "t_sum")
+        return {"kind": RESTAURANTS, "bucket": self.bucket, **{k: squeeze(getattr(self, k)) for k in names}, "free": self.free, "once": 0, "twice": 0}
+
+
+def _draw(parts: int, discount: float, rest: float, total: float, seed: int, keep: bool):
+    """A round of the restaurants of a bucket; `keep` first makes a sample of what the round before left."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = _Restaurants(rows.to_pylist(), parts, discount)
+        if keep:
+            own.keep()
+        p = (_told(own.rows, TABLES, own.words, parts) + rest) / total
+        own.sweep(p[own.w], np.random.default_rng([seed, own.bucket]))
+        return _table(BOTH, [own.row(), *_sums(own.bucket, own.words, own.w, own.t, own.contexts, own.counts, own.tables(), parts)])
+
+    return run
+
+
+SEATS = "kind int, peer int, customers binary, seats binary, more array<binary>, n_customers long, n_seats long, once long, twice long, bucket int, values binary"
+SEATED = 4
+
+
+def _seat(discount: float, base: float, seated: int, seed: int, keep: bool):
+    """A draw of the parent's tables for the words of a bucket, and answers to the buckets of restaurants."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        peer, state = rows[0]["peer"], next((r for r in rows if r["kind"] == SEATED), None)
+        said = [(r, spread(r["places"]), spread(r["values"])) for r in rows if r["kind"] != SEATED]
+        most = 1 + max((int(x.max()) for r, x, _ in said if r["kind"] == SINGLES), default=-1)
+        if state is None:  # the first round; there is a message about every word
+            single, seats, more = np.zeros(most), np.zeros(most, np.int64), []
+            for r, places, values in said:
+                if r["kind"] == SINGLES:
+                    np.add.at(single, places, values)
+        else:
+            single, seats, more = spread(state["customers"]).astype(float), spread(state["seats"]), list(state["more"] or [])
+        customers, tables = single.copy(), np.zeros(max([len(single), *[1 + int(x.max()) for r, x, _ in said if r["kind"] == CONTEXTS]]))
+        for r, places, values in said:
+            if r["kind"] != SINGLES:
+                np.add.at(customers if r["kind"] == TABLES else tables, places, values)
+        customers = customers.astype(np.int64)
+        at = np.flatnonzero(customers)
+        if state is None:
+            seats[at] = 1
+        else:
+            seats[at] = draw_tables(customers[at], np.full(len(at), base), seated - seats[at].astype(float), STRENGTH, discount, np.random.default_rng([seed, 1, peer]), stirling(discount), seats[at])
+        value = customers - discount * seats
+        answers = [{"kind": r["kind"], "peer": peer, "bucket": r["bucket"], "values": (value if r["kind"] == TABLES else tables)[places].tobytes()} for r, places, _ in said if r["kind"] != SINGLES]
+        own = {
+            "kind": SEATED, "peer": peer, "customers": squeeze(single.astype(np.int64)), "seats": squeeze(seats), "more": [*more, value.astype(np.float32).tobytes()] if keep else more,
+            "n_customers": int(customers.sum()), "n_seats": int(seats.sum()), "once": int((customers == 1).sum()), "twice": int((customers == 2).sum()),
+        }
+        return _table(SEATS, [own, *answers])
+
+    return run
+
+
+def _last_words(rows: pa.Table) -> pa.Table:
+    """What the samples of the parent say of every word that a bucket asks about."""
+    rows = rows.to_pylist()
+    state = next(r for r in rows if r["kind"] == SEATED)
+    more = [np.frombuffer(x, np.float32) for x in state["more"] or []]
+    return _table(MESSAGE, [{"kind": SINGLES, "bucket": r["bucket"], "peer": r["peer"], "places": None, "values": None, "more": [x[spread(r["places"])].tobytes() for x in more]} for r in rows if r["kind"] == SINGLES])
+
+
+VALUES = "chunk long, bucket int, values binary"
+
+
+def _values(parts: int, discount: float, seatings: list[tuple[float, float]]):
+    """The averaged probability of every pair that a chunk asked for."""
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        contexts, counts, words, c, w, n, place = _merge(rows)
+        own = _Restaurants(told.to_pylist(), parts, discount)
+        own.keep()
+        value = np.zeros(len(n))
+        for k, (rest, total) in enumerate(seatings):
+            p = (_told(own.rows, SINGLES, words, parts, lambda r, k=k: np.frombuffer(r["more"][k], np.float32)) + rest) / total
+            value += np.frombuffer(own.free[k], np.float32)[c] * p[w] / len(seatings)
+        tables = n.astype(float)
+        tables[n > 1] = own.t_sum / len(seatings)
+        value = (value + (n - discount * tables) / (STRENGTH + counts[c])).astype(np.float32)[place]
+        ends = np.cumsum([int(spread(r["runs"]).sum()) for r in rows])
+        return _table(VALUES, [{"chunk": r["chunk"], "bucket": r["bucket"], "values": x.tobytes()} for r, x in zip(rows, np.split(value, ends[:-1]), strict=True)])
+
+    return run
 
 
 RESULT = "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(total: int, types: int):
-    """Scores of the documents of a chunk, whose answers come first."""
+def _score(starts: int, buckets: int, total: int, types: int):
+    """Scores of the documents of a chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts = Ids(), []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["text"] is None:
-                    parts.append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["found"], np.float32)))
-                    continue
-                keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-                parts = []
-                order = np.argsort(keys)
-                keys, values = keys[order], values[order]
-                sizes, pairs, words = _chunk_keys(row["text"], ids)
-                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                n = values[np.searchsorted(keys, words)].astype(float)
-                base = np.add.reduceat(np.log10((n + 0.1) / (total + 0.1 * (types + 1))), cuts)
-                score = np.add.reduceat(np.log10(values[np.searchsorted(keys, pairs)].astype(float)), cuts)
-                columns = [row["doc"], row["held_out"], sizes, np.add.reduceat((n > 0).astype(np.int64), cuts), base, score]
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
+    def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        place = _chunk_pairs(row, starts, buckets)[-1]
+        values = np.concatenate([np.frombuffer(x, np.float32) for x in told.sort_by("bucket").column("values").to_pylist()])
+        sizes, n = spread(row["sizes"]), spread(row["seen"])[spread(row["codes"])]
+        cuts = np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10((n + 0.1) / (total + 0.1 * (types + 1))), cuts)
+        score = np.add.reduceat(np.log10(values.astype(np.float64))[place], cuts)
+        columns = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat((n > 0).astype(np.int64), cuts)), pa.array(base), pa.array(score)]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
@@ -289,72 +391,52 @@ def _kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     return out
 
 
-def _few(df: DataFrame, column: str) -> tuple[int, int, int]:
-    """How many rows have 1 and 2 in the column, and its sum."""
-    got = df.agg(F.count(F.when(F.col(column) == 1, 1)).alias("a"), F.count(F.when(F.col(column) == 2, 1)).alias("b"), F.coalesce(F.sum(column), F.lit(0)).alias("n")).first()
-    return got["a"], got["b"], got["n"]
-
-
-def train(pairs: DataFrame, burn: int, samples: int, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """(pairs with their probabilities, words with their counts, training tokens, their types)."""
-    seen = pairs.filter("n > 0")
-    once, twice, total = _few(seen, "n")
-    discount = discount_of(once, twice)
-    ones = F.count(F.when(F.col("n") == 1, 1))
-    none = F.expr("cast(array() as array<double>)")
-    words = written(seen.groupBy("word").agg(F.sum("n").alias("n"), ones.alias("ones")), "words").withColumns({"seats": F.lit(0).cast("long"), "p": none})
-    contexts = written(seen.groupBy("context").agg(F.sum("n").alias("n"), ones.alias("ones")), "contexts").withColumn("free", none)
-    state = seen.filter("n > 1").withColumns({"t": F.lit(1).cast("long"), "t_sum": F.lit(0).cast("long")})
-    types = words.count()
-    base, spent, all_seats = 1.0 / (types + 1), [], 0
-    parent, unknown = F.lit(base), []
-    added = lambda df, by, to: df.join(state.groupBy(by).agg(F.sum("t").alias("t")), by, "left").withColumn(to, F.col("ones") + F.coalesce("t", F.lit(0))).drop("t")
-    tables = added(contexts, "context", "tables")
-    for k in range(burn + samples):
-        keep = k >= burn
-        ready = state.join(tables.select("context", "tables"), "context").join(words.select("word", parent.alias("p")), "word")
-        state = _kept(ready.mapInArrow(_draw(discount, seed + k, keep), "context long, word long, n long, t long, t_sum long"), "state")
-        tables = added(contexts, "context", "tables").withColumn("free", F.concat("free", F.array((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("n")))) if keep else F.col("free"))
-        tables = _kept(tables, "tables")
-        contexts = tables.drop("tables")
-        counted = _kept(added(words.drop("customers"), "word", "customers"), "customers")
-        a, b, customers = _few(counted, "customers")
-        seated = discount_of(a, b)
-        drawn = _kept(counted.mapInArrow(_seat(base, all_seats, seated, seed + k), counted.schema), "seats", counted)
-        all_seats = drawn.agg(F.coalesce(F.sum("seats"), F.lit(0))).first()[0]
-        rest = (STRENGTH + seated * all_seats) * base / (STRENGTH + customers)
-        parent = (F.col("customers") - seated * F.col("seats")) / (STRENGTH + customers) + rest
-        words = drawn.withColumn("p", F.concat("p", F.array(parent))) if keep else drawn
-        if keep:
-            unknown.append(rest)
-        for x in spent:
-            discard(x)
-        spent = [state, tables, drawn]
-    # Words and contexts outside the training documents: the parent's unknown word, and an empty restaurant.
-    known = pairs.join(state.select("context", "word", "t_sum"), ["context", "word"], "left") if samples else pairs
-    known = known.join(contexts.select("context", F.col("n").alias("customers"), "free"), "context", "left").join(words.select("word", "p"), "word", "left")
-    p, free = F.coalesce("p", F.array(*map(F.lit, unknown))), F.coalesce("free", F.array(*[F.lit(1.0)] * samples))
-    tables_of = F.when(F.col("n") > 1, F.col("t_sum") / samples).otherwise(F.col("n"))
-    value = (F.col("n") - discount * tables_of) / (STRENGTH + F.coalesce("customers", F.lit(0))) + F.aggregate(F.zip_with(free, p, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / samples
-    return known.select("context", "word", value.alias("value")), words.select("word", "n"), total, types
-
-
-def lm_scores(docs: DataFrame, *, burn: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, burn: int = 4, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    counted = rows.select("text", "held_out").mapInArrow(_count_pairs, "context long, word long, n long")
-    pairs = _kept(counted.groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
-    known, words, total, types = train(pairs, burn, samples, seed)
-    known = known.unionByName(words.select(F.lit(int(SINGLE)).cast("long").alias("context"), "word", F.col("n").cast("double").alias("value")))
-
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BUCKET + 1)
-    schema = "bucket int, chunk long, keys binary, found binary"
-    model = _kept(known.mapInArrow(_model(buckets), schema), "model", pairs)
-    chunks = written(rows.mapInArrow(_pack, "chunk long, doc array<long>, held_out array<boolean>, text array<binary>"), "chunks")
-    asked = chunks.select("chunk", "text").mapInArrow(_ask(buckets), schema)
-    answers = model.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_lookup, "chunk long, keys binary, found binary")
-    told = answers.unionByName(chunks, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull())
-    out = told.select("chunk", "keys", "found", "doc", "held_out", "text").mapInArrow(_score(total, types), RESULT)
+    packed = _kept(rows.mapInArrow(_pack, CHUNKS), "chunks")
+    counted = packed.agg(F.sum(F.octet_length("words") / 8).alias("words"), F.sum((F.octet_length("codes") - 1) / F.conv(F.hex(F.substring("codes", 1, 1)), 16, 10).cast("int")).alias("tokens"),
+                         F.sum(F.size(F.filter("held", lambda x: ~x))).alias("starts")).first()
+    parts, buckets, starts = (int(x or 0) for x in ((counted["words"] or 0) // BUCKET + 1, (counted["tokens"] or 0) // BUCKET + 1, counted["starts"]))
+    names = _kept(packed.select("chunk", "held", "sizes", "words", "codes").mapInArrow(_ask_words(parts), WORDS).groupBy("bucket").applyInArrow(_number(parts), NAMES), "names")
+    sums = names.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
+    types, total = sums["types"] or 0, sums["tokens"] or 0
+    chunks = _kept(packed.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_name, NUMBERED), "numbered", packed, names)
+    asked = chunks.mapInArrow(_ask_pairs(starts, buckets), PAIRS)
+
+    both = _kept(asked.groupBy("bucket").applyInArrow(_found(parts), BOTH), "state")
+    message = [c.split()[0] for c in MESSAGE.split(", ")]
+    singles = _kept(both.filter(F.col("kind") == SINGLES).select(*message), "singles")
+    few = both.filter(F.col("kind") == RESTAURANTS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    discount, base = discount_of(few["once"] or 0, few["twice"] or 0), 1.0 / (types + 1)
+    state = lambda: both.filter(F.col("kind") == RESTAURANTS)
+    said = lambda: both.filter(F.col("kind").isin(TABLES, CONTEXTS)).select(*message)
+    seats = _kept(said().unionByName(singles).groupBy("peer").applyInArrow(_seat(discount, base, 0, seed, False), SEATS), "seats")
+    parent, seatings = 0.0, []
+    for k in range(burn + samples + 1):
+        own = seats.filter(F.col("kind") == SEATED)
+        got = own.agg(*[F.sum(c).alias(c) for c in ("n_customers", "n_seats", "once", "twice")]).first()
+        parent = parent or discount_of(got["once"] or 0, got["twice"] or 0)
+        seated, customers = got["n_seats"] or 0, got["n_customers"] or 0
+        # The first answers are taken by the pairs' discount, of one table a word: only a place to begin.
+        rest = (STRENGTH + (parent if k else discount) * seated) * base
+        if k > burn:
+            seatings.append((rest, STRENGTH + customers))
+        answers = seats.filter(F.col("kind") != SEATED).select("kind", "bucket", "peer", "values")
+        told = state().unionByName(answers, allowMissingColumns=True)
+        if k == burn + samples:
+            break
+        before = both
+        both = _kept(told.groupBy("bucket").applyInArrow(_draw(parts, discount, rest, STRENGTH + customers, seed + k, k > burn), BOTH), "state")
+        discard(before)
+        before = seats
+        seats = _kept(said().unionByName(own.drop("bucket", "values"), allowMissingColumns=True).groupBy("peer").applyInArrow(_seat(parent, base, seated, seed + k, k >= burn), SEATS), "seats")
+        discard(before)
+    words = seats.filter(F.col("kind") == SEATED).select("kind", "peer", "more")
+    last = _kept(singles.drop("more").unionByName(words, allowMissingColumns=True).groupBy("peer").applyInArrow(_last_words, MESSAGE), "last", singles)
+    told = told.unionByName(last, allowMissingColumns=True)
+    values = _kept(asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_values(parts, discount, seatings), VALUES), "values", both, seats, last)
+    out = chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_score(starts, buckets, total, types), RESULT)
     return out.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
