@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyetos.llm.chunks import coded, cuts_of, hashes, spread, squeeze, word_tokens
+from hyetos.llm.chunks import cuts_of, distinct, runs, spread, squeeze
 from hyetos.llm.common import discard, table, written
 from hyetos.llm.pitman_yor import discount_of, draw_tables, stirling
 
 STRENGTH = 1.0
 #: Tokens of a chunk of documents; entries of a bucket; tokens of a context that one bucket holds.
-CHUNK, BUCKET, SLICE = 2_000_000, 1_000_000, 500_000
+CHUNK, BUCKET, SLICE = 2_000_000, 1_500_000, 500_000
 #: Sweeps of a restaurant in a round, and parts of a sweep that are drawn one after the other.
 LOCAL, GROUPS = 2, 4
 #: The context at the start of a text; words are numbered from 1.
@@ -60,22 +60,42 @@ def _batches(schema: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
     yield from _table(schema, rows).to_batches()
 
 
+#: What bytes belong to words; the hash of the end.
+IN_WORD = np.array([x not in b"\t\n\x0b\x0c\r " for x in range(256)])
+END = np.uint64(0)
+#: Bytes of text that are hashed together.
+PIECE = 1 << 21
+
+
+def _hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of these texts, each with its end, and how many each text has."""
+    units = np.frombuffer(b"".join(x for t in texts for x in ((t or b"").lower(), b" ")), np.uint8)
+    starts, _, h = runs(units, IN_WORD[units])
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t or b"") + 1 for t in texts]])))
+    return np.insert(h, np.cumsum(sizes), END), sizes + 1
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk of documents: its distinct words' hashes in order, and the number of each token's word."""
-    chunk, size, docs, held, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
+    chunk, size, docs, held, texts, waiting, done = TaskContext.get().partitionId() << 32, 0, [], [], [], 0, []
 
     def row() -> Iterator[pa.RecordBatch]:
-        words, codes, sizes = coded(word_tokens(texts), end=True)
-        found, place = np.unique(hashes(words), return_inverse=True)
-        yield from _batches(CHUNKS, [{"chunk": chunk, "docs": docs, "held": held, "sizes": squeeze(sizes), "words": found.tobytes(), "codes": squeeze(place[codes])}])
+        words, codes = distinct(np.concatenate([h for h, _ in done]))
+        sizes = np.concatenate([n for _, n in done])
+        yield from _batches(CHUNKS, [{"chunk": chunk, "docs": docs, "held": held, "sizes": squeeze(sizes), "words": words.tobytes(), "codes": squeeze(codes)}])
 
     for batch in batches:
-        for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "held_out", "text")), strict=True):
+        for doc, out, text in zip(batch.column("doc").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             docs.append(doc), held.append(out), texts.append(text)
-            size += len(text or "") // 6 + 1
-            if size >= CHUNK:
-                yield from row()
-                chunk, size, docs, held, texts = chunk + 1, 0, [], [], []
+            waiting += len(text or b"")
+            if waiting >= PIECE:
+                done.append(_hashed(texts))
+                size, texts, waiting = size + len(done[-1][0]), [], 0
+                if size >= CHUNK:
+                    yield from row()
+                    chunk, size, docs, held, done = chunk + 1, 0, [], [], []
+    if texts:
+        done.append(_hashed(texts))
     if docs:
         yield from row()
 
@@ -111,7 +131,7 @@ def _number(buckets: int):
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         parts = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        words, place = np.unique(np.concatenate(parts), return_inverse=True)
+        words, place = distinct(np.concatenate(parts))
         n = np.bincount(place, np.concatenate([spread(r["n"]) for r in rows]), len(words)).astype(np.int64)
         ids = np.empty(len(words), np.int64)
         ids[np.argsort(-n, kind="stable")] = np.arange(len(words)) * buckets + rows[0]["bucket"] + 1
@@ -126,27 +146,34 @@ def _number(buckets: int):
     return run
 
 
-def _name(chunk: pa.Table, names: pa.Table) -> pa.Table:
-    """The chunk with the numbers and counts of its words in place of their hashes."""
-    told = names.sort_by("bucket").to_pylist()
-    row = chunk.to_pylist()[0]
-    ids, seen = (squeeze(np.concatenate([spread(x[c]) for x in told])) for c in ("ids", "seen"))
-    return _table(NUMBERED, [{**{c: row[c] for c in ("chunk", "docs", "held", "sizes", "codes")}, "ids": ids, "seen": seen}])
+def _name(starts: int):
+    """The chunk with the numbers and counts of its words, in order of the numbers, in place of their hashes; first is the start."""
+
+    def run(chunk: pa.Table, names: pa.Table) -> pa.Table:
+        told = names.sort_by("bucket").to_pylist()
+        row = chunk.to_pylist()[0]
+        ids, seen = (np.concatenate([spread(x[c]) for x in told]) for c in ("ids", "seen"))
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(1, len(ids) + 1)
+        named = {"ids": np.append(START, ids[order]), "seen": np.append(starts, seen[order]), "codes": rank[spread(row["codes"])]}
+        return _table(NUMBERED, [{**{c: row[c] for c in ("chunk", "docs", "held", "sizes")}, **{c: squeeze(x) for c, x in named.items()}}])
+
+    return run
 
 
-def _chunk_pairs(row: dict, starts: int, buckets: int):
+def _chunk_pairs(row: dict, buckets: int):
     """Of a chunk: bucket, context, its count, word and training count of every distinct pair in order of those, and each token's place among them."""
     sizes, codes, ids, seen = (spread(row[c]) for c in ("sizes", "codes", "ids", "seen"))
-    ids, seen, most = np.append(ids, START), np.append(seen, starts), len(ids) + 1
     before = np.concatenate([[0], codes[:-1]])
-    before[np.cumsum(sizes) - sizes] = len(ids) - 1
-    found, place = np.unique(before * most + codes, return_inverse=True)
+    before[np.cumsum(sizes) - sizes] = 0
+    found, place = distinct(before * len(ids) + codes)
     n = np.bincount(place[_learns(row, sizes)], minlength=len(found))
-    c, w = found // most, found % most
+    c, w = np.divmod(found.astype(np.int64), len(ids))
     context, count, word = ids[c], seen[c], ids[w]
     mixed = (context * 0x9E3779B1 + word % (count // SLICE + 1) * 0x85EBCA6B & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF
     bucket = (mixed ^ mixed >> 15) % buckets
-    order = np.lexsort((word, context, bucket))
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return bucket[order], context[order], count[order], word[order], n[order], rank[place]
@@ -155,38 +182,37 @@ def _chunk_pairs(row: dict, starts: int, buckets: int):
 PAIRS = "bucket int, chunk long, contexts binary, counts binary, runs binary, words binary, n binary"
 
 
-def _ask_pairs(starts: int, buckets: int):
+def _ask_pairs(buckets: int):
     """The distinct pairs of every chunk, by bucket of restaurants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bucket, context, count, word, n, _ = _chunk_pairs(row, starts, buckets)
+                bucket, context, count, word, n, _ = _chunk_pairs(row, buckets)
                 for b, a, z in cuts_of(bucket):
-                    runs = np.array([y - x for _, x, y in cuts_of(context[a:z])])
-                    first = a + np.cumsum(runs) - runs
-                    yield from _batches(PAIRS, [{"bucket": b, "chunk": row["chunk"], "contexts": squeeze(context[first]), "counts": squeeze(count[first]), "runs": squeeze(runs), "words": squeeze(word[a:z]), "n": squeeze(n[a:z])}])
+                    first = a + np.flatnonzero(np.diff(context[a:z], prepend=-1))
+                    yield from _batches(PAIRS, [{"bucket": b, "chunk": row["chunk"], "contexts": squeeze(context[first]), "counts": squeeze(count[first]), "runs": squeeze(np.diff(first, append=z)), "words": squeeze(word[a:z]), "n": squeeze(n[a:z])}])
 
     return run
 
 
 def _merge(rows: list[dict]):
     """Of a bucket: its contexts, their counts, its words, and of every pair its place of context and word and its training count; and each asked pair's place."""
-    runs = [spread(r["runs"]) for r in rows]
-    context = np.concatenate([np.repeat(spread(r["contexts"]), k) for r, k in zip(rows, runs, strict=True)])
-    contexts, first, c = np.unique(context, return_index=True, return_inverse=True)
-    counts = np.concatenate([np.repeat(spread(r["counts"]), k) for r, k in zip(rows, runs, strict=True)])[first]
-    words, w = np.unique(np.concatenate([spread(r["words"]) for r in rows]), return_inverse=True)
-    found, place = np.unique(c * len(words) + w, return_inverse=True)
+    each = [spread(r["contexts"]) for r in rows]
+    contexts, c = distinct(np.concatenate(each))
+    counts = np.zeros(len(contexts), np.int64)
+    counts[c] = np.concatenate([spread(r["counts"]) for r in rows])
+    words, w = distinct(np.concatenate([spread(r["words"]) for r in rows]))
+    found, place = distinct(np.repeat(c, np.concatenate([spread(r["runs"]) for r in rows])) * len(words) + w)
     n = np.bincount(place, np.concatenate([spread(r["n"]) for r in rows]), len(found)).astype(np.int64)
-    return contexts, counts, words, found // len(words), found % len(words), n, place
+    return contexts.astype(np.int64), counts, words.astype(np.int64), *np.divmod(found.astype(np.int64), len(words)), n, place
 
 
 #: A message about words or contexts: from a bucket of restaurants to one of words, or back.
 MESSAGE = "kind int, bucket int, peer int, places binary, values binary, more array<binary>"
 #: The state of a bucket's restaurants. Every dish in it has more than one customer.
 STATE = "kind int, bucket int, contexts binary, counts binary, ones binary, words binary, c binary, w binary, n binary, t binary, t_sum binary, free array<binary>, once long, twice long"
-TABLES, CONTEXTS, SINGLES, RESTAURANTS = 0, 1, 2, 3
+TABLES, CONTEXTS, SINGLES, RESTAURANTS, SEATED, PAIRED = range(6)
 BOTH = STATE + ", peer int, places binary, values binary, more array<binary>"
 
 
@@ -218,18 +244,21 @@ def _found(parts: int):
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         bucket = rows[0]["bucket"]
-        contexts, counts, words, c, w, n, _ = _merge(rows)
+        contexts, counts, words, c, w, n, place = _merge(rows)
+        paired = {"kind": PAIRED, "bucket": bucket, **{k: squeeze(v) for k, v in {"counts": counts, "words": words, "c": c, "w": w, "n": n, "t": place}.items()}}
+        paired |= {"places": squeeze(np.array([r["chunk"] for r in rows])), "values": squeeze(np.array([spread(r["runs"]).sum() for r in rows]))}
         ones = np.bincount(c[n == 1], minlength=len(contexts))
         more = n > 1
-        dishes, place = np.unique(w[more], return_inverse=True)
+        dishes, at = distinct(w[more])
+        dishes = dishes.astype(np.int64)
         state = {
-            "kind": RESTAURANTS, "bucket": bucket, "contexts": squeeze(contexts), "counts": squeeze(counts), "ones": squeeze(ones), "words": squeeze(words[dishes]), "c": squeeze(c[more]), "w": squeeze(place),
+            "kind": RESTAURANTS, "bucket": bucket, "contexts": squeeze(contexts), "counts": squeeze(counts), "ones": squeeze(ones), "words": squeeze(words[dishes]), "c": squeeze(c[more]), "w": squeeze(at),
             "n": squeeze(n[more]), "t": squeeze(np.ones(int(more.sum()), np.int64)), "t_sum": squeeze(np.zeros(int(more.sum()), np.int64)), "free": [], "once": int((n == 1).sum()), "twice": int((n == 2).sum()),
         }
         single = np.bincount(w[n == 1], minlength=len(words))
         tables = ones + np.bincount(c[more], minlength=len(contexts))
-        messages = _messages(SINGLES, bucket, words, single, parts) + _sums(bucket, words[dishes], place, np.ones(len(place), np.int64), contexts, counts, tables, parts)
-        return _table(BOTH, [state, *messages])
+        messages = _messages(SINGLES, bucket, words, single, parts) + _sums(bucket, words[dishes], at, np.ones(len(at), np.int64), contexts, counts, tables, parts)
+        return _table(BOTH, [paired, state, *messages])
 
     return run
 
@@ -286,7 +315,6 @@ def _draw(parts: int, discount: float, rest: float, total: float, seed: int, kee
 
 
 SEATS = "kind int, peer int, customers binary, seats binary, more array<binary>, n_customers long, n_seats long, once long, twice long, bucket int, values binary"
-SEATED = 4
 
 
 def _seat(discount: float, base: float, seated: int, seed: int, keep: bool):
@@ -339,9 +367,9 @@ VALUES = "chunk long, bucket int, values binary"
 def _values(parts: int, discount: float, seatings: list[tuple[float, float]]):
     """The averaged probability of every pair that a chunk asked for."""
 
-    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
-        rows = asked.to_pylist()
-        contexts, counts, words, c, w, n, place = _merge(rows)
+    def run(paired: pa.Table, told: pa.Table) -> pa.Table:
+        row = paired.to_pylist()[0]
+        counts, words, c, w, n, place, chunks, sizes = (spread(row[k]) for k in ("counts", "words", "c", "w", "n", "t", "places", "values"))
         own = _Restaurants(told.to_pylist(), parts, discount)
         own.keep()
         value = np.zeros(len(n))
@@ -351,8 +379,7 @@ def _values(parts: int, discount: float, seatings: list[tuple[float, float]]):
         tables = n.astype(float)
         tables[n > 1] = own.t_sum / len(seatings)
         value = (value + (n - discount * tables) / (STRENGTH + counts[c])).astype(np.float32)[place]
-        ends = np.cumsum([int(spread(r["runs"]).sum()) for r in rows])
-        return _table(VALUES, [{"chunk": r["chunk"], "bucket": r["bucket"], "values": x.tobytes()} for r, x in zip(rows, np.split(value, ends[:-1]), strict=True)])
+        return _table(VALUES, [{"chunk": int(x), "bucket": row["bucket"], "values": v.tobytes()} for x, v in zip(chunks, np.split(value, np.cumsum(sizes)[:-1]), strict=True)])
 
     return run
 
@@ -360,12 +387,12 @@ def _values(parts: int, discount: float, seatings: list[tuple[float, float]]):
 RESULT = "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(starts: int, buckets: int, total: int, types: int):
+def _score(buckets: int, total: int, types: int):
     """Scores of the documents of a chunk."""
 
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        place = _chunk_pairs(row, starts, buckets)[-1]
+        place = _chunk_pairs(row, buckets)[-1]
         values = np.concatenate([np.frombuffer(x, np.float32) for x in told.sort_by("bucket").column("values").to_pylist()])
         sizes, n = spread(row["sizes"]), spread(row["seen"])[spread(row["codes"])]
         cuts = np.cumsum(sizes) - sizes
@@ -391,7 +418,7 @@ def _kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     return out
 
 
-def lm_scores(docs: DataFrame, *, burn: int = 4, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, burn: int = 3, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     packed = _kept(rows.mapInArrow(_pack, CHUNKS), "chunks")
@@ -401,10 +428,10 @@ def lm_scores(docs: DataFrame, *, burn: int = 4, samples: int = 3, seed: int = 1
     names = _kept(packed.select("chunk", "held", "sizes", "words", "codes").mapInArrow(_ask_words(parts), WORDS).groupBy("bucket").applyInArrow(_number(parts), NAMES), "names")
     sums = names.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, total = sums["types"] or 0, sums["tokens"] or 0
-    chunks = _kept(packed.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_name, NUMBERED), "numbered", packed, names)
-    asked = chunks.mapInArrow(_ask_pairs(starts, buckets), PAIRS)
+    chunks = _kept(packed.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_name(starts), NUMBERED), "numbered", packed, names)
+    asked = chunks.mapInArrow(_ask_pairs(buckets), PAIRS)
 
-    both = _kept(asked.groupBy("bucket").applyInArrow(_found(parts), BOTH), "state")
+    both = first = _kept(asked.groupBy("bucket").applyInArrow(_found(parts), BOTH), "pairs")
     message = [c.split()[0] for c in MESSAGE.split(", ")]
     singles = _kept(both.filter(F.col("kind") == SINGLES).select(*message), "singles")
     few = both.filter(F.col("kind") == RESTAURANTS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
@@ -426,17 +453,19 @@ def lm_scores(docs: DataFrame, *, burn: int = 4, samples: int = 3, seed: int = 1
         told = state().unionByName(answers, allowMissingColumns=True)
         if k == burn + samples:
             break
-        before = both
+        before = both if k else None
         both = _kept(told.groupBy("bucket").applyInArrow(_draw(parts, discount, rest, STRENGTH + customers, seed + k, k > burn), BOTH), "state")
-        discard(before)
+        if k:
+            discard(before)
         before = seats
         seats = _kept(said().unionByName(own.drop("bucket", "values"), allowMissingColumns=True).groupBy("peer").applyInArrow(_seat(parent, base, seated, seed + k, k >= burn), SEATS), "seats")
         discard(before)
     words = seats.filter(F.col("kind") == SEATED).select("kind", "peer", "more")
     last = _kept(singles.drop("more").unionByName(words, allowMissingColumns=True).groupBy("peer").applyInArrow(_last_words, MESSAGE), "last", singles)
     told = told.unionByName(last, allowMissingColumns=True)
-    values = _kept(asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_values(parts, discount, seatings), VALUES), "values", both, seats, last)
-    out = chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_score(starts, buckets, total, types), RESULT)
+    paired = first.filter(F.col("kind") == PAIRED)
+    values = _kept(paired.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_values(parts, discount, seatings), VALUES), "values", first, both, seats, last)
+    out = chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_score(buckets, total, types), RESULT)
     return out.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -133,18 +133,33 @@ def draw_tables(
     """
     tables = np.ones(len(customers), np.int64)
     order = np.argsort(customers, kind="stable")
-    edges = np.searchsorted(customers[order], np.arange(2, EXACT + 2))
-    for c in range(2, EXACT + 1):
-        for at in np.array_split(order[edges[c - 2] : edges[c - 1]], max(1, (edges[c - 1] - edges[c - 2]) * c // 2_000_000 + 1)):
-            if c == 2 and len(at):  # the commonest by far
-                odds = (strength + discount * (others[at] + 1)) * share[at] / (1 - discount)
-                tables[at] = 1 + (rng.random(len(at)) * (1 + odds) < odds)
-            elif len(at):
-                t = np.arange(1, c + 1)
-                z = np.cumsum(np.log(strength + discount * (others[at][:, None] + t - 1)), axis=1) + t * np.log(share[at])[:, None] + table[c, 1 : c + 1]
+    edge = lambda c: np.searchsorted(customers, c, sorter=order)
+    at = order[edge(2) : edge(3)]  # the commonest by far
+    odds = (strength + discount * (others[at] + 1)) * share[at] / (1 - discount)
+    tables[at] = 1 + (rng.random(len(at)) * (1 + odds) < odds)
+    # How much likelier t tables are than t - 1, but for what depends on the parent and the other tables.
+    steps = np.zeros_like(table)
+    with np.errstate(invalid="ignore"):
+        steps[:, 2:] = np.exp(np.nan_to_num(table[:, 2:] - table[:, 1:-1], nan=-np.inf))
+    low = 3
+    while low <= EXACT:
+        high = min(EXACT, 1 << (low - 1).bit_length())
+        mine, t = order[edge(low) : edge(high + 1)], np.arange(1, high + 1)
+        for at in np.array_split(mine, len(mine) * high // 1_000_000 + 1):
+            w = steps[customers[at], 1 : high + 1]
+            w[:, 0] = 1.0
+            w[:, 1:] *= share[at][:, None] * (strength + discount * (others[at][:, None] + t[1:] - 1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                p = np.cumsum(np.cumprod(w, axis=1), axis=1)
+            tables[at] = 1 + (p < (rng.random(len(at)) * p[:, -1])[:, None]).sum(axis=1)
+            bad = np.flatnonzero(~np.isfinite(p[:, -1]))
+            if len(bad):  # too large as products: the same from logarithms
+                z = np.cumsum(np.log(np.maximum(w[bad], 1e-300)), axis=1)
                 p = np.cumsum(np.exp(z - z.max(axis=1, keepdims=True)), axis=1)
-                tables[at] = 1 + (p < (rng.random(len(at)) * p[:, -1])[:, None]).sum(axis=1)
-    for at in np.array_split(order[edges[EXACT - 1] :], max(1, (len(order) - edges[EXACT - 1]) // 20_000 + 1)):
+                tables[at[bad]] = 1 + (p < (rng.random(len(bad)) * p[:, -1])[:, None]).sum(axis=1)
+        low = high + 1
+    mine = order[edge(EXACT + 1) :]
+    for at in np.array_split(mine, len(mine) // 20_000 + 1):
         if len(at):
             given = customers[at], share[at], others[at], strength, discount
             start = np.rint(_proposal(*given)[0]).astype(np.int64) if now is None else now[at]
