@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hyetos-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -42,6 +45,16 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """`written`, after which the spent tables are deleted and Spark may delete the files of finished shuffles."""
+    out = written(df, name)
+    for x in spent:
+        discard(x)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

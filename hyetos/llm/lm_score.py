@@ -26,7 +26,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyetos.llm.chunks import cuts_of, distinct, runs, spread, squeeze
-from hyetos.llm.common import discard, table, written
+from hyetos.llm.common import discard, kept, table
 from hyetos.llm.pitman_yor import discount_of, draw_tables, stirling
 
 STRENGTH = 1.0
@@ -408,37 +407,27 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
-def _kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
-    """`df` written, without the tables and shuffles that are no longer needed."""
-    out = written(df, name)
-    for x in spent:
-        discard(x)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def lm_scores(docs: DataFrame, *, burn: int = 3, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    packed = _kept(rows.mapInArrow(_pack, CHUNKS), "chunks")
+    packed = kept(rows.mapInArrow(_pack, CHUNKS), "chunks")
     counted = packed.agg(F.sum(F.octet_length("words") / 8).alias("words"), F.sum((F.octet_length("codes") - 1) / F.conv(F.hex(F.substring("codes", 1, 1)), 16, 10).cast("int")).alias("tokens"),
                          F.sum(F.size(F.filter("held", lambda x: ~x))).alias("starts")).first()
     parts, buckets, starts = (int(x or 0) for x in ((counted["words"] or 0) // BUCKET + 1, (counted["tokens"] or 0) // BUCKET + 1, counted["starts"]))
-    names = _kept(packed.select("chunk", "held", "sizes", "words", "codes").mapInArrow(_ask_words(parts), WORDS).groupBy("bucket").applyInArrow(_number(parts), NAMES), "names")
+    names = kept(packed.select("chunk", "held", "sizes", "words", "codes").mapInArrow(_ask_words(parts), WORDS).groupBy("bucket").applyInArrow(_number(parts), NAMES), "names")
     sums = names.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, total = sums["types"] or 0, sums["tokens"] or 0
-    chunks = _kept(packed.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_name(starts), NUMBERED), "numbered", packed, names)
+    chunks = kept(packed.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_name(starts), NUMBERED), "numbered", packed, names)
     asked = chunks.mapInArrow(_ask_pairs(buckets), PAIRS)
 
-    both = first = _kept(asked.groupBy("bucket").applyInArrow(_found(parts), BOTH), "pairs")
+    both = first = kept(asked.groupBy("bucket").applyInArrow(_found(parts), BOTH), "pairs")
     message = [c.split()[0] for c in MESSAGE.split(", ")]
-    singles = _kept(both.filter(F.col("kind") == SINGLES).select(*message), "singles")
+    singles = kept(both.filter(F.col("kind") == SINGLES).select(*message), "singles")
     few = both.filter(F.col("kind") == RESTAURANTS).agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
     discount, base = discount_of(few["once"] or 0, few["twice"] or 0), 1.0 / (types + 1)
     state = lambda: both.filter(F.col("kind") == RESTAURANTS)
     said = lambda: both.filter(F.col("kind").isin(TABLES, CONTEXTS)).select(*message)
-    seats = _kept(said().unionByName(singles).groupBy("peer").applyInArrow(_seat(discount, base, 0, seed, False), SEATS), "seats")
+    seats = kept(said().unionByName(singles).groupBy("peer").applyInArrow(_seat(discount, base, 0, seed, False), SEATS), "seats")
     parent, seatings = 0.0, []
     for k in range(burn + samples + 1):
         own = seats.filter(F.col("kind") == SEATED)
@@ -454,17 +443,17 @@ def lm_scores(docs: DataFrame, *, burn: int = 3, samples: int = 3, seed: int = 1
         if k == burn + samples:
             break
         before = both if k else None
-        both = _kept(told.groupBy("bucket").applyInArrow(_draw(parts, discount, rest, STRENGTH + customers, seed + k, k > burn), BOTH), "state")
+        both = kept(told.groupBy("bucket").applyInArrow(_draw(parts, discount, rest, STRENGTH + customers, seed + k, k > burn), BOTH), "state")
         if k:
             discard(before)
         before = seats
-        seats = _kept(said().unionByName(own.drop("bucket", "values"), allowMissingColumns=True).groupBy("peer").applyInArrow(_seat(parent, base, seated, seed + k, k >= burn), SEATS), "seats")
+        seats = kept(said().unionByName(own.drop("bucket", "values"), allowMissingColumns=True).groupBy("peer").applyInArrow(_seat(parent, base, seated, seed + k, k >= burn), SEATS), "seats")
         discard(before)
     words = seats.filter(F.col("kind") == SEATED).select("kind", "peer", "more")
-    last = _kept(singles.drop("more").unionByName(words, allowMissingColumns=True).groupBy("peer").applyInArrow(_last_words, MESSAGE), "last", singles)
+    last = kept(singles.drop("more").unionByName(words, allowMissingColumns=True).groupBy("peer").applyInArrow(_last_words, MESSAGE), "last", singles)
     told = told.unionByName(last, allowMissingColumns=True)
     paired = first.filter(F.col("kind") == PAIRED)
-    values = _kept(paired.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_values(parts, discount, seatings), VALUES), "values", first, both, seats, last)
+    values = kept(paired.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_values(parts, discount, seatings), VALUES), "values", first, both, seats, last)
     out = chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_score(buckets, total, types), RESULT)
     return out.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
