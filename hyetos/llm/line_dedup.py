@@ -6,9 +6,16 @@ per task. Sketches are estimates: lines whose estimate is near the threshold get
 sites. A line that reaches the threshold is boilerplate. The document with the smallest id that has it keeps it, so
 a text that was copied in full survives once; it is cut from all the others.
 
-Edge cases: null or empty texts pass unchanged; blank lines and lines under `min_chars` characters are never
-boilerplate; a null site counts for nothing; rows with the same id are one document; of columns that clash with
-`n_lines` or `n_removed` the operator's values stay; an empty table gives an empty table.
+How many sites a line needs depends on its length (`SITES`): long passages are hardly ever written twice, so a few
+sites are enough; short lines often are, so they need many.
+
+Places and hashes of all lines are written once. Boilerplate lines are broadcast up to `broadcast_rows` of them and
+shuffled beyond; the places to cut come back to their documents, so a text of many cut lines costs no more than the
+number of its lines.
+
+Edge cases: null or empty texts pass unchanged; blank lines are never boilerplate; a null site counts for nothing;
+rows with the same id are one document; of columns that clash with `n_lines` or `n_removed` the operator's values
+stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +25,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyetos.llm.common import kept, once, written
+
+#: (characters from which on, sites that such a line needs), the longest first.
+SITES = ((150, 5), (20, 10), (1, 16))
 #: log2 of the sketch's registers, and its relative standard error.
 LG_K, ERROR = 12, 1.04 / math.sqrt(2**12)
 
@@ -31,54 +42,72 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int, min_chars: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
-    """(lines of documents, boilerplate lines): keys with id and site, and keys with the first id."""
-    eligible = F.filter(_lines(F.col(text_col)), lambda x: F.length(F.trim(x)) >= min_chars)
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"),
-        F.explode(F.array_distinct(F.transform(eligible, _key))).alias("key"),
-    ).select("id", "site", "key.h1", "key.h2")
-    margin = max(2.0, 4 * ERROR * min_sites)
-    spread = (
-        keyed.groupBy("h1", "h2")
+def _needed(line: Column, sites) -> Column:
+    """The sites that a line needs to be boilerplate; null for a line that never is."""
+    n = F.length(F.trim(line))
+    out = F.lit(None).cast("int")
+    for chars, needed in sorted(sites):
+        out = F.when(n >= chars, needed).otherwise(out)
+    return out
+
+
+def boilerplate(docs: DataFrame, sites, broadcast_rows: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
+    """(lines of documents, boilerplate lines): keys with id, site and place, and keys with the first id."""
+    every = F.transform(_lines(F.col(text_col)), lambda x, k: F.struct(_key(x).alias("key"), _needed(x, sites).alias("needed"), k.alias("place")))
+    keyed = kept(
+        docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.filter(every, lambda x: x["needed"].isNotNull())).alias("line"))
+        .select("id", "site", "line.key.h1", "line.key.h2", "line.needed", "line.place"),
+        "lines",
+    )
+    margin = F.greatest(F.lit(2.0), F.col("needed") * (4 * ERROR))
+    spread = kept(
+        keyed.groupBy("h1", "h2", "needed")
         .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"), F.min("id").alias("first_id"))
-        .filter(F.col("estimate") >= min_sites - margin)
+        .filter(F.col("estimate") >= F.col("needed") - margin),
+        "spread",
     )
-    near = spread.filter(F.col("estimate") < min_sites + margin)
+    near = spread.filter(F.col("estimate") < F.col("needed") + margin)
     exact = (
-        keyed.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        .select("h1", "h2", "site").distinct()
-        .groupBy("h1", "h2").agg(F.count("site").alias("sites"))
-        .filter(F.col("sites") >= min_sites)
+        keyed.join(_few(near.select("h1", "h2"), broadcast_rows), ["h1", "h2"], "left_semi")
+        .select("h1", "h2", "needed", "site").distinct()
+        .groupBy("h1", "h2").agg(F.count("site").alias("sites"), F.first("needed").alias("least"))
+        .filter(F.col("sites") >= F.col("least"))
     )
-    far = spread.filter(F.col("estimate") >= min_sites + margin)
+    far = spread.filter(F.col("estimate") >= F.col("needed") + margin)
     lines = far.select("h1", "h2", "first_id").unionByName(near.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first_id"))
-    return keyed, lines
+    return keyed, written(lines, "boilerplate")
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def line_dedup(
-    docs: DataFrame, *, min_sites: int = 10, min_chars: int = 20,
+    docs: DataFrame, *, min_sites: int | None = None, sites=SITES, broadcast_rows: int = 500_000,
     id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
 ) -> DataFrame:
-    """The table with boilerplate lines cut from its texts, and the columns n_lines and n_removed."""
-    keyed, lines = boilerplate(docs, min_sites, min_chars, id_col, text_col, site_col)
+    """The table with boilerplate lines cut from its texts, and the columns n_lines and n_removed.
+
+    `min_sites`: one number of sites for all lines of 20 characters and more, in place of `sites`.
+    """
+    keyed, lines = boilerplate(docs, sites if min_sites is None else ((20, min_sites),), broadcast_rows, id_col, text_col, site_col)
     cut = (
-        keyed.join(lines, ["h1", "h2"])
+        keyed.join(_few(lines, broadcast_rows), ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy(F.col("id").alias("__cut_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__cut"))
+        .agg(F.collect_set("place").alias("__cut"))
     )
     docs = docs.drop("n_lines", "n_removed")
     joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__cut_id"]), "left")
-    every = _lines(F.col(text_col))
-    kept = F.when(
-        F.col("__cut").isNull(), every
-    ).otherwise(F.filter(every, lambda x: (F.length(F.trim(x)) < min_chars) | ~F.array_contains(F.col("__cut"), _key(x))))
-    n_lines, n_kept = F.coalesce(F.size(every), F.lit(0)), F.coalesce(F.size(kept), F.lit(0))
+    n_lines = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
+    # Rows with one id are one document, so a place may lie beyond the lines of a shorter text.
+    left = once(_lines(F.col(text_col)), lambda x: F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__cut"))), lambda k: F.get(x, k)))
+    uncut = F.col("__cut").isNull() | F.col(text_col).isNull()
+    places = F.size(F.array_intersect(F.sequence(F.lit(0), n_lines - 1), F.col("__cut")))
     return joined.select(
-        *[F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(uncut, F.col(text_col)).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_removed"),
+        F.when(uncut, 0).otherwise(places).cast("long").alias("n_removed"),
     )
 
 
@@ -87,8 +116,8 @@ WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL
 ), b AS (
-  SELECT trim(line, ' ') AS k, min(doc_id) AS first_id FROM l WHERE length(trim(line, ' ')) >= 20
-  GROUP BY 1 HAVING count(DISTINCT source) >= 10
+  SELECT trim(line, ' ') AS k, min(doc_id) AS first_id FROM l WHERE length(trim(line, ' ')) >= 1
+  GROUP BY 1 HAVING count(DISTINCT source) >= CASE WHEN length(k) >= 150 THEN 5 WHEN length(k) >= 20 THEN 10 ELSE 16 END
 ), f AS (
   SELECT l.doc_id, l.pos, l.line, b.k IS NOT NULL AND l.doc_id <> b.first_id AS bad
   FROM l LEFT JOIN b ON trim(l.line, ' ') = b.k
