@@ -4,12 +4,13 @@ The documents table is read as a stream. Its state, kept in RocksDB on disk and
 has one entry for each digest and never expires: the number of rows seen, and of the best row its length, stable
 identifier and content locator (file and row in it). Each micro-batch is pre-aggregated before its shuffle, so a
 group that holds a third of all rows sends one row per task. When the stream has consumed the table, every row whose
-digest has more than one row is a hit: its full normalised bytes are compared with those of the row that stays.
-Rows that only share the digest are grouped by their bytes instead.
+digest has more than one row is a hit: its full normalised bytes are compared with those at the locator, the row that
+stays. Rows that only share the digest are grouped by their bytes instead. Up to `broadcast_rows` digests of groups are
+broadcast to the rows; beyond, rows meet them in a shuffle.
 
 Texts are equal when they are identical without ASCII white space. Of equal texts the row with the most code points
-stays, then the smallest id; a null text counts as empty, a null id comes last. Rows with the same id are one
-document and get the same result. Extra columns are not read. An empty table gives an empty result.
+stays, then the smallest id; a null text counts as empty, a null id comes last. Of rows with the same id, length and
+text one stays, the one at the locator. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _better(id_col: Column, text: Column) -> Column:
 
 def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_col: str, files_per_trigger: int) -> DataFrame:
     """Run the stream over all files now at `path`; the last state of every digest."""
-    base = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
+    own, base = spark, f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
     conf = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -51,7 +52,10 @@ def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_co
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
-    before = {k: spark.conf.get(k, None) for k in conf}
+    # A session of its own, so that other queries keep their options.
+    spark = spark.newSession()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     stream = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as only those may name a single file
         .select(
@@ -68,54 +72,51 @@ def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_co
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        query = (
-            stream.writeStream.outputMode("update").foreachBatch(put)
-            .option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    updates = spark.read.schema("digest string, n long, len int, keep_id long, locator struct<file_path:string,row_index:long>, epoch long").parquet(f"{out}/epoch=*")
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(put)
+        .option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    updates = own.read.schema("digest string, n long, len int, keep_id long, locator struct<file_path:string,row_index:long>, epoch long").parquet(f"{out}/epoch=*")
     return updates.groupBy("digest").agg(F.max_by(F.struct("n", "keep_id", "locator"), "epoch").alias("s")).select("digest", "s.*")
 
 
 def exact_dedup(
-    spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 1000,
+    spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 1000, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """One row for each row of the Parquet table at `path`: id, keep_id, group_size, kept, text_sha256."""
-    docs = spark.read.parquet(path).select(F.col(id_col).cast("long").alias(id_col), text_col)
+    docs = spark.read.parquet(path).select(F.col(id_col).cast("long").alias(id_col), text_col, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     if docs.isEmpty():
         return docs.select(F.col(id_col), F.lit(0).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    state = written(digest_state(spark, path, docs.schema, id_col=id_col, text_col=text_col, files_per_trigger=files_per_trigger), "digests")
+    schema = docs.select(id_col, text_col).schema
+    state = written(digest_state(spark, path, schema, id_col=id_col, text_col=text_col, files_per_trigger=files_per_trigger), "digests")
     alone = state.filter("n = 1").select(F.col("keep_id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
 
-    groups = state.filter("n > 1")
+    groups = state.filter("n > 1").select("digest", "n", "keep_id", F.col("locator.file_path").alias("keep_file"), F.col("locator.row_index").alias("keep_row"))
+    if groups.count() <= broadcast_rows:
+        groups = F.broadcast(groups)
     members = written(
-        docs.select(
-            F.col(id_col), F.length(F.coalesce(text_col, F.lit(""))).alias("len"), normalised(F.col(text_col)).alias("body"),
-        ).withColumn("digest", F.sha2("body", 256)).join(groups.select("digest", "n", "keep_id"), "digest"),
+        docs.select(id_col, "file", "row", F.length(F.coalesce(text_col, F.lit(""))).alias("len"), normalised(F.col(text_col)).alias("body"))
+        .withColumn("digest", F.sha2("body", 256)).join(groups, "digest")
+        .withColumn("stays", (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).drop("keep_file", "keep_row"),
         "members",
     )
-    stays = members.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(F.first("body").alias("keep_body"))
+    # What is at the locator, once for each part of its group.
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    stays = stays.select("digest", "keep_body", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    hits = members.withColumn("salt", F.pmod(F.xxhash64(id_col, "len"), salts).cast("int"))
+    stays = members.filter("stays").select("digest", F.col("body").alias("keep_body"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hits = members.withColumn("salt", F.pmod(F.xxhash64("file", "row"), salts).cast("int"))
     compared = hits.join(stays, ["digest", "salt"], "left").withColumn("same", F.coalesce(F.col("body") == F.col("keep_body"), F.lit(False)))
-    compared = written(compared.select(id_col, "keep_id", "n", "digest", "len", "same", F.when(~F.col("same"), F.col("body")).alias("other")), "compared")
+    compared = written(compared.select(id_col, "file", "row", "stays", "keep_id", "n", "digest", "len", "same", F.when(~F.col("same"), F.col("body")).alias("other")), "compared")
     same = compared.groupBy("digest").agg(F.count(F.when(F.col("same"), 1)).alias("n_same"), F.count(F.when(~F.col("same"), 1)).alias("n_other"))
     clashes = same.filter("n_other > 0").select("digest", "n_same")
     matched = compared.filter("same").join(clashes, "digest", "left").select(
-        id_col, "keep_id", F.coalesce("n_same", "n").alias("group_size"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+        id_col, "keep_id", F.coalesce("n_same", "n").alias("group_size"), F.col("stays").alias("kept"), F.col("digest").alias("text_sha256"))
     # Rows that share a digest but not the bytes: grouped by the bytes.
-    best = F.struct("len", F.bitwise_not(id_col).alias("inv"))
+    at = F.struct("len", F.bitwise_not(id_col).alias("inv"), "file", "row")
     odd = compared.filter("not same")
-    odd_groups = odd.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.bitwise_not(F.max(best)["inv"]).alias("odd_keep"))
+    odd_groups = odd.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.max(at).alias("best"))
     others = odd.join(odd_groups, ["digest", "other"]).select(
-        id_col, F.col("odd_keep").alias("keep_id"), "group_size", F.col(id_col).eqNullSafe(F.col("odd_keep")).alias("kept"), F.col("digest").alias("text_sha256"))
+        id_col, F.bitwise_not("best.inv").alias("keep_id"), "group_size", ((F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))).alias("kept"), F.col("digest").alias("text_sha256"))
     return alone.unionByName(matched).unionByName(others)
 
 
