@@ -71,55 +71,84 @@ def fit_gamma(rows: DataFrame, keys: Sequence[str], value: str = "value") -> Dat
     return s.withColumn("g", gamma_of("m", "ml", "n")).select(*keys, "n", F.col("g.shape").alias("shape"), F.lit(0.0).alias("loc"), F.col("g.scale").alias("scale"))
 
 
-def fit_gpd(excess: np.ndarray) -> tuple[float, float]:
-    """Shape and scale of largest likelihood for excesses over a threshold, by the one-parameter profile of shape / scale."""
-    x = np.asarray(excess, float)
-    x = x[x > 0]
-    if len(x) < 2:
-        return 0.0, 1.0
-    mean, top = x.mean(), x.max()
+def fit_gpd_many(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shape and scale of largest likelihood for excesses over a threshold, by the one-parameter profile of shape / scale.
+
+    One fit for each row of `x`; values that aren't positive are no excesses. (0, 1) under two excesses.
+    """
+    x = np.where(x > 0, x, 0.0)
+    n = (x > 0).sum(axis=1)
+    few = n < 2
+    mean, top = np.where(few, 1.0, x.sum(axis=1) / np.maximum(n, 1)), np.where(few, 1.0, x.max(axis=1, initial=0.0))
     low = -(1 - 1e-9) / top
-    grid = np.unique(np.concatenate([low * np.linspace(1, 1e-4, 80), np.geomspace(1e-6, 50, 160) / mean]))
+    grid = np.concatenate([low[:, None] * np.linspace(1, 1e-4, 80), np.geomspace(1e-6, 50, 160) / mean[:, None]], axis=1)
+    rows = np.arange(len(x))
 
     def profile(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shape = np.log1p(np.outer(theta, x)).mean(axis=1)
-        shape = np.where(np.abs(theta) < 1e-12 / mean, 0.0, shape)
-        ratio = np.where(shape == 0, mean, shape / np.where(theta == 0, 1, theta))
+        shape = sum(np.log1p(theta * x[:, k : k + 1]) for k in range(x.shape[1])) / np.maximum(n, 1)[:, None]
+        shape = np.where(np.abs(theta) < 1e-12 / mean[:, None], 0.0, shape)
+        ratio = np.where(shape == 0, mean[:, None], shape / np.where(theta == 0, 1, theta))
         return np.where((shape > -1) & (ratio > 0), -np.log(np.maximum(ratio, 1e-300)) - shape - 1, -np.inf), shape
 
     for _ in range(6):
-        likelihood, _ = profile(grid)
-        k = int(np.argmax(likelihood))
-        grid = np.linspace(grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)], 25)
+        k = profile(grid)[0].argmax(axis=1)
+        first, last = grid[rows, np.maximum(0, k - 1)], grid[rows, np.minimum(grid.shape[1] - 1, k + 1)]
+        grid = np.linspace(first, last, 25, axis=1)
     likelihood, shape = profile(grid)
-    k = int(np.argmax(likelihood))
-    if not np.isfinite(likelihood[k]) or likelihood[k] < -np.log(mean) - 1:
-        return 0.0, float(mean)
-    return float(shape[k]), float(shape[k] / grid[k]) if grid[k] != 0 else float(mean)
+    k = likelihood.argmax(axis=1)
+    best, shape, theta = likelihood[rows, k], shape[rows, k], grid[rows, k]
+    flat = ~np.isfinite(best) | (best < -np.log(mean) - 1)
+    scale = np.where(flat | (theta == 0), mean, shape / np.where(theta == 0, 1, theta))
+    return np.where(few | flat, 0.0, shape), np.where(few, 1.0, scale)
+
+
+def fit_gpd(excess: np.ndarray) -> tuple[float, float]:
+    """`fit_gpd_many` of one sample."""
+    shape, scale = fit_gpd_many(np.asarray(excess, float).reshape(1, -1))
+    return float(shape[0]), float(scale[0])
 
 
-def fit_gpd_folds(excess: np.ndarray, folds: int = 5, seed: int = 42) -> tuple[float, float]:
-    """Parameters averaged over fits that leave out one fold each; the folds come from a seeded shuffle."""
-    if len(excess) < folds:
-        return fit_gpd(excess) if len(excess) >= 10 else (0.0, 1.0)
-    order = np.arange(len(excess))
+def folds_of(n: int, folds: int = 5, seed: int = 42) -> list[np.ndarray]:
+    """The places that each fold leaves out of n, from a seeded shuffle."""
+    order = np.arange(n)
     np.random.RandomState(seed).shuffle(order)
-    fits = [fit_gpd(np.delete(excess, part)) for part in np.array_split(order, folds)]
-    return tuple(np.mean(fits, axis=0).tolist())
+    return np.array_split(order, folds)
+
+
+def fit_tails_of(samples: list[np.ndarray], cross_validate: bool, folds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters of many samples of sorted excesses: with folds, averaged over fits that leave out one fold each."""
+    shape, scale = np.zeros(len(samples)), np.ones(len(samples))
+    by_size: dict[int, list[int]] = {}
+    for k, x in enumerate(samples):
+        by_size.setdefault(len(x), []).append(k)
+    for n, at in by_size.items():
+        parts = folds_of(n, folds) if cross_validate and n >= folds else [np.zeros(0, int)] if n >= 10 else []
+        for some in np.array_split(np.array(at), len(at) * n * 240 // 2_000_000 + 1):
+            x = np.stack([samples[k] for k in some])
+            fits = [fit_gpd_many(np.delete(x, part, axis=1)) for part in parts]
+            if fits:
+                shape[some], scale[some] = np.mean([f[0] for f in fits], axis=0), np.mean([f[1] for f in fits], axis=0)
+    return shape, scale
+
+
+def fit_gpd_folds(excess: np.ndarray, folds: int = 5) -> tuple[float, float]:
+    """`fit_tails_of` one sample."""
+    shape, scale = fit_tails_of([np.asarray(excess, float)], True, folds)
+    return float(shape[0]), float(scale[0])
 
 
 def fit_tails(rows: DataFrame, limits: DataFrame, keys: Sequence[str], value: str = "value", cross_validate: bool = True) -> DataFrame:
-    """Tail fits of the values above each group's `gpd_threshold`; only those values leave the JVM."""
+    """Tail fits of the values above each group's `gpd_threshold`; only those values leave the JVM, as one array a group."""
     over = rows.join(limits.select(*keys, "gpd_threshold"), list(keys)).filter((F.col(value) > F.col("gpd_threshold")) & (F.col("gpd_threshold") > 0))
     over = over.select(*keys, (F.col(value) - F.col("gpd_threshold")).cast("double").alias("excess"))
 
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(one["excess"].to_numpy())
-        shape, scale = fit_gpd_folds(x) if cross_validate else fit_gpd(x) if len(x) >= 10 else (0.0, 1.0)
-        return one[list(keys)].head(1).assign(gpd_shape=shape, gpd_scale=scale, n_excess=len(x))
+    @F.pandas_udf("gpd_shape double, gpd_scale double")
+    def fitted(excess: pd.Series) -> pd.DataFrame:
+        shape, scale = fit_tails_of([np.asarray(x, float) for x in excess], cross_validate)
+        return pd.DataFrame({"gpd_shape": shape, "gpd_scale": scale})
 
-    schema = ", ".join(f"{k} {dict(over.dtypes)[k]}" for k in keys)
-    return over.groupBy(*keys).applyInPandas(run, schema + ", gpd_shape double, gpd_scale double, n_excess long")
+    cells = over.groupBy(*keys).agg(F.sort_array(F.collect_list("excess")).alias("x"))
+    return cells.select(*keys, fitted("x").alias("g"), F.size("x").cast("long").alias("n_excess")).select(*keys, "g.*", "n_excess")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -34,16 +34,64 @@ def method_comparison(rows: DataFrame, method: str, values: Sequence[str]) -> Da
 def improvement(rows: DataFrame, keys: Sequence[str], before: str, after: str, step: float = 0.001) -> DataFrame:
     x = F.col(after) - F.col(before)
     count = lambda e: F.count(F.when(e, 1))
-    return rows.groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), _median(x).alias("median"), count(x > step).alias("n_improved"), count(x < -step).alias("n_degraded"), count(F.abs(x) <= step).alias("n_unchanged"),
     )
+    return out.withColumns({f"percent_{k}": 100 * div(f"n_{k}", "n") for k in ("improved", "degraded")})
 
 
 def category_counts(rows: DataFrame, keys: Sequence[str], category: str) -> DataFrame:
     k = F.col(category)
     count = lambda e: F.count(F.when(e, 1))
     out = rows.groupBy(*keys).agg(*[count(k == c).alias(f"c{c}") for c in (1, 2, 3, 4)], count(k > 0).alias("total"), count(k >= 3).alias("_good"))
-    return out.withColumn("percent_good", 100 * div("_good", "total")).drop("_good")
+    return out.withColumns({"percent_good": 100 * div("_good", "total"), **{f"p{c}": 100 * div(f"c{c}", "total") for c in (1, 2, 3, 4)}}).drop("_good")
+
+
+def batch_summary(rows: DataFrame, period: str, before: str, after: str, category: str) -> DataFrame:
+    """One row over all periods: mean of their mean changes and of their shares of improved rows and of each category, and the best and worst period."""
+    each = improvement(rows, [period], before, after).join(category_counts(rows, [period], category), period)
+    means = {"mean_change": "mean", "percent_improved": "percent_improved", "percent_degraded": "percent_degraded", **{f"p{c}": f"p{c}" for c in (1, 2, 3, 4)}}
+    return each.agg(*[F.avg(v).alias(k) for k, v in means.items()], F.max_by(period, "mean").alias("best_period"), F.min_by(period, "mean").alias("worst_period"), F.count("*").alias("n_periods"))
+
+
+def group_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Median and number of each group that has a value."""
+    return rows.filter(F.col(group).isNotNull()).groupBy(group).agg(_median(value).alias("median"), F.count(value).alias("n")).filter("n > 0")
+
+
+def placed(rows: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """With `place`: the place of a name in a given order, other names after those."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column)).cast("int")
+    return rows.withColumn("place", F.when(place > 0, place).otherwise(len(order) + 1))
+
+
+def counts_by_period(rows: DataFrame, period: str, station: str) -> DataFrame:
+    """The least, the largest and the median number of stations of a period."""
+    each = rows.groupBy(period).agg(F.countDistinct(station).alias("n"))
+    return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), _median("n").alias("median"))
+
+
+def preferred(rows: DataFrame, keys: Sequence[str], method: str, order: Sequence[str], first: str) -> DataFrame:
+    """The row of the method `first`, else that of the last in `order` that is there."""
+    rank = F.when(F.col(method) == first, len(order) + 1).otherwise(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(method)))
+    chosen = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), rank).alias("_r"))
+    return chosen.select("_r.*")
+
+
+def first_step(rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Of each key only the rows of its first time step."""
+    first = rows.groupBy(*keys).agg(F.min(time).alias(time))
+    return rows.join(first, [*keys, time], "left_semi")
+
+
+def ranked(rows: DataFrame, by: str, ties: Sequence[str], bands: int = 1000) -> DataFrame:
+    """With `rank` by a number, ties in the order of `ties`: rows are counted in bands of the number first, so that no task orders them all."""
+    ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b"))
+    banded = rows.crossJoin(F.broadcast(ends)).withColumn("_band", F.least(F.floor(F.coalesce(div(F.col(by) - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0)) * bands), F.lit(bands - 1))).drop("a", "b")
+    sizes = banded.groupBy("_band").agg(F.count("*").alias("_n"))
+    before = sizes.select("_band", (F.sum("_n").over(W.orderBy("_band")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_band").orderBy(by, *ties))
+    return banded.withColumn("_i", inside).join(F.broadcast(before), "_band").withColumn("rank", F.col("_before") + F.col("_i")).drop("_band", "_i", "_before")
 
 
 def ecdf(rows: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -132,6 +180,29 @@ def sweep(pairs: DataFrame, keys: Sequence[str], saturations: Sequence[float], a
     return errors.groupBy("saturation").agg(_median("_e").alias("rmse"))
 
 
+def settings(saturations: Sequence[float], alphas: Sequence[float], percentiles: Sequence[float], default: tuple[float, float, float]) -> list[tuple[str, float, float, float]]:
+    """One-at-a-time settings of three parameters: (name, saturation, alpha, percentile)."""
+    out = []
+    for k, (name, values) in enumerate((("saturation", saturations), ("alpha", alphas), ("percentile", percentiles))):
+        for v in values:
+            out.append((name, *(float(v) if j == k else float(default[j]) for j in range(3))))
+    return out
+
+
+def sweep_settings(pairs: DataFrame, keys: Sequence[str], plan: Sequence[tuple[str, float, float, float]]) -> DataFrame:
+    """Of every setting the medians over cells of error and bias of the blended test, from one scan: limits of all percentiles are one aggregate."""
+    shares = sorted({p for _, _, _, p in plan})
+    limits = pairs.groupBy(*keys).agg(F.percentile("test", F.array(*[F.lit(p) for p in shares])).alias("_limits"))
+    each = F.array(*[F.struct(F.lit(n).alias("parameter"), F.lit(s).alias("saturation"), F.lit(a).alias("alpha"), F.lit(p).alias("percentile"), F.lit(shares.index(p)).alias("_at")) for n, s, a, p in plan])
+    rows = pairs.join(limits, list(keys)).withColumn("_s", F.explode(each)).select(*pairs.columns, "_limits", "_s.*")
+    a = 1 - F.least(F.col("lat_i") / F.col("saturation"), F.lit(1.0)) * (1 - F.col("alpha"))
+    limit = F.get("_limits", F.col("_at"))
+    y = F.when((F.col("test") > limit) & (F.col("test") > 0), a * F.col("test") + (1 - a) * F.col("ref")).otherwise(F.col("test"))
+    setting = ["parameter", "saturation", "alpha", "percentile"]
+    cells = rows.groupBy(*setting, *keys).agg(F.sqrt(F.avg((y - F.col("ref")) ** 2)).alias("_e"), F.avg(y - F.col("ref")).alias("_b"))
+    return cells.groupBy(*setting).agg(_median("_e").alias("rmse"), _median("_b").alias("bias"))
+
+
 def pending(plan: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return plan.join(done, list(keys), "left_anti")
 

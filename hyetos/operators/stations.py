@@ -93,3 +93,40 @@ def heavy_day_ratio(pairs: DataFrame, keys: Sequence[str], thresholds: Sequence[
     """Days of the test at or above each threshold for each such day of the reference."""
     table = M.contingency(pairs, keys, thresholds)
     return table.select(*keys, "threshold", div(F.col("a") + F.col("b"), F.col("a") + F.col("c")).alias("ratio"), (F.col("a") + F.col("c")).alias("n_ref"))
+
+
+def distribution_ratios(pairs: DataFrame, keys: Sequence[str], wet: float = 1.0) -> DataFrame:
+    """Ratios, test to reference, of the 95th and 99th percentiles and of the mean of wet days, over paired rows."""
+    r, t = F.col("ref"), F.col("test")
+    q = lambda x, p: F.percentile(x, F.lit(p))
+    wet_mean = lambda x: F.avg(F.when(x >= wet, x))
+    return M.valid(pairs).groupBy(*keys).agg(div(q(t, 0.95), q(r, 0.95)).alias("q95_ratio"), div(q(t, 0.99), q(r, 0.99)).alias("q99_ratio"), div(wet_mean(t), wet_mean(r)).alias("intensity_ratio"))
+
+
+def mean_over(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Means over all other keys (years, periods) of values that are there, with the number of rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[F.avg(v).alias(v) for v in values])
+
+
+def checked(rows: DataFrame, values: Sequence[str], what: str = "input") -> DataFrame:
+    """`rows`, or an error where there are none or a column has no value at all."""
+    n = rows.agg(F.count("*").alias("_rows"), *[F.count(v).alias(v) for v in values]).first()
+    if n["_rows"] == 0:
+        raise ValueError(f"{what} is empty")
+    missing = [v for v in values if n[v] == 0]
+    if missing:
+        raise ValueError(f"{what} has only missing values in {', '.join(missing)}")
+    return rows
+
+
+def paired_or_error(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str = "the two sides") -> DataFrame:
+    """The inner join, or an error where it has no row."""
+    out = left.join(right, list(keys))
+    if out.isEmpty():
+        raise ValueError(f"{what} share no {', '.join(keys)}")
+    return out
+
+
+def write_wide(long: DataFrame, path: str, key: str, name: str, values: Sequence[str], labels: Sequence) -> None:
+    """CSV of one row for each key with columns `{label}_{value}`; the labels of the pivot are the caller's, so nothing is collected."""
+    wide(long, key, name, values, labels).write.mode("overwrite").option("header", True).csv(path)

@@ -135,10 +135,10 @@ def json_filter(spark, d):
     return e.select(F.col("user_id").alias("station_id"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
 
 
-@query("a_ref a_method label", "", "SELECT a_ref, a_method, a_ref || '_' || a_method AS label FROM (SELECT unnest(['r1', 'r2', 'r3']) AS a_ref) CROSS JOIN (SELECT unnest(['ls', 'eqm', 'dl']) AS a_method)")
+@query("a_ref a_method label", "", "SELECT a_ref, a_method, a_ref || '_' || a_method AS label FROM (SELECT DISTINCT l_returnflag AS a_ref FROM lineitem) CROSS JOIN (SELECT DISTINCT l_linestatus AS a_method FROM lineitem)")
 def combos_3x3(spark, d):
-    one = lambda name, values: spark.createDataFrame([(x,) for x in values], f"{name} string")
-    return M.combos(one("a_ref", ("r1", "r2", "r3")), one("a_method", ("ls", "eqm", "dl"))).withColumn("label", F.concat_ws("_", "a_ref", "a_method"))
+    one = lambda name, column: V.table(spark, d, "lineitem").select(F.col(column).alias(name)).distinct()
+    return M.combos(one("a_ref", "l_returnflag"), one("a_method", "l_linestatus")).withColumn("label", F.concat_ws("_", "a_ref", "a_method"))
 
 
 @query("station_id name", "", r"SELECT s_suppkey AS station_id, upper(replace(trim(s_name), '#', ' ')) || ' (' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || ')' AS name FROM supplier")
@@ -185,23 +185,23 @@ def nearest_bounded(spark, d):
     return A.regrid_nearest(c, *maps, ["value"], ["time"])
 
 
-@query("target source", "", """
-  SELECT o.time AS target, arg_min(l.time, abs(datediff('day', l.time, o.time)) - epoch(l.time) * 1e-12) AS source
-  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS time FROM orders) o, (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_suppkey = 3) l GROUP BY o.time""")
+@query("supplier target source", "", """
+  WITH have AS (SELECT DISTINCT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS x FROM lineitem
+  ), want AS (SELECT supplier, x FROM (SELECT DISTINCT supplier FROM have), (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders)
+  ), near AS (SELECT w.supplier, w.x AS target, p.x AS before, n.x AS after FROM want w
+    ASOF LEFT JOIN have p ON w.supplier = p.supplier AND w.x >= p.x ASOF LEFT JOIN have n ON w.supplier = n.supplier AND w.x <= n.x)
+  SELECT supplier, target, CASE WHEN after IS NULL OR datediff('day', before, target) < datediff('day', target, after) THEN before ELSE after END AS source FROM near""")
 def nearest_time_asof(spark, d):
-    have = V.table(spark, d, "lineitem").filter("l_suppkey = 3").select(F.to_date("l_shipdate").alias("x")).distinct()
-    want = V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("x")).distinct()
-    return A.nearest(have, want)
-
-
-@query("supplier target source")
-def nearest_time_asof_by_supplier(spark, d):
-    """Every supplier's nearest shipping day to every order day."""
+    """Every supplier's nearest shipping day to every order day, the later of two."""
     have = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.to_date("l_shipdate").alias("x")).distinct()
     days = V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("x")).distinct()
     return A.nearest(have, have.select("supplier").distinct().crossJoin(days), by=["supplier"])
 
 
+#: The names under which the whole tables were first covered.
+ALL["nearest_time_asof_by_supplier"] = ALL["nearest_time_asof"]
+
+
 _BRACKET = lambda axis: f"""b{axis} AS (
   SELECT f.{axis} AS target, max(c.{axis}) FILTER (WHERE c.{axis} <= f.{axis}) AS lo, min(c.{axis}) FILTER (WHERE c.{axis} >= f.{axis}) AS hi
   FROM (SELECT DISTINCT {axis} FROM grid) f, (SELECT DISTINCT {axis} FROM coarse) c GROUP BY f.{axis}
@@ -474,14 +474,18 @@ def cqi(spark: SparkSession, d: str) -> DataFrame:
     return assessed(spark, d).select(*CELL, F.col("continuous_quality").cast("double").alias("a"), F.col("basic_statistical_quality").cast("double").alias("b"), F.col("categorical_quality").alias("k"))
 
 
-@query("month dekad n n_improved n_degraded n_unchanged", "mean median", with_(*_QUALITY, _CQI, last="""SELECT month, dekad, count(b - a) AS n, count(*) FILTER (WHERE b - a > 0.001) AS n_improved, count(*) FILTER (WHERE b - a < -0.001) AS n_degraded,
-  count(*) FILTER (WHERE abs(b - a) <= 0.001) AS n_unchanged, avg(b - a) AS mean, quantile_cont(b - a, 0.5) AS median FROM cqi GROUP BY month, dekad"""))
+@query("month dekad n n_improved n_degraded n_unchanged", "mean median percent_improved percent_degraded", with_(*_QUALITY, _CQI, last="""SELECT month, dekad, count(b - a) AS n, count(*) FILTER (WHERE b - a > 0.001) AS n_improved, count(*) FILTER (WHERE b - a < -0.001) AS n_degraded,
+  count(*) FILTER (WHERE abs(b - a) <= 0.001) AS n_unchanged, avg(b - a) AS mean, quantile_cont(b - a, 0.5) AS median,
+  100 * count(*) FILTER (WHERE b - a > 0.001) / nullif(count(b - a), 0) AS percent_improved, 100 * count(*) FILTER (WHERE b - a < -0.001) / nullif(count(b - a), 0) AS percent_degraded FROM cqi GROUP BY month, dekad"""))
 def cqi_improvement(spark, d):
     return R.improvement(cqi(spark, d), ["month", "dekad"], "a", "b")
 
 
-@query("month c1 c2 c3 c4 total", "percent_good", with_(*_QUALITY, _CQI, last="""SELECT month, count(*) FILTER (WHERE k = 1) AS c1, count(*) FILTER (WHERE k = 2) AS c2, count(*) FILTER (WHERE k = 3) AS c3, count(*) FILTER (WHERE k = 4) AS c4,
-  count(*) FILTER (WHERE k > 0) AS total, 100 * count(*) FILTER (WHERE k >= 3) / nullif(count(*) FILTER (WHERE k > 0), 0) AS percent_good FROM cqi GROUP BY month"""))
+_SHARES = ", ".join(f"100 * count(*) FILTER (WHERE k = {c}) / nullif(count(*) FILTER (WHERE k > 0), 0) AS p{c}" for c in (1, 2, 3, 4))
+
+
+@query("month c1 c2 c3 c4 total", "percent_good p1 p2 p3 p4", with_(*_QUALITY, _CQI, last="""SELECT month, count(*) FILTER (WHERE k = 1) AS c1, count(*) FILTER (WHERE k = 2) AS c2, count(*) FILTER (WHERE k = 3) AS c3, count(*) FILTER (WHERE k = 4) AS c4,
+  count(*) FILTER (WHERE k > 0) AS total, 100 * count(*) FILTER (WHERE k >= 3) / nullif(count(*) FILTER (WHERE k > 0), 0) AS percent_good, """ + _SHARES + " FROM cqi GROUP BY month"))
 def category_summary(spark, d):
     return R.category_counts(cqi(spark, d), ["month"], "k")
 
@@ -501,6 +505,84 @@ def best_worst_period(spark, d):
     return R.best_and_worst(cqi(spark, d).withColumn("period", F.col("month") * 10 + F.col("dekad")), "period", F.col("b") - F.col("a"))
 
 
+@query("best_period worst_period n_periods", "mean_change percent_improved percent_degraded p1 p2 p3 p4", with_(*_QUALITY, _CQI, f"""pd AS (SELECT month * 10 + dekad AS period, avg(b - a) AS change, 100 * count(*) FILTER (WHERE b - a > 0.001) / nullif(count(b - a), 0) AS up,
+  100 * count(*) FILTER (WHERE b - a < -0.001) / nullif(count(b - a), 0) AS down, {_SHARES} FROM cqi GROUP BY 1)""", last="""SELECT avg(change) AS mean_change, avg(up) AS percent_improved, avg(down) AS percent_degraded, avg(p1) AS p1, avg(p2) AS p2, avg(p3) AS p3, avg(p4) AS p4,
+  arg_max(period, change) AS best_period, arg_min(period, change) AS worst_period, count(*) AS n_periods FROM pd"""))
+def batch_summary(spark, d):
+    return R.batch_summary(cqi(spark, d).withColumn("period", F.col("month") * 10 + F.col("dekad")), "period", "a", "b", "k")
+
+
+@query("region place n", "median", "SELECT r_name AS region, coalesce(list_position(['ASIA', 'EUROPE', 'AFRICA'], r_name), 4) AS place, count(*) AS n, quantile_cont(CAST(s_acctbal AS DOUBLE), 0.5) AS median FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def region_medians(spark, d):
+    """Of each region, in a configured order, the median of a value at its stations."""
+    t = lambda name: V.table(spark, d, name)
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return R.placed(R.group_medians(rows.select(F.col("r_name").alias("region"), F.col("s_acctbal").cast("double").alias("value")), "region", "value"), "region", ("ASIA", "EUROPE", "AFRICA"))
+
+
+@query("province n", "median", "SELECT n_name AS province, count(*) AS n, quantile_cont(CAST(s_acctbal AS DOUBLE), 0.5) AS median FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def province_medians(spark, d):
+    t = lambda name: V.table(spark, d, name)
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return R.group_medians(rows.select(F.col("n_name").alias("province"), F.col("s_acctbal").cast("double").alias("value")), "province", "value").orderBy("median")
+
+
+@query("least most", "median", "SELECT min(n) AS least, max(n) AS most, quantile_cont(n, 0.5) AS median FROM (SELECT date_trunc('month', l_shipdate) AS p, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)")
+def stations_by_period(spark, d):
+    return R.counts_by_period(V.table(spark, d, "lineitem").select(F.date_trunc("month", "l_shipdate").alias("period"), "l_suppkey"), "period", "l_suppkey")
+
+
+_ORDER = ("N", "A", "R")
+
+
+@query("orderkey method", "value", f"SELECT l_orderkey AS orderkey, l_returnflag AS method, sum(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY l_orderkey, l_returnflag QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'A' THEN 99 ELSE list_position({list(_ORDER)}, l_returnflag) END DESC) = 1")
+def preferred_method(spark, d):
+    """Of each key the preferred method, else the last one in order."""
+    rows = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey"), F.col("l_returnflag").alias("method")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+    return R.preferred(rows, ["orderkey"], "method", _ORDER, "A")
+
+
+@query("month lat_i lon_i year", "rmse", with_(SQL.GRID, SQL.metrics("grid", ["month", "lat_i", "lon_i", "year"], WET_GRID), last="SELECT month, lat_i, lon_i, year, rmse FROM m QUALIFY year = min(year) OVER (PARTITION BY month, lat_i, lon_i)"))
+def first_year_quality(spark, d):
+    rows = M.yearly(grid(spark, d), ["month", "lat_i", "lon_i"], WET_GRID, pvalue=False)
+    return R.first_step(rows, ["month", "lat_i", "lon_i"], "year")
+
+
+@query("custkey rank", "", "SELECT c_custkey AS custkey, row_number() OVER (ORDER BY CAST(c_acctbal AS DOUBLE), c_custkey) AS rank FROM customer")
+def rank_by_longitude(spark, d):
+    rows = V.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").cast("double").alias("lon"))
+    return R.ranked(rows, "lon", ["custkey"])
+
+
+@query("station_id", "q95_ratio q99_ratio intensity_ratio", with_(SQL.STATION, last=f"""SELECT station_id, quantile_cont(test, 0.95) / nullif(quantile_cont(ref, 0.95), 0) AS q95_ratio, quantile_cont(test, 0.99) / nullif(quantile_cont(ref, 0.99), 0) AS q99_ratio,
+  avg(test) FILTER (WHERE test >= {WET_STATION}) / nullif(avg(ref) FILTER (WHERE ref >= {WET_STATION}), 0) AS intensity_ratio FROM station WHERE ref IS NOT NULL AND test IS NOT NULL GROUP BY station_id"""))
+def distribution_ratios(spark, d):
+    return ST.distribution_ratios(V.station_pairs(spark, d), ["station_id"], WET_STATION)
+
+
+@query("lat_i lon_i n_rows", "rmse csi pod", with_(SQL.GRID, _POOLED, last="SELECT lat_i, lon_i, count(*) AS n_rows, avg(rmse) AS rmse, avg(csi) AS csi, avg(pod) AS pod FROM m GROUP BY ALL"))
+def mean_over_dekads(spark, d):
+    return ST.mean_over(pooled(spark, d), ["lat_i", "lon_i"], ["rmse", "csi", "pod"])
+
+
+@query("lat_i lon_i n_rows", "rmse nse", with_(SQL.GRID, SQL.metrics("grid", ["month", "lat_i", "lon_i", "year"], WET_GRID), last="SELECT lat_i, lon_i, count(*) AS n_rows, avg(rmse) AS rmse, avg(nse) AS nse FROM m GROUP BY ALL"))
+def mean_over_years(spark, d):
+    return ST.mean_over(M.yearly(grid(spark, d), ["month", "lat_i", "lon_i"], WET_GRID, pvalue=False), ["lat_i", "lon_i"], ["rmse", "nse"])
+
+
+_PLAN = R.settings((2, 5, 9), (0.5, 0.7, 0.9), (0.7, 0.8, 0.9), (5, 0.7, 0.8))
+
+
+@query("parameter", "saturation alpha percentile rmse bias", with_(SQL.GRID, "plan(parameter, saturation, alpha, percentile) AS (VALUES " + ", ".join(f"('{n}', {s}::DOUBLE, {a}::DOUBLE, {p}::DOUBLE)" for n, s, a, p in _PLAN) + ")",
+  "lim AS (SELECT month, dekad, lat_i, lon_i, p AS percentile, v AS lim FROM (SELECT month, dekad, lat_i, lon_i, unnest([0.7, 0.8, 0.9]::DOUBLE[]) AS p, unnest(quantile_cont(test, [0.7, 0.8, 0.9])) AS v FROM grid GROUP BY month, dekad, lat_i, lon_i))",
+  """bl AS (SELECT parameter, saturation, alpha, percentile, month, dekad, g.lat_i, g.lon_i, ref, CASE WHEN test > lim AND test > 0 THEN (1 - least(g.lat_i / saturation, 1) * (1 - alpha)) * test + least(g.lat_i / saturation, 1) * (1 - alpha) * ref ELSE test END AS y
+  FROM grid g JOIN lim USING (month, dekad, lat_i, lon_i) JOIN plan USING (percentile))""",
+  "ce AS (SELECT parameter, saturation, alpha, percentile, sqrt(avg((y - ref) * (y - ref))) AS e, avg(y - ref) AS b FROM bl GROUP BY parameter, saturation, alpha, percentile, month, dekad, lat_i, lon_i)",
+  last="SELECT parameter, saturation, alpha, percentile, quantile_cont(e, 0.5) AS rmse, quantile_cont(b, 0.5) AS bias FROM ce GROUP BY ALL"))
+def sweep_three_parameters(spark, d):
+    return R.sweep_settings(grid(spark, d), CELL, _PLAN)
+
+
 # Taylor statistics.
 
 _TKEYS = ["product", "station_id", "month", "dekad"]
@@ -584,54 +666,33 @@ _LAGS = """hours AS (SELECT user_id AS station_id, epoch(date_trunc('hour', ts))
 ), dense AS (SELECT station_id, h.hour, coalesce(ref, 0) AS ref, coalesce(test, 0) AS test FROM (SELECT station_id, unnest(range(a, b + 1)) AS hour FROM (SELECT DISTINCT station_id FROM hours), span) h LEFT JOIN hours USING (station_id, hour)
 ), roll AS (SELECT station_id, hour, sum(ref) OVER (PARTITION BY station_id ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS ref, sum(test) OVER (PARTITION BY station_id ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS test FROM dense)"""
 _CURVE = """ls AS (SELECT a.station_id % 5 AS band, h, count(*) AS n, sum(a.ref) AS so, sum(b.test) AS sp, sum(a.ref * a.ref) AS soo, sum(b.test * b.test) AS spp, sum(a.ref * b.test) AS sop
-  FROM roll a, (SELECT unnest(range(-12, 13, 3)) AS h) JOIN roll b ON b.station_id = a.station_id AND b.hour = a.hour + h WHERE a.hour % 24 = 0 GROUP BY ALL
+  FROM roll a, (SELECT unnest(range(-48, 49)) AS h) JOIN roll b ON b.station_id = a.station_id AND b.hour = a.hour + h WHERE a.hour % 24 = 0 GROUP BY ALL
 ), lc AS (SELECT band, h, CASE WHEN soo - so * so / n > 0 AND spp - sp * sp / n > 0 THEN greatest(-1, least(1, (sop - so * sp / n) / sqrt((soo - so * so / n) * (spp - sp * sp / n)))) END AS r FROM ls)"""
 
 
-@query("station_id hour", "ref test", with_(_LAGS, last="SELECT * FROM roll WHERE hour % 24 = 0"))
-def rolling_24h(spark, d):
-    return R.rolling_days(V.table(spark, d, "events")).filter("hour % 24 = 0")
-
-
 @query("station_id hour", "ref test", with_(_LAGS, last="SELECT * FROM roll"))
-def rolling_24h_hourly(spark, d):
+def rolling_24h(spark, d):
     return R.rolling_days(V.table(spark, d, "events"))
 
 
 def lag_curve(spark: SparkSession, d: str) -> DataFrame:
-    sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-12, 13, 3)).withColumn("band", F.col("station_id") % 5)
-    return TY.lag_correlation(sums, ["band"])
+    """The curve at every hour from -48 to 48."""
+    sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-48, 49)).withColumn("band", F.col("station_id") % 5)
+    return TY.lag_correlation(sums, ["band"]).withColumn("h", F.col("h").cast("long"))
 
 
 @query("band h", "r", with_(_LAGS, _CURVE, last="SELECT * FROM lc"))
 def lag_correlation(spark, d):
-    return lag_curve(spark, d).withColumn("h", F.col("h").cast("long"))
+    return lag_curve(spark, d)
 
 
 @query("band best_h band_low band_high", "peak lift", with_(_LAGS, _CURVE, "pk AS (SELECT band, max(r) AS peak, max(r) FILTER (WHERE h = 0) AS z FROM lc GROUP BY band)", last="""
   SELECT band, peak, peak - z AS lift, min(h) FILTER (WHERE r = peak) AS best_h, min(h) FILTER (WHERE r >= peak - 0.02) AS band_low, max(h) FILTER (WHERE r >= peak - 0.02) AS band_high FROM lc JOIN pk USING (band) GROUP BY band, peak, z"""))
 def best_offset(spark, d):
-    return TY.best_offset(lag_curve(spark, d).withColumn("h", F.col("h").cast("long")), ["band"])
-
-
-def lag_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The curve at every hour from -48 to 48."""
-    sums = R.lag_sums(R.rolling_days(V.table(spark, d, "events")), range(-48, 49)).withColumn("band", F.col("station_id") % 5)
-    return TY.lag_correlation(sums, ["band"]).withColumn("h", F.col("h").cast("long"))
-
-
-_SWEEP = _CURVE.replace("range(-12, 13, 3)", "range(-48, 49)")
+    return TY.best_offset(lag_curve(spark, d), ["band"])
 
 
-@query("band h", "r", with_(_LAGS, _SWEEP, last="SELECT * FROM lc"))
-def lag_correlation_hourly(spark, d):
-    return lag_sweep(spark, d)
-
-
-@query("band best_h band_low band_high", "peak lift", with_(_LAGS, _SWEEP, "pk AS (SELECT band, max(r) AS peak, max(r) FILTER (WHERE h = 0) AS z FROM lc GROUP BY band)", last="""
-  SELECT band, peak, peak - z AS lift, min(h) FILTER (WHERE r = peak) AS best_h, min(h) FILTER (WHERE r >= peak - 0.02) AS band_low, max(h) FILTER (WHERE r >= peak - 0.02) AS band_high FROM lc JOIN pk USING (band) GROUP BY band, peak, z"""))
-def best_offset_hourly(spark, d):
-    return TY.best_offset(lag_sweep(spark, d), ["band"])
+ALL["rolling_24h_hourly"], ALL["lag_correlation_hourly"], ALL["best_offset_hourly"] = ALL["rolling_24h"], ALL["lag_correlation"], ALL["best_offset"]
 
 
 # Density, smoothing and filling.
@@ -707,9 +768,9 @@ def fillmiss_one_pass(spark, d):
 # Correction.
 
 
-@query("c", "alpha", "SELECT c, 1 - c * (1 - 0.7::DOUBLE) AS alpha FROM (SELECT unnest([0.0, 0.25, 0.5, 1.0]::DOUBLE[]) AS c)")
+@query("custkey", "alpha", "SELECT c_custkey AS custkey, 1 - c_custkey % 101 / 100 * (1 - 0.7::DOUBLE) AS alpha FROM customer")
 def alpha_blend(spark, d):
-    return spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,)], "c double").withColumn("alpha", S.effective_alpha("c", 0.7))
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), (F.col("c_custkey") % 101 / 100).alias("c")).withColumn("alpha", S.effective_alpha("c", 0.7))
 
 
 @query("time lat_i lon_i", "blended", with_(SQL.GRID, "lim AS (SELECT month, dekad, lat_i, lon_i, quantile_cont(test, 0.8) AS lim FROM grid GROUP BY ALL)", last="""
@@ -724,9 +785,10 @@ def day_normalised(spark, d):
     return C.day_normalised(grid(spark, d).withColumn("value", F.col("test")))
 
 
-@query("p", "q0 q1", "SELECT p, -2 * ln(1 - p) AS q0, 2 / 0.3::DOUBLE * (pow(1 - p, -0.3::DOUBLE) - 1) + 5 AS q1 FROM (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS p)")
+@query("custkey", "q0 q1", "SELECT custkey, -2 * ln(1 - p) AS q0, 2 / 0.3::DOUBLE * (pow(1 - p, -0.3::DOUBLE) - 1) + 5 AS q1 FROM (SELECT c_custkey AS custkey, (c_custkey % 999 + 0.5::DOUBLE) / 1000 AS p FROM customer)")
 def gpd_quantile(spark, d):
-    return spark.createDataFrame([(0.1,), (0.5,), (0.9,), (0.99,)], "p double").withColumns({"q0": S.gpd_quantile("p", 0.0, 2.0), "q1": S.gpd_quantile("p", 0.3, 2.0, 5.0)})
+    rows = V.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), ((F.col("c_custkey") % 999 + F.lit(0.5)) / 1000).alias("p"))
+    return rows.withColumns({"q0": S.gpd_quantile("p", 0.0, 2.0), "q1": S.gpd_quantile("p", 0.3, 2.0, 5.0)})
 
 
 @query("station_id n", "shape scale loc")
@@ -821,11 +883,11 @@ def verify_combos(spark, d):
     return pipelines.verify({"a": one("ref"), "b": one("ref").withColumn("value", F.col("value") + 1)}, {"raw": one("test"), "ls": scaled}, Params(wet_day=WET_GRID))
 
 
-@query("setting done", "", "SELECT setting, setting % 3 = 0 AS done FROM range(0, 15) q(setting) WHERE setting % 2 = 1 OR setting % 3 = 0")
+@query("setting done", "", "SELECT o_orderkey AS setting, o_orderstatus = 'F' AS done FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000")
 def resumable_plan(spark, d):
-    plan = spark.range(15).withColumnRenamed("id", "setting")
-    done = plan.filter("setting % 3 = 0").withColumn("done", F.lit(True))
-    new = R.pending(plan.filter("setting % 2 = 1"), done, ["setting"]).withColumn("done", F.lit(False))
+    plan = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("setting"), "o_orderstatus", "o_totalprice")
+    done = plan.filter("o_orderstatus = 'F'").select("setting", F.lit(True).alias("done"))
+    new = R.pending(plan.filter("o_totalprice > 100000").select("setting"), done, ["setting"]).withColumn("done", F.lit(False))
     return R.upsert(done, new, ["setting"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,24 @@ def dekad_totals(rows: DataFrame, delay: str = "31 days") -> DataFrame:
     """Sums by calendar dekad: its key is derived, as no window of fixed width fits it (update mode)."""
     days = rows.withWatermark("ts", delay).withColumns(dekad_columns("ts"))
     return days.groupBy("station_id", "year", "month", "dekad").agg(F.sum("value").alias("value"), F.count("value").alias("n"))
+
+
+def dry_spells(rows: DataFrame, threshold: float = 1.0, delay: str = "7 days") -> DataFrame:
+    """(station_id, ts, dry_days): how many values in a row, up to and with each, lie under `threshold`.
+
+    The state of a station is the length of its running spell. Values are sorted by time within a micro-batch; one
+    older than the last of its station is counted as it comes. A missing value ends the spell (update mode).
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        spell = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values("ts")
+        out = []
+        for value in rows["value"]:
+            spell = spell + 1 if value < threshold else 0
+            out.append(spell)
+        state.update((spell,))
+        yield pd.DataFrame({"station_id": key[0], "ts": rows["ts"], "dry_days": out})
+
+    kind = dict(rows.dtypes)["station_id"]
+    return rows.withWatermark("ts", delay).groupBy("station_id").applyInPandasWithState(run, f"station_id {kind}, ts timestamp, dry_days long", "spell long", "update", "NoTimeout")
