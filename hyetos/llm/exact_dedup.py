@@ -108,7 +108,9 @@ def exact_dedup(
     compared = hits.join(stays, ["digest", "salt"], "left").withColumn("same", F.coalesce(F.col("body") == F.col("keep_body"), F.lit(False)))
     compared = written(compared.select(id_col, "file", "row", "stays", "keep_id", "n", "digest", "len", "same", F.when(~F.col("same"), F.col("body")).alias("other")), "compared")
     same = compared.groupBy("digest").agg(F.count(F.when(F.col("same"), 1)).alias("n_same"), F.count(F.when(~F.col("same"), 1)).alias("n_other"))
-    clashes = same.filter("n_other > 0").select("digest", "n_same")
+    clashes = written(same.filter("n_other > 0").select("digest", "n_same"), "clashes")
+    if clashes.count() <= broadcast_rows:
+        clashes = F.broadcast(clashes)
     matched = compared.filter("same").join(clashes, "digest", "left").select(
         id_col, "keep_id", F.coalesce("n_same", "n").alias("group_size"), F.col("stays").alias("kept"), F.col("digest").alias("text_sha256"))
     # Rows that share a digest but not the bytes: grouped by the bytes.
