@@ -11,7 +11,7 @@ its strings carry its md5, not the URL. The table of
 strings is broadcast only up to `broadcast_rows` rows; beyond, it is joined by a shuffle whose hot strings Spark
 splits.
 
-Edge cases: a null URL, or one without `://`, has an empty host and path and no rule; an empty URL scores 0; without
+Edge cases: a null URL, or one without `://`, has an empty host and path and no rule; an empty URL is judged by its end alone; without
 allowed or without blocked examples the held-out threshold is 0 and the missing model is uniform; extra columns pass
 through, and of columns that clash with the results the operator's values stay; repeated rows are judged alike; an
 empty table gives an empty table.
