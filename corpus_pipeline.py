@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 documents of the next. All but the last return the columns of documents.
+
+Edge cases: a null text, or one without a word, is rejected by the first stage; a null id or source passes through all
+stages (a null source is a site for nothing, and a leaf of its own in the mixture); rows with the same id are one
+document where lines are cut and items found; of equal or near texts the smallest id stays; columns beyond those of
+documents are not read, so none can clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
