@@ -108,7 +108,9 @@ def url_verdicts(
     urls = pages.select(url.alias("url")).distinct()
     urls = urls.withColumn("label", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"])
     urls = urls.withColumn("held", F.pmod(F.crc32("url"), F.lit(5)) == 0)
-    grams = written(urls.select(F.md5("url").alias("key"), "label", "held", F.explode(_grams(F.col("url"))).alias("gram")), "grams")
+    # The key first: beside the explode it would be computed again for every string of the URL.
+    urls = urls.select(F.md5("url").alias("key"), "label", "held", "url")
+    grams = written(urls.select("key", "label", "held", F.explode(_grams(F.col("url"))).alias("gram")), "grams")
     seen = lambda v: F.count(F.when((F.col("label") == v) & ~F.col("held"), 1))
     counts = written(grams.groupBy("gram").agg(seen("allow").alias("a"), seen("block").alias("b")), "gram-counts")
     ratios = written(_ratios(counts), "ratios")
