@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of `written` that nothing will read again."""
     files = table.inputFiles()
     if files:
-        hadoop = table.sparkSession._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(files[0]).getParent()
-        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
+def fold(name: str) -> str:
+    """A folder name that no other run has."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
+def files_at(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a URI for tasks that read or write bytes themselves, and the path in it; a bare path is a local one."""
+    if re.match("file:/|/", uri):
+        return LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    return FileSystem.from_uri(uri)
 
 
 def kept(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
