@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, pii, quality, url_filter, warc
+from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, phrases, pii, quality, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
         "op11_warc_normaliser": warc.op11_warc_normaliser,
+        "op12_phrases": phrases.op12_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_warc_normaliser": warc.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_warc_normaliser": warc.ORACLE, "op12_phrases": phrases.ORACLE}
