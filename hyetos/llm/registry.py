@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, phrases, pii, quality, url_filter, warc
+from hyetos.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash, mixing, phrases, pii, quality, url_filter, wand, warc
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op10_quality": quality.op10_quality,
         "op11_warc_normaliser": warc.op11_warc_normaliser,
         "op12_phrases": phrases.op12_phrases,
+        "op13_block_max_wand": wand.op13_block_max_wand,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_warc_normaliser": warc.ORACLE, "op12_phrases": phrases.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_warc_normaliser": warc.ORACLE, "op12_phrases": phrases.ORACLE, "op13_block_max_wand": wand.ORACLE}
