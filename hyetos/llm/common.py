@@ -51,6 +51,14 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, files[0].rpartition("/")[0])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(name: str) -> str:
     """A folder name that no other run has."""
     return f"{name}-{uuid.uuid4().hex}"

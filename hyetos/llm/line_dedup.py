@@ -7,15 +7,17 @@ sites. A line that reaches the threshold is boilerplate. The document with the s
 a text that was copied in full survives once; it is cut from all the others.
 
 How many sites a line needs depends on its length (`SITES`): long passages are hardly ever written twice, so a few
-sites are enough; short lines often are, so they need many.
+sites are enough; short lines, such as a closing brace or "Yes.", are written everywhere, so those under 20 characters
+need a share of all sites too.
 
 Places and hashes of all lines are written once. Boilerplate lines are broadcast up to `broadcast_rows` of them and
 shuffled beyond; the places to cut come back to their documents, so a text of many cut lines costs no more than the
 number of its lines.
 
 Edge cases: null or empty texts pass unchanged; blank lines are never boilerplate; a null site counts for nothing;
-rows with the same id are one document; of columns that clash with `n_lines` or `n_removed` the operator's values
-stay; an empty table gives an empty table.
+cuts are known by id and text, so rows with one id, or none, lose their own boilerplate only; of rows with the smallest
+id each keeps the line; a row with a null id keeps a line that only such rows have; of columns that clash with `n_lines`
+or `n_removed` the operator's values stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyetos.llm.common import kept, once, written
+from hyetos.llm.common import kept, once, unused, written
 
-#: (characters from which on, sites that such a line needs), the longest first.
-SITES = ((150, 5), (20, 10), (1, 16))
+#: (characters from which on, sites that such a line needs, share of all sites that it needs), the longest first.
+SITES = ((150, 5, 0.0), (20, 10, 0.0), (1, 16, 0.8))
 #: log2 of the sketch's registers, and its relative standard error.
 LG_K, ERROR = 12, 1.04 / math.sqrt(2**12)
 
@@ -42,21 +44,27 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"))
 
 
-def _needed(line: Column, sites) -> Column:
+def _needed(line: Column, sites, all_sites: int) -> Column:
     """The sites that a line needs to be boilerplate; null for a line that never is."""
     n = F.length(F.trim(line))
     out = F.lit(None).cast("int")
-    for chars, needed in sorted(sites):
-        out = F.when(n >= chars, needed).otherwise(out)
+    for chars, needed, share in sorted(sites):
+        out = F.when(n >= chars, max(needed, math.ceil(round(share * all_sites, 6)))).otherwise(out)
     return out
 
 
+def _row(text: Column) -> Column:
+    """Two hashes of a text, to tell apart rows that share an id or have none."""
+    return F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+
+
 def boilerplate(docs: DataFrame, sites, broadcast_rows: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
-    """(lines of documents, boilerplate lines): keys with id, site and place, and keys with the first id."""
-    every = F.transform(_lines(F.col(text_col)), lambda x, k: F.struct(_key(x).alias("key"), _needed(x, sites).alias("needed"), k.alias("place")))
+    """(lines of documents, boilerplate lines): keys with id, text, site and place, and keys with the first id."""
+    all_sites = docs.select(F.col(site_col).cast("string").alias("site")).filter("site is not null").distinct().count() if any(share for *_, share in sites) else 0
+    every = F.transform(_lines(F.col(text_col)), lambda x, k: F.struct(_key(x).alias("key"), _needed(x, sites, all_sites).alias("needed"), k.alias("place")))
     keyed = kept(
-        docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.filter(every, lambda x: x["needed"].isNotNull())).alias("line"))
-        .select("id", "site", "line.key.h1", "line.key.h2", "line.needed", "line.place"),
+        docs.select(F.col(id_col).alias("id"), _row(F.col(text_col)).alias("row"), F.col(site_col).cast("string").alias("site"), F.explode(F.filter(every, lambda x: x["needed"].isNotNull())).alias("line"))
+        .select("id", "row", "site", "line.key.h1", "line.key.h2", "line.needed", "line.place"),
         "lines",
     )
     margin = F.greatest(F.lit(2.0), F.col("needed") * (4 * ERROR))
@@ -90,24 +98,24 @@ def line_dedup(
 
     `min_sites`: one number of sites for all lines of 20 characters and more, in place of `sites`.
     """
-    keyed, lines = boilerplate(docs, sites if min_sites is None else ((20, min_sites),), broadcast_rows, id_col, text_col, site_col)
-    cut = (
+    keyed, lines = boilerplate(docs, sites if min_sites is None else ((20, min_sites, 0.0),), broadcast_rows, id_col, text_col, site_col)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    row, cut = unused(docs, "row"), unused(docs, "cut")
+    cuts = (
         keyed.join(_few(lines, broadcast_rows), ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy(F.col("id").alias("__cut_id"))
-        .agg(F.collect_set("place").alias("__cut"))
+        .groupBy(F.col("id"), "row").agg(F.collect_set("place").alias(cut))
+        .withColumnsRenamed({"id": unused(docs, "id"), "row": f"_{row}"})
     )
-    docs = docs.drop("n_lines", "n_removed")
-    joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__cut_id"]), "left")
+    docs = docs.select(*[F.col(f"`{c}`") for c in names], _row(F.col(text_col)).alias(row))
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[cuts.columns[0]]) & (docs[row] == cuts[cuts.columns[1]]), "left")
     n_lines = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
-    # Rows with one id are one document, so a place may lie beyond the lines of a shorter text.
-    left = once(_lines(F.col(text_col)), lambda x: F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__cut"))), lambda k: F.get(x, k)))
-    uncut = F.col("__cut").isNull() | F.col(text_col).isNull()
-    places = F.size(F.array_intersect(F.sequence(F.lit(0), n_lines - 1), F.col("__cut")))
+    left = once(_lines(F.col(text_col)), lambda x: F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(cut))), lambda k: F.get(x, k)))
+    uncut = F.col(cut).isNull() | F.col(text_col).isNull()
     return joined.select(
-        *[F.when(uncut, F.col(text_col)).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(uncut, F.col(text_col)).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names],
         F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(uncut, 0).otherwise(places).cast("long").alias("n_removed"),
+        F.when(uncut, 0).otherwise(F.size(cut)).cast("long").alias("n_removed"),
     )
 
 
@@ -117,7 +125,7 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL
 ), b AS (
   SELECT trim(line, ' ') AS k, min(doc_id) AS first_id FROM l WHERE length(trim(line, ' ')) >= 1
-  GROUP BY 1 HAVING count(DISTINCT source) >= CASE WHEN length(k) >= 150 THEN 5 WHEN length(k) >= 20 THEN 10 ELSE 16 END
+  GROUP BY 1 HAVING count(DISTINCT source) >= CASE WHEN length(k) >= 150 THEN 5 WHEN length(k) >= 20 THEN 10 ELSE greatest(16, ceil(0.8 * (SELECT count(DISTINCT source) FROM documents))) END
 ), f AS (
   SELECT l.doc_id, l.pos, l.line, b.k IS NOT NULL AND l.doc_id <> b.first_id AS bad
   FROM l LEFT JOIN b ON trim(l.line, ' ') = b.k
