@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hyetos.functions.scalar import div
+from hyetos.operators import order
 
 
 def _median(x) -> Column:
@@ -84,20 +85,15 @@ def first_step(rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return rows.join(first, [*keys, time], "left_semi")
 
 
-def ranked(rows: DataFrame, by: str, ties: Sequence[str], bands: int = 1000) -> DataFrame:
-    """With `rank` by a number, ties in the order of `ties`: rows are counted in bands of the number first, so that no task orders them all."""
-    ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b"))
-    banded = rows.crossJoin(F.broadcast(ends)).withColumn("_band", F.least(F.floor(F.coalesce(div(F.col(by) - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0)) * bands), F.lit(bands - 1))).drop("a", "b")
-    sizes = banded.groupBy("_band").agg(F.count("*").alias("_n"))
-    before = sizes.select("_band", (F.sum("_n").over(W.orderBy("_band")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_band").orderBy(by, *ties))
-    return banded.withColumn("_i", inside).join(F.broadcast(before), "_band").withColumn("rank", F.col("_before") + F.col("_i")).drop("_band", "_i", "_before")
+def ranked(rows: DataFrame, by: str, ties: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """With `rank` by a number, ties in the order of `ties`, over range partitions."""
+    return order.ranks(rows, by, ties, partitions=partitions).drop("group_size")
 
 
 def ecdf(rows: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = ()) -> DataFrame:
     """Rank over count; equal values rise one by one."""
-    good = rows.filter(F.col(value).isNotNull())
-    return good.withColumn("ecdf", div(F.row_number().over(W.partitionBy(*keys).orderBy(value, *ties)), F.count("*").over(W.partitionBy(*keys))))
+    placed = order.ranks(rows.filter(F.col(value).isNotNull()), value, ties, keys)
+    return placed.withColumn("ecdf", div("rank", "group_size")).drop("rank", "group_size")
 
 
 def histogram(rows: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
@@ -113,12 +109,12 @@ def best_and_worst(rows: DataFrame, period: str, change: Column) -> DataFrame:
 
 def median_then_mean(rows: DataFrame, inner: Sequence[str], outer: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Medians over space for each `inner` key, then means over those of an `outer` key."""
-    return rows.groupBy(*inner).agg(*[_median(v).alias(v) for v in values]).groupBy(*outer).agg(*[F.avg(v).alias(v) for v in values])
+    return order.medians(rows, inner, values).groupBy(*outer).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def mean_then_median(rows: DataFrame, cell: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Means of each cell, then medians over cells."""
-    return rows.groupBy(*cell).agg(*[F.avg(v).alias(v) for v in values]).agg(*[_median(v).alias(v) for v in values])
+    return order.medians(rows.groupBy(*cell).agg(*[F.avg(v).alias(v) for v in values]), [], values)
 
 
 def five_numbers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -177,7 +173,7 @@ def sweep(pairs: DataFrame, keys: Sequence[str], saturations: Sequence[float], a
     a = 1 - F.least(F.col("lat_i") / F.col("saturation"), F.lit(1.0)) * (1 - F.lit(alpha))
     y = F.when(F.col("test") > F.col("_limit"), a * F.col("test") + (1 - a) * F.col("ref")).otherwise(F.col("test"))
     errors = rows.groupBy("saturation", *keys).agg(F.sqrt(F.avg((y - F.col("ref")) ** 2)).alias("_e"))
-    return errors.groupBy("saturation").agg(_median("_e").alias("rmse"))
+    return order.medians(errors, ["saturation"], ["_e"]).withColumnRenamed("_e", "rmse")
 
 
 def settings(saturations: Sequence[float], alphas: Sequence[float], percentiles: Sequence[float], default: tuple[float, float, float]) -> list[tuple[str, float, float, float]]:
@@ -200,7 +196,7 @@ def sweep_settings(pairs: DataFrame, keys: Sequence[str], plan: Sequence[tuple[s
     y = F.when((F.col("test") > limit) & (F.col("test") > 0), a * F.col("test") + (1 - a) * F.col("ref")).otherwise(F.col("test"))
     setting = ["parameter", "saturation", "alpha", "percentile"]
     cells = rows.groupBy(*setting, *keys).agg(F.sqrt(F.avg((y - F.col("ref")) ** 2)).alias("_e"), F.avg(y - F.col("ref")).alias("_b"))
-    return cells.groupBy(*setting).agg(_median("_e").alias("rmse"), _median("_b").alias("bias"))
+    return order.medians(cells, setting, ["_e", "_b"]).withColumnsRenamed({"_e": "rmse", "_b": "bias"})
 
 
 def pending(plan: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -216,7 +212,8 @@ def running_seasons(rows: DataFrame, keys: Sequence[str], value: str, month: str
     """Medians over three-month seasons, each named by its middle month; a month belongs to three of them."""
     m = F.col(month)
     each = rows.withColumn("season", F.explode(F.array((m + 10) % 12 + 1, m, m % 12 + 1)))
-    return each.groupBy(*keys, "season").agg(_median(value).alias("median"), F.count(value).alias("n"))
+    keys = [*keys, "season"]
+    return order.medians(each, keys, [value]).withColumnRenamed(value, "median").join(each.groupBy(*keys).agg(F.count(value).alias("n")), keys)
 
 
 def ordered(rows: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
