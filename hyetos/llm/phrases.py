@@ -1,16 +1,17 @@
 r"""Operator 12: phrases of two and more words, named pair by pair.
 
 Texts become chunks of word numbers, each about CHUNK words and ended at a break between pieces. At each level a chunk
-says which pairs of neighbouring (k-1)-grams it has and how often. Pairs that all chunks together have often enough get a
-global name: the place of their first occurrence. Names are joined back to the chunks, where they replace the pairs; all
-other pairs become breaks, as no frequent longer phrase holds one. A name keeps the two names it was made of (all but its
+says which pairs of neighbouring (k-1)-grams it has and how often. Pairs are dealt by their two names to as many buckets
+as there are chunks, where the counts of all chunks meet; those that are frequent get a global name. Each chunk is told the
+names of its own pairs, which replace them; all other pairs become breaks, as no frequent longer phrase holds one. A name keeps the two names it was made of (all but its
 last word, all but its first). These parent pointers give the counts of every cut, as prefixes of the left and suffixes
 of the right parent, and what a longer phrase subsumes: a phrase inside any longer one is inside one of the next level
 that is at least as frequent, so parents of one level decide.
 
-Words and pairs are counted exactly: words by their bytes, pairs by their names. A task holds one chunk at a time; of a
-pair each chunk sends one row, combined before the shuffle. Names are broadcast up to BROADCAST_ROWS rows and
-BROADCAST_BYTES of words, beyond they meet the pairs in a shuffle.
+Words and pairs are counted exactly: words by their bytes, pairs by their names. A task holds one chunk or one bucket at
+a time. A bucket has about as many pairs as a chunk, and of one pair a number from each chunk, so a hot pair adds a few
+bytes a chunk to its bucket. Names of words are broadcast up to BROADCAST_ROWS rows and BROADCAST_BYTES of words, beyond
+they meet the words of the chunks in a shuffle.
 
 Edge cases: a null text has no words; a null language counts as `und`; pieces without words vanish; rows that are
 repeated count each time; a very long text is read in slices, and a chunk grows beyond CHUNK only while a piece goes on;
@@ -30,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyetos.llm.chunks import distinct, spread, squeeze
-from hyetos.llm.common import kept, table, written
+from hyetos.llm.chunks import cuts_of, distinct, spread, squeeze
+from hyetos.llm.common import discard, kept, table, written
 
-CHUNK, SLICE = 1 << 21, 1 << 20
+CHUNK, SLICE, BATCH = 1 << 21, 1 << 20, 100_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 19, 64 << 20
-#: Bits of a name for the place in a chunk, and of a chunk's number for its place in the task.
-PLACE_BITS, TURN_BITS = 28, 14
+#: Bits of a chunk's number for its place in the task.
+TURN_BITS = 14
 #: A-Z lower-cased, tabs as spaces, all that ends a piece as full stops.
 _table = bytearray(range(256))
 _table[ord("A") : ord("Z") + 1] = b"abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +48,8 @@ PLAIN = bytes(_table)
 GAP = re.compile(rb"[ .]")
 
 WORDS = "chunk long, tokens binary, pos long, lang string, word string, n long"
-PAIRS = "chunk long, tokens binary, pos long, l long, r long, n long"
+SENT = "chunk long, tokens binary, bucket int, start long, l binary, r binary, n binary"
+NAMED = "chunk long, start long, at binary, names binary, l long, r long, f long, name long"
 
 
 def _slices(data: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
@@ -118,36 +120,82 @@ def _chunks(size: int, part_bytes: int):
     return run
 
 
-def _pair(last: bool):
-    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.binary()), ("pos", pa.int64()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
+def _pair(buckets: int, last: bool):
+    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.binary()), ("bucket", pa.int32()), ("start", pa.int64()), ("l", pa.binary()), ("r", pa.binary()), ("n", pa.binary())])
 
     def run(chunk: pa.Table, named: pa.Table) -> pa.Table:
-        """Replace the grams of a chunk by their names and pair neighbours; all grams without a name are breaks."""
-        tokens, places, names = spread(chunk["tokens"][0].as_py()), named["pos"].to_numpy(), named["name"].to_numpy()
+        """Replace the grams of a chunk by their names and pair neighbours; all grams without a name are breaks.
+
+        Pairs are numbered by bucket, then by names, so that each bucket gets a run of them, as bytes.
+        """
+        tokens = spread(chunk["tokens"][0].as_py())
+        if "pos" in named.column_names:
+            places, names = named["pos"].to_numpy(), named["name"].to_numpy()
+        else:
+            parts = list(zip(named["start"].to_pylist(), map(spread, named["at"].to_pylist()), map(spread, named["names"].to_pylist()), strict=True))
+            places, names = (np.concatenate([np.empty(0, np.int64), *x]) for x in ([s + a for s, a, _ in parts], [n for *_, n in parts]))
+        order = np.argsort(names)
+        places, names = places[order], names[order]
         own = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
         own[places] = np.arange(1, len(places) + 1)
         tokens = own[tokens]
         where = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
         keys, place = distinct(tokens[where] * (len(names) + 1) + tokens[where + 1])
-        if len(keys) >> PLACE_BITS:
-            raise ValueError("a piece has too many different pairs for one chunk")
-        left, right = np.divmod(keys.astype(np.int64), len(names) + 1)
-        columns = [np.arange(1, len(keys) + 1), names[left - 1], names[right - 1], np.bincount(place, minlength=len(keys))] if len(keys) else [np.empty(0, np.int64)] * 4
-        head, grams = [], np.zeros(len(tokens), np.int64)
+        left, right = (names[x - 1] for x in np.divmod(keys.astype(np.int64), len(names) + 1))
+        bucket = ((left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        counts = np.bincount(place, minlength=len(keys)) if len(keys) else np.empty(0, np.int64)
+        left, right, counts, number = left[order], right[order], counts[order], chunk["chunk"][0].as_py()
+        rows = [(number, None, b, x + 1, squeeze(np.diff(left[x:z], prepend=0)), squeeze(right[x:z]), squeeze(counts[x:z])) for b, x, z in cuts_of(bucket[order])]
         if len(keys) and not last:
-            grams[where] = place + 1
-            head = [squeeze(grams)]
-        number = chunk["chunk"][0].as_py()
-        own_rows = [pa.array([None] * len(head) + x.tolist(), pa.int64()) for x in columns]
-        return pa.Table.from_arrays([pa.array([number] * (len(head) + len(keys)), pa.int64()), pa.array(head + [None] * len(keys), pa.binary()), *own_rows], schema=schema)
+            grams, numbers = np.zeros(len(tokens), np.int64), np.empty(len(keys), np.int64)
+            numbers[order] = np.arange(1, len(keys) + 1)
+            grams[where] = numbers[place]
+            rows.append((number, squeeze(grams), None, None, None, None, None))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return run
 
 
-def _names(grams: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """Those that all chunks together have at least `least` times: keys, f and the name, the place of the first occurrence."""
-    place = F.shiftleft("chunk", PLACE_BITS).bitwiseOR(F.col("pos"))
-    return written(grams.groupBy(*keys).agg(F.sum("n").alias("f"), F.min(place).alias("name")).filter(F.col("f") >= least), name)
+def _name(buckets: int, least: int):
+    schema = pa.schema([("chunk", pa.int64()), ("start", pa.int64()), ("at", pa.binary()), ("names", pa.binary()), ("l", pa.int64()), ("r", pa.int64()), ("f", pa.int64()), ("name", pa.int64())])
+
+    def run(part: pa.Table) -> pa.Table:
+        """Add up the pairs of a bucket, name the frequent ones, and tell each chunk the names of its own."""
+        lefts = [np.cumsum(spread(x)) for x in part["l"].to_pylist()]
+        left, right, n = np.concatenate(lefts), *(np.concatenate([spread(x) for x in part[c].to_pylist()]) for c in ("r", "n"))
+        order = np.lexsort((right, left))
+        new = np.ones(len(order), bool)
+        new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(n[order], starts)
+        good = sums >= least
+        names = np.full(len(starts), -1)
+        names[good] = part["bucket"][0].as_py() + buckets * np.arange(good.sum())
+        name = np.empty(len(order), np.int64)
+        name[order] = names[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) for x in lefts])
+        rows = []
+        for chunk, start, at, end in zip(part["chunk"].to_pylist(), part["start"].to_pylist(), ends - [len(x) for x in lefts], ends, strict=True):
+            own = name[at:end]
+            found = np.flatnonzero(own >= 0)
+            if len(found):
+                rows.append((chunk, start, squeeze(found), squeeze(own[found])))
+        told = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [()] * 4, schema.types[:4], strict=True)] + [pa.nulls(len(rows), pa.int64())] * 4, schema=schema)
+        first = order[starts[good]]
+        made = [pa.nulls(len(first), t) for t in schema.types[:4]] + [pa.array(x) for x in (left[first], right[first], sums[good], names[good])]
+        # Small batches, as the JVM holds each of them as a whole.
+        return pa.Table.from_batches(told.to_batches(max_chunksize=256) + pa.Table.from_arrays(made, schema=schema).to_batches(max_chunksize=BATCH), schema=schema)
+
+    return run
+
+
+def _words(grams: DataFrame, least: int) -> DataFrame:
+    """Words that all chunks together have at least `least` times, with their count f and a name, numbers as small as they can be."""
+    names = written(grams.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "names1")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    parts = (names.agg(F.max(part)).first()[0] or 0) + 1
+    return names.withColumn("name", place * parts + part).drop("id")
 
 
 def _small(names: DataFrame, *texts: str) -> DataFrame:
@@ -160,23 +208,25 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """The best `top` phrases of 2 to `longest` words of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     chunks = written(texts.mapInArrow(_chunks(chunk, min(SLICE, 8 * chunk)), WORDS), "words")
-    grams, keys = chunks.filter("word is not null"), ["lang", "word"]
-    totals = written(grams.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names = _names(grams, keys, least, "names1")
+    buckets = max(1, chunks.filter("tokens is not null").count())
+    words = chunks.filter("word is not null").select("chunk", "pos", "lang", "word", "n")
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    names = _words(words, least)
+    told = words.join(_small(names.select("lang", "word", "name"), "lang", "word"), ["lang", "word"]).select(F.col("chunk").alias("of"), "pos", "name")
     none = F.array().cast("array<long>")
     known = names.select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), none.alias("firsts"), none.alias("lasts"))
     levels = []
     for k in range(2, longest + 1):
-        named = grams.join(_small(names.select(*keys, "name"), *(["lang", "word"] if k == 2 else [])), keys).select(F.col("chunk").alias("of"), "pos", "name")
-        kind = chunks.filter("tokens is not null").select("chunk", "tokens").groupBy("chunk").cogroup(named.groupBy("of"))
-        chunks = kept(kind.applyInArrow(_pair(k == longest), PAIRS), f"pairs{k}", chunks)
-        grams, keys = chunks.filter("l is not null"), ["l", "r"]
-        names = _names(grams, keys, least, f"names{k}")
+        held = chunks.filter("tokens is not null").select("chunk", "tokens")
+        chunks = kept(held.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_pair(buckets, k == longest), SENT), f"pairs{k}", chunks)
+        named = written(chunks.filter("l is not null").select("bucket", "chunk", "start", "l", "r", "n").groupBy("bucket").applyInArrow(_name(buckets, least), NAMED), f"named{k}")
+        told = named.filter("at is not null").select(F.col("chunk").alias("of"), "start", "at", "names")
         left = known.select(F.col("name").alias("l"), "lang", F.col("phrase").alias("before"), F.concat("firsts", F.array("a")).alias("firsts"))
         right = known.select(F.col("name").alias("r"), F.col("last"), F.concat("lasts", F.array("a")).alias("lasts"))
+        names = named.filter("name is not null").select("name", "l", "r", "f")
         known = written(names.join(left, "l").join(right, "r").select("name", "l", "r", "lang", F.concat_ws(" ", "before", "last").alias("phrase"), "last", F.col("f").alias("a"), "firsts", "lasts"), f"known{k}")
         levels.append(known)
-    kept(chunks.limit(0), "spent", chunks)
+    discard(chunks)
     out = None
     for k, level in enumerate(levels, 2):
         # A cut after j words: the count of the prefix of j words and of the suffix of k - j words.
