@@ -116,7 +116,7 @@ def folds_of(n: int, folds: int = 5, seed: int = 42) -> list[np.ndarray]:
 
 
 def fit_tails_of(samples: list[np.ndarray], cross_validate: bool, folds: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters of many samples of sorted excesses: with folds, averaged over fits that leave out one fold each."""
+    """Parameters of many samples of excesses in their own order: with folds, averaged over fits that leave out one fold each."""
     shape, scale = np.zeros(len(samples)), np.ones(len(samples))
     by_size: dict[int, list[int]] = {}
     for k, x in enumerate(samples):
@@ -137,17 +137,21 @@ def fit_gpd_folds(excess: np.ndarray, folds: int = 5) -> tuple[float, float]:
     return float(shape[0]), float(scale[0])
 
 
-def fit_tails(rows: DataFrame, limits: DataFrame, keys: Sequence[str], value: str = "value", cross_validate: bool = True) -> DataFrame:
-    """Tail fits of the values above each group's `gpd_threshold`; only those values leave the JVM, as one array a group."""
+def fit_tails(rows: DataFrame, limits: DataFrame, keys: Sequence[str], value: str = "value", cross_validate: bool = True, time: str = "time") -> DataFrame:
+    """Tail fits of the values above each group's `gpd_threshold`; only those values leave the JVM, as one array a group.
+
+    Folds are dealt over the excesses in the order of `time`, where rows have it, else of size.
+    """
     over = rows.join(limits.select(*keys, "gpd_threshold"), list(keys)).filter((F.col(value) > F.col("gpd_threshold")) & (F.col("gpd_threshold") > 0))
-    over = over.select(*keys, (F.col(value) - F.col("gpd_threshold")).cast("double").alias("excess"))
+    excess = (F.col(value) - F.col("gpd_threshold")).cast("double").alias("excess")
+    over = over.select(*keys, F.struct(*([F.col(time).alias("at")] if time in rows.columns else []), excess).alias("one"))
 
     @F.pandas_udf("gpd_shape double, gpd_scale double")
     def fitted(excess: pd.Series) -> pd.DataFrame:
         shape, scale = fit_tails_of([np.asarray(x, float) for x in excess], cross_validate)
         return pd.DataFrame({"gpd_shape": shape, "gpd_scale": scale})
 
-    cells = over.groupBy(*keys).agg(F.sort_array(F.collect_list("excess")).alias("x"))
+    cells = over.groupBy(*keys).agg(F.sort_array(F.collect_list("one"))["excess"].alias("x"))
     return cells.select(*keys, fitted("x").alias("g"), F.size("x").cast("long").alias("n_excess")).select(*keys, "g.*", "n_excess")
 
 
@@ -188,9 +192,31 @@ def map_values(x: np.ndarray, sat: dict[str, np.ndarray], ref: dict[str, np.ndar
     return np.maximum(np.minimum(y, ref["upper_cap"]), 0.0)
 
 
-def quantile_map(rows: DataFrame, parameters: DataFrame, keys: Sequence[str] = CELL, value: str = "value", wet: float = 1.0, percentile: float = 0.8, min_wet: int = 5) -> DataFrame:
+PERIOD = ("month", "dekad")
+
+
+def isolated(run: Callable[[pd.DataFrame], pd.DataFrame], batches: Iterator[pd.DataFrame], made: Sequence[str], keys: Sequence[str] = PERIOD) -> Iterator[pd.DataFrame]:
+    """`run` of each batch with a column `error`: where it fails, of each period apart, so that those that fail alone get a text and no values."""
+    for one in batches:
+        try:
+            yield run(one).assign(error=None)
+        except Exception:  # noqa: BLE001
+            for _, part in one.groupby(list(keys), sort=False, dropna=False):
+                try:
+                    yield run(part).assign(error=None)
+                except Exception as failure:  # noqa: BLE001
+                    yield part.assign(**dict.fromkeys(made, None), error=f"{type(failure).__name__}: {failure}")
+
+
+def quantile_map(
+    rows: DataFrame, parameters: DataFrame, keys: Sequence[str] = CELL, value: str = "value", wet: float = 1.0, percentile: float = 0.8, min_wet: int = 5, *, isolate: bool = False, mapper: Callable | None = None,
+) -> DataFrame:
     """`rows` with `mapped`. Cells without parameters are missing; cells of zeros stay zero, missing days too; cells with
-    fewer than five wet values become zero; values that aren't wet become zero."""
+    fewer than five wet values become zero; values that aren't wet become zero.
+
+    `isolate`: with a column `error`, as an error in a period's values leaves all other periods be. `mapper` in place of `map_values`.
+    """
+    mapper = mapper or map_values
     x = F.when(F.col(value) > wet, F.col(value))
     own = rows.groupBy(*keys).agg(
         F.count(x).alias("s_n"), F.count(value).alias("s_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.percentile(x, F.lit(percentile)).alias("s_limit"), F.max(F.abs(value)).alias("s_max"),
@@ -199,32 +225,44 @@ def quantile_map(rows: DataFrame, parameters: DataFrame, keys: Sequence[str] = C
     joined = rows.join(own, list(keys)).join(parameters, list(keys), "left")
     names = list(joined.columns)
 
+    def mapped(one: pd.DataFrame) -> pd.DataFrame:
+        y = np.full(len(one), np.nan)
+        v = one[value].to_numpy(float)
+        known = one[["gamma_shape", "gamma_scale", "gpd_threshold", "p_dry"]].notna().all(axis=1).to_numpy()
+        y[known & ~np.isnan(v)] = 0.0
+        y[known & (one["s_max"].to_numpy(float) == 0)] = 0.0
+        at = known & (one["s_n"].to_numpy() >= min_wet) & (v > wet)
+        if at.any():
+            part = one[at]
+            column = lambda c: part[c].to_numpy(float)
+            sat = {"p_dry": column("s_dry"), "shape": column("s_shape"), "scale": column("s_scale"), "limit": column("s_limit")}
+            ref = {c: column(c) for c in PARAMETERS}
+            y[at] = mapper(v[at], sat, ref, wet, column("gpd_threshold") > 0)
+        return one.assign(mapped=pd.Series(y, index=one.index).astype("Float64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in batches:
-            y = np.full(len(one), np.nan)
-            v = one[value].to_numpy(float)
-            known = one[["gamma_shape", "gamma_scale", "gpd_threshold", "p_dry"]].notna().all(axis=1).to_numpy()
-            y[known & ~np.isnan(v)] = 0.0
-            y[known & (one["s_max"].to_numpy(float) == 0)] = 0.0
-            at = known & (one["s_n"].to_numpy() >= min_wet) & (v > wet)
-            if at.any():
-                part = one[at]
-                column = lambda c: part[c].to_numpy(float)
-                sat = {"p_dry": column("s_dry"), "shape": column("s_shape"), "scale": column("s_scale"), "limit": column("s_limit")}
-                ref = {c: column(c) for c in PARAMETERS}
-                y[at] = map_values(v[at], sat, ref, wet, column("gpd_threshold") > 0)
-            yield one.assign(mapped=pd.Series(y, index=one.index).astype("Float64"))
-
-    schema = T.StructType([*joined.schema.fields, T.StructField("mapped", T.DoubleType())])
-    out = joined.mapInPandas(run, schema)
-    return out.select(*[c for c in names if c in rows.columns], "mapped")
-
-
-def quantile_map_pairs(pairs: DataFrame, keys: Sequence[str] = CELL, wet: float = 1.0) -> DataFrame:
+        yield from isolated(mapped, batches, ["mapped"]) if isolate else map(mapped, batches)
+
+    added = [T.StructField("mapped", T.DoubleType())] + [T.StructField("error", T.StringType())] * isolate
+    out = joined.mapInPandas(run, T.StructType([*joined.schema.fields, *added]))
+    return out.select(*[c for c in names if c in rows.columns], *[f.name for f in added])
+
+
+def pair_parameters(pairs: DataFrame, keys: Sequence[str] = CELL, wet: float = 1.0, percentile: float = 0.8) -> DataFrame:
+    """Parameters of the reference on the days that both sides share."""
+    return reference_parameters(both_sides(pairs), keys, "ref", wet, percentile, min_wet=5)
+
+
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("ref").isNotNull() & F.col("test").isNotNull())
+
+
+def quantile_map_pairs(pairs: DataFrame, keys: Sequence[str] = CELL, wet: float = 1.0, percentile: float = 0.8, *, fitted: DataFrame | None = None, **options) -> DataFrame:
     """Both sides are fitted on the days they share; zero where either has fewer than five wet days. `test` is mapped to `ref`."""
-    both = pairs.filter(F.col("ref").isNotNull() & F.col("test").isNotNull())
-    fitted = reference_parameters(both, keys, "ref", wet, min_wet=5)
-    return quantile_map(both, fitted, keys, "test", wet).withColumn("mapped", F.coalesce("mapped", F.lit(0.0)))
+    fitted = pair_parameters(pairs, keys, wet, percentile) if fitted is None else fitted
+    out = quantile_map(both_sides(pairs), fitted, keys, "test", wet, percentile, **options)
+    zero = F.coalesce("mapped", F.lit(0.0))
+    return out.withColumn("mapped", F.when(F.col("error").isNull(), zero) if "error" in out.columns else zero)
 
 
 def rank_map(pairs: DataFrame, keys: Sequence[str], weight: float = 1.0) -> DataFrame:
@@ -282,7 +320,15 @@ def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridg
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        return pd.Series([np.linalg.solve(np.array(a).reshape(10, 10) + ridge * np.eye(10), np.array(b)).tolist() for a, b in zip(xx, xy, strict=True)])
+        return pd.Series([solved(np.array(a, float).reshape(10, 10) + ridge * np.eye(10), np.array(b, float)) for a, b in zip(xx, xy, strict=True)])
+
+    def solved(a: np.ndarray, b: np.ndarray) -> list[float] | None:
+        """None where a dekad's equations have no finite solution."""
+        try:
+            out = np.linalg.solve(a, b)
+        except np.linalg.LinAlgError:
+            return None
+        return out.tolist() if np.isfinite(out).all() else None
 
     return sums.select(*keys, solve("xx", "xy").alias("weights"))
 
@@ -290,7 +336,7 @@ def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridg
 def apply_filter(rows: DataFrame, models: DataFrame, keys: Sequence[str] = ("month", "dekad")) -> DataFrame:
     """`rows` with `predicted` from a dekad's trained filter, at least 0."""
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    table = rows.join(F.broadcast(models), list(keys))
+    table = rows.join(models, list(keys))
     give = table.select("time", "lat_i", "lon_i", "value", "weights", F.explode(F.array(*[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(k).alias("k")) for k, (a, b) in enumerate(steps)])).alias("s"))
     sums = give.groupBy("time", (F.col("lat_i") + F.col("s.a")).alias("lat_i"), (F.col("lon_i") + F.col("s.b")).alias("lon_i")).agg(F.sum(F.col("value") * F.get("weights", F.col("s.k"))).alias("_y"))
     return table.join(sums, ["time", "lat_i", "lon_i"]).withColumn("predicted", F.greatest(F.col("_y") + F.get("weights", F.lit(9)), F.lit(0.0))).drop("_y", "weights")

@@ -55,6 +55,11 @@ def gaussian(cells: DataFrame, rows: int, columns: int, sigma: float = 1.0, valu
 def confidence(counts: DataFrame, rows: int, columns: int, sigma: float = 1.0, saturation: float = 2.0) -> DataFrame:
     """(lat_i, lon_i, confidence): smoothed counts over the saturation, within [0, 1]."""
     smooth = gaussian(counts.select("lat_i", "lon_i", F.col("count").cast("double").alias("value")), rows, columns, sigma)
+    return saturated(smooth, saturation)
+
+
+def saturated(smooth: DataFrame, saturation: float) -> DataFrame:
+    """(lat_i, lon_i, confidence): smoothed counts over the saturation, within [0, 1]."""
     return smooth.select("lat_i", "lon_i", clip(F.col("value") / saturation, 0, 1).alias("confidence"))
 
 

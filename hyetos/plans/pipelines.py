@@ -1,38 +1,138 @@
-"""Whole chains, each one lazy plan over all dekads: correction, verification with quality, and station validation."""
+"""Whole chains over all dekads: correction in stages, its parameter sweeps and failing periods, verification with quality, station validation."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyetos.operators import align, correction, metrics, quality, stations
+from hyetos.operators import align, correction, density, metrics, network, order, quality, stations
 from hyetos.params import Params
+from hyetos.plans.stages import Stage, Stages
 
 CELL = correction.CELL
+PERIOD = correction.PERIOD
+METHODS = {"ls": "scaled", "lseqm": "value", "lseqmdl": "blended"}
 
 
-def correct(pairs: DataFrame, params: Params, *, native: DataFrame | None = None, confidence: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
-    """(cell, time, method, value) for the methods ls, lseqm and lseqmdl.
+def chain(
+    stages: Stages, pairs: Stage, params: Params, *, native: Stage | None = None, confidence: Stage | None = None, models: Stage | None = None, net: network.Network | None = None,
+    shape: tuple[int, int] | None = None, training: Mapping | None = None, isolate: bool = False, mapper: Callable | None = None,
+) -> dict[str, Stage]:
+    """The stages scaled, parameters, mapped, models, predicted and blended; each is run once and read by all that follow.
 
-    `pairs` has ref and test on (month, dekad, lat_i, lon_i, time). `native`: parameters that were fitted on the
-    coarse reference and brought to this grid (`fine_parameters`); else both sides are fitted on the days they share.
-    `models`: trained filters; else they are trained here. `confidence`: (lat_i, lon_i, confidence).
+    `pairs` has ref and test on (month, dekad, lat_i, lon_i, time). `native`: parameters fitted on the coarse reference
+    and brought to this grid (`fine_parameters`); else both sides are fitted on the days they share. `models`: trained
+    filters; else trained here: with `net` and `shape` the network, with `training` for its options, else the linear filter.
+    `confidence`: (lat_i, lon_i, confidence). `isolate`: errors of a period become texts in its column `error`.
     """
-    scaled = correction.scale(pairs).withColumn("scaled", F.greatest("scaled", F.lit(0.0)))
+    out = {"scaled": stages.stage("scaled", lambda p: correction.scale(p).withColumn("scaled", F.greatest("scaled", F.lit(0.0))), pairs)}
+    options = {"wet": params.wet_day, "percentile": params.gpd_percentile}
+    how = {"isolate": isolate, "mapper": mapper}
     if native is not None:
-        mapped = correction.quantile_map(scaled.withColumn("value", F.col("scaled")), native, wet=params.wet_day, percentile=params.gpd_percentile)
+        made = lambda s, p: correction.quantile_map(s.withColumn("value", F.col("scaled")), p, **options, **how)
+        out["parameters"] = native
     else:
-        mapped = correction.quantile_map_pairs(scaled.withColumn("test", F.col("scaled")), wet=params.wet_day)
-    mapped = mapped.select(*CELL, "time", F.greatest("mapped", F.lit(0.0)).alias("value"), "ref")
-    models = correction.train_filter(mapped) if models is None else models
-    refined = correction.apply_filter(mapped.select(*CELL, "time", "value"), models)
-    if confidence is not None:
-        refined = refined.join(F.broadcast(confidence.select("lat_i", "lon_i", "confidence")), ["lat_i", "lon_i"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    refined = correction.blend(refined, alpha=params.blend_alpha, confidence="confidence" if confidence is not None else None, percentile=params.gpd_percentile)
-    stage = lambda df, name, value: df.select(*CELL, "time", F.lit(name).alias("method"), F.col(value).alias("value"))
-    return stage(scaled, "ls", "scaled").unionByName(stage(mapped, "lseqm", "value")).unionByName(stage(refined, "lseqmdl", "blended"))
+        made = lambda s, p: correction.quantile_map_pairs(s.withColumn("test", F.col("scaled")), fitted=p, **options, **how)
+        out["parameters"] = stages.stage("parameters", lambda s: correction.pair_parameters(s, **options), out["scaled"], **options)
+    kept = [*CELL, "time", F.when(F.col("mapped").isNotNull(), F.greatest("mapped", F.lit(0.0))).alias("value"), "ref", *(["error"] if isolate else [])]
+    said = {"native": native is not None, "isolate": isolate, "mapper": getattr(mapper, "__qualname__", None)}
+    out["mapped"] = stages.stage("mapped", lambda s, p: made(s, p).select(*kept), out["scaled"], out["parameters"], **said, **options)
+    well = lambda m: m.filter("error is null").drop("error") if isolate else m
+    if net is not None:
+        height, width = shape
+        said = {"net": asdict(net), "shape": shape, "training": dict(training or {})}
+        if models is None:
+            fields = stages.stage("fields", lambda m: network.day_fields(well(m), height, width), out["mapped"], shape=shape)
+            models = stages.stage("network", lambda f: network.train(f, height, width, net, **(training or {})), fields, **said)
+        predict = lambda m, w: network.apply(m, w, height, width, net)
+    else:
+        said = {"net": None}
+        models = models or stages.stage("filter", lambda m: correction.train_filter(well(m)), out["mapped"])
+        predict = lambda m, w: correction.apply_filter(m, w)
+    out["models"] = models
+    out["predicted"] = stages.stage("predicted", lambda m, w: predict(well(m).drop("ref"), w), out["mapped"], models, **said)
+    blending = {"alpha": params.blend_alpha, "percentile": params.gpd_percentile}
+    if confidence is None:
+        out["blended"] = stages.stage("blended", lambda p: correction.blend(p, **blending), out["predicted"], **blending)
+    else:
+        known = lambda p, c: p.join(c.select("lat_i", "lon_i", "confidence"), ["lat_i", "lon_i"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+        out["blended"] = stages.stage("blended", lambda p, c: correction.blend(known(p, c), confidence="confidence", **blending), out["predicted"], confidence, **blending)
+    return out
+
+
+def values_of(made: Mapping[str, Stage]) -> DataFrame:
+    """(cell, time, method, value) for the methods ls, lseqm and lseqmdl."""
+    take = lambda df, name, value: df.select(*CELL, "time", F.lit(name).alias("method"), F.col(value).alias("value"))
+    return _union([take(made[stage].df, name, METHODS[name]) for name, stage in (("ls", "scaled"), ("lseqm", "mapped"), ("lseqmdl", "blended"))])
+
+
+def correct(
+    pairs: DataFrame, params: Params, *, native: DataFrame | None = None, confidence: DataFrame | None = None, models: DataFrame | None = None, stages: Stages | None = None, **options,
+) -> DataFrame:
+    """(cell, time, method, value) of `chain`. Tables, where stages are wanted again, are told apart by the caller's `stages`."""
+    stages = stages or Stages(pairs.sparkSession)
+    given = {k: stages.source(v) for k, v in (("native", native), ("confidence", confidence), ("models", models)) if v is not None}
+    source = stages.source(pairs.select(*CELL, "time", "ref", "test"))
+    stations.checked(source.df, ["ref", "test"], "the field")
+    return values_of(chain(stages, source, params, **given, **options))
+
+
+def period_status(pairs: DataFrame, keys: Sequence[str] = PERIOD) -> DataFrame:
+    """(keys, n, message) of each period; the message says what keeps it from being corrected, else it is NULL."""
+    r, t = F.col("ref"), F.col("test")
+    found = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.count(r).alias("_r"), F.count(t).alias("_t"), F.count(F.when(r.isNotNull() & t.isNotNull(), 1)).alias("_b"), F.count(F.when((r < 0) | (t < 0), 1)).alias("_neg"))
+    message = F.when(F.col("_r") == 0, "no reference value").when(F.col("_t") == 0, "no test value").when(F.col("_b") == 0, "no day with both").when(F.col("_neg") > 0, "negative values")
+    return found.select(*keys, "n", message.alias("message"))
+
+
+def run_periods(stages: Stages, pairs: Stage, params: Params, keys: Sequence[str] = PERIOD, **options) -> tuple[DataFrame, DataFrame]:
+    """(values of the periods that went well, status of all): one bad period doesn't stop the others.
+
+    Periods that can't be corrected are left out beforehand. What fails in a task becomes the period's text; all its
+    values are taken back. Status: keys, n, status (ok or failed), message. `report.pending` of the failed ones is the next run's plan.
+    """
+    keys = list(keys)
+    before = stages.stage("guards", lambda p: period_status(p, keys), pairs)
+    good = stages.stage("good", lambda p, s: p.join(s.filter("message is null"), keys, "left_semi"), pairs, before)
+    made = chain(stages, good, params, isolate=True, **options)
+    trained = made["models"].df.filter("weights is not null").select(*keys, F.lit(True).alias("trained"))
+    failure = F.coalesce("failure", F.when(F.col("trained").isNull(), F.lit("no weights could be trained")))
+    found = made["mapped"].df.groupBy(*keys).agg(F.min("error").alias("failure")).join(trained, keys, "left").select(*keys, failure.alias("failure")).filter("failure is not null")
+    failed = stages.stage("failed", lambda m, w: found, made["mapped"], made["models"])
+    status = before.df.join(failed.df, keys, "left").withColumn("message", F.coalesce("message", "failure")).drop("failure")
+    status = status.withColumn("status", F.when(F.col("message").isNull(), "ok").otherwise("failed"))
+    return values_of(made).join(failed.df, keys, "left_anti"), status
+
+
+def confidence_table(stages: Stages, counts: Stage, rows: int, columns: int, sigma: float = 1.0, saturation: float = 2.0) -> Stage:
+    """(lat_i, lon_i, confidence), built once for each table of counts, shape of the grid and parameters, and looked up afterwards."""
+    said = {"shape": (rows, columns), "sigma": sigma}
+    smooth = stages.stage("smooth", lambda c: density.gaussian(c.select("lat_i", "lon_i", F.col("count").cast("double").alias("value")), rows, columns, sigma), counts, **said)
+    return stages.stage("confidence", lambda s: density.saturated(s, saturation), smooth, saturation=saturation)
+
+
+def sweep(stages: Stages, pairs: Stage, counts: Stage, plan: Sequence[tuple[str, float, float, float]], params: Params, shape: tuple[int, int], **options) -> DataFrame:
+    """(parameter, saturation, alpha, percentile, rmse, bias): the chain for each setting, and medians over cells of its errors.
+
+    A setting runs anew only from the first stage on that depends on it; its scores are a stage too, so a broken sweep goes on.
+    """
+    rows = []
+    for name, saturation, alpha, percentile in plan:
+        own = replace(params, saturation=saturation, blend_alpha=alpha, gpd_percentile=percentile)
+        sure = confidence_table(stages, counts, *shape, params.sigma, saturation)
+        made = chain(stages, pairs, own, confidence=sure, **options)
+        scored = stages.stage("scores", _scores, made["blended"], pairs)
+        rows.append(scored.df.select(F.lit(name).alias("parameter"), *[F.lit(float(v)).alias(k) for k, v in (("saturation", saturation), ("alpha", alpha), ("percentile", percentile))], "rmse", "bias"))
+    return _union(rows)
+
+
+def _scores(blended: DataFrame, pairs: DataFrame) -> DataFrame:
+    both = blended.select(*CELL, "time", "blended").join(pairs.select(*CELL, "time", "ref"), [*CELL, "time"])
+    off = F.col("blended") - F.col("ref")
+    return order.medians(both.groupBy(*CELL).agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off).alias("bias")), [], ["rmse", "bias"])
 
 
 def fine_parameters(coarse: DataFrame, lat: tuple[DataFrame, DataFrame], lon: tuple[DataFrame, DataFrame], values: Sequence[str] = correction.PARAMETERS) -> DataFrame:
@@ -67,10 +167,13 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 def validate(obs: DataFrame, cells: DataFrame, places: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics of each station with its metadata, scores by threshold, description of the metrics).
 
-    `obs`: (station_id, time, value); `cells`: (lat, lon, time, value); `places`: station_id, lat, lon and metadata.
+    `obs`: (station_id, time, value); `cells`: (lat, lon, time, value); `places`: station_id, lat, lon and metadata. An
+    error where the two sides have no values, or share no day of a station.
     """
     at = align.at_stations(cells.select("lat", "lon", "time", "value"), places.select("station_id", "lat", "lon"), lat_axis, lon_axis)
-    pairs = metrics.paired(obs, at, ["station_id", "time"])
+    pairs = metrics.paired(stations.checked(obs, ["value"], "the observations"), stations.checked(at, ["value"], "the grid at the stations"), ["station_id", "time"])
+    if pairs.isEmpty():
+        raise ValueError("observations and grid share no day of a station")
     each = stations.station_metrics(pairs, threshold=params.wet_day, min_days=params.min_valid_days)
     scores = stations.multi_threshold(pairs, thresholds=params.thresholds, min_days=params.min_valid_days, min_events=params.min_events)
     return stations.with_metadata(each, places), scores, stations.describe(each, ["station_id"], metrics.NAMES)
