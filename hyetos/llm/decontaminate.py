@@ -1,7 +1,8 @@
 """Operator 3: documents that contain benchmark items, also with other numbers, names or units.
 
-Texts become templates: numbers, capitalised names within sentences, and units after numbers turn to typed
-placeholders that carry their value; other words are lower-cased and stripped of punctuation. Windows of eight template
+Texts become templates: numbers, English number words, capitalised names within sentences, and units after digits turn
+to typed placeholders that carry their value; other words are lower-cased and stripped of punctuation. A number in
+several words ("twenty-five") is several numbers. Windows of eight template
 words are hashed (by doubling: pairs, fours, eights) and joined with those of the benchmark. Of a document and an item,
 matches with the same offset form one occurrence. Its slots are consistent when each benchmark value that the item
 repeats was replaced by one value: of the repetitions at least half must agree, or the occurrence is dropped. Two
@@ -30,10 +31,15 @@ from pyspark.sql import functions as F
 from hyetos.llm.common import once, table, written
 
 WINDOW, SHORT = 8, 4
+# Units that may follow a number, and English number words.
 UNITS = (
-    "percent|dollars|dollar|euros|euro|pounds|pound|cents|cent|km|kilometers|meters|metres|meter|metre|miles|mile|cm|mm|feet|inches|"
-    "kg|kilograms|grams|gram|mg|tons|ounces|liters|litres|liter|litre|ml|gallons|hours|hour|minutes|minute|seconds|second|days|day|"
-    "weeks|week|months|month|years|year|degrees|degree|mph|kmh|watts|volts"
+    "percent|dollars|dollar|euros|euro|pounds|pound|cents|cent|km|kilometers|kilometres|meters|metres|meter|metre|m|miles|mile|cm|mm|feet|inches|"
+    "kg|kilograms|grams|gram|g|mg|tons|ounces|oz|lbs|lb|liters|litres|liter|litre|l|ml|gallons|hours|hour|hrs|hr|h|minutes|minute|mins|min|seconds|second|secs|sec|s|"
+    "days|day|weeks|week|months|month|years|year|degrees|degree|mph|kmh|kph|watts|volts"
+)
+NUMBER_WORDS = tuple(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 )
 NUMBER = r"[0-9](?<![\p{L}0-9][0-9])[0-9]*+(?:[.,][0-9]++)*+"
 NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})\p{Ll}++(?!\p{L})"
@@ -44,9 +50,11 @@ def template(text: Column) -> Column:
     """Words of the template; a placeholder is `<n`, `<a` or `<u` with its value."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("<"), F.lit(" "))
     t = F.regexp_replace(t, NAME, " <a$0 ")
-    numbered = F.regexp_replace(F.regexp_replace(t, rf"({NUMBER})\s?({UNITS})\b", " <n$1 <u$2 "), rf"(?<!<n)({NUMBER})(?!\p{{L}})", " <n$1 ")
+    # A number is marked once, as a whole; only then the unit after it.
+    numbered = F.regexp_replace(t, rf"({NUMBER})(?=(?:{UNITS})\b|(?!\p{{L}}))", " <n$1 ")
+    numbered = F.regexp_replace(numbered, rf"(<n[^\s<]++) \s?({UNITS})\b", "$1 <u$2 ")
     t = F.when(F.rlike(t, F.lit("[0-9]")), numbered).otherwise(t)
-    return F.split(F.lower(t), BETWEEN)
+    return F.transform(F.split(F.lower(t), BETWEEN), lambda w: F.when(w.isin(*NUMBER_WORDS), F.concat(F.lit("<n"), w)).otherwise(w))
 
 
 def _pairs(h: Column, by: int) -> Column:

@@ -13,15 +13,66 @@ DATA = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
+PLAIN_UNITS = set(
+    "percent dollars dollar euros euro pounds pound cents cent km kilometers kilometres meters metres meter metre m miles mile cm mm feet inches kg kilograms grams gram g mg tons ounces oz lbs lb "
+    "liters litres liter litre l ml gallons hours hour hrs hr h minutes minute mins min seconds second secs sec s days day weeks week months month years year degrees degree mph kmh kph watts volts".split()
+)
+PLAIN_NUMBERS = set(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+)
+
+
 def plain_template(text):
-    from hyetos.llm import decontaminate as D
-
-    t = (text or "").replace("<", " ")
-    t = regex.sub(D.NAME, r" <a\g<0> ", t)
-    if regex.search("[0-9]", t):
-        t = regex.sub(rf"({D.NUMBER})\s?({D.UNITS})\b", r" <n\1 <u\2 ", t)
-        t = regex.sub(rf"(?<!<n)({D.NUMBER})(?!\p{{L}})", r" <n\1 ", t)
-    return regex.split(D.BETWEEN, t.lower())
+    """The words of a text's template, character by character."""
+    t, marked, i = (text or "").replace("<", " "), [], 0
+    letter = lambda c: c.isalpha()
+    at = lambda k: t[k] if 0 <= k < len(t) else ""
+    digit = lambda c: "0" <= c <= "9" and c != ""
+    word = lambda c: c != "" and (c.isascii() and (c.isalnum() or c == "_"))
+
+    def unit(k):
+        """Where a unit that begins at k ends, or 0."""
+        ends = [k + n for n in range(1, 11) if t[k : k + n] in PLAIN_UNITS and not word(at(k + n))]
+        return max(ends, default=0)
+
+    names = set()
+    for k in range(2, len(t)):
+        if t[k].isupper() and t[k - 1].isspace() and (letter(t[k - 2]) or t[k - 2].isnumeric() or t[k - 2] in ",;:"):
+            end = k + 1
+            while at(end) and at(end).islower():
+                end += 1
+            if end > k + 1 and not letter(at(end)):
+                names.add((k, end))
+    ends = dict(names)
+    while i < len(t):
+        if i in ends:
+            marked.append(f" <a{t[i : ends[i]]} ")
+            i = ends[i]
+        elif digit(t[i]) and not (at(i - 1) and (letter(at(i - 1)) or digit(at(i - 1)))):
+            end = i
+            while digit(at(end)) or (at(end) in (".", ",") and at(end) and digit(at(end + 1))):
+                end += 1
+            after = end + 1 if at(end) and at(end).isspace() else end
+            if letter(at(end)) and not unit(end):
+                marked.append(t[i:end])
+            elif unit(after):
+                marked.append(f" <n{t[i:end]} <u{t[after : unit(after)]} ")
+                end = unit(after)
+            else:
+                marked.append(f" <n{t[i:end]} ")
+            i = end
+        else:
+            marked.append(t[i])
+            i += 1
+    t, words, now = "".join(marked).lower(), [], ""
+    inner = lambda k: t[k] in ".," and digit(at(k - 1)) and digit(at(k + 1))
+    for k, c in enumerate(t):
+        if regex.match(r"[\p{L}\p{N}<]", c) or inner(k):
+            now += c
+        elif k == 0 or regex.match(r"[\p{L}\p{N}<]", t[k - 1]) or inner(k - 1):
+            words.append(now)
+            now = ""
+    return [f"<n{w}" if w in PLAIN_NUMBERS else w for w in [*words, now]]
 
 
 def plain_contaminated(docs, items):
