@@ -9,12 +9,14 @@ stays. Rows that only share the digest are grouped by their bytes instead. Up to
 broadcast to the rows; beyond, rows meet them in a shuffle.
 
 Texts are equal when they are identical without ASCII white space. Of equal texts the row with the most code points
-stays, then the smallest id; a null text counts as empty, a null id comes last. Of rows with the same id, length and
+stays, then the smallest id; a null text counts as empty, a null id comes last. Ids are read as 64-bit integers, also from
+text. The path may be a pattern, as for Spark's readers. Of rows with the same id, length and
 text one stays, the one at the locator. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,15 +54,18 @@ def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_co
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
+    # Only a pattern may name a single file of a stream.
+    path = path.rstrip("/")
+    pattern = path if re.search(r"[][{}*?\\]", path) else f"{path[:-1]}[{path[-1]}]"
     # A session of its own, so that other queries keep their options.
     spark = spark.newSession()
     for k, v in conf.items():
         spark.conf.set(k, v)
     stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as only those may name a single file
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
         .select(
             F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
-            _better(F.col(id_col), F.col(text_col)).alias("best"),
+            _better(F.col(id_col).cast("long"), F.col(text_col)).alias("best"),
             F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("locator"),
         )
         .groupBy("digest")
@@ -85,10 +90,11 @@ def exact_dedup(
     spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 1000, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """One row for each row of the Parquet table at `path`: id, keep_id, group_size, kept, text_sha256."""
-    docs = spark.read.parquet(path).select(F.col(id_col).cast("long").alias(id_col), text_col, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    stored = spark.read.parquet(path)
+    docs = stored.select(F.col(id_col).cast("long").alias(id_col), text_col, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     if docs.isEmpty():
         return docs.select(F.col(id_col), F.lit(0).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    schema = docs.select(id_col, text_col).schema
+    schema = stored.select(id_col, text_col).schema
     state = written(digest_state(spark, path, schema, id_col=id_col, text_col=text_col, files_per_trigger=files_per_trigger), "digests")
     alone = state.filter("n = 1").select(F.col("keep_id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
 

@@ -280,3 +280,14 @@ def test_every_learned_word_is_known_in_each_language(spark):
     known = [g for g in grams("xabcdabcdx", 4) if g in every]
     aa, bb = (sum(math.log((c[g] + 0.5) / (sum(n for k, n in c.items() if len(k) == 4) + 0.5 * len(every) + 1)) for g in known) / len(known) for c in counts.values())
     assert known and got[4] == ("aa" if aa > bb else "bb", pytest.approx(1 / (1 + math.exp(-abs(aa - bb))), rel=1e-4))
+
+
+def test_exact_dedup_reads_any_path_and_ids_as_text(spark, tmp_path):
+    from hyetos.llm.exact_dedup import exact_dedup
+
+    rows = [("1", "a b"), ("2", "ab"), ("3", "c"), (None, "a b ")]
+    for part in ("x1", "x2"):
+        spark.createDataFrame(rows[::2] if part == "x1" else rows[1::2], "doc_id string, text string").write.parquet(f"{tmp_path}/{part}")
+    for path in (f"{tmp_path}/x[12]", f"{tmp_path}/{{x1,x2}}", f"{tmp_path}/x*"):
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark, path).collect()} == {(1, None, 3, False), (2, None, 3, False), (3, 3, 1, True), (None, None, 3, True)}
+    assert exact_dedup(spark, f"{tmp_path}/x1/").count() == 2
