@@ -120,51 +120,6 @@ def features(texts: DataFrame, column: str = "value") -> DataFrame:
     return one.filter("kind = 'Polygon'").select("properties", "kind", F.from_json("c", rings).alias("rings")).unionByName(many)
 
 
-def _touches(ring: np.ndarray, box: tuple[float, float, float, float]) -> bool:
-    """Whether a closed ring's edges meet a box, by clipping each edge (west, south, east, north)."""
-    a, d = ring[:-1], np.diff(ring, axis=0)
-    low, high = np.zeros(len(a)), np.ones(len(a))
-    for k in (0, 1):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t1, t2 = (box[k] - a[:, k]) / d[:, k], (box[k + 2] - a[:, k]) / d[:, k]
-        still = d[:, k] == 0
-        inside = (a[:, k] >= box[k]) & (a[:, k] <= box[k + 2])
-        low = np.maximum(low, np.where(still, np.where(inside, 0, 2), np.minimum(t1, t2)))
-        high = np.minimum(high, np.where(still, np.where(inside, 1, -1), np.maximum(t1, t2)))
-    return bool((low <= high).any())
-
-
-def _within(rings: list[np.ndarray], x: float, y: float) -> bool:
-    odd = False
-    for ring in rings:
-        (x1, y1), (x2, y2) = ring[:-1].T, ring[1:].T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            odd ^= bool((((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum() % 2)
-    return odd
-
-
-def rasterize(polygons: DataFrame, resolution: float = 0.1) -> DataFrame:
-    """(lat_i, lon_i) of all cells that a polygon touches; cell k spans [k, k + 1) times the resolution.
-
-    Each polygon lists the cells of its bounding box, so nothing is joined; an Arrow function refines them.
-    """
-    flat = F.flatten("rings")
-    side = lambda k, f: f(F.transform(flat, lambda p: p[k]))
-    span = lambda k: F.sequence(F.floor(side(k, F.array_min) / resolution).cast("int"), F.floor(side(k, F.array_max) / resolution).cast("int"))
-    cells = polygons.select("rings", F.explode(span(1)).alias("lat_i"), span(0).alias("_x")).select("rings", "lat_i", F.explode("_x").alias("lon_i"))
-
-    @F.pandas_udf(T.BooleanType())
-    def meets(rings: pd.Series, lat_i: pd.Series, lon_i: pd.Series) -> pd.Series:
-        out = []
-        for shape, i, j in zip(rings, lat_i, lon_i, strict=True):
-            parts = [np.array([list(p) for p in ring], float) for ring in shape]
-            box = (j * resolution, i * resolution, (j + 1) * resolution, (i + 1) * resolution)
-            out.append(any(_touches(p, box) for p in parts) or _within(parts, box[0] + resolution / 2, box[1] + resolution / 2))
-        return pd.Series(out)
-
-    return cells.filter(meets("rings", "lat_i", "lon_i")).select("lat_i", "lon_i").distinct()
-
-
 def register_netcdf(spark: SparkSession) -> bool:
     """Registers the `netcdf` data source where a NetCDF library is installed; says whether it did."""
     try:

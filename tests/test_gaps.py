@@ -1,13 +1,10 @@
-"""Guards, the streaming dry spell, tail fits of many samples, and wide files."""
-
-import datetime
+"""Guards, tail fits of many samples, and wide files."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hyetos.operators import correction, report, stations
-from hyetos.streaming import series
 
 
 def test_guards(spark):
@@ -21,20 +18,6 @@ def test_guards(spark):
         stations.paired_or_error(rows, rows.withColumn("k", F.col("k") + 10).select("k"), ["k"])
 
 
-def test_dry_spell_over_batches(spark, tmp_path):
-    start = datetime.datetime(2024, 1, 1)
-    values = {"a": [0.0, 0.2, 5.0, 0.0, 0.0, 0.0, None, 0.0], "b": [0.0] * 8}
-    for part in range(4):
-        rows = [(s, start + datetime.timedelta(days=k), v) for s, vs in values.items() for k, v in enumerate(vs) if k // 2 == part]
-        spark.createDataFrame(rows, "station_id string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("station_id string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = []
-    query = series.dry_spells(stream, delay="30 days").writeStream.outputMode("update").foreachBatch(lambda batch, _: got.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    spells = {s: [r.dry_days for r in sorted((r for r in got if r.station_id == s), key=lambda r: r.ts)] for s in values}
-    assert spells == {"a": [1, 2, 0, 1, 2, 3, 0, 1], "b": list(range(1, 9))}
-
-
 def test_tails_together_are_tails_alone():
     rng = np.random.default_rng(3)
     samples = [np.sort(rng.gamma(0.8, 9.0, n)) for n in (0, 3, 5, 9, 10, 10, 40)]
@@ -72,5 +55,5 @@ def test_ranks_are_those_of_one_sort(spark):
     values = [round(float(x), 1) for x in rng.normal(0, 5, 300)]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
     want = {k: n + 1 for n, (v, k) in enumerate(sorted((v, k) for k, v in enumerate(values)))}
-    assert {r.k: r["rank"] for r in report.ranked(rows, "v", ["k"], bands=7).collect()} == want
+    assert {r.k: r["rank"] for r in report.ranked(rows, "v", ["k"], partitions=7).collect()} == want
     assert report.ranked(rows.filter("k = 3"), "v", ["k"]).first()["rank"] == 1

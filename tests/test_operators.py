@@ -3,11 +3,12 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hyetos.functions import scalar as S
-from hyetos.operators import align, correction, density, metrics, quality, stations, taylor
+from hyetos.operators import align, correction, density, metrics, polygons, quality, stations, taylor
 from hyetos.params import Params
 from hyetos.sources import files
 
@@ -90,13 +91,17 @@ def test_l_moments_of_few_values(spark):
     assert got["a"].l1 is None and got["b"].l1 == 4.0 and got["c"].t3 is None
 
 
-def test_confidence(spark):
-    assert sum(w for _, w in density.kernel()) == pytest.approx(1)
-    counts = spark.createDataFrame([(i, j, (i * 7 + j * 3) % 8) for i in range(6) for j in range(10)], "lat_i int, lon_i int, count long")
-    got = density.confidence(counts, 6, 10).collect()
-    assert len(got) == 60 and all(0 <= r.confidence <= 1 for r in got)
-    flat = density.gaussian(counts.withColumn("value", F.lit(3.0)), 6, 10).collect()
-    assert all(r.value == pytest.approx(3.0) for r in flat)
+def test_confidence_around_one_station(spark):
+    """One station: its cell and its neighbours get the products of the kernel's weights along both axes, the border gives back what would leave."""
+    rows, columns, sigma = 9, 11, 0.8
+    counts = spark.createDataFrame([(i, j, 5 if (i, j) == (0, 6) else 0) for i in range(rows) for j in range(columns)], "lat_i int, lon_i int, count long")
+    w = dict(density.kernel(sigma))
+    along = lambda at, to, n: sum(v for k, v in w.items() if (m := (to + k) % (2 * n)) == at or 2 * n - 1 - m == at)
+    got = {(r.lat_i, r.lon_i): r.confidence for r in density.confidence(counts, rows, columns, sigma, 4.0).collect()}
+    assert len(got) == rows * columns
+    for (i, j), c in got.items():
+        assert c == pytest.approx(min(5 * along(0, i, rows) * along(6, j, columns) / 4, 1), abs=1e-12)
+    assert got[(0, 6)] > got[(1, 6)] > got[(2, 6)] > 0 and sum(5 * along(0, i, rows) for i in range(rows)) == pytest.approx(5)
 
 
 def test_fill(spark):
@@ -105,12 +110,17 @@ def test_fill(spark):
     assert density.fill(cells).filter("value = 5.0").count() == 16
 
 
-def test_blend_end_points(spark):
-    got = [r.a for r in spark.createDataFrame([(1.0,), (0.0,), (0.5,)], "c double").select(S.effective_alpha("c", 0.7).alias("a")).collect()]
-    assert got == pytest.approx([0.7, 1.0, 0.85])
-    rows = spark.createDataFrame([(1, 1, 0, 0, float(v), 0.0) for v in range(10)] + [(1, 1, 0, 0, None, 5.0)], "month int, dekad int, lat_i int, lon_i int, value double, predicted double")
-    got = {r.value: r.blended for r in correction.blend(rows, alpha=0.7).collect()}
-    assert got[9.0] == pytest.approx(6.3) and got[7.0] == 7.0 and got[None] is None
+def test_blend_of_two_cells(spark):
+    """Of two cells with other thresholds and confidences only values above their own threshold give way, by their own weight."""
+    a, b = [float(v) for v in (0, 0, 2, 4, 6, 8, 20)], [float(v) for v in (1, 1, 1, 1, 30)]
+    rows = [(1, 1, 0, 0, x, 3.0 * x, 0.25) for x in a] + [(1, 1, 0, 1, x, None if x == 30 else 9.0, 1.0) for x in b] + [(1, 1, 0, 1, None, 4.0, 1.0)]
+    table = spark.createDataFrame(rows, "month int, dekad int, lat_i int, lon_i int, value double, predicted double, sure double")
+    for alpha in (0.2, 0.9):
+        got = correction.blend(table, alpha=alpha, confidence="sure", percentile=0.6).collect()
+        weight = 1 - 0.25 * (1 - alpha)
+        want = {0: {x: weight * x + (1 - weight) * 3 * x if x > np.quantile(a, 0.6) else x for x in a}, 1: {x: x for x in b} | {None: None}}
+        assert len(got) == 13 and all(r.blended == (pytest.approx(want[r.lon_i][r.value]) if r.value is not None else None) for r in got)
+        assert sum(r.blended is not None and r.blended != r.value for r in got) == 3
 
 
 def test_quantile_map(spark):
@@ -161,7 +171,7 @@ def test_polygons(spark):
     text = '{"features":[{"type":"Feature","properties":{"iso":"X"},"geometry":{"type":"Polygon","coordinates":[[[0.15,0.15],[0.35,0.15],[0.35,0.25],[0.15,0.25],[0.15,0.15]]]}}]}'
     shapes = files.features(spark.createDataFrame([(text,)], "value string"))
     assert shapes.first().properties["iso"] == "X"
-    cells = {(r.lat_i, r.lon_i) for r in files.rasterize(shapes, 0.1).collect()}
+    cells = {(r.lat_i, r.lon_i) for r in polygons.rasterize(shapes, 0.1).collect()}
     assert cells == {(i, j) for i in (1, 2) for j in (1, 2, 3)}
 
 
