@@ -76,13 +76,13 @@ def fill_from(first: DataFrame, second: DataFrame, on: Sequence[str], values: Se
 
 def mask_keep(cells: DataFrame, mask: DataFrame, on: Sequence[str] = ("lat_i", "lon_i")) -> DataFrame:
     """Values become NULL where the mask isn't 1; rows stay."""
-    m = F.broadcast(mask.select(*on, "land"))
+    m = mask.select(*on, "land")
     return cells.join(m, list(on), "left").withColumn("value", F.when(F.col("land") == 1, F.col("value"))).drop("land")
 
 
 def mask_clip(cells: DataFrame, mask: DataFrame, on: Sequence[str] = ("lat_i", "lon_i")) -> DataFrame:
     """Only cells where the mask is 1."""
-    return cells.join(F.broadcast(mask.filter("land = 1").select(*on)), list(on), "left_semi")
+    return cells.join(mask.filter("land = 1").select(*on), list(on), "left_semi")
 
 
 def box(cells: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -103,7 +103,7 @@ def at_stations(cells: DataFrame, stations: DataFrame, lat_axis: DataFrame, lon_
     a = nearest(lat_axis, stations.select(F.col("lat").alias("x"))).select(F.col("target").alias("lat"), F.col("source").alias("_lat"))
     b = nearest(lon_axis, stations.select(F.col("lon").alias("x"))).select(F.col("target").alias("lon"), F.col("source").alias("_lon"))
     at = stations.join(a, "lat").join(b, "lon").select("station_id", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
-    return cells.join(F.broadcast(at), ["lat", "lon"]).select("station_id", *[x for x in cells.columns if x not in ("lat", "lon")])
+    return cells.join(at, ["lat", "lon"]).select("station_id", *[x for x in cells.columns if x not in ("lat", "lon")])
 
 
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

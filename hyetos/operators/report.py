@@ -129,6 +129,14 @@ def best_stage(rows: DataFrame, keys: Sequence[str], stage: str, goals: Mapping[
     return long.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def scatter(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Paired rows with r, rmse, nse and bias of their group; the statistics join the rows, so that no task holds a group."""
+    both = pairs.filter(F.col("ref").isNotNull() & F.col("test").isNotNull())
+    off = F.col("test") - F.col("ref")
+    stats = both.groupBy(*keys).agg(F.corr("ref", "test").alias("r"), F.sqrt(F.avg(off * off)).alias("rmse"), (1 - div(F.avg(off * off), F.var_pop("ref"))).alias("nse"), F.avg(off).alias("bias"))
+    return both.select(*keys, "time", "ref", "test").join(stats.withColumn("r", F.nanvl("r", F.lit(None))), list(keys))
+
+
 def rolling_days(events: DataFrame) -> DataFrame:
     """(station_id, hour, ref, test): 24-hour sums of views and clicks at every hour."""
     hour = F.floor(F.unix_timestamp(F.date_trunc("hour", "ts")) / 3600)
@@ -156,7 +164,7 @@ def upscale(confidence: DataFrame, coarse_n: int, coarse_step: float, fine_n: in
     inside = (x >= -1e-9) & (x <= (coarse_n - 1) * coarse_step + 1e-9)
     axis = spark.range(fine_n).select(F.col("id").cast("int").alias("k"), F.when(inside, F.round(x / coarse_step + 1e-6).cast("int")).alias("i"))
     a, b = (axis.select(F.col("k").alias(f"{n}_k"), F.col("i").alias(f"{n}_i")) for n in ("lat", "lon"))
-    return a.crossJoin(F.broadcast(b)).join(F.broadcast(confidence), ["lat_i", "lon_i"], "left").select("lat_k", "lon_k", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return a.crossJoin(F.broadcast(b)).join(confidence, ["lat_i", "lon_i"], "left").select("lat_k", "lon_k", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def density_whatif(counts: DataFrame, saturations: Sequence[float], alpha: float) -> DataFrame:

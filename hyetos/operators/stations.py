@@ -64,7 +64,7 @@ def with_metadata(rows: DataFrame, stations: DataFrame, key: str = "station_id",
         stations = stations.withColumn("Region", found if other is None else F.coalesce(found, F.lit(other)))
     rows = rows.drop(*[x for x in stations.columns if x != key and x in rows.columns])
     first = [x for x in stations.columns if x != key]
-    return rows.join(F.broadcast(stations), key, "left").select(key, *first, *[x for x in rows.columns if x != key])
+    return rows.join(stations, key, "left").select(key, *first, *[x for x in rows.columns if x != key])
 
 
 def by_group(rows: DataFrame, group: str, values: Sequence[str]) -> DataFrame:

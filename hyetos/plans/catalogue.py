@@ -18,6 +18,7 @@ from hyetos.operators import align as A
 from hyetos.operators import correction as C
 from hyetos.operators import density as D
 from hyetos.operators import metrics as M
+from hyetos.operators import network, order
 from hyetos.operators import quality as Q
 from hyetos.operators import report as R
 from hyetos.operators import stations as ST
@@ -25,6 +26,7 @@ from hyetos.operators import taylor as TY
 from hyetos.params import Params
 from hyetos.plans import pipelines
 from hyetos.plans import sql as SQL
+from hyetos.plans.stages import Stages
 from hyetos.sources import files
 from hyetos.sources import tables as V
 
@@ -260,12 +262,6 @@ def wrap_longitudes(spark, d):
     return V.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), S.wrap_longitude("c_acctbal").alias("lon"))
 
 
-@query("", "first_x last_x n", "SELECT 94.75 AS first_x, 99.85 AS last_x, 52 AS n")
-def regular_axis(spark, d):
-    x = A.regular_axis(94.73, 99.86)
-    return spark.range(1).select(F.get(x, F.lit(0)).alias("first_x"), F.element_at(x, -1).alias("last_x"), F.size(x).alias("n"))
-
-
 _PLACES = "places AS (SELECT s_suppkey AS station_id, -10 + (s_suppkey * 37 % 500) * 0.01::DOUBLE AS lat, 95 + (s_suppkey * 53 % 470) * 0.01::DOUBLE AS lon FROM supplier)"
 
 
@@ -274,6 +270,18 @@ def places(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "supplier").select(k.alias("station_id"), ((k * 37 % 500) * 0.01 - 10).alias("lat"), ((k * 53 % 470) * 0.01 + 95).alias("lon"))
 
 
+@query("axis place", "x", with_(_PLACES, last="""
+  SELECT axis, CAST(k - a AS INTEGER) AS place, (k * 10 + 5) / 100.0::DOUBLE AS x FROM (
+    SELECT axis, a, unnest(range(a, b)) AS k FROM (
+      SELECT 'lat' AS axis, CAST(floor(min(lat) * 10) AS INTEGER) AS a, CAST(ceil(max(lat) * 10) AS INTEGER) AS b FROM places
+      UNION ALL SELECT 'lon', CAST(floor(min(lon) * 10) AS INTEGER), CAST(ceil(max(lon) * 10) AS INTEGER) FROM places))"""))
+def regular_axis(spark, d):
+    """The tenth-degree axes that cover all stations."""
+    p = places(spark, d)
+    one = lambda x: p.agg(F.min(x).alias("a"), F.max(x).alias("b")).select(F.lit(x).alias("axis"), F.posexplode(A.regular_axis(F.col("a"), F.col("b"))).alias("place", "x"))
+    return one("lat").unionByName(one("lon"))
+
+
 @query("station_id time", "test", with_(SQL.GRID, _PLACES, last="""
   SELECT station_id, time, test FROM (
     SELECT station_id, arg_min(y.lat, abs(y.lat - p.lat) - y.lat * 1e-9) AS lat, arg_min(x.lon, abs(x.lon - p.lon) - x.lon * 1e-9) AS lon
@@ -427,6 +435,19 @@ def threshold_summary(spark, d):
     return ST.threshold_summary(scored(spark, d), ["product", "threshold"])
 
 
+_PERIODS = "pd AS (SELECT *, CAST(month(time) AS INTEGER) AS month, CAST(least((day(time) + 9) // 10, 3) AS INTEGER) AS dekad FROM station)"
+_TPK = ["station_id", "month", "dekad"]
+
+
+@query("threshold n_periods", "pod far csi", with_(SQL.STATION, _PERIODS, SQL.contingency("pd", _TPK, THRESHOLDS, "ct"), SQL.scores("ct", "sc", 1), "md AS (SELECT month, dekad, threshold, quantile_cont(pod, 0.5) AS pod, quantile_cont(far, 0.5) AS far, quantile_cont(csi, 0.5) AS csi FROM sc WHERE n >= 2 GROUP BY ALL)",
+  last="SELECT threshold, count(*) AS n_periods, avg(pod) AS pod, avg(far) AS far, avg(csi) AS csi FROM md GROUP BY threshold"))
+def thresholds_over_dekads(spark, d):
+    """Medians over stations of each dekad's scores, then means over dekads by threshold."""
+    each = ST.multi_threshold(V.station_pairs(spark, d).withColumns(S.dekad_columns()), _TPK, THRESHOLDS, 2, 1)
+    medians = order.medians(each, ["month", "dekad", "threshold"], ["pod", "far", "csi"])
+    return medians.groupBy("threshold").agg(F.count("*").alias("n_periods"), *[F.avg(x).alias(x) for x in ("pod", "far", "csi")])
+
+
 @query("threshold supported", "freq_obs freq_prd", with_(SQL.STATION, _CONT, _SCORED, last="SELECT threshold, threshold <= 50 AS supported, avg(freq_obs) AS freq_obs, avg(freq_prd) AS freq_prd FROM sc GROUP BY threshold"))
 def exceedance_frequency(spark, d):
     return scored(spark, d).groupBy("threshold").agg(F.avg("freq_obs").alias("freq_obs"), F.avg("freq_prd").alias("freq_prd")).withColumn("supported", F.col("threshold") <= 50)
@@ -637,7 +658,7 @@ def taylor_station_over_dekads(spark, d):
 
 @query("product Region n_rows", _TSTAT, with_(*_TSTATION, SQL.META, "tm AS (SELECT t.*, region AS Region FROM t JOIN meta USING (station_id))", SQL.medians("tm", ["product", "Region"], "md"), last="SELECT * FROM md WHERE n_rows >= 3"))
 def taylor_region(spark, d):
-    rows = tstation(spark, d).join(F.broadcast(V.supplier_metadata(spark, d).select("station_id", F.col("region").alias("Region"))), "station_id")
+    rows = tstation(spark, d).join(V.supplier_metadata(spark, d).select("station_id", F.col("region").alias("Region")), "station_id")
     return TY.median_over(rows, ["product", "Region"]).filter("n_rows >= 3")
 
 
@@ -855,7 +876,7 @@ def best_product(spark, d):
 
 @query("region n", "median p25 p75", with_(SQL.STATION, SQL.META, _BY_STATION, last="SELECT region, count(rmse) AS n, quantile_cont(rmse, 0.5) AS median, quantile_cont(rmse, 0.25) AS p25, quantile_cont(rmse, 0.75) AS p75 FROM m JOIN meta USING (station_id) GROUP BY region"))
 def regional_boxes(spark, d):
-    rows = by_station(spark, d).join(F.broadcast(V.supplier_metadata(spark, d)), "station_id")
+    rows = by_station(spark, d).join(V.supplier_metadata(spark, d), "station_id")
     return R.five_numbers(rows, ["region"], "rmse")
 
 
@@ -875,12 +896,71 @@ def correction_chain(spark, d):
     return pipelines.correct(grid(spark, d).select(*CELL, "time", "ref", "test"), Params(wet_day=WET_GRID))
 
 
-@query("reference method month dekad lat_i lon_i categorical_quality", "rmse nse continuous_quality", None)
+_COMBO = ["reference", "method", "month", "dekad", "lat_i", "lon_i"]
+
+
+@query(" ".join(_COMBO) + " categorical_quality", "rmse nse continuous_quality", with_(SQL.GRID, """sc AS (
+  SELECT g.*, test * factor AS scaled FROM grid g JOIN (SELECT month, dekad, lat_i, lon_i, CASE WHEN avg(test) = 0 THEN 1 ELSE avg(ref) / avg(test) END AS factor FROM grid GROUP BY ALL) USING (month, dekad, lat_i, lon_i)
+), cb AS (
+  SELECT reference, method, month, dekad, lat_i, lon_i, time, CASE WHEN reference = 'b' THEN ref + 1 ELSE ref END AS ref, CASE WHEN method = 'ls' THEN scaled ELSE test END AS test
+  FROM sc, (SELECT unnest(['a', 'b']) AS reference), (SELECT unnest(['raw', 'ls']) AS method)
+)""", SQL.metrics("cb", _COMBO, WET_GRID), _QUALITY_FROM, SQL.quality("qi"), last="SELECT * FROM q"))
 def verify_combos(spark, d):
     g = grid(spark, d)
     one = lambda x: g.select(*CELL, "time", F.col(x).alias("value"))
     scaled = C.scale(g).select(*CELL, "time", F.col("scaled").alias("value"))
-    return pipelines.verify({"a": one("ref"), "b": one("ref").withColumn("value", F.col("value") + 1)}, {"raw": one("test"), "ls": scaled}, Params(wet_day=WET_GRID))
+    return pipelines.verify({"a": one("ref"), "b": one("ref").withColumn("value", F.col("value") + 1)}, {"raw": one("test"), "ls": scaled}, Params(wet_day=WET_GRID), pvalue=False)
+
+
+@query("month dekad status message n n_values", "", with_(SQL.GRID, last="""
+  SELECT month, dekad, CASE WHEN message IS NULL THEN 'ok' ELSE 'failed' END AS status, message, n, CASE WHEN message IS NULL THEN 3 * n ELSE 0 END AS n_values FROM (
+    SELECT month, dekad, count(*) AS n, CASE WHEN month = 2 THEN 'no reference value' WHEN month = 3 AND dekad = 1 THEN 'no test value' WHEN month = 5 AND dekad = 2 THEN 'negative values' END AS message FROM grid GROUP BY month, dekad)"""))
+def isolated_periods(spark, d):
+    """The chain over all dekads, some of which can't be corrected: their status, and the values of all others."""
+    bad = lambda m, k=None: (F.col("month") == m) & (F.lit(True) if k is None else F.col("dekad") == k)
+    pairs = grid(spark, d).select(*CELL, "time", F.when(~bad(2), F.col("ref")).alias("ref"), F.when(bad(5, 2), -F.col("test")).when(~bad(3, 1), F.col("test")).alias("test"))
+    stages = Stages(spark)
+    values, status = pipelines.run_periods(stages, stages.source(pairs), Params(wet_day=WET_GRID))
+    return status.join(values.groupBy("month", "dekad").agg(F.count("*").alias("n_values")), ["month", "dekad"], "left").na.fill(0, ["n_values"])
+
+
+@query("parameter", "saturation alpha percentile rmse bias")
+def sweep_through_chain(spark, d):
+    """Settings one at a time through the whole chain; stages that a setting doesn't touch are shared."""
+    stages, shape = Stages(spark), grid(spark, d).agg(F.max("lat_i") + 1, F.max("lon_i") + 1).first()
+    source = stages.source(grid(spark, d).select(*CELL, "time", "ref", "test"))
+    seen = stages.source(grid(spark, d).select("lat_i", "lon_i").distinct().withColumn("count", F.pmod(F.col("lat_i") + F.col("lon_i"), F.lit(4)).cast("long")))
+    return pipelines.sweep(stages, source, seen, R.settings((1, 2), (0.5, 0.7), (0.7, 0.8), (2, 0.7, 0.8)), Params(wet_day=WET_GRID), tuple(shape))
+
+
+@query("time month dekad lat_i lon_i", "predicted")
+def trained_network(spark, d):
+    """Fields of the test corrected by a small network for each dekad."""
+    height, width = grid(spark, d).agg(F.max("lat_i") + 1, F.max("lon_i") + 1).first()
+    stages, net = Stages(spark), network.Network((4, 4), (0.1, 0.0))
+    rows = stages.source(grid(spark, d).select(*CELL, "time", F.col("test").alias("value"), "ref"))
+    fields = stages.stage("fields", lambda r: network.day_fields(r, height, width), rows)
+    return network.apply(rows.df.drop("ref"), network.train(fields.df, height, width, net, epochs=3, batch_years=3, rate=0.01), height, width, net)
+
+
+_AT = """sat AS (SELECT station_id, arg_min(y.lat, abs(y.lat - p.lat) - y.lat * 1e-9) AS lat, arg_min(x.lon, abs(x.lon - p.lon) - x.lon * 1e-9) AS lon
+  FROM places p, (SELECT DISTINCT lat FROM grid) y, (SELECT DISTINCT lon FROM grid) x GROUP BY station_id), pp AS (
+  SELECT product, station_id, time, month, dekad, o.ref, CASE WHEN product = 'raw' THEN g.test ELSE g.ref END AS test
+  FROM sat JOIN grid g USING (lat, lon) JOIN (SELECT px AS station_id, time, ref FROM grid) o USING (station_id, time), (SELECT unnest(['raw', 'near']) AS product))"""
+
+
+@query("product station_id month dekad n", "r sigma_o sigma_p rmse crmse bias", with_(SQL.GRID, _PLACES, _AT, SQL.taylor_sums("pp", ["product", "station_id", "month", "dekad"]), SQL.taylor_stats("s", ["product", "station_id", "month", "dekad"]), last="SELECT * FROM t"))
+def taylor_pass(spark, d):
+    """From grids of several products and station series to Taylor statistics of every product, station and dekad in one plan."""
+    g = grid(spark, d)
+    obs = g.select(F.col("px").alias("station_id"), "time", F.col("ref").alias("value"))
+    cells = g.select("lat", "lon", "time", F.explode(F.array(F.struct(F.lit("raw").alias("product"), F.col("test").alias("value")), F.struct(F.lit("near").alias("product"), F.col("ref").alias("value")))).alias("p")).select("lat", "lon", "time", "p.*")
+    return pipelines.taylor_pass(obs, cells, places(spark, d), A.axis(g, "lat"), A.axis(g, "lon"))
+
+
+@query("station_id time", "ref test r rmse nse bias", with_(SQL.STATION, "st AS (SELECT station_id, corr(ref, test) AS r, sqrt(avg((test - ref) * (test - ref))) AS rmse, CASE WHEN var_pop(ref) > 0 THEN 1 - avg((test - ref) * (test - ref)) / var_pop(ref) END AS nse, avg(test - ref) AS bias FROM station GROUP BY station_id)", last="SELECT station_id, time, ref, test, CASE WHEN isnan(r) THEN NULL ELSE r END AS r, rmse, nse, bias FROM station JOIN st USING (station_id)"))
+def scatter_frame(spark, d):
+    return R.scatter(V.station_pairs(spark, d), ["station_id"])
 
 
 @query("setting done", "", "SELECT o_orderkey AS setting, o_orderstatus = 'F' AS done FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000")

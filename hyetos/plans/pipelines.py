@@ -8,7 +8,8 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyetos.operators import align, correction, density, metrics, network, order, quality, stations
+from hyetos.functions.scalar import dekad_columns
+from hyetos.operators import align, correction, density, metrics, network, order, quality, stations, taylor
 from hyetos.params import Params
 from hyetos.plans.stages import Stage, Stages
 
@@ -149,12 +150,16 @@ def fine_parameters(coarse: DataFrame, lat: tuple[DataFrame, DataFrame], lon: tu
     return out.withColumns({k: F.when(F.col(k).isNotNull(), v) for k, v in (least | share).items()})
 
 
-def verify(references: Mapping[str, DataFrame], methods: Mapping[str, DataFrame], params: Params, keys: Sequence[str] = CELL, by_year: bool = False) -> DataFrame:
-    """Metrics and quality of every reference with every method: their names are grouping keys, so all run as one job."""
+def verify(references: Mapping[str, DataFrame], methods: Mapping[str, DataFrame], params: Params, keys: Sequence[str] = CELL, by_year: bool = False, pvalue: bool = True) -> DataFrame:
+    """Metrics and quality of every reference with every method: their names are grouping keys, so all run as one job.
+
+    Without `pvalue` the distance of the distributions, from one, stands for its p-value, for engines that have no such function.
+    """
     tag = lambda frames, name: _union([df.select(*keys, "time", "value").withColumn(name, F.lit(k)) for k, df in frames.items()])
     r, t = tag(references, "reference").withColumnRenamed("value", "ref"), tag(methods, "method").withColumnRenamed("value", "test")
     run = metrics.yearly if by_year else metrics.metrics31
-    return quality.assess(run(r.join(t, [*keys, "time"]), ["reference", "method", *keys], params.wet_day), params.quality_weights, params.categories)
+    made = run(r.join(t, [*keys, "time"]), ["reference", "method", *keys], params.wet_day, pvalue=pvalue)
+    return quality.assess(made if pvalue else made.withColumn("ks_pvalue", 1 - F.col("ks_stat")), params.quality_weights, params.categories)
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -164,6 +169,16 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def taylor_pass(obs: DataFrame, cells: DataFrame, places: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame, keys: Sequence[str] = ("product", "station_id", *PERIOD)) -> DataFrame:
+    """Taylor statistics by product, station, month and dekad: grids at the stations, paired with their series.
+
+    `obs`: (station_id, time, value); `cells`: (lat, lon, time, product, value).
+    """
+    at = align.at_stations(cells, places.select("station_id", "lat", "lon"), lat_axis, lon_axis).withColumnRenamed("value", "test")
+    pairs = at.join(obs.select("station_id", "time", F.col("value").alias("ref")), ["station_id", "time"]).withColumns(dekad_columns())
+    return taylor.stats(taylor.sums(pairs, list(keys)))
+
+
 def validate(obs: DataFrame, cells: DataFrame, places: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics of each station with its metadata, scores by threshold, description of the metrics).
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +47,7 @@ def station_observations(spark: SparkSession, path: str, locations: DataFrame |
     stations = [c for c in rows.columns if c != date and c.lower() not in ("id", "jd", "julian_day", "doy")]
     out = rows.select(F.expr(f"try_to_date(`{date}`, 'dd-MM-yyyy')").alias("date"), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in stations])
     out = out.unpivot("date", stations, "station_id", "value").select(F.expr("try_cast(station_id as long)").alias("station_id"), "date", F.nullif(no_nan("value"), F.lit(missing)).alias("value"))
-    return out if locations is None else out.join(F.broadcast(locations.select(F.col("ID_WMO").alias("station_id"))), "station_id", "left_semi")
+    return out if locations is None else out.join(locations.select(F.col("ID_WMO").alias("station_id")), "station_id", "left_semi")
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -118,50 +116,3 @@ def features(texts: DataFrame, column: str = "value") -> DataFrame:
     rings = "array<array<array<double>>>"
     many = one.filter("kind = 'MultiPolygon'").select("properties", "kind", F.explode(F.from_json("c", f"array<{rings}>")).alias("rings"))
     return one.filter("kind = 'Polygon'").select("properties", "kind", F.from_json("c", rings).alias("rings")).unionByName(many)
-
-
-def register_netcdf(spark: SparkSession) -> bool:
-    """Registers the `netcdf` data source where a NetCDF library is installed; says whether it did."""
-    try:
-        import netCDF4  # noqa: F401
-    except ImportError:
-        return False
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class Reader(DataSourceReader):
-        def __init__(self, options):
-            self.options = options
-
-        def partitions(self):
-            import netCDF4
-
-            with netCDF4.Dataset(self.options["path"]) as f:
-                return [InputPartition(k) for k in range(len(f.variables["time"]))]
-
-        def read(self, partition):
-            import netCDF4
-
-            with netCDF4.Dataset(self.options["path"]) as f:
-                k, clock = partition.value, f.variables["time"]
-                day = netCDF4.num2date(clock[k], clock.units, only_use_cftime_datetimes=False).date()
-                lat, lon = f.variables["lat"][:], f.variables["lon"][:]
-                up, right = np.argsort(np.argsort(lat)), np.argsort(np.argsort(lon))
-                values = np.ma.filled(f.variables[self.options.get("variable", "precipitation")][k].astype(float), np.nan)
-                for i in range(len(lat)):
-                    for j in range(len(lon)):
-                        v = values[i, j]
-                        yield self.options.get("product"), day, int(up[i]), int(right[j]), float(lat[i]), float(lon[j]), None if np.isnan(v) else float(v)
-
-    class NetCdf(DataSource):
-        @classmethod
-        def name(cls):
-            return "netcdf"
-
-        def schema(self):
-            return GRID
-
-        def reader(self, schema):
-            return Reader(self.options)
-
-    spark.dataSource.register(NetCdf)
-    return True
