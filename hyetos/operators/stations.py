@@ -33,9 +33,9 @@ def threshold_summary(scored: DataFrame, keys: Sequence[str] = ("threshold",)) -
     )
 
 
-def wide(long: DataFrame, key: str, name: str, values: Sequence[str], labels: Sequence) -> DataFrame:
-    """One row for each key; a column for each label and value."""
-    return long.groupBy(key).pivot(name, list(labels)).agg(*[F.first(v).alias(v) for v in values])
+def wide(long: DataFrame, key: str | Sequence[str], name: str, values: Sequence[str], labels: Sequence) -> DataFrame:
+    """One row for each key, or each combination of several; a column for each label and value."""
+    return long.groupBy(*([key] if isinstance(key, str) else key)).pivot(name, list(labels)).agg(*[F.first(v).alias(v) for v in values])
 
 
 def long_form(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -127,6 +127,6 @@ def paired_or_error(left: DataFrame, right: DataFrame, keys: Sequence[str], what
     return out
 
 
-def write_wide(long: DataFrame, path: str, key: str, name: str, values: Sequence[str], labels: Sequence) -> None:
+def write_wide(long: DataFrame, path: str, key: str | Sequence[str], name: str, values: Sequence[str], labels: Sequence) -> None:
     """CSV of one row for each key with columns `{label}_{value}`; the labels of the pivot are the caller's, so nothing is collected."""
     wide(long, key, name, values, labels).write.mode("overwrite").option("header", True).csv(path)

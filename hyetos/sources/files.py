@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hyetos import __version__
 from hyetos.functions.scalar import no_nan
+from hyetos.params import Params
 
 GRID = T.StructType([
     T.StructField("product", T.StringType()), T.StructField("time", T.DateType()), T.StructField("lat_i", T.IntegerType()), T.StructField("lon_i", T.IntegerType()),
@@ -88,6 +91,11 @@ def provenance(spark: SparkSession, **attributes: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in row.items()], "name string, value string")
 
 
+def described(params: Params, reference: str, test: str) -> dict[str, str]:
+    """What a corrected field was made of: names of both sides, every parameter, and the version of this package."""
+    return {"reference": reference, "test": test, "package_version": __version__} | {k: str(v) for k, v in asdict(params).items()}
+
+
 def write_metrics(rows: DataFrame, path: str, keys: Sequence[str], units: dict[str, str] | None = None) -> None:
     """Metrics or quality as single precision, with a comment on each column; partitioned by `keys`."""
     out = rows.select(*[F.col(c).cast("float").alias(c, metadata={"comment": (units or {}).get(c, "")}) if t == "double" else F.col(c) for c, t in rows.dtypes])
