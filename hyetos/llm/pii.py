@@ -42,8 +42,11 @@ KINDS = {
     "iban": (rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Z0-9])(?={IBAN})[A-Z]{{2}}[0-9]{{2}}", None, 0.2, 0.6, "iban|account|konto|bank|cuenta|compte"),
     "ssn": (r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.2, 0.1, "ssn|social security"),
     "tel": (r"[(0-9](?<![0-9+][(0-9])(?:(?<=[(])[0-9]{3}\)|[0-9]{2})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None, 0.2, 0.1, "tel|phone|call|mobile|fax|anruf|llamar|appel"),
-    "secret": (rf"{KEY}(?<!{KEY}{KEY}){KEY}{{19,}}+={{0,2}}+", None, 0.3, 0.1, "token|secret|key|password|passwd|pwd|api|auth|credential|bearer"),
+    "secret": (rf"{KEY}(?<!{KEY}{KEY}){KEY}{{19,}}+={{0,2}}+", None, 0.3, 0.1, "tokens?|secrets?|keys?|passwords?|passwd|pwd|api|apikey|auth|authorization|authtoken|credentials?|bearer"),
 }
+#: Forms of keys that need no word near them, and segments of text between slashes as paths have them.
+ISSUED = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{16,}|sk[-_][A-Za-z0-9_-]{20,})$"
+PATH = r"^(?=[^/]*/)[^/]{0,15}(?:/[^/]{0,15})*$"
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD, CONTEXT, REACH = 0.5, 0.3, 40
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
@@ -86,7 +89,8 @@ def _valid(kind: str, x: Column) -> Column:
     if kind == "iban":
         return _mod97(x)
     if kind == "secret":  # hexadecimal, or small and large letters and digits
-        return F.rlike(x, F.lit("[0-9]")) & F.rlike(x, F.lit("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z]).*)$"))
+        mixed = F.rlike(x, F.lit("[0-9]")) & F.rlike(x, F.lit("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z]).*)$"))
+        return (mixed & ~F.rlike(x, F.lit(PATH))) | F.rlike(x, F.lit(ISSUED))
     if kind == "ssn":
         return ~F.rlike(x, F.lit("^(?:000|666|9)|-00-|-0000$"))
     return n == 10
@@ -147,8 +151,12 @@ def _placed(text: Column, kind: str) -> Column:
 def _spans(text: Column, kind: str) -> Column:
     pattern, needs, form, checked, words = KINDS[kind]
 
+    # Words that only begin like one of a secret's ("author") are no context for it; `api_key` has two of them.
+    context = rf"(?<![a-z])(?:{words})(?![a-z])" if kind == "secret" else rf"\b(?:{words})"
+
     def scored(x: Column) -> Column:
-        score = F.lit(form + checked) + F.when(F.rlike(F.lower(x["near"]), F.lit(rf"\b(?:{words})")), CONTEXT).otherwise(0.0)
+        near = F.rlike(F.lower(x["near"]), F.lit(context))
+        score = F.lit(form + checked) + F.when(near | F.rlike(x["hit"], F.lit(ISSUED)) if kind == "secret" else near, CONTEXT).otherwise(0.0)
         return F.struct(
             x["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"),
             F.least(score, F.lit(1.0)).alias("score"),
