@@ -86,10 +86,17 @@ def lag_correlation(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def best_offset(curve: DataFrame, keys: Sequence[str], tolerance: float = 0.02) -> DataFrame:
-    """The offset of the largest r (the smallest such), the band within `tolerance` of it, and the lift over offset 0."""
-    top = curve.groupBy(*keys).agg(F.max("r").alias("peak"), F.max(F.when(F.col("h") == 0, F.col("r"))).alias("at_zero"))
-    near = curve.join(top, list(keys)).filter("r is not null")
-    return near.groupBy(*keys, "peak", "at_zero").agg(
-        F.min(F.when(F.col("r") == F.col("peak"), F.col("h"))).alias("best_h"), F.min(F.when(F.col("r") >= F.col("peak") - tolerance, F.col("h"))).alias("band_low"),
-        F.max(F.when(F.col("r") >= F.col("peak") - tolerance, F.col("h"))).alias("band_high"),
+    """The offset of the largest r (the smallest such), the band within `tolerance` of it, and the lift over offset 0.
+
+    A key's curve (a value for each offset) is taken as it is once: computed a second time, its sums may differ in their
+    last bits, and no value would equal the peak.
+    """
+    curves = curve.groupBy(*keys).agg(F.collect_list(F.struct("h", "r")).alias("_c")).withColumn("_known", F.filter("_c", lambda x: x["r"].isNotNull()))
+    peak = F.array_max(F.transform("_known", lambda x: x["r"]))
+    zero = F.array_max(F.transform(F.filter("_known", lambda x: x["h"] == 0), lambda x: x["r"]))
+    found = curves.withColumns({"peak": peak, "at_zero": zero}).filter("peak is not null")
+    at = lambda keep: F.transform(F.filter("_known", keep), lambda x: x["h"])
+    near = lambda x: x["r"] >= F.col("peak") - tolerance
+    return found.select(
+        *keys, "peak", "at_zero", F.array_min(at(lambda x: x["r"] == F.col("peak"))).alias("best_h"), F.array_min(at(near)).alias("band_low"), F.array_max(at(near)).alias("band_high"),
     ).withColumn("lift", F.col("peak") - F.col("at_zero"))
