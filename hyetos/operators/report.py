@@ -138,23 +138,41 @@ def scatter(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rolling_days(events: DataFrame) -> DataFrame:
-    """(station_id, hour, ref, test): 24-hour sums of views and clicks at every hour."""
+    """(station_id, hour, ref, test): 24-hour sums of views and clicks at every hour.
+
+    Events are shuffled once, by station; hours without events are filled in between the hours that have some, in the same tasks.
+    """
     hour = F.floor(F.unix_timestamp(F.date_trunc("hour", "ts")) / 3600)
-    of = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("value")))
-    hours = events.groupBy(F.col("user_id").alias("station_id"), hour.alias("hour")).agg(of("view").alias("ref"), of("click").alias("test"))
-    span = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).first()
-    dense = hours.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(span["a"]), F.lit(span["b"]))).alias("hour"))
-    dense = dense.join(hours, ["station_id", "hour"], "left").na.fill(0.0, ["ref", "test"])
-    day = W.partitionBy("station_id").orderBy("hour").rangeBetween(-23, 0)
-    return dense.select("station_id", "hour", F.sum("ref").over(day).alias("ref"), F.sum("test").over(day).alias("test"))
-
-
-def lag_sums(rolled: DataFrame, offsets: Iterable[int]) -> DataFrame:
-    """Six sums by station and offset h: the reference at midnight with the test h hours later."""
-    at = rolled.filter("hour % 24 = 0").select("station_id", F.col("ref"), F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.col("hour") + h).alias("hour")) for h in offsets])).alias("o"))
-    pairs = at.select("station_id", "ref", "o.h", "o.hour").join(rolled.select("station_id", "hour", "test"), ["station_id", "hour"])
+    known = events.select(F.col("user_id").alias("station_id"), hour.alias("hour"), "event_type", "value")
+    span = known.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).first()
+    first, last = (F.lit(x).cast("long") for x in span)
+    of = lambda t: F.sum(F.when((F.col("event_type") == t) & F.col("hour").isNotNull() & F.col("station_id").isNotNull(), F.col("value")))
+    hours = known.repartition("station_id").groupBy("station_id", F.coalesce("hour", first).alias("hour")).agg(of("view").alias("ref"), of("click").alias("test"))
+    order = W.partitionBy("station_id").orderBy("hour")
+    start = F.when(F.row_number().over(order) == 1, first).otherwise(F.col("hour"))
+    upto = F.coalesce(F.lead("hour").over(order) - 1, last)
+    at = hours.withColumns({"_a": start, "_b": upto}).withColumn("_hour", F.explode(F.sequence("_a", "_b")))
+    value = lambda x: F.when(F.col("_hour") == F.col("hour"), F.coalesce(x, F.lit(0.0))).otherwise(0.0).alias(x)
+    day = order.rangeBetween(-23, 0)
+    return at.select("station_id", F.col("_hour").alias("hour"), value("ref"), value("test")).select("station_id", "hour", F.sum("ref").over(day).alias("ref"), F.sum("test").over(day).alias("test"))
+
+
+def lag_sums(rolled: DataFrame, offsets: Iterable[int], keys: Sequence[str] = ("station_id",)) -> DataFrame:
+    """Six sums by `keys` and offset h: the reference at midnight with the test h hours later.
+
+    The hours around a midnight come from the neighbouring days of the same station, in a window over days of 24 values, so
+    no pairs are shuffled: a task adds up its own, and sends sums for each key and offset.
+    """
+    offsets = sorted(set(offsets))
+    keys = list(keys)
+    hours = rolled.filter("station_id is not null").withColumn("_day", F.floor(F.col("hour") / 24))
+    days = hours.groupBy(*dict.fromkeys(["station_id", "_day", *keys])).agg(F.max(F.when(F.col("hour") % 24 == 0, F.struct("ref"))).alias("_at"), F.collect_list(F.struct("hour", "test")).alias("_hours"))
+    around = W.partitionBy("station_id").orderBy("_day").rangeBetween(offsets[0] // 24, offsets[-1] // 24)
+    near = days.withColumn("_near", F.collect_list("_hours").over(around)).filter("_at is not null")
+    one = near.select(*keys, "_day", F.col("_at.ref").alias("ref"), F.explode(F.flatten("_near")).alias("o"))
+    pairs = one.select(*keys, "ref", (F.col("o.hour") - F.col("_day") * 24).cast("int").alias("h"), F.col("o.test").alias("test")).filter(F.col("h").isin(offsets))
     o, p = F.col("ref"), F.col("test")
-    return pairs.groupBy("station_id", "h").agg(F.count("*").alias("n"), F.sum(o).alias("so"), F.sum(p).alias("sp"), F.sum(o * o).alias("soo"), F.sum(p * p).alias("spp"), F.sum(o * p).alias("sop"))
+    return pairs.groupBy(*keys, "h").agg(F.count("*").alias("n"), F.sum(o).alias("so"), F.sum(p).alias("sp"), F.sum(o * o).alias("soo"), F.sum(p * p).alias("spp"), F.sum(o * p).alias("sop"))
 
 
 def upscale(confidence: DataFrame, coarse_n: int, coarse_step: float, fine_n: int, fine_step: float, offset: float) -> DataFrame:
