@@ -25,9 +25,9 @@ def nearest(source: DataFrame, target: DataFrame, *, bounded: bool = False, ties
     larger coordinate wins (`ties="smaller"`: the smaller one). `bounded`: NULL outside the source's range.
     """
     both = source.select(*by, F.col(key).alias("x"), F.col(key).alias("s")).unionByName(target.select(*by, F.col(key).alias("x"), F.lit(None).cast(dict(source.dtypes)[key]).alias("s")))
-    order = W.partitionBy(*by).orderBy("x")
-    before = F.max("s").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.min("s").over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    before = F.max("s").over(W.partitionBy(*by).orderBy("x").rangeBetween(W.unboundedPreceding, W.currentRow))
+    # Backwards, as a frame that ends at the last row is computed anew for every row.
+    after = F.min("s").over(W.partitionBy(*by).orderBy(F.desc("x")).rangeBetween(W.unboundedPreceding, W.currentRow))
     both = both.withColumns({"lo": before, "hi": after}).filter("s is null")
     number = lambda x: F.unix_date(x) if dict(source.dtypes)[key] == "date" else F.col(x) if isinstance(x, str) else x
     down, up = number("x") - number("lo"), number("hi") - number("x")
@@ -38,6 +38,26 @@ def nearest(source: DataFrame, target: DataFrame, *, bounded: bool = False, ties
     return both.select(*by, F.col("x").alias("target"), found.alias("source")).distinct()
 
 
+def nearest_days(source: DataFrame, targets: DataFrame, *, ties: str = "larger", by: Sequence[str] = (), key: str = "x") -> DataFrame:
+    """`nearest` for dates, where all groups `by` have the same targets: (by, target, source).
+
+    Every source day owns the days up to half way to its neighbours, so only source days are shuffled; the targets it owns are
+    looked up in the table of targets, which holds each day of the calendar at most once.
+    """
+    x = F.col("_x")
+    want = targets.select(F.col(key).alias("target")).filter("target is not null").distinct()
+    ends = want.agg(F.min("target").alias("_first"), F.max("target").alias("_last"))
+    order = W.partitionBy(*by).orderBy("_x")
+    have = source.select(*by, F.col(key).alias("_x")).distinct()
+    # A day that is as far from both neighbours goes to the later one, or the earlier one.
+    half = lambda a, b: F.date_add(a, F.floor((F.datediff(b, a) - (1 if ties == "larger" else 0)) / 2).cast("int"))
+    owns = have.withColumns({"_before": F.lag("_x").over(order), "_after": F.lead("_x").over(order)}).filter("_x is not null or _after is null").crossJoin(F.broadcast(ends))
+    low = F.when(F.col("_before").isNull(), F.col("_first")).otherwise(F.greatest(F.date_add(half(F.col("_before"), x), 1), F.col("_first")))
+    high = F.when(F.col("_after").isNull(), F.col("_last")).otherwise(F.least(half(x, F.col("_after")), F.col("_last")))
+    each = owns.withColumns({"_low": low, "_high": high}).filter("_low <= _high").select(*by, F.col("_x").alias("source"), F.explode(F.sequence("_low", "_high")).alias("target"))
+    return each.join(F.broadcast(want), "target").select(*by, "target", "source")
+
+
 def brackets(source: DataFrame, target: DataFrame, key: str = "x") -> DataFrame:
     """For every target coordinate the two around it and the weight of the upper one: (target, lo, hi, w); NULL outside."""
     both = source.select(F.col(key).alias("x"), F.col(key).alias("s")).unionByName(target.select(F.col(key).alias("x"), F.lit(None).cast("double").alias("s")))
