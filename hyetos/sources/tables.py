@@ -22,8 +22,11 @@ def grid_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def station_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of events of each type for every user, dense over all days: a day without events is dry."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("station_id"), F.to_date("ts").alias("time"), "event_type", "value")
-    wide = events.groupBy("station_id", "time").pivot("event_type", ["click", "purchase", "signup", "view", "error"]).sum("value")
+    # Added in the order of events: the sum of three and more values depends on it in its last bit, and thresholds tell that.
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("station_id"), F.to_date("ts").alias("time"), "event_type", "value", "event_id")
+    placed = events.repartition("station_id", "time").sortWithinPartitions("station_id", "time", "event_id", "value")
+    of = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("value"))).alias(t)
+    wide = placed.groupBy("station_id", "time").agg(*map(of, ("click", "purchase", "signup", "view", "error")))
     span = events.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
     dense = events.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(span["a"]), F.lit(span["b"]))).alias("time"))
     return dense.join(wide, ["station_id", "time"], "left").na.fill(0.0)
