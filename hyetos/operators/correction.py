@@ -277,11 +277,12 @@ def rank_map(pairs: DataFrame, keys: Sequence[str], weight: float = 1.0) -> Data
 def blend(rows: DataFrame, keys: Sequence[str] = CELL, alpha: float = 0.7, confidence: str | None = None, percentile: float = 0.8) -> DataFrame:
     """`rows` (value, predicted) with `blended`: values above their cell's percentile, zeros included, give way to the
     prediction by 1 - alpha, less where there is little confidence; all others stay."""
-    limit = rows.groupBy(*keys).agg(F.percentile("value", F.lit(percentile)).alias("_limit"))
+    # A window, so that limit and values come from one run of `rows`: sums of a second run may differ in their last bit.
+    limit = F.percentile("value", F.lit(percentile)).over(W.partitionBy(*keys))
     a = effective_alpha(confidence, alpha) if confidence else F.lit(alpha)
     x = F.col("value")
     use = (x > F.col("_limit")) & (x > 0) & F.col("predicted").isNotNull()
-    return rows.join(limit, list(keys)).withColumn("blended", F.when(use, a * x + (1 - a) * F.col("predicted")).otherwise(x)).drop("_limit")
+    return rows.dropna(subset=list(keys)).withColumn("_limit", limit).withColumn("blended", F.when(use, a * x + (1 - a) * F.col("predicted")).otherwise(x)).drop("_limit")
 
 
 def day_normalised(rows: DataFrame, time: str = "time") -> DataFrame:

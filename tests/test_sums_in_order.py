@@ -2,7 +2,11 @@
 
 import datetime
 import itertools
+import random
 
+from pyspark.sql import functions as F
+
+from hyetos.operators import correction
 from hyetos.sources import tables
 
 
@@ -15,3 +19,11 @@ def test_events_of_a_day_are_added_in_their_order(spark, tmp_path):
         for n, row in enumerate(rows):
             spark.createDataFrame([row], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.mode("append").parquet(f"{tmp_path}/{k}/events.parquet")
         assert tables.station_pairs(spark, f"{tmp_path}/{k}").first().ref == values[0] + values[1] + values[2]
+
+
+def test_limits_of_a_blend_come_from_the_same_run(spark):
+    """Values that differ from run to run in the last bits: the largest of six is above the percentile, the one that is the percentile isn't."""
+    noise = F.udf(lambda k: random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(600).select((F.col("id") % 100).alias("k"), (1 + F.floor(F.col("id") / 100)).cast("double").alias("value"), F.lit(50.0).alias("predicted"))
+    out = correction.blend(rows.withColumn("value", F.col("value") + noise("k")), ["k"], alpha=0.5)
+    assert out.filter("blended > 20").count() == 100 and out.filter("blended > 20 and value < 5.5").count() == 0
