@@ -63,15 +63,14 @@ def base(pairs: DataFrame, keys: Sequence[str], threshold: float = 1.0) -> DataF
 
 def dry_spells(pairs: DataFrame, keys: Sequence[str], threshold: float = 1.0, time: str = "time") -> DataFrame:
     """The longest runs of dry rows of either side, in time order over the rows that are left."""
-    out = valid(pairs)
     order = W.partitionBy(*keys).orderBy(time)
-    for side in ("ref", "test"):
-        dry = F.col(side) < threshold
-        out = out.withColumn(f"_{side}", F.when(dry, F.row_number().over(order) - F.row_number().over(W.partitionBy(*keys, dry).orderBy(time))))
-    for side in ("ref", "test"):
-        out = out.withColumn(f"_n_{side}", F.when(F.col(f"_{side}").isNotNull(), F.count("*").over(W.partitionBy(*keys, f"_{side}"))))
+    # The place of a row less that of the last wet one: both sides, and all other windows by keys and time, need one sort only.
+    out = valid(pairs).select(*keys, time, "ref", "test").withColumn("_place", F.row_number().over(order))
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = lambda side: F.col("_place") - F.coalesce(F.max(F.when(~F.coalesce(F.col(side) < threshold, F.lit(False)), F.col("_place"))).over(upto), F.lit(0))
+    out = out.select(*keys, *[run(side).alias(f"_n_{side}") for side in ("ref", "test")])
     n = F.count("*")
-    return out.groupBy(*keys).agg(*[F.when(n >= 2, F.coalesce(F.max(f"_n_{side}"), F.lit(0))).cast("double").alias(f"dsl_{side}") for side in ("ref", "test")])
+    return out.groupBy(*keys).agg(*[F.when(n >= 2, F.max(f"_n_{side}")).cast("double").alias(f"dsl_{side}") for side in ("ref", "test")])
 
 
 def ks_statistic(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
