@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -305,18 +306,49 @@ def predict(rows: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], rows
     return rows.groupBy(time).applyInPandas(run, schema)
 
 
+STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+
+def neighbourhoods(rows: DataFrame, side: int = 512) -> DataFrame:
+    """`rows` (time, lat_i, lon_i, value) with _x0 to _x8: the values of the 3 x 3 cells around, 0 where there is none; NULL where none of the nine is.
+
+    A day's field is cut into square blocks, and cells at a border also go to the block next to it, so that each row is
+    shuffled once, whatever the size of the field, and a task holds one block at a time.
+    """
+    names, columns = [f"_x{k}" for k in range(9)], rows.columns
+    place = lambda x, step: F.floor((F.col(x) + step) / side)
+    blocks = lambda x: F.explode(F.array_distinct(F.array(*[place(x, step) for step in (-1, 0, 1)])))
+    at = rows.filter("time is not null and lat_i is not null and lon_i is not null").withColumn("_a", blocks("lat_i")).withColumn("_b", blocks("lon_i"))
+    at = at.withColumn("_own", (F.col("_a") == place("lat_i", 0)) & (F.col("_b") == place("lon_i", 0)))
+
+    def around(one: pa.Table) -> pa.Table:
+        i, j = (one[x].to_numpy().astype(int) for x in ("lat_i", "lon_i"))
+        v = one["value"].cast(pa.float64()).to_numpy().astype(float)
+        i, j = i - i.min() + 1, j - j.min() + 1
+        field, known = np.zeros((i.max() + 2, j.max() + 2)), np.zeros((i.max() + 2, j.max() + 2), bool)
+        there = ~np.isnan(v)
+        np.add.at(field, (i[there], j[there]), v[there])
+        known[i[there], j[there]] = True
+        own = one["_own"].to_numpy().astype(bool)
+        i, j = i[own], j[own]
+        none = ~np.any([known[i + a, j + b] for a, b in STEPS], axis=0)
+        kept = one.filter(pa.array(own)).select(columns)
+        for name, (a, b) in zip(names, STEPS, strict=True):
+            kept = kept.append_column(name, pa.array(field[i + a, j + b], mask=none))
+        return kept
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema.fields], *[T.StructField(x, T.DoubleType()) for x in names]])
+    return at.groupBy("time", "_a", "_b").applyInArrow(around, schema)
+
+
 def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridge: float = 1e-3) -> DataFrame:
     """A linear 3 x 3 filter for each dekad, by least squares of the reference on the neighbourhood: (keys, weights).
 
     The normal equations are sums over rows, so each task adds up its own and 100 numbers a dekad are shuffled.
     `rows` has value and ref on (time, lat_i, lon_i).
     """
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    near = rows.select(*keys, "time", "lat_i", "lon_i", "value", F.explode(F.array(*[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(k).alias("k")) for k, (a, b) in enumerate(steps)])).alias("s"))
-    near = near.groupBy("time", (F.col("lat_i") + F.col("s.a")).alias("lat_i"), (F.col("lon_i") + F.col("s.b")).alias("lon_i")).agg(
-        *[F.coalesce(F.sum(F.when(F.col("s.k") == k, F.col("value"))), F.lit(0.0)).alias(f"x{k}") for k in range(9)])
-    x = [*[F.col(f"x{k}") for k in range(9)], F.lit(1.0)]
-    table = rows.filter("ref is not null and value is not null").select(*keys, "time", "lat_i", "lon_i", "ref").join(near, ["time", "lat_i", "lon_i"])
+    x = [*[F.col(f"_x{k}") for k in range(9)], F.lit(1.0)]
+    table = neighbourhoods(rows.select(*keys, "time", "lat_i", "lon_i", "value", "ref")).filter("ref is not null and value is not null")
     sums = table.groupBy(*keys).agg(F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"), F.array(*[F.sum(a * F.col("ref")) for a in x]).alias("xy"))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -335,9 +367,7 @@ def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridg
 
 
 def apply_filter(rows: DataFrame, models: DataFrame, keys: Sequence[str] = ("month", "dekad")) -> DataFrame:
-    """`rows` with `predicted` from a dekad's trained filter, at least 0."""
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    table = rows.join(models, list(keys))
-    give = table.select("time", "lat_i", "lon_i", "value", "weights", F.explode(F.array(*[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(k).alias("k")) for k, (a, b) in enumerate(steps)])).alias("s"))
-    sums = give.groupBy("time", (F.col("lat_i") + F.col("s.a")).alias("lat_i"), (F.col("lon_i") + F.col("s.b")).alias("lon_i")).agg(F.sum(F.col("value") * F.get("weights", F.col("s.k"))).alias("_y"))
-    return table.join(sums, ["time", "lat_i", "lon_i"]).withColumn("predicted", F.greatest(F.col("_y") + F.get("weights", F.lit(9)), F.lit(0.0))).drop("_y", "weights")
+    """`rows` with `predicted` from a dekad's trained filter, at least 0. `models` has a row for each dekad, so it is broadcast."""
+    table = neighbourhoods(rows).join(F.broadcast(models.select(*keys, "weights")), list(keys))
+    total = sum((F.col(f"_x{k}") * F.get("weights", F.lit(k)) for k in range(1, 9)), F.col("_x0") * F.get("weights", F.lit(0)))
+    return table.withColumn("predicted", F.greatest(total + F.get("weights", F.lit(9)), F.lit(0.0))).drop("weights", *[f"_x{k}" for k in range(9)])
