@@ -82,7 +82,8 @@ def regrid_bilinear(cells: DataFrame, lat_map: DataFrame, lon_map: DataFrame, va
         two = F.explode(F.array(F.struct(F.col("lo").alias("at"), (1 - F.col("w")).alias("v")), F.struct(F.col("hi").alias("at"), F.col("w").alias("v"))))
         return m.select(F.col("target").alias(f"_{name}"), two.alias("z")).select(f"_{name}", F.col("z.at").alias(name), F.col("z.v").alias(f"_w{name}"))
 
-    out = cells.join(F.broadcast(corners(lat_map, "lat")), "lat").join(F.broadcast(corners(lon_map, "lon")), "lon")
+    # Shuffled by target row before longitudes are spread: a value goes out for its rows, not for each target cell around it.
+    out = cells.join(F.broadcast(corners(lat_map, "lat")), "lat").repartition(*keys, "_lat").join(F.broadcast(corners(lon_map, "lon")), "lon")
     w = F.col("_wlat") * F.col("_wlon")
     whole = lambda v: F.when((F.count(v) == 4) & (F.count("*") == 4), F.sum(w * F.col(v)))
     return out.groupBy(*keys, "_lat", "_lon").agg(*[whole(v).alias(v) for v in values]).select(*keys, F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), *values)
