@@ -14,10 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def grid_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily field: a cell for each supplier, ten to a row; quantities are the reference, prices the test."""
-    px, r, t = F.col("l_suppkey"), F.sum("l_quantity").alias("ref"), (F.sum("l_extendedprice") / 1511).alias("test")
-    days = table(spark, sf_dir, "lineitem").groupBy(px.alias("px"), F.to_date("l_shipdate").alias("time")).agg(r, t)
     lat_i, lon_i = F.expr("cast(px div 10 as int)"), (F.col("px") % 10).cast("int")
-    return days.withColumns({"lat_i": lat_i, "lon_i": lon_i, "lat": lat_i * 0.5 - 10.0, "lon": lon_i * 0.5 + 95.0} | dekad_columns())
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("px"), F.to_date("l_shipdate").alias("time"), "l_quantity", "l_extendedprice").withColumns({"lat_i": lat_i, "lon_i": lon_i})
+    # Shuffled once by cell: sums of a day, and whatever groups by cell and season afterwards, need no other shuffle.
+    days = items.repartition("lat_i", "lon_i").groupBy("px", "lat_i", "lon_i", "time").agg(F.sum("l_quantity").alias("ref"), (F.sum("l_extendedprice") / 1511).alias("test"))
+    return days.withColumns({"lat": F.col("lat_i") * 0.5 - 10.0, "lon": F.col("lon_i") * 0.5 + 95.0} | dekad_columns())
 
 
 def station_day(spark: SparkSession, sf_dir: str) -> DataFrame:
