@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +26,19 @@ PARAMETERS = ("gamma_shape", "gamma_scale", "gpd_threshold", "gpd_shape", "gpd_l
 def scaling_factor(pairs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """mean(ref) / mean(test) of each group; 1 if the test's mean is 0, NULL if one is missing."""
     means = pairs.groupBy(*keys).agg(F.avg("ref").alias("_r"), F.avg("test").alias("_t"))
-    return means.select(*keys, F.when(F.col("_t") == 0, F.when(F.col("_r").isNotNull(), 1.0)).otherwise(div("_r", "_t")).alias("factor"))
+    return means.select(*keys, _factor().alias("factor"))
+
+
+def _factor() -> Column:
+    return F.when(F.col("_t") == 0, F.when(F.col("_r").isNotNull(), 1.0)).otherwise(div("_r", "_t"))
 
 
 def scale(pairs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """The test series times its group's factor."""
-    return pairs.join(scaling_factor(pairs, keys), list(keys)).withColumn("scaled", F.col("test") * F.col("factor")).drop("factor")
+    # A window: series and factors come from one shuffle and one run.
+    w = W.partitionBy(*keys)
+    means = pairs.dropna(subset=list(keys)).withColumns({"_r": F.avg("ref").over(w), "_t": F.avg("test").over(w)})
+    return means.withColumn("scaled", F.col("test") * _factor()).drop("_r", "_t")
 
 
 def l_moments(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyetos.functions.scalar import dekad_columns
@@ -157,8 +157,18 @@ def verify(references: Mapping[str, DataFrame], methods: Mapping[str, DataFrame]
     """
     tag = lambda frames, name: _union([df.select(*keys, "time", "value").withColumn(name, F.lit(k)) for k, df in frames.items()])
     r, t = tag(references, "reference").withColumnRenamed("value", "ref"), tag(methods, "method").withColumnRenamed("value", "test")
+    return _verified(r.join(t, [*keys, "time"]), params, keys, by_year, pvalue)
+
+
+def verify_columns(rows: DataFrame, references: Mapping[str, Column], methods: Mapping[str, Column], params: Params, keys: Sequence[str] = CELL, by_year: bool = False, pvalue: bool = True) -> DataFrame:
+    """`verify` of series that stand side by side in the same rows: nothing is joined, and rows that lie together by their keys stay there."""
+    pairs = [F.struct(F.lit(a).alias("reference"), F.lit(b).alias("method"), r.cast("double").alias("ref"), t.cast("double").alias("test")) for a, r in references.items() for b, t in methods.items()]
+    return _verified(rows.select(*keys, "time", F.explode(F.array(*pairs)).alias("_p")).select(*keys, "time", "_p.*"), params, keys, by_year, pvalue)
+
+
+def _verified(pairs: DataFrame, params: Params, keys: Sequence[str], by_year: bool, pvalue: bool) -> DataFrame:
     run = metrics.yearly if by_year else metrics.metrics31
-    made = run(r.join(t, [*keys, "time"]), ["reference", "method", *keys], params.wet_day, pvalue=pvalue)
+    made = run(pairs, ["reference", "method", *keys], params.wet_day, pvalue=pvalue)
     return quality.assess(made if pvalue else made.withColumn("ks_pvalue", 1 - F.col("ks_stat")), params.quality_weights, params.categories)
 
 

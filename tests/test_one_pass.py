@@ -39,3 +39,21 @@ def test_metrics_group_once_and_equal_their_parts(spark, pairs):
 def test_metrics_of_the_grid_shuffle_once(spark):
     made = metrics.metrics31(tables.grid_day(spark, "/root/testdata/sf0.001"), CELL, 25.0, pvalue=False)
     assert plan_of(made).count("Exchange") == 1
+
+
+def test_sides_in_columns_equal_joined_frames(spark, pairs):
+    ref, one = F.col("ref"), lambda x: pairs.select(*CELL, "time", x.alias("value"))
+    params = Params(wet_day=1.0)
+    made = pipelines.verify_columns(pairs, {"a": ref, "b": ref + 1}, {"raw": F.col("test"), "ls": F.col("test") * 2}, params, pvalue=False)
+    assert "Join" not in plan_of(made)
+    want = pipelines.verify({"a": one(ref), "b": one(ref + 1)}, {"raw": one(F.col("test")), "ls": one(F.col("test") * 2)}, params, pvalue=False)
+    rows = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(sorted(df.columns)).collect())
+    assert rows(made) == rows(want) and made.count() == 4 * metrics.valid(pairs).select(*CELL).distinct().count()
+
+
+def test_scaled_in_one_run(spark, pairs):
+    made = correction.scale(pairs)
+    assert "Join" not in plan_of(made) and plan_of(made).count("Exchange") == 1
+    want = pairs.join(correction.scaling_factor(pairs), CELL).withColumn("scaled", F.col("test") * F.col("factor")).drop("factor")
+    rows = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(sorted(df.columns)).collect())
+    assert rows(made) == rows(want)
