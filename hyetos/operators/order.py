@@ -61,6 +61,13 @@ def medians(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
     return quantiles(rows, keys, values, {"": 0.5})
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder: bounds of ranges are sampled in a run of their own, which would compute them a second time."""
+    path = f"{folders.shared_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def ranks(rows: DataFrame, by: str, ties: Sequence[str] = (), keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """`rows` with `rank` (from 1, nulls first) by a column and ties, and `group_size`, within each key. Equal rows come in any order."""
     spark, keys = rows.sparkSession, list(keys)

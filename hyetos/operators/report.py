@@ -92,7 +92,7 @@ def ranked(rows: DataFrame, by: str, ties: Sequence[str], partitions: int | None
 
 def ecdf(rows: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = ()) -> DataFrame:
     """Rank over count; equal values rise one by one."""
-    placed = order.ranks(rows.filter(F.col(value).isNotNull()), value, ties, keys)
+    placed = order.ranks(order.kept(rows).filter(F.col(value).isNotNull()), value, ties, keys)
     return placed.withColumn("ecdf", div("rank", "group_size")).drop("rank", "group_size")
 
 

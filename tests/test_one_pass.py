@@ -57,3 +57,16 @@ def test_scaled_in_one_run(spark, pairs):
     want = pairs.join(correction.scaling_factor(pairs), CELL).withColumn("scaled", F.col("test") * F.col("factor")).drop("factor")
     rows = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(sorted(df.columns)).collect())
     assert rows(made) == rows(want)
+
+
+def test_ecdf_computes_values_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        calls.add(1)
+        return float(x % 7) if x % 5 else None
+
+    made = report.ecdf(spark.range(100).select("id", (F.col("id") % 2).alias("k")).withColumn("value", value("id")), ["k"], "value", ["id"])
+    assert {(r.id, r.ecdf) for r in made.collect() if r.k == 1 and r.value == 0} == {(i, (n + 1) / 40) for n, i in enumerate((7, 21, 49, 63, 77, 91))}
+    assert calls.value == 100
