@@ -32,25 +32,39 @@ def method_comparison(rows: DataFrame, method: str, values: Sequence[str]) -> Da
     return rows.groupBy(method).agg(F.count("*").alias("n_stations"), *[_median(v).alias(v) for v in values])
 
 
-def improvement(rows: DataFrame, keys: Sequence[str], before: str, after: str, step: float = 0.001) -> DataFrame:
+def _counted(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def _changes(before: str, after: str, step: float = 0.001) -> list[Column]:
     x = F.col(after) - F.col(before)
-    count = lambda e: F.count(F.when(e, 1))
-    out = rows.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), _median(x).alias("median"), count(x > step).alias("n_improved"), count(x < -step).alias("n_degraded"), count(F.abs(x) <= step).alias("n_unchanged"),
-    )
-    return out.withColumns({f"percent_{k}": 100 * div(f"n_{k}", "n") for k in ("improved", "degraded")})
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), _counted(x > step).alias("n_improved"), _counted(x < -step).alias("n_degraded"), _counted(F.abs(x) <= step).alias("n_unchanged")]
 
 
-def category_counts(rows: DataFrame, keys: Sequence[str], category: str) -> DataFrame:
+def _change_shares(made: DataFrame) -> DataFrame:
+    return made.withColumns({f"percent_{k}": 100 * div(f"n_{k}", "n") for k in ("improved", "degraded")})
+
+
+def improvement(rows: DataFrame, keys: Sequence[str], before: str, after: str, step: float = 0.001) -> DataFrame:
+    return _change_shares(rows.groupBy(*keys).agg(*_changes(before, after, step), _median(F.col(after) - F.col(before)).alias("median")))
+
+
+def _categories(category: str) -> list[Column]:
     k = F.col(category)
-    count = lambda e: F.count(F.when(e, 1))
-    out = rows.groupBy(*keys).agg(*[count(k == c).alias(f"c{c}") for c in (1, 2, 3, 4)], count(k > 0).alias("total"), count(k >= 3).alias("_good"))
-    return out.withColumns({"percent_good": 100 * div("_good", "total"), **{f"p{c}": 100 * div(f"c{c}", "total") for c in (1, 2, 3, 4)}}).drop("_good")
+    return [*[_counted(k == c).alias(f"c{c}") for c in (1, 2, 3, 4)], _counted(k > 0).alias("total"), _counted(k >= 3).alias("_good")]
+
+
+def _category_shares(made: DataFrame) -> DataFrame:
+    return made.withColumns({"percent_good": 100 * div("_good", "total"), **{f"p{c}": 100 * div(f"c{c}", "total") for c in (1, 2, 3, 4)}}).drop("_good")
+
+
+def category_counts(rows: DataFrame, keys: Sequence[str], category: str) -> DataFrame:
+    return _category_shares(rows.groupBy(*keys).agg(*_categories(category)))
 
 
 def batch_summary(rows: DataFrame, period: str, before: str, after: str, category: str) -> DataFrame:
     """One row over all periods: mean of their mean changes and of their shares of improved rows and of each category, and the best and worst period."""
-    each = improvement(rows, [period], before, after).join(category_counts(rows, [period], category), period)
+    each = _category_shares(_change_shares(rows.groupBy(period).agg(*_changes(before, after), *_categories(category))))  # one run of the rows
     means = {"mean_change": "mean", "percent_improved": "percent_improved", "percent_degraded": "percent_degraded", **{f"p{c}": f"p{c}" for c in (1, 2, 3, 4)}}
     return each.agg(*[F.avg(v).alias(k) for k, v in means.items()], F.max_by(period, "mean").alias("best_period"), F.min_by(period, "mean").alias("worst_period"), F.count("*").alias("n_periods"))
 

@@ -59,6 +59,15 @@ def test_scaled_in_one_run(spark, pairs):
     assert rows(made) == rows(want)
 
 
+def test_summary_reads_rows_once(spark):
+    rows = spark.createDataFrame([(1, 0.1, 0.3, 4), (1, 0.5, 0.4, 2), (1, 0.5, 0.5, 2), (2, 0.2, 0.1, 1), (2, None, 0.3, -9999)], "p int, a double, b double, k int")
+    made = report.batch_summary(rows, "p", "a", "b", "k")
+    assert "Join" not in plan_of(made)
+    got = made.first()
+    assert got.n_periods == 2 and got.best_period == 1 and got.worst_period == 2
+    assert got.percent_improved == pytest.approx(100 / 6) and got.percent_degraded == pytest.approx((100 / 3 + 100) / 2) and got.p2 == pytest.approx(100 / 3) and got.p1 == pytest.approx(50)
+
+
 def test_ecdf_computes_values_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
