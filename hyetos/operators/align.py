@@ -119,11 +119,16 @@ def buffered_box(mask: DataFrame, buffer: float = 0.5) -> DataFrame:
     )
 
 
-def at_stations(cells: DataFrame, stations: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame) -> DataFrame:
-    """The nearest cell's rows for every station (station_id, lat, lon)."""
+def station_cells(stations: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame) -> DataFrame:
+    """(station_id, lat, lon): the nearest cell of every station (station_id, lat, lon)."""
     a = nearest(lat_axis, stations.select(F.col("lat").alias("x"))).select(F.col("target").alias("lat"), F.col("source").alias("_lat"))
     b = nearest(lon_axis, stations.select(F.col("lon").alias("x"))).select(F.col("target").alias("lon"), F.col("source").alias("_lon"))
-    at = stations.join(a, "lat").join(b, "lon").select("station_id", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+    return stations.join(a, "lat").join(b, "lon").select("station_id", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+
+
+def at_stations(cells: DataFrame, stations: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame) -> DataFrame:
+    """The nearest cell's rows for every station (station_id, lat, lon)."""
+    at = station_cells(stations, lat_axis, lon_axis)
     return cells.join(at, ["lat", "lon"]).select("station_id", *[x for x in cells.columns if x not in ("lat", "lon")])
 
 

@@ -184,8 +184,10 @@ def taylor_pass(obs: DataFrame, cells: DataFrame, places: DataFrame, lat_axis: D
 
     `obs`: (station_id, time, value); `cells`: (lat, lon, time, product, value).
     """
-    at = align.at_stations(cells, places.select("station_id", "lat", "lon"), lat_axis, lon_axis).withColumnRenamed("value", "test")
-    pairs = at.join(obs.select("station_id", "time", F.col("value").alias("ref")), ["station_id", "time"]).withColumns(dekad_columns())
+    at = align.station_cells(places.select("station_id", "lat", "lon"), lat_axis, lon_axis)
+    # Series get their cell first and meet it day by day: a cell's days aren't spread over all its stations before they are paired.
+    series = obs.select("station_id", "time", F.col("value").alias("ref")).join(at, "station_id")
+    pairs = series.join(cells.withColumnRenamed("value", "test"), ["lat", "lon", "time"]).withColumns(dekad_columns())
     return taylor.stats(taylor.sums(pairs, list(keys)))
 
 

@@ -79,3 +79,15 @@ def test_ecdf_computes_values_once(spark):
     made = report.ecdf(spark.range(100).select("id", (F.col("id") % 2).alias("k")).withColumn("value", value("id")), ["k"], "value", ["id"])
     assert {(r.id, r.ecdf) for r in made.collect() if r.k == 1 and r.value == 0} == {(i, (n + 1) / 40) for n, i in enumerate((7, 21, 49, 63, 77, 91))}
     assert calls.value == 100
+
+
+def test_taylor_pass_pairs_by_day(spark):
+    axis = spark.createDataFrame([(0, 0.0), (1, 1.0)], "i int, x double")
+    places = spark.createDataFrame([(k, 0.1 + k % 2, 0.2) for k in range(6)], "station_id int, lat double, lon double")
+    day = lambda n: datetime.date(2001, 1, n)
+    obs = spark.createDataFrame([(k, day(n), float(k + n * n)) for k in range(6) for n in range(1, 9)], "station_id int, time date, value double")
+    cells = spark.createDataFrame([(float(a), float(b), day(n), "p", float(n + a)) for a in range(2) for b in range(2) for n in range(2, 9)], "lat double, lon double, time date, product string, value double")
+    made = pipelines.taylor_pass(obs, cells, places, axis, axis)
+    joins = [line.split("Join", 1)[1] for line in plan_of(made).splitlines() if "Join [" in line]
+    assert any("lat" in on and "lon" in on and "time" in on for on in joins)
+    assert sorted((r.station_id, r.n, round(r.bias, 6)) for r in made.collect()) == [(k, 7, round(sum(n + k % 2 - k - n * n for n in range(2, 9)) / 7, 6)) for k in range(6)]
