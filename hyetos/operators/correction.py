@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from hyetos.functions.scalar import div, effective_alpha
 from hyetos.functions.special import digamma, gamma_cdf, gamma_quantile, trigamma
+from hyetos.operators.metrics import percentiles
 
 CELL = ("month", "dekad", "lat_i", "lon_i")
 PARAMETERS = ("gamma_shape", "gamma_scale", "gpd_threshold", "gpd_shape", "gpd_loc", "gpd_scale", "upper_cap", "p_threshold", "p_dry")
@@ -145,6 +146,12 @@ def fit_gpd_folds(excess: np.ndarray, folds: int = 5) -> tuple[float, float]:
     return float(shape[0]), float(scale[0])
 
 
+@F.pandas_udf(T.StructType([T.StructField("gpd_shape", T.DoubleType()), T.StructField("gpd_scale", T.DoubleType())]))
+def tails_of(excess: pd.Series) -> pd.DataFrame:
+    shape, scale = fit_tails_of([np.asarray(x, float) for x in excess], True)
+    return pd.DataFrame({"gpd_shape": shape, "gpd_scale": scale})
+
+
 def fit_tails(rows: DataFrame, limits: DataFrame, keys: Sequence[str], value: str = "value", cross_validate: bool = True, time: str = "time") -> DataFrame:
     """Tail fits of the values above each group's `gpd_threshold`; only those values leave the JVM, as one array a group.
 
@@ -171,14 +178,15 @@ def gamma_cdf_of(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
 def reference_parameters(rows: DataFrame, keys: Sequence[str] = CELL, value: str = "value", wet: float = 1.0, percentile: float = 0.8, cap: float = 0.999, min_wet: int = 10) -> DataFrame:
     """The nine parameters of each group with at least ten wet values (strictly above `wet`)."""
     x = F.when(F.col(value) > wet, F.col(value))
-    s = rows.groupBy(*keys).agg(
-        F.count(x).alias("n_wet"), F.count(value).alias("n_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"),
-        F.percentile(x, F.lit(percentile)).alias("gpd_threshold"), F.percentile(x, F.lit(cap)).alias("upper_cap"),
-    ).filter(F.col("n_wet") >= min_wet)
-    s = s.withColumn("g", gamma_of("m", "ml", "n_wet")).withColumns({"gamma_shape": F.col("g.shape"), "gamma_scale": F.col("g.scale"), "p_dry": 1 - div("n_wet", "n_valid")})
+    # A group's wet values as an array: the percentiles and the excesses come from it, rows aren't read or joined again.
+    days = F.collect_list(F.when(F.col(value) > wet, F.struct(*([F.col("time").alias("at")] if "time" in rows.columns else []), F.col(value).cast("double").alias("x"))))
+    s = rows.groupBy(*keys).agg(F.count(x).alias("n_wet"), F.count(value).alias("n_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), days.alias("_days")).filter(F.col("n_wet") >= min_wet)
+    s = s.withColumns({"_x": F.sort_array("_days")["x"], "_q": percentiles(F.sort_array(F.col("_days")["x"]), (percentile, cap))}).withColumns({"gpd_threshold": F.col("_q")[0], "upper_cap": F.col("_q")[1]})
+    limit = F.col("gpd_threshold")
+    s = s.withColumn("_over", F.when(limit > 0, F.transform(F.filter("_x", lambda v: v > limit), lambda v: v - limit)).otherwise(F.array().cast("array<double>"))).drop("_days", "_x", "_q")
+    s = s.withColumns({"g": gamma_of("m", "ml", "n_wet"), "t": tails_of("_over")}).withColumns({"gamma_shape": F.col("g.shape"), "gamma_scale": F.col("g.scale"), "p_dry": 1 - div("n_wet", "n_valid")})
     s = s.withColumn("p_threshold", gamma_cdf_of("gpd_threshold", "gamma_shape", "gamma_scale"))
-    out = s.join(fit_tails(rows.filter(F.col(value) > wet), s, keys, value), list(keys), "left")
-    return out.select(*keys, "gamma_shape", "gamma_scale", "gpd_threshold", F.coalesce("gpd_shape", F.lit(0.0)).alias("gpd_shape"), F.lit(0.0).alias("gpd_loc"), F.coalesce("gpd_scale", F.lit(1.0)).alias("gpd_scale"), "upper_cap", "p_threshold", "p_dry")
+    return s.select(*keys, "gamma_shape", "gamma_scale", "gpd_threshold", "t.gpd_shape", F.lit(0.0).alias("gpd_loc"), "t.gpd_scale", "upper_cap", "p_threshold", "p_dry")
 
 
 def _unit(p: np.ndarray, floor: np.ndarray) -> np.ndarray:
@@ -227,11 +235,12 @@ def quantile_map(
     mapper = mapper or map_values
     x = F.when(F.col(value) > wet, F.col(value))
     own = rows.groupBy(*keys).agg(
-        F.count(x).alias("s_n"), F.count(value).alias("s_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.percentile(x, F.lit(percentile)).alias("s_limit"), F.max(F.abs(value)).alias("s_max"),
+        F.count(x).alias("s_n"), F.count(value).alias("s_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.sort_array(F.collect_list(x.cast("double"))).alias("_x"), F.max(F.abs(value)).alias("s_max"),
     )
-    own = own.withColumn("g", gamma_of("m", "ml", "s_n")).select(*keys, "s_n", "s_limit", "s_max", (1 - div("s_n", "s_valid")).alias("s_dry"), F.col("g.shape").alias("s_shape"), F.col("g.scale").alias("s_scale"))
-    joined = rows.join(own, list(keys)).join(parameters, list(keys), "left")
-    names = list(joined.columns)
+    own = own.withColumns({"g": gamma_of("m", "ml", "s_n"), "s_limit": percentiles("_x", (percentile,))[0]})
+    own = own.select(*keys, "s_n", "s_limit", "s_max", (1 - div("s_n", "s_valid")).alias("s_dry"), F.col("g.shape").alias("s_shape"), F.col("g.scale").alias("s_scale"))
+    # Both tables of groups are joined first, so that rows are joined once.
+    joined = rows.join(own.join(parameters.select(*keys, *PARAMETERS), list(keys), "left"), list(keys))
 
     def mapped(one: pd.DataFrame) -> pd.DataFrame:
         y = np.full(len(one), np.nan)
@@ -253,7 +262,7 @@ def quantile_map(
 
     added = [T.StructField("mapped", T.DoubleType())] + [T.StructField("error", T.StringType())] * isolate
     out = joined.mapInPandas(run, T.StructType([*joined.schema.fields, *added]))
-    return out.select(*[c for c in names if c in rows.columns], *[f.name for f in added])
+    return out.select(*rows.columns, *[f.name for f in added])
 
 
 def pair_parameters(pairs: DataFrame, keys: Sequence[str] = CELL, wet: float = 1.0, percentile: float = 0.8) -> DataFrame:

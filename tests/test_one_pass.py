@@ -81,6 +81,17 @@ def test_ecdf_computes_values_once(spark):
     assert calls.value == 100
 
 
+def test_parameters_without_a_join(spark, pairs):
+    made = correction.reference_parameters(pairs, value="ref", wet=0.1, min_wet=5)
+    assert "Join" not in plan_of(made)
+    x = F.when(F.col("ref") > 0.1, F.col("ref"))
+    limits = pairs.groupBy(*CELL).agg(F.percentile(x, F.lit(0.8)).alias("gpd_threshold"), F.percentile(x, F.lit(0.999)).alias("upper_cap"), F.count(x).alias("n")).filter("n >= 5")
+    tails = correction.fit_tails(pairs.filter("ref > 0.1"), limits, CELL, "ref")
+    want = limits.join(tails, CELL, "left").selectExpr("lat_i", "gpd_threshold", "upper_cap", "coalesce(gpd_shape, 0D) shape", "coalesce(gpd_scale, 1D) scale")
+    got = {r.lat_i: tuple(r)[1:] for r in made.select("lat_i", "gpd_threshold", "upper_cap", "gpd_shape", "gpd_scale").collect()}
+    assert got == {r.lat_i: tuple(r)[1:] for r in want.collect()} and len(got) > 5
+
+
 def test_taylor_pass_pairs_by_day(spark):
     axis = spark.createDataFrame([(0, 0.0), (1, 1.0)], "i int, x double")
     places = spark.createDataFrame([(k, 0.1 + k % 2, 0.2) for k in range(6)], "station_id int, lat double, lon double")
