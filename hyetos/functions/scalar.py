@@ -38,8 +38,9 @@ def no_nan(x) -> Column:
 
 
 def r6(x) -> Column:
-    """Rounded to six decimals, without a negative zero."""
-    return F.round(c(x), 6) + F.lit(0.0)
+    """Rounded to six decimals, without a negative zero. Millionths are rounded as they are in binary, as DuckDB does: half up of the
+    shortest decimals would take 1.2704374999999999, whose millionths are 1270437.5, down."""
+    return F.round(c(x) * 1e6, 0) / 1e6 + F.lit(0.0)
 
 
 def dekad(day) -> Column:
