@@ -93,8 +93,23 @@ def fit_gpd_many(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid = np.concatenate([low[:, None] * np.linspace(1, 1e-4, 80), np.geomspace(1e-6, 50, 160) / mean[:, None]], axis=1)
     rows = np.arange(len(x))
 
+    def logs(theta: np.ndarray) -> np.ndarray:
+        """The sum of log(1 + theta * x), with one logarithm for eight values: that of their product, or where it is near one of its distance from it."""
+        total = np.zeros_like(theta)
+        for at in range(0, x.shape[1], 8):
+            over = theta * x[:, at : at + 1]
+            product = 1 + over
+            for k in range(at + 1, min(at + 8, x.shape[1])):
+                other = theta * x[:, k : k + 1]
+                over, product = over + other + over * other, product * (1 + other)
+            low = over < -0.5
+            part = np.log1p(np.where(low, 0.0, over))
+            part[low] = np.log(product[low])
+            total += part
+        return total
+
     def profile(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shape = sum(np.log1p(theta * x[:, k : k + 1]) for k in range(x.shape[1])) / np.maximum(n, 1)[:, None]
+        shape = logs(theta) / np.maximum(n, 1)[:, None]
         shape = np.where(np.abs(theta) < 1e-12 / mean[:, None], 0.0, shape)
         ratio = np.where(shape == 0, mean[:, None], shape / np.where(theta == 0, 1, theta))
         return np.where((shape > -1) & (ratio > 0), -np.log(np.maximum(ratio, 1e-300)) - shape - 1, -np.inf), shape
@@ -132,7 +147,7 @@ def fit_tails_of(samples: list[np.ndarray], cross_validate: bool, folds: int = 5
         by_size.setdefault(len(x), []).append(k)
     for n, at in by_size.items():
         parts = folds_of(n, folds) if cross_validate and n >= folds else [np.zeros(0, int)] if n >= 10 else []
-        for some in np.array_split(np.array(at), len(at) * n * 240 // 2_000_000 + 1):
+        for some in np.array_split(np.array(at), len(at) * 240 // 50_000 + 1):  # small enough for a core's cache
             x = np.stack([samples[k] for k in some])
             fits = [fit_gpd_many(np.delete(x, part, axis=1)) for part in parts]
             if fits:
@@ -198,13 +213,17 @@ def _unit(p: np.ndarray, floor: np.ndarray) -> np.ndarray:
 def map_values(x: np.ndarray, sat: dict[str, np.ndarray], ref: dict[str, np.ndarray], wet: float, tail: np.ndarray) -> np.ndarray:
     """Mapped values of wet inputs: the body by both gammas, the part above the input's own threshold by the tail."""
     u = sat["p_dry"] + (1 - sat["p_dry"]) * gamma_cdf(x, sat["shape"], sat["scale"])
-    y = np.where(u < ref["p_dry"], 0.0, np.maximum(gamma_quantile(_unit(u, ref["p_dry"]), ref["gamma_shape"], ref["gamma_scale"]), wet))
-    u_limit = sat["p_dry"] + (1 - sat["p_dry"]) * gamma_cdf(sat["limit"], sat["shape"], sat["scale"])
+    # Rows of a group follow each other: its limit's place is worked out at the first of them.
+    own = np.stack([sat["limit"], sat["shape"], sat["scale"]])
+    first = np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))
+    u_limit = sat["p_dry"] + (1 - sat["p_dry"]) * gamma_cdf(*own[:, first])[np.cumsum(first) - 1]
     v = _unit(u, u_limit)
     shape = np.where(ref["gpd_shape"] == 0, 1.0, ref["gpd_shape"])
     heavy = np.where(ref["gpd_shape"] == 0, -ref["gpd_scale"] * np.log1p(-v), ref["gpd_scale"] / shape * ((1 - v) ** -shape - 1))
     in_tail = (x > sat["limit"]) & (1 - u_limit > 1e-10) & tail
-    y = np.where(in_tail, heavy + ref["gpd_loc"] + ref["gpd_threshold"], y)
+    y = np.where(in_tail, heavy + ref["gpd_loc"] + ref["gpd_threshold"], 0.0)
+    body = ~in_tail & ~(u < ref["p_dry"])
+    y[body] = np.maximum(gamma_quantile(_unit(u, ref["p_dry"])[body], ref["gamma_shape"][body], ref["gamma_scale"][body]), wet)
     return np.maximum(np.minimum(y, ref["upper_cap"]), 0.0)
 
 
@@ -232,37 +251,44 @@ def quantile_map(
 
     `isolate`: with a column `error`, as an error in a period's values leaves all other periods be. `mapper` in place of `map_values`.
     """
-    mapper = mapper or map_values
+    mapper, keys = mapper or map_values, list(keys)
     x = F.when(F.col(value) > wet, F.col(value))
-    own = rows.groupBy(*keys).agg(
-        F.count(x).alias("s_n"), F.count(value).alias("s_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.sort_array(F.collect_list(x.cast("double"))).alias("_x"), F.max(F.abs(value)).alias("s_max"),
+    rest = [c for c in rows.columns if c not in keys]
+    # A group's rows wait beside its sums, so that they are shuffled once and joined with nothing.
+    own = rows.dropna(subset=keys).groupBy(*keys).agg(
+        F.count(x).alias("s_n"), F.count(value).alias("s_valid"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.max(F.abs(value)).alias("s_max"), F.collect_list(F.struct(*rest)).alias("_rows"),
     )
-    own = own.withColumns({"g": gamma_of("m", "ml", "s_n"), "s_limit": percentiles("_x", (percentile,))[0]})
-    own = own.select(*keys, "s_n", "s_limit", "s_max", (1 - div("s_n", "s_valid")).alias("s_dry"), F.col("g.shape").alias("s_shape"), F.col("g.scale").alias("s_scale"))
-    # Both tables of groups are joined first, so that rows are joined once.
-    joined = rows.join(own.join(parameters.select(*keys, *PARAMETERS), list(keys), "left"), list(keys))
+    wet_days = F.filter(F.col("_rows")[value].cast("array<double>"), lambda v: v > wet)
+    own = own.withColumns({"g": gamma_of("m", "ml", "s_n"), "s_limit": percentiles(F.sort_array(wet_days), (percentile,))[0]})
+    own = own.select(*keys, "s_n", "s_limit", "s_max", (1 - div("s_n", "s_valid")).alias("s_dry"), F.col("g.shape").alias("s_shape"), F.col("g.scale").alias("s_scale"), "_rows")
+    fitted = ["s_n", "s_limit", "s_max", "s_dry", "s_shape", "s_scale", *PARAMETERS]
+    joined = own.join(parameters.select(*keys, *PARAMETERS), keys, "left").select(*keys, *fitted, F.explode("_rows").alias("_row")).select(*[f"_row.{c}" if c in rest else c for c in rows.columns], *fitted)
+
+    # Dates go out as numbers: as Python's dates they would be objects.
+    days = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.DateType)]
+    joined, rows_of = joined.withColumns({c: F.unix_date(c) for c in days}), rows.columns
 
     def mapped(one: pd.DataFrame) -> pd.DataFrame:
-        y = np.full(len(one), np.nan)
-        v = one[value].to_numpy(float)
-        known = one[["gamma_shape", "gamma_scale", "gpd_threshold", "p_dry"]].notna().all(axis=1).to_numpy()
+        column = lambda c: one[c].to_numpy(float)
+        y, v = np.full(len(one), np.nan), column(value)
+        known = ~np.isnan([column(c) for c in ("gamma_shape", "gamma_scale", "gpd_threshold", "p_dry")]).any(axis=0)
         y[known & ~np.isnan(v)] = 0.0
-        y[known & (one["s_max"].to_numpy(float) == 0)] = 0.0
-        at = known & (one["s_n"].to_numpy() >= min_wet) & (v > wet)
+        y[known & (column("s_max") == 0)] = 0.0
+        at = known & (column("s_n") >= min_wet) & (v > wet)
         if at.any():
-            part = one[at]
-            column = lambda c: part[c].to_numpy(float)
-            sat = {"p_dry": column("s_dry"), "shape": column("s_shape"), "scale": column("s_scale"), "limit": column("s_limit")}
-            ref = {c: column(c) for c in PARAMETERS}
-            y[at] = mapper(v[at], sat, ref, wet, column("gpd_threshold") > 0)
-        return one.assign(mapped=pd.Series(y, index=one.index).astype("Float64"))
+            sat = {k: column(c)[at] for k, c in (("p_dry", "s_dry"), ("shape", "s_shape"), ("scale", "s_scale"), ("limit", "s_limit"))}
+            ref = {c: column(c)[at] for c in PARAMETERS}
+            y[at] = mapper(v[at], sat, ref, wet, ref["gpd_threshold"] > 0)
+        return one[rows_of].assign(mapped=y)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from isolated(mapped, batches, ["mapped"]) if isolate else map(mapped, batches)
+        for made in isolated(mapped, batches, ["mapped"]) if isolate else map(mapped, batches):
+            yield made[names]
 
     added = [T.StructField("mapped", T.DoubleType())] + [T.StructField("error", T.StringType())] * isolate
-    out = joined.mapInPandas(run, T.StructType([*joined.schema.fields, *added]))
-    return out.select(*rows.columns, *[f.name for f in added])
+    names = [*rows.columns, *[f.name for f in added]]
+    out = joined.mapInPandas(run, T.StructType([*[joined.schema[c] for c in rows.columns], *added]))
+    return out.withColumns({c: F.date_from_unix_date(c) for c in days})
 
 
 def pair_parameters(pairs: DataFrame, keys: Sequence[str] = CELL, wet: float = 1.0, percentile: float = 0.8) -> DataFrame:
@@ -291,15 +317,20 @@ def rank_map(pairs: DataFrame, keys: Sequence[str], weight: float = 1.0) -> Data
     return t.join(r, [*keys, "_k"]).select(*keys, "time", "test", ((1 - weight) * F.col("test") + weight * F.col("_q")).alias("mapped"))
 
 
-def blend(rows: DataFrame, keys: Sequence[str] = CELL, alpha: float = 0.7, confidence: str | None = None, percentile: float = 0.8) -> DataFrame:
-    """`rows` (value, predicted) with `blended`: values above their cell's percentile, zeros included, give way to the
-    prediction by 1 - alpha, less where there is little confidence; all others stay."""
+def with_limits(rows: DataFrame, keys: Sequence[str] = CELL, percentile: float = 0.8) -> DataFrame:
+    """`rows` with `limit`, the percentile of a cell's values, zeros included; a cell's rows lie together."""
     # A window, so that limit and values come from one run of `rows`: sums of a second run may differ in their last bit.
-    limit = F.percentile("value", F.lit(percentile)).over(W.partitionBy(*keys))
+    return rows.dropna(subset=list(keys)).withColumn("limit", F.percentile("value", F.lit(percentile)).over(W.partitionBy(*keys)))
+
+
+def blend(rows: DataFrame, keys: Sequence[str] = CELL, alpha: float = 0.7, confidence: str | None = None, percentile: float = 0.8, limited: bool = False) -> DataFrame:
+    """`rows` (value, predicted) with `blended`: values above their cell's percentile, zeros included, give way to the
+    prediction by 1 - alpha, less where there is little confidence; all others stay. `limited`: rows have their `limit` already."""
+    table = rows if limited else with_limits(rows, keys, percentile)
     a = effective_alpha(confidence, alpha) if confidence else F.lit(alpha)
     x = F.col("value")
-    use = (x > F.col("_limit")) & (x > 0) & F.col("predicted").isNotNull()
-    return rows.dropna(subset=list(keys)).withColumn("_limit", limit).withColumn("blended", F.when(use, a * x + (1 - a) * F.col("predicted")).otherwise(x)).drop("_limit")
+    use = (x > F.col("limit")) & (x > 0) & F.col("predicted").isNotNull()
+    return table.withColumn("blended", F.when(use, a * x + (1 - a) * F.col("predicted")).otherwise(x)).drop("limit")
 
 
 def day_normalised(rows: DataFrame, time: str = "time") -> DataFrame:
@@ -325,47 +356,90 @@ def predict(rows: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], rows
 STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
-def neighbourhoods(rows: DataFrame, side: int = 512) -> DataFrame:
-    """`rows` (time, lat_i, lon_i, value) with _x0 to _x8: the values of the 3 x 3 cells around, 0 where there is none; NULL where none of the nine is.
+#: Cells along a block's side, and days in a block where time is a date: as many cells as one day of 512 x 512.
+SIDE, DAYS = 180, 8
+
 
-    A day's field is cut into square blocks, and cells at a border also go to the block next to it, so that each row is
-    shuffled once, whatever the size of the field, and a task holds one block at a time.
+def _in_blocks(rows: DataFrame, side: int) -> DataFrame:
+    """`rows` with the block _t, _a, _b that each is seen from, and whether it is its own.
+
+    Fields are cut into square blocks of a few days, and cells at a border also go to the block next to it, so that each row is
+    shuffled once, whatever the size of the field, and a task holds one block at a time. Borders lie half a side off 0, so that
+    the first cells of a grid are no border.
     """
-    names, columns = [f"_x{k}" for k in range(9)], rows.columns
-    place = lambda x, step: F.floor((F.col(x) + step) / side)
+    place = lambda x, step: F.floor((F.col(x) + (step + side // 2)) / side)
     blocks = lambda x: F.explode(F.array_distinct(F.array(*[place(x, step) for step in (-1, 0, 1)])))
-    at = rows.filter("time is not null and lat_i is not null and lon_i is not null").withColumn("_a", blocks("lat_i")).withColumn("_b", blocks("lon_i"))
-    at = at.withColumn("_own", (F.col("_a") == place("lat_i", 0)) & (F.col("_b") == place("lon_i", 0)))
+    days = F.floor(F.unix_date("time") / DAYS) if isinstance(rows.schema["time"].dataType, T.DateType) else F.col("time")
+    at = rows.filter("time is not null and lat_i is not null and lon_i is not null").withColumn("_t", days).withColumn("_a", blocks("lat_i")).withColumn("_b", blocks("lon_i"))
+    return at.withColumn("_own", (F.col("_a") == place("lat_i", 0)) & (F.col("_b") == place("lon_i", 0)))
+
+
+def _around(one: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: which rows are its own, of these the values of the 3 x 3 cells around, 0 where there is none, and where none of the nine is."""
+    t = one["time"].combine_chunks().dictionary_encode().indices.to_numpy()
+    i, j = (one[x].to_numpy().astype(int) for x in ("lat_i", "lon_i"))
+    v = one["value"].cast(pa.float64()).to_numpy().astype(float)
+    i, j = i - i.min() + 1, j - j.min() + 1
+    # A day's cells lie in one row, so that a neighbour is a fixed step away.
+    width = j.max() + 2
+    cell = (t * (i.max() + 2) + i) * width + j
+    size = (t.max() + 1) * (i.max() + 2) * width
+    there = ~np.isnan(v)
+    field = np.bincount(cell[there], weights=v[there], minlength=size).astype(float)  # without a value they would be integers
+    known = np.zeros(size, bool)
+    known[cell[there]] = True
+    own = one["_own"].to_numpy().astype(bool)
+    near = cell[own][:, None] + np.array([a * width + b for a, b in STEPS])
+    return own, field[near], ~known[near].any(axis=1)
+
+
+def _combinations(part: pa.Table, keys: Sequence[str]) -> list[tuple[int, np.ndarray]]:
+    """The combinations of keys in a block: the first row of each, and which rows have it. Mostly there is one, that of the day."""
+    codes = np.stack([part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys], axis=1)
+    if (codes == codes[0]).all():
+        return [(0, np.ones(len(codes), bool))]
+    some, first, at = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+    return [(int(first[n]), at.ravel() == n) for n in range(len(some))]
+
+
+def neighbourhoods(rows: DataFrame, side: int = SIDE) -> DataFrame:
+    """`rows` (time, lat_i, lon_i, value) with _x0 to _x8: the values of the 3 x 3 cells around, 0 where there is none; NULL where none of the nine is."""
+    names, columns = [f"_x{k}" for k in range(9)], rows.columns
 
     def around(one: pa.Table) -> pa.Table:
-        i, j = (one[x].to_numpy().astype(int) for x in ("lat_i", "lon_i"))
-        v = one["value"].cast(pa.float64()).to_numpy().astype(float)
-        i, j = i - i.min() + 1, j - j.min() + 1
-        field, known = np.zeros((i.max() + 2, j.max() + 2)), np.zeros((i.max() + 2, j.max() + 2), bool)
-        there = ~np.isnan(v)
-        np.add.at(field, (i[there], j[there]), v[there])
-        known[i[there], j[there]] = True
-        own = one["_own"].to_numpy().astype(bool)
-        i, j = i[own], j[own]
-        none = ~np.any([known[i + a, j + b] for a, b in STEPS], axis=0)
+        own, x, none = _around(one)
         kept = one.filter(pa.array(own)).select(columns)
-        for name, (a, b) in zip(names, STEPS, strict=True):
-            kept = kept.append_column(name, pa.array(field[i + a, j + b], mask=none))
+        for k, name in enumerate(names):
+            kept = kept.append_column(name, pa.array(x[:, k], mask=none))
         return kept
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema.fields], *[T.StructField(x, T.DoubleType()) for x in names]])
-    return at.groupBy("time", "_a", "_b").applyInArrow(around, schema)
+    return _in_blocks(rows, side).groupBy("_t", "_a", "_b").applyInArrow(around, schema)
 
 
-def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridge: float = 1e-3) -> DataFrame:
+def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridge: float = 1e-3, side: int = SIDE) -> DataFrame:
     """A linear 3 x 3 filter for each dekad, by least squares of the reference on the neighbourhood: (keys, weights).
 
-    The normal equations are sums over rows, so each task adds up its own and 100 numbers a dekad are shuffled.
-    `rows` has value and ref on (time, lat_i, lon_i).
+    The normal equations are sums over rows, so each block of a day's field adds up its own, and 110 numbers a block are
+    shuffled. `rows` has value and ref on (time, lat_i, lon_i).
     """
-    x = [*[F.col(f"_x{k}") for k in range(9)], F.lit(1.0)]
-    table = neighbourhoods(rows.select(*keys, "time", "lat_i", "lon_i", "value", "ref")).filter("ref is not null and value is not null")
-    sums = table.groupBy(*keys).agg(F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"), F.array(*[F.sum(a * F.col("ref")) for a in x]).alias("xy"))
+    table, keys = rows.select(*keys, "time", "lat_i", "lon_i", "value", "ref"), list(keys)
+    schema = T.StructType([*[table.schema[k] for k in keys], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("xx", "xy")]])
+
+    def add(one: pa.Table) -> pa.Table:
+        own, x, _ = _around(one)
+        part = one.filter(pa.array(own))
+        y, v = (part[c].cast(pa.float64()).to_numpy().astype(float) for c in ("ref", "value"))
+        good = ~np.isnan(y) & ~np.isnan(v)
+        part, x, y = part.filter(pa.array(good)), np.append(x, np.ones((len(x), 1)), axis=1)[good], y[good]
+        parts = _combinations(part, keys) if len(y) else []
+        first = part.select(keys).take(pa.array([k for k, _ in parts], pa.int64()))
+        for name, made in (("xx", [(x[at].T @ x[at]).ravel() for _, at in parts]), ("xy", [x[at].T @ y[at] for _, at in parts])):
+            first = first.append_column(name, pa.array(made, pa.list_(pa.float64())))
+        return first
+
+    blocks = _in_blocks(table, side).groupBy("_t", "_a", "_b").applyInArrow(add, schema)
+    sums = blocks.groupBy(*keys).agg(*[F.array(*[F.sum(F.get(c, F.lit(k))) for k in range(n)]).alias(c) for c, n in (("xx", 100), ("xy", 10))])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
@@ -382,8 +456,26 @@ def train_filter(rows: DataFrame, keys: Sequence[str] = ("month", "dekad"), ridg
     return sums.select(*keys, solve("xx", "xy").alias("weights"))
 
 
-def apply_filter(rows: DataFrame, models: DataFrame, keys: Sequence[str] = ("month", "dekad")) -> DataFrame:
-    """`rows` with `predicted` from a dekad's trained filter, at least 0. `models` has a row for each dekad, so it is broadcast."""
-    table = neighbourhoods(rows).join(F.broadcast(models.select(*keys, "weights")), list(keys))
-    total = sum((F.col(f"_x{k}") * F.get("weights", F.lit(k)) for k in range(1, 9)), F.col("_x0") * F.get("weights", F.lit(0)))
-    return table.withColumn("predicted", F.greatest(total + F.get("weights", F.lit(9)), F.lit(0.0))).drop("weights", *[f"_x{k}" for k in range(9)])
+def apply_filter(rows: DataFrame, models: DataFrame, keys: Sequence[str] = ("month", "dekad"), side: int = SIDE) -> DataFrame:
+    """`rows` with `predicted` from a dekad's trained filter, at least 0, and 0 where it has no weights; rows without a filter are left out.
+
+    One filter a dekad, at most 36, goes out with the tasks.
+    """
+    keys = list(keys)
+    found = {tuple(r[k] for k in keys): r["weights"] for r in models.select(*keys, "weights").dropna(subset=keys).collect()}
+    found = {k: np.array(w if w is not None else [0.0] * 10, float) for k, w in found.items()}
+    columns = [c for c in rows.columns if c != "predicted"]
+
+    def run(one: pa.Table) -> pa.Table:
+        own, x, none = _around(one)
+        kept = one.filter(pa.array(own)).select(columns)
+        made, known = np.zeros(len(x)), np.zeros(len(x), bool)
+        for k, at in _combinations(kept, keys) if len(x) else []:
+            w = found.get(tuple(kept[c][k].as_py() for c in keys))
+            if w is not None:
+                made[at], known[at] = x[at] @ w[:9] + w[9], True
+        made = np.where(none, 0.0, np.maximum(made, 0.0))
+        return kept.append_column("predicted", pa.array(made)).filter(pa.array(known))
+
+    schema = T.StructType([*[T.StructField(rows.schema[c].name, rows.schema[c].dataType) for c in columns], T.StructField("predicted", T.DoubleType())])
+    return _in_blocks(rows.select(*columns), side).groupBy("_t", "_a", "_b").applyInArrow(run, schema)

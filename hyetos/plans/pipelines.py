@@ -33,10 +33,10 @@ def chain(
     options = {"wet": params.wet_day, "percentile": params.gpd_percentile}
     how = {"isolate": isolate, "mapper": mapper}
     if native is not None:
-        made = lambda s, p: correction.quantile_map(s.withColumn("value", F.col("scaled")), p, **options, **how)
+        made = lambda s, p: correction.quantile_map(s.select(*CELL, "time", "ref", F.col("scaled").alias("value")), p, **options, **how)
         out["parameters"] = native
     else:
-        made = lambda s, p: correction.quantile_map_pairs(s.withColumn("test", F.col("scaled")), fitted=p, **options, **how)
+        made = lambda s, p: correction.quantile_map_pairs(s.select(*CELL, "time", "ref", F.col("scaled").alias("test")), fitted=p, **options, **how)
         out["parameters"] = stages.stage("parameters", lambda s: correction.pair_parameters(s, **options), out["scaled"], **options)
     kept = [*CELL, "time", F.when(F.col("mapped").isNotNull(), F.greatest("mapped", F.lit(0.0))).alias("value"), "ref", *(["error"] if isolate else [])]
     said = {"native": native is not None, "isolate": isolate, "mapper": getattr(mapper, "__qualname__", None)}
@@ -54,8 +54,10 @@ def chain(
         models = models or stages.stage("filter", lambda m: correction.train_filter(well(m)), out["mapped"])
         predict = lambda m, w: correction.apply_filter(m, w)
     out["models"] = models
-    out["predicted"] = stages.stage("predicted", lambda m, w: predict(well(m).drop("ref"), w), out["mapped"], models, **said)
-    blending = {"alpha": params.blend_alpha, "percentile": params.gpd_percentile}
+    # A cell's rows are brought together once, with their limit and the reference: all settings of the blending, and scores of them, follow without another shuffle.
+    share = {"percentile": params.gpd_percentile}
+    out["predicted"] = stages.stage("predicted", lambda m, w: correction.with_limits(predict(well(m), w), **share), out["mapped"], models, **said, **share)
+    blending = {"alpha": params.blend_alpha, "limited": True}
     if confidence is None:
         out["blended"] = stages.stage("blended", lambda p: correction.blend(p, **blending), out["predicted"], **blending)
     else:
@@ -125,15 +127,16 @@ def sweep(stages: Stages, pairs: Stage, counts: Stage, plan: Sequence[tuple[str,
         own = replace(params, saturation=saturation, blend_alpha=alpha, gpd_percentile=percentile)
         sure = confidence_table(stages, counts, *shape, params.sigma, saturation)
         made = chain(stages, pairs, own, confidence=sure, **options)
-        scored = stages.stage("scores", _scores, made["blended"], pairs)
+        scored = stages.stage("scores", _scores, made["blended"])
         rows.append(scored.df.select(F.lit(name).alias("parameter"), *[F.lit(float(v)).alias(k) for k, v in (("saturation", saturation), ("alpha", alpha), ("percentile", percentile))], "rmse", "bias"))
     return _union(rows)
 
 
-def _scores(blended: DataFrame, pairs: DataFrame) -> DataFrame:
-    both = blended.select(*CELL, "time", "blended").join(pairs.select(*CELL, "time", "ref"), [*CELL, "time"])
+def _scores(blended: DataFrame) -> DataFrame:
     off = F.col("blended") - F.col("ref")
-    return order.medians(both.groupBy(*CELL).agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off).alias("bias")), [], ["rmse", "bias"])
+    cells = blended.filter("ref is not null").groupBy(*CELL).agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off).alias("bias"))
+    # Kept, as exact medians read their rows twice.
+    return order.medians(order.kept(cells), [], ["rmse", "bias"])
 
 
 def fine_parameters(coarse: DataFrame, lat: tuple[DataFrame, DataFrame], lon: tuple[DataFrame, DataFrame], values: Sequence[str] = correction.PARAMETERS) -> DataFrame:
